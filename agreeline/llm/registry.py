@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, tokens
+from . import bpe, jaccard, mixing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,11 @@ def op4_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@_query
+def op6_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(read(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int"), F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards")
+    )
