@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, tokens
+from . import bpe, jaccard, mixing, pii, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,14 @@ def op6_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int"), F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards")
     )
+
+
+#: Pseudonyms follow from this key; a real run passes its own secret.
+PII_KEY = "agreeline"
+
+
+@_query
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, found="found")
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", *counts, F.transform("found", lambda s: s["pseudonym"]).alias("pseudonyms"))
