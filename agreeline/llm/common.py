@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,22 @@ def n_words(text: str) -> Column:
     return F.size(F.filter(pieces, lambda w: w != "")).cast("long")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="spark-code-"), f"{root.name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(path))
+
+
 def map_rows(
     df: DataFrame, columns: list[str], work: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema
 ) -> DataFrame:
@@ -57,6 +75,7 @@ def map_rows(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(kind)
 

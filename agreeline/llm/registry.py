@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pii, tokens
+from . import bpe, jaccard, mixing, pii, tokens, toxicity
+from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,10 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, found="found")
     counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", "text", *counts, F.transform("found", lambda s: s["pseudonym"]).alias("pseudonyms"))
+
+
+@_query
+def op8_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.labelled_rows(docs, labels, fold("doc_id", 4) != 2))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
