@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, jaccard, mixing, pii, tokens, toxicity
+from . import bpe, jaccard, language, mixing, pii, quality_rules, tokens, topk, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,68 @@ def op8_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     out = toxicity.score(docs, toxicity.labelled_rows(docs, labels, fold("doc_id", 4) != 2))
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op3_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language.identify(docs, docs.filter(fold("doc_id", 5) != 0))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op10_segment_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES["op2_host_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, list_slice(w, i, i + 4) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), twice AS (
+  SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (r, g)) GROUP BY r
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r
+), b AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    CASE WHEN len(w) = 0 THEN 0 ELSE length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) END::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > n_words
+      OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS any_failed FROM b
+), h AS (
+  SELECT source, count(*)::DOUBLE AS n, sum(any_failed::INT)::DOUBLE AS k FROM f GROUP BY source
+), m AS (
+  SELECT sum(n) AS total, sum(k) / sum(n) AS m, greatest(sum(n * (k / n) * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)), 0) AS v FROM h
+), s AS (
+  SELECT *, CASE WHEN v > 0 THEN least(total, greatest(1, m * (1 - m) / v - 1)) ELSE total END AS strength FROM m
+), verdict AS (
+  SELECT source, (k + strength * m) / (n + strength) <= 0.5 AS ok FROM h, s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
+FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
+"""
