@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, map_rows
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BLANKS = " \t\n\x0b\x0c\r"
 SIGNS = re.compile(r"[#*$%&|<>]")
 #: A host fails if its shrunk rate of failing documents is above this.
 HOST_LIMIT = 0.5
 
 
-def repeated_words(words: list[str], n: int = 5) -> int:
+def repeated_words(words: list, n: int = 5) -> int:
     """Words that lie in n-word windows which occur twice or more in the text."""
     if len(words) <= n:
         return 0
     number = dict(zip(dict.fromkeys(words), count()))
     w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    windows = w[: len(w) - n + 1]
+    mixed, windows = w[: len(w) - n + 1], w[: len(w) - n + 1]
+    for i in range(1, n):
+        mixed = mixed * 6364136223846793005 + w[i : len(w) - n + 1 + i]
+    mixed = np.sort(mixed)
+    if not (mixed[1:] == mixed[:-1]).any():  # equal windows have equal mixes
+        return 0
     for i in range(1, n):  # pairs of (window so far, next word) get new numbers
         windows = windows * len(number) + w[i : len(w) - n + 1 + i]
         if i % 2 == 0 or i == n - 1 or len(number) > 2_000_000:
@@ -46,15 +51,15 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def of(t: str | None) -> tuple[int, int, int, int, int]:
-        words = WORD.findall(t) if t else []
+        words = t.encode().split() if t else []  # of bytes: only ASCII white space parts them
         if not words:
             return 0, 0, 0, 0, 0
         lines = t.split("\n")
         dup = 0
         if len(set(lines)) < len(lines):
-            full = [x for x in lines if WORD.search(x)]
+            full = [x for x in lines if x.strip(BLANKS)]
             dup = len(full) - len(set(full))
-        return len(words), sum(map(len, words)), len(SIGNS.findall(t)), dup, repeated_words(words)
+        return len(words), len(t) - sum(map(t.count, BLANKS)), len(SIGNS.findall(t)), dup, repeated_words(words)
 
     def run(batches):
         for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, jaccard, language, mixing, pii, quality_rules, tokens, topk, toxicity
+from . import bpe, jaccard, language, mixing, pii, quality_rules, tokens, topk, toxicity, weak_quality
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
+
+
+@_query
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weak_quality.score(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
