@@ -1 +1 @@
-"""See the package docstring."""
+"""Scalar functions and text scores."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Queries over the given tables, with their SQL."""

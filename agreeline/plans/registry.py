@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import agreement, checks, resampling, robustness
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**agreement.QUERIES, **robustness.QUERIES, **resampling.QUERIES, **checks.QUERIES}
+ORACLES = {**agreement.ORACLES, **robustness.ORACLES, **resampling.ORACLES, **checks.ORACLES}
