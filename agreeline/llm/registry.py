@@ -83,7 +83,8 @@ PII_KEY = "agreeline"
 @_query
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, found="found")
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).alias(f"n_{k}")
+    counts = [of_kind(k) for k in pii.KINDS]
     return out.select("doc_id", "text", *counts, F.transform("found", lambda s: s["pseudonym"]).alias("pseudonyms"))
 
 
