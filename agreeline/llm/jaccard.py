@@ -3,8 +3,9 @@
 Candidates come from a bound on sizes. Two sets with Jaccard similarity of t or more differ in at
 most (1 - t) / (1 + t) * (|a| + |b|) elements. The n-grams are dealt by hash into more parts than
 that bound, so such sets are equal on some parts, and documents that agree on no part are never
-compared. Sets are grouped by size first, since the bound on the parts follows the size. Documents
-that agree on a part form blocks; for each block the product of the document by n-gram incidence
+compared. Sets are grouped by size first, since the bound on the parts follows the size. Pairs that
+agree on a part of few documents are sifted by bitmaps of their sets, whose differing bits bound the
+overlap. Those left, and documents that agree on a part of many, form blocks; for each block the product of the document by n-gram incidence
 matrix with its transpose is accumulated row by row, only over documents whose sizes can reach the
 threshold, and pairs below the overlap that their sizes ask for are discarded. What is left of a
 block is a spanning forest of its links, so a group of copies never becomes all of its pairs.
@@ -17,11 +18,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, map_rows
 
+#: Signatures that more classes share tie their classes to one candidate group; of others each pair is
+#: looked at by itself.
+FEW = 32
 #: Documents of a block side; larger candidate groups become a grid of pairs of sides.
 SIDE = 2048
 KEPT_WORDS = 300_000
@@ -69,10 +73,10 @@ def class_key(grams: np.ndarray) -> int:
 
 
 def size_classes(num: int, den: int, up_to: int) -> np.ndarray:
-    """First sizes of the classes; each is about 1.3 times the one before."""
+    """First sizes of the classes; each is about 1.6 times the one before."""
     out = [1]
     while out[-1] <= up_to:
-        out.append(max(out[-1] + 1, out[-1] * 13 // 10))
+        out.append(max(out[-1] + 1, out[-1] * 16 // 10))
     return np.array(out)
 
 
@@ -119,6 +123,25 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     return np.concatenate(owner), np.concatenate(sig)
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """One bit for each n-gram, by hash, in two to four times as many bits, a power of two."""
+    size = max(8, 1 << int(2 * len(grams) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(mix(grams + U(0x632BE59BD9B4E019)) % U(size)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool:
+    """False if the bitmaps show that sets of n and m elements overlap too little: a bit that only one
+    has stands for an element that the other lacks. The longer bitmap is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    # bit i of a long map falls on bit i modulo the short one's size
+    x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return most * den >= num * (n + m - most)
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the least node that each node reaches. By large and small stars in turn: every
     node is tied to the least of its neighbours until nothing changes. Each round is joins and
@@ -204,21 +227,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             if len(seen) > 1_000_000:
                 seen.clear()
             owner, sig = signatures([sets[i] for i in new], num, den) if new else (np.zeros(0, np.int64), np.zeros(0, U))
+            maps: list[bytes | None] = [None] * len(sets)
+            for i in new:
+                maps[i] = bitmap(sets[i])
             count = np.zeros(len(sets), np.int64)
             count[np.array(new, np.int64)] = np.bincount(owner, minlength=len(new))
             by_doc = np.argsort(owner, kind="stable")
             yield {
                 key: batch[key], "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), "k1": pa.array(k1), "k2": pa.array(k2.view(np.int64)),
                 "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig[by_doc].view(np.int64))),
+                "bits": maps,
             }
 
-    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>"))
+    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>, bits binary"))
 
-    # classes that share a signature, tied to the least class of that signature
+    # rows of signatures that several classes share, with their number and the least class
     parts = known.filter("n_shingles > 0").select(F.explode("sigs").alias("sig"), "k1")
-    shared = parts.groupBy("sig").agg(F.min("k1").alias("lead"), F.max("k1").alias("most")).filter("lead < most").select("sig", "lead")
-    ties = parts.join(shared, "sig").filter("k1 <> lead").select("k1", "lead").distinct()
-    near = connected(ties, "k1", "lead")
+    same = Window.partitionBy("sig")
+    parts = parts.withColumns({"rows": F.count(F.lit(1)).over(same), "lead": F.min("k1").over(same), "most": F.max("k1").over(same)})
+    parts = cut(parts.filter("lead < most").drop("most"))
+    ties = parts.filter((F.col("rows") > FEW) & (F.col("k1") != F.col("lead"))).select("k1", F.col("lead").alias("k"))
+    # pairs of the other signatures, less those whose bitmaps differ too much
+    few = parts.filter(F.col("rows") <= FEW).groupBy("sig").agg(F.sort_array(F.collect_set("k1")).alias("all"))
+    pairs = few.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(FEW))).alias("b")).distinct()
+    maps = cut(known.filter("bits is not null").select("k1", "n_shingles", "bits").dropDuplicates(["k1", "n_shingles"]))
+    side = lambda x: maps.select(F.col("k1").alias(f"{x}k"), F.col("n_shingles").alias(f"{x}n"), F.col("bits").alias(f"{x}m"))
+    pairs = pairs.join(side("a"), F.col("a") == F.col("ak")).join(side("b"), F.col("b") == F.col("bk"))
+    pairs = pairs.filter((den * F.least("an", "bn") >= num * F.greatest("an", "bn")))
+
+    def sift(batches):
+        for x in batches:
+            ok = [i for i, row in enumerate(zip(x["am"], x["bm"], x["an"], x["bn"], strict=True)) if may_link(*row, num, den)]
+            yield {"k1": [x["a"][i] for i in ok], "k": [x["b"][i] for i in ok]}
+
+    near = connected(ties.union(map_rows(pairs, ["a", "b", "am", "bm", "an", "bn"], sift, "k1 long, k long")), "k1", "k")
     near = near.union(near.select(F.col("label").alias("node"), "label").distinct())
 
     # one document of each class to compare, with the class's group of candidates
