@@ -84,22 +84,24 @@ def parts_of(largest: int, num: int, den: int) -> tuple[int, int]:
     """(parts, parts that may be left out) for sets of at most ``largest`` elements: two sets over
     the threshold agree on more parts than may be left out."""
     differ = (den - num) * 2 * largest // (den + num)
-    spare = 0 if differ == 0 else 1 + differ // 24
+    spare = 0 if differ == 0 else 1 + differ // 8
     return differ + 1 + spare, spare
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) rows. Sets over the threshold share a signature.
+def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, signature, tag) rows. Sets over the threshold share a signature.
 
     A part with fewer than two elements is weak, and many documents share it. A set leaves out its
     weak parts if they are no more than the parts to spare: of the parts that two sets over the
-    threshold agree on, then one is not weak, and both have it.
+    threshold agree on, then one is not weak, and both have it. The tag is the size class times 65536,
+    plus how many further parts the set may leave out in that class, plus one; plus zero if it may
+    leave out none.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     classes = size_classes(num, den, int(size.max(initial=1)) * den // num + 1)
     own = np.searchsorted(classes, size, "right") - 1
     last = np.searchsorted(classes, np.maximum(size * den // num, 1), "right") - 1
-    owner, sig = [], []
+    owner, sig, tag = [], [], []
     for c in range(len(classes) - 1):
         here = np.flatnonzero((size > 0) & (own <= c) & (c <= last))
         if not len(here):
@@ -118,9 +120,11 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         row, _ = np.nonzero(emit)
         owner.append(here[row])
         sig.append(value[emit])
+        few = weak.sum(1)
+        tag.append((c * 65536 + np.where(few <= spare, np.minimum(spare - few, 65000) + 1, 0))[row])
     if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(owner), np.concatenate(sig)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate(owner), np.concatenate(sig), np.concatenate(tag)
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -226,7 +230,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                     seen.add(h)
             if len(seen) > 1_000_000:
                 seen.clear()
-            owner, sig = signatures([sets[i] for i in new], num, den) if new else (np.zeros(0, np.int64), np.zeros(0, U))
+            owner, sig, tag = signatures([sets[i] for i in new], num, den)
             maps: list[bytes | None] = [None] * len(sets)
             for i in new:
                 maps[i] = bitmap(sets[i])
@@ -236,17 +240,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             yield {
                 key: batch[key], "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), "k1": pa.array(k1), "k2": pa.array(k2.view(np.int64)),
                 "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig[by_doc].view(np.int64))),
-                "bits": maps,
+                "tags": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(tag[by_doc].astype(np.int32))), "bits": maps,
             }
 
-    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>, bits binary"))
+    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>, tags array<int>, bits binary"))
 
     # rows of signatures that several classes share, with their number and the least class
-    parts = known.filter("n_shingles > 0").select(F.explode("sigs").alias("sig"), "k1")
+    parts = known.filter("n_shingles > 0").select(F.explode(F.arrays_zip("sigs", "tags")).alias("s"), "k1").select(F.col("s.sigs").alias("sig"), F.col("s.tags").alias("tag"), "k1")
     same = Window.partitionBy("sig")
     parts = parts.withColumns({"rows": F.count(F.lit(1)).over(same), "lead": F.min("k1").over(same), "most": F.max("k1").over(same)})
-    parts = cut(parts.filter("lead < most").drop("most"))
-    ties = parts.filter((F.col("rows") > FEW) & (F.col("k1") != F.col("lead"))).select("k1", F.col("lead").alias("k"))
+    parts = cut(parts.filter("lead < most").drop("most", "lead"))
+    # a signature of many classes counts as weak, too: who has no more weak parts than may be left out
+    # leaves these out, and is found by its others
+    many = parts.filter(F.col("rows") > FEW)
+    room = F.col("tag") % 65536 - 1
+    tied = many.groupBy("k1", "tag").agg(F.count_distinct("sig").alias("weak")).filter(F.col("weak") > room).select(F.col("k1").alias("tk"), F.col("tag").alias("tt"))
+    many = cut(many.join(tied, (F.col("k1") == F.col("tk")) & (F.col("tag") == F.col("tt"))).select("sig", "k1"))
+    heads = many.groupBy("sig").agg(F.min("k1").alias("k"))
+    ties = many.join(heads, "sig").filter(F.col("k1") != F.col("k")).select("k1", "k")
     # pairs of the other signatures, less those whose bitmaps differ too much
     few = parts.filter(F.col("rows") <= FEW).groupBy("sig").agg(F.sort_array(F.collect_set("k1")).alias("all"))
     pairs = few.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(FEW))).alias("b")).distinct()

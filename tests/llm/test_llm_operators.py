@@ -102,7 +102,7 @@ def test_parts_keep_every_pair_over_the_threshold():
         if not b or 100 * len(a & b) < 90 * len(a | b):
             continue
         sets = [np.unique(jaccard.mix(np.array(sorted(x), np.uint64))) for x in (a, b)]
-        owner, sig = jaccard.signatures(sets, 90, 100)
+        owner, sig, _ = jaccard.signatures(sets, 90, 100)
         assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
