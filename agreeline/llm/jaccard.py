@@ -1,22 +1,26 @@
 """Similarity join on n-gram sets: exact, by blocks of a sparse document by n-gram product.
 
-Candidates come from a bound on sizes. Two sets with Jaccard similarity of t or more differ in at
-most (1 - t) / (1 + t) * (|a| + |b|) elements. The n-grams are dealt by hash into more parts than
-that bound, so such sets are equal on some parts, and documents that agree on no part are never
-compared. Sets are grouped by size first, since the bound on the parts follows the size. Documents
-that agree on a part form blocks; for each block the product of the document by n-gram incidence
-matrix with its transpose is accumulated row by row, only over documents whose sizes can reach the
+Candidates come from a bound on sizes. Two sets with Jaccard similarity of t or more have at least
+t * |a| elements in common, so if all n-grams stand in one order, the least common element is among
+the first |a| - ceil(t * |a|) + 1 elements of a, and likewise of b. Any order is right; rare n-grams
+come first, so that passages which many documents share seldom tie them. How frequent an n-gram is
+comes from a table of counts of fixed width over all documents. Documents that share one of these
+first n-grams form blocks; for each block the product of the document by n-gram incidence matrix
+with its transpose is accumulated row by row, only over documents whose sizes can reach the
 threshold, and pairs below the overlap that their sizes ask for are discarded. What is left of a
 block is a spanning forest of its links, so a group of copies never becomes all of its pairs.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,9 @@ from .common import bounded, cut, map_rows
 #: Documents of a block side; larger candidate groups become a grid of pairs of sides.
 SIDE = 2048
 KEPT_WORDS = 300_000
+#: Counts of n-grams: slots of the table (8 MB when broadcast), slots of a row of it, and tasks whose
+#: rows are added up first.
+SLOTS, CHUNK, FAN_IN = 1 << 22, 1 << 16, 64
 U = np.uint64
 
 
@@ -68,55 +75,67 @@ def class_key(grams: np.ndarray) -> int:
     return int(mix(grams.sum(dtype=U, keepdims=True)).view(np.int64)[0])
 
 
-def size_classes(num: int, den: int, up_to: int) -> np.ndarray:
-    """First sizes of the classes; each is about 1.3 times the one before."""
-    out = [1]
-    while out[-1] <= up_to:
-        out.append(max(out[-1] + 1, out[-1] * 13 // 10))
-    return np.array(out)
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in one byte each if they fit, compressed."""
+    return zlib.compress(counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64).tobytes(), 1)
 
 
-def parts_of(largest: int, num: int, den: int) -> tuple[int, int]:
-    """(parts, parts that may be left out) for sets of at most ``largest`` elements: two sets over
-    the threshold agree on more parts than may be left out."""
-    differ = (den - num) * 2 * largest // (den + num)
-    spare = 0 if differ == 0 else 1 + differ // 24
-    return differ + 1 + spare, spare
+def unpacked(row: bytes) -> np.ndarray:
+    raw = zlib.decompress(row)
+    return np.frombuffer(raw, np.uint8 if len(raw) == CHUNK else np.int64).astype(np.int64)
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) rows. Sets over the threshold share a signature.
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the rows of one chunk, a batch at a time."""
+    total, at = np.zeros(CHUNK, np.int64), None
+    for batch in batches:
+        at = batch.column("chunk")[0].as_py()
+        for row in batch.column("counts").to_pylist():
+            total += unpacked(row)
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
 
-    A part with fewer than two elements is weak, and many documents share it. A set leaves out its
-    weak parts if they are no more than the parts to spare: of the parts that two sets over the
-    threshold agree on, then one is not weak, and both have it.
-    """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    classes = size_classes(num, den, int(size.max(initial=1)) * den // num + 1)
-    own = np.searchsorted(classes, size, "right") - 1
-    last = np.searchsorted(classes, np.maximum(size * den // num, 1), "right") - 1
-    owner, sig = [], []
-    for c in range(len(classes) - 1):
-        here = np.flatnonzero((size > 0) & (own <= c) & (c <= last))
-        if not len(here):
-            continue
-        parts, spare = parts_of(int(classes[c + 1]) - 1, num, den)
-        elements = np.concatenate([sets[i] for i in here])
-        spread = mix(elements ^ U(0x5851F42D4C957F2D))
-        slot = np.repeat(np.arange(len(here)), size[here]) * parts + (spread % U(parts)).astype(np.int64)
-        total, count = np.zeros(len(here) * parts, U), np.bincount(slot, minlength=len(here) * parts)
-        with np.errstate(over="ignore"):
-            np.add.at(total, slot, mix(spread + U(0x2545F4914F6CDD1D)))
-            seed = mix(np.arange(parts, dtype=U) + U(c * 1_000_003 + 17))
-            value = mix(total.reshape(len(here), parts) + seed)
-        weak = (count < 2).reshape(len(here), parts)
-        emit = ~weak | (weak.sum(1) > spare)[:, None] if spare else np.ones_like(weak)
-        row, _ = np.nonzero(emit)
-        owner.append(here[row])
-        sig.append(value[emit])
-    if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(owner), np.concatenate(sig)
+
+def frequencies(docs: DataFrame, n: int, text: str) -> np.ndarray:
+    """How frequent the n-grams of each slot are, on a logarithmic scale: ``SLOTS`` 16-bit numbers,
+    whatever the size of ``docs``. Every document counts; equal sets count once in a task."""
+
+    def count(batches):
+        hashes, counts, seen = WordHashes(), np.zeros(SLOTS, np.int64), set()
+        for batch in batches:
+            for t in batch[text]:
+                grams = shingles(t, n, hashes)
+                if len(grams) and (h := class_key(grams)) not in seen:
+                    seen.add(h)
+                    np.add.at(counts, slots(grams), 1)
+            if len(seen) > 1_000_000:
+                seen.clear()
+        full = [c for c in range(SLOTS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
+        task = TaskContext.get().partitionId() // FAN_IN
+        yield {"chunk": full, "tasks": [task] * len(full), "counts": [packed(counts[c * CHUNK : (c + 1) * CHUNK]) for c in full]}
+
+    rows = map_rows(docs, [text], count, "chunk int, tasks int, counts binary")
+    for keys in (["chunk", "tasks"], ["chunk"]):
+        rows = rows.groupBy(*keys).applyInArrow(added_up, "chunk int, counts binary")
+    table = np.zeros(SLOTS, np.int64)
+    for row in rows.collect():  # at most SLOTS / CHUNK rows of a fixed size
+        table[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = unpacked(row.counts)
+    return (1024 * np.log2(1.0 + table)).astype(np.uint16)
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) & U(SLOTS - 1)).astype(np.int64)
+
+
+def signatures(grams: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first elements of a set, rare ones first: sets over the threshold share one. An element
+    is its place in the order, 16 bits of frequency before 48 of its hash; equal places are shared
+    whichever element has them, so no pair is lost to them."""
+    if not len(grams):
+        return grams
+    spread = mix(grams)
+    place = frequency[(spread & U(SLOTS - 1)).astype(np.int64)].astype(U) << U(48) | spread >> U(16)
+    k = len(grams) + (-num * len(grams)) // den + 1
+    return np.partition(place, k - 1)[:k]
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -188,6 +207,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     * Whole texts count, and other columns are ignored. An empty table gives an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
+    order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n, text))
 
     def read(batches):
         hashes = WordHashes()
@@ -203,13 +223,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                     seen.add(h)
             if len(seen) > 1_000_000:
                 seen.clear()
-            owner, sig = signatures([sets[i] for i in new], num, den) if new else (np.zeros(0, np.int64), np.zeros(0, U))
+            firsts = [signatures(sets[i], order.value, num, den) for i in new]
             count = np.zeros(len(sets), np.int64)
-            count[np.array(new, np.int64)] = np.bincount(owner, minlength=len(new))
-            by_doc = np.argsort(owner, kind="stable")
+            count[np.array(new, np.int64)] = [*map(len, firsts)]
+            sig = np.concatenate([np.zeros(0, U), *firsts])
             yield {
                 key: batch[key], "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), "k1": pa.array(k1), "k2": pa.array(k2.view(np.int64)),
-                "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig[by_doc].view(np.int64))),
+                "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig.view(np.int64))),
             }
 
     known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>"))

@@ -88,8 +88,9 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
-def test_parts_keep_every_pair_over_the_threshold():
+def test_first_elements_keep_every_pair_over_the_threshold():
     rng = random.Random(3)
+    frequency = np.random.default_rng(3).integers(0, 4, jaccard.SLOTS).astype(np.uint16)
     for _ in range(300):
         n = rng.randint(1, 200)
         a = set(rng.sample(range(10_000), n))
@@ -101,9 +102,15 @@ def test_parts_keep_every_pair_over_the_threshold():
                 b.add(rng.randrange(10_000))
         if not b or 100 * len(a & b) < 90 * len(a | b):
             continue
-        sets = [np.unique(jaccard.mix(np.array(sorted(x), np.uint64))) for x in (a, b)]
-        owner, sig = jaccard.signatures(sets, 90, 100)
-        assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+        one, two = (jaccard.signatures(np.unique(jaccard.mix(np.array(sorted(x), np.uint64))), frequency, 90, 100) for x in (a, b))
+        assert set(one.tolist()) & set(two.tolist())
+
+
+def test_frequencies_count_every_document(spark):
+    rows = [(i, f"same three words {i}") for i in range(300)]
+    table = jaccard.frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, "text")
+    common = jaccard.shingles("same three words", 3, jaccard.WordHashes())
+    assert table[jaccard.slots(common)[0]] == int(1024 * np.log2(301)) and (table > 0).sum() in range(250, 302)
 
 
 def test_bpe_equals_the_library(spark, docs, odd):
