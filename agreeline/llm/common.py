@@ -68,10 +68,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_rows(
-    df: DataFrame, columns: list[str], work: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema
+    df: DataFrame, columns: list[str], work: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema, piece: int | None = None
 ) -> DataFrame:
     """Arrow batches of ``columns`` through ``work``, which gets dictionaries of Python lists and
-    yields dictionaries of arrays or lists in the order of ``schema``."""
+    yields dictionaries of arrays or lists in the order of ``schema``. With ``piece``, ``work`` gets at
+    most so many rows at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -80,7 +81,8 @@ def map_rows(
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = ({c: b.column(i).to_pylist() for i, c in enumerate(columns)} for b in batches)
+        pieces = (b.slice(at, piece) for b in batches for at in range(0, b.num_rows, piece)) if piece else batches
+        given = ({c: b.column(i).to_pylist() for i, c in enumerate(columns)} for b in pieces)
         for out in work(given):
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out.values(), target, strict=True)],

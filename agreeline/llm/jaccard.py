@@ -13,6 +13,7 @@ block is a spanning forest of its links, so a group of copies never becomes all
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,6 +30,8 @@ from .common import bounded, cut, map_rows
 #: Documents of a block side; larger candidate groups become a grid of pairs of sides.
 SIDE = 2048
 KEPT_WORDS = 300_000
+#: Texts that a task holds at a time.
+PIECE = 500
 #: Counts of n-grams: slots of the table (8 MB when broadcast), slots of a row of it, and tasks whose
 #: rows are added up first.
 SLOTS, CHUNK, FAN_IN = 1 << 22, 1 << 16, 64
@@ -113,7 +116,7 @@ def frequencies(docs: DataFrame, n: int, text: str) -> np.ndarray:
         task = TaskContext.get().partitionId() // FAN_IN
         yield {"chunk": full, "tasks": [task] * len(full), "counts": [packed(counts[c * CHUNK : (c + 1) * CHUNK]) for c in full]}
 
-    rows = map_rows(docs, [text], count, "chunk int, tasks int, counts binary")
+    rows = map_rows(docs, [text], count, "chunk int, tasks int, counts binary", PIECE)
     for keys in (["chunk", "tasks"], ["chunk"]):
         rows = rows.groupBy(*keys).applyInArrow(added_up, "chunk int, counts binary")
     table = np.zeros(SLOTS, np.int64)
@@ -232,7 +235,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig.view(np.int64))),
             }
 
-    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>"))
+    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>", PIECE))
 
     # classes that share a signature, tied to the least class of that signature
     parts = known.filter("n_shingles > 0").select(F.explode("sigs").alias("sig"), "k1")
@@ -241,11 +244,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     near = connected(ties, "k1", "lead")
     near = near.union(near.select(F.col("label").alias("node"), "label").distinct())
 
-    # one document of each class to compare, with the class's group of candidates
-    reps = known.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(key).alias("rep"))
-    reps = cut(reps.filter(F.col("rep").isNotNull()).join(near, F.col("k1") == F.col("node")).select("rep", "k1", "k2", "label"))
-    sizes = reps.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("label").alias("l"), F.ceil(F.col("members") / SIDE).cast("int").alias("sides"))
-    reps = reps.join(sizes, F.col("label") == F.col("l")).select("rep", "k1", "label", "sides", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int").alias("side"))
+    # one document of each class to compare, with the class's group of candidates; a group of more
+    # than SIDE is split by sizes, each document among those of its size and those it can reach
+    reps = known.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(key).alias("rep"))
+    reps = cut(reps.filter(F.col("rep").isNotNull()).join(near, F.col("k1") == F.col("node")).select("rep", "k1", "label", "n_shingles"))
+    groups = reps.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumnRenamed("label", "l")
+    low, high = (F.floor(F.log(F.col("n_shingles") * r) / math.log(1.02 * den / num) + e).cast("int") for r, e in ((1, 0), (den / num, 1e-9)))
+    level = F.when(F.col("members") > SIDE, F.sequence(low, high)).otherwise(F.array(F.lit(0)))
+    reps = cut(reps.join(groups, F.col("label") == F.col("l")).select("rep", "k1", "label", F.explode(level).alias("level")))
+    sizes = reps.groupBy(F.col("label").alias("l"), F.col("level").alias("v")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    reps = reps.join(sizes, (F.col("label") == F.col("l")) & (F.col("level") == F.col("v"))).withColumn("sides", F.ceil(F.col("members") / SIDE).cast("int"))
+    place = F.struct("level", "sides", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int").alias("side"))
+    reps = reps.groupBy("rep", "k1", "label").agg(F.collect_list(place).alias("places"))  # two at most
     members = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(bounded(reps), "rep").filter(F.length("t") > 0)
 
     def sets_of(batches):
@@ -253,12 +263,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         for batch in batches:
             sets = [shingles(t, n, hashes) for t in batch["t"]]
             own = [i for i, s in enumerate(sets) if class_key(s) == batch["k1"][i]]  # a key may have other texts, too
-            yield {c: [batch[c][i] for i in own] for c in ("rep", "label", "sides", "side")} | {"grams": [sets[i].tobytes() for i in own]}
+            yield {c: [batch[c][i] for i in own] for c in ("rep", "label", "places")} | {"grams": [sets[i].tobytes() for i in own]}
 
-    rows = map_rows(members, ["rep", "k1", "label", "sides", "side", "t"], sets_of, f"rep {kind}, label long, sides int, side int, grams binary")
-    each = F.sequence(F.lit(0), F.col("sides") - 1)
-    rows = rows.withColumn("with", F.explode(each)).select(
-        "rep", "label", "grams", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), (F.col("side") <= F.col("with")).alias("left")
+    rows = map_rows(members, ["rep", "k1", "label", "places", "t"], sets_of, f"rep {kind}, label long, places array<struct<level: int, sides: int, side: int>>, grams binary", PIECE)
+    rows = rows.select("rep", "label", "grams", F.inline("places")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.select(
+        "rep", "label", "level", "grams", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), (F.col("side") <= F.col("with")).alias("left")
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -270,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         found = block_links([sets[r] for r in names[0]], None if one else [sets[r] for r in names[1]], num, den)
         return pa.table({"x": pa.array([flat[i] for i, _ in found], table.schema.field("rep").type), "y": pa.array([flat[j] for _, j in found], table.schema.field("rep").type)})
 
-    links = rows.groupBy("label", "a", "b").applyInArrow(compare, f"x {kind}, y {kind}")
+    links = rows.groupBy("label", "level", "a", "b").applyInArrow(compare, f"x {kind}, y {kind}")
     joined = connected(links, "x", "y")
 
     # back to all documents: key -> class -> representative -> component
