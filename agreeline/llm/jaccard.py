@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, map_rows
@@ -237,10 +237,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>", PIECE))
 
-    # classes that share a signature, tied to the least class of that signature
-    parts = known.filter("n_shingles > 0").select(F.explode("sigs").alias("sig"), "k1")
-    shared = parts.groupBy("sig").agg(F.min("k1").alias("lead"), F.max("k1").alias("most")).filter("lead < most").select("sig", "lead")
-    ties = parts.join(shared, "sig").filter("k1 <> lead").select("k1", "lead").distinct()
+    # classes that share a signature are tied to the least class of the signature and of nearly their
+    # size, and these in the order of sizes to one another; a gap of sizes that no link spans parts them
+    parts = known.filter("n_shingles > 0").select(F.explode("sigs").alias("sig"), "k1", F.col("n_shingles").alias("n"))
+    shared = parts.groupBy("sig").agg(F.min("k1").alias("lead"), F.max("k1").alias("most")).filter("lead < most").select("sig")
+    together = cut(parts.join(shared, "sig").withColumn("level", F.floor(F.log("n") / math.log(1.05)).cast("int")))
+    leads = together.groupBy("sig", "level").agg(F.min("k1").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"))
+    same = together.join(leads, ["sig", "level"]).select("k1", "lead")
+    by_size = Window.partitionBy("sig").orderBy("level")  # a few hundred levels of a signature at most
+    steps = leads.select(F.col("lead").alias("k1"), F.lag("lead").over(by_size).alias("lead"), "least", F.lag("most").over(by_size).alias("below"))
+    steps = steps.filter(F.col("least") * num <= F.col("below") * den).select("k1", "lead")
+    ties = same.union(steps).filter("k1 <> lead").distinct()
     near = connected(ties, "k1", "lead")
     near = near.union(near.select(F.col("label").alias("node"), "label").distinct())
 
