@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, map_rows
 
-#: Documents of a block side; larger candidate groups become a grid of pairs of sides.
-SIDE = 2048
+#: Documents and n-grams of a block side; larger candidate groups become a grid of pairs of sides.
+SIDE, SIDE_GRAMS = 2048, 1 << 20
 KEPT_WORDS = 300_000
 #: Texts that a task holds at a time.
 PIECE = 500
@@ -252,15 +252,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     near = near.union(near.select(F.col("label").alias("node"), "label").distinct())
 
     # one document of each class to compare, with the class's group of candidates; a group of more
-    # than SIDE is split by sizes, each document among those of its size and those it can reach
+    # than one side is split by sizes, each document among those of its size and those it can reach
     reps = known.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(key).alias("rep"))
     reps = cut(reps.filter(F.col("rep").isNotNull()).join(near, F.col("k1") == F.col("node")).select("rep", "k1", "label", "n_shingles"))
-    groups = reps.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumnRenamed("label", "l")
+    held = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n_shingles") / SIDE_GRAMS)).cast("int").alias("sides")
+    groups = reps.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("members"), held).filter("members > 1")
     low, high = (F.floor(F.log(F.col("n_shingles") * r) / math.log(1.02 * den / num) + e).cast("int") for r, e in ((1, 0), (den / num, 1e-9)))
-    level = F.when(F.col("members") > SIDE, F.sequence(low, high)).otherwise(F.array(F.lit(0)))
-    reps = cut(reps.join(groups, F.col("label") == F.col("l")).select("rep", "k1", "label", F.explode(level).alias("level")))
-    sizes = reps.groupBy(F.col("label").alias("l"), F.col("level").alias("v")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    reps = reps.join(sizes, (F.col("label") == F.col("l")) & (F.col("level") == F.col("v"))).withColumn("sides", F.ceil(F.col("members") / SIDE).cast("int"))
+    level = F.when(F.col("sides") > 1, F.sequence(low, high)).otherwise(F.array(F.lit(0)))
+    reps = cut(reps.join(groups, F.col("label") == F.col("l")).select("rep", "k1", "label", "n_shingles", F.explode(level).alias("level")))
+    sizes = reps.groupBy(F.col("label").alias("l"), F.col("level").alias("v")).agg(F.count(F.lit(1)).alias("members"), held).filter("members > 1")
+    reps = reps.join(sizes, (F.col("label") == F.col("l")) & (F.col("level") == F.col("v")))
     place = F.struct("level", "sides", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int").alias("side"))
     reps = reps.groupBy("rep", "k1", "label").agg(F.collect_list(place).alias("places"))  # two at most
     members = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(bounded(reps), "rep").filter(F.length("t") > 0)
