@@ -33,7 +33,8 @@ LEXICON_WORDS = 100_000
 LEXICON_BYTES = 64
 #: Words that a worker keeps with their ids, and words that a counting task keeps, at most.
 KEPT_WORDS = 200_000
-SLICE_CHARS = 4_000_000
+#: Characters that are encoded and decoded at a time; the arrays of a step take about 30 bytes for each.
+SLICE_CHARS = 500_000
 
 
 def byte_chars() -> dict[int, str]:
