@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -67,6 +68,14 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(path))
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system; workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux
+    if trim:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame, columns: list[str], work: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema, piece: int | None = None
 ) -> DataFrame:
@@ -88,6 +97,7 @@ def map_rows(
                 [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out.values(), target, strict=True)],
                 schema=target,
             )
+        give_back()
 
     return df.select(*columns).mapInArrow(run, kind)
 
