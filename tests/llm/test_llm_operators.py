@@ -66,9 +66,10 @@ def brute_components(rows, n, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("side", "n", "num"), [(2048, 3, 90), (3, 3, 90), (2048, 5, 80)])
-def test_jaccard_is_exact(spark, monkeypatch, side, n, num):
+@pytest.mark.parametrize(("side", "grams", "n", "num"), [(2048, 1 << 20, 3, 90), (3, 1 << 20, 3, 90), (2048, 200, 3, 90), (2048, 1 << 20, 5, 80)])
+def test_jaccard_is_exact(spark, monkeypatch, side, grams, n, num):
     monkeypatch.setattr(jaccard, "SIDE", side)
+    monkeypatch.setattr(jaccard, "SIDE_GRAMS", grams)
     rng, rows = random.Random(5), []
     for _ in range(120):
         base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 2, 3, 9, 12, 20, 30, 60, 150]))]
