@@ -29,12 +29,24 @@ SSN = (898, 99 * 9999)
 
 EDGE, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
-DATE = EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + END
+#: In ISO order only days that exist, since their dashes could be those of a card.
+LEAP = r"(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
+ISO = r"(?:(?:1[89]|2[01])[0-9]{2}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|" + LEAP + "-02-29)"
+DATE = EDGE + "(?:" + ISO + r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + END
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
-SOCIAL = EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END
-PHONE = r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4})" + END
+SOCIAL = EDGE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + END
+#: Card numbers as they are printed, in one piece or in like groups.
+PRINTED = r"[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}"
+NEAT = r"^(?:[0-9]{13,19}|" + PRINTED + ")(?![0-9])"
+NATIONAL = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+PHONE = r"(?<![0-9A-Za-z+])(?:" + NATIONAL + r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4})" + END
+#: A phone number that doesn't go on into groups printed like a card.
+ALONE = r"(?<![0-9A-Za-z+])(?:" + NATIONAL + r"|\+[0-9]{1,3}(?:(?![ .-]?(?:" + PRINTED + r")(?![0-9]))[ .-]?\(?[0-9]{2,4}\)?){2,4})" + END
 CARD = EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + END
-ANY = "|".join((EMAIL, DATE, IPV4, SOCIAL, CARD, PHONE))
+#: Digit groups, one blank or dash between them, of 13 digits or more; and what begins at each group.
+RUN = EDGE + r"\+?(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
+HEADS = r"(?<![0-9])(?=([0-9][0-9 -]{0,37}))"
+ANY = "|".join((EMAIL, DATE, IPV4, SOCIAL, ALONE))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -208,6 +220,73 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
     return out.otherwise(m)
 
 
+def part(kind: Column | None, value: Column) -> Column:
+    return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), value.alias("value"))
+
+
+def none_of(value: Column) -> Column:
+    """An empty array of parts."""
+    return F.filter(F.array(part(None, value)), lambda _: F.lit(False))
+
+
+def search(parts: Column, pattern: str, inside: Callable[[Column], Column]) -> Column:
+    """The parts of a text, where each one without a kind is searched: what matches becomes the parts
+    that ``inside`` makes of it, and a part without any find stays whole. Matches begin and end at
+    the borders of words, so those of a part are the same as those of the whole text."""
+
+    def one(s: Column) -> Column:
+        found = lambda hits: F.when(
+            F.exists(hits, lambda h: F.exists(h, lambda x: x["kind"].isNotNull())),
+            F.flatten(F.zip_with(F.split(s["value"], pattern, -1), hits, lambda p, h: F.concat(F.array(part(None, p)), F.coalesce(h, none_of(p))))),
+        ).otherwise(F.array(s))
+        hits = F.transform(F.regexp_extract_all(s["value"], F.lit(pattern), F.lit(0)), inside)
+        return F.when(s["kind"].isNull(), let(hits, found)).otherwise(F.array(s))
+
+    return F.flatten(F.transform(parts, one))
+
+
+def printed_card(head: Column) -> Column:
+    """The card number, printed as usual, with which a text begins; null if there is none."""
+    return let(F.regexp_extract(head, NEAT, 0), lambda m: F.when((m != "") & is_card(m), m))
+
+
+def any_card(head: Column) -> Column:
+    """The same with blanks and dashes anywhere; among several lengths the commoner ones first."""
+    one = lambda n: let(F.regexp_extract(head, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0), lambda m: F.when((m != "") & is_card(m), m))
+    return F.coalesce(*[one(n) for n in (16, 15, 14, 13, 19, 18, 17)])
+
+
+def cards(run: Column, begins: Callable[[Column], Column]) -> Column:
+    """The parts of a run of digit groups: every group is tried as a card's first one, from the left."""
+
+    def chosen(tried: Column, groups: Column) -> Column:  # groups have the signs before them
+        text = lambda start, end: F.array_join(F.slice(groups, start + 1, end - start), "")
+
+        def take(a: Column, x: Column) -> Column:
+            before = F.concat(text(a["free"], x["i"]), F.regexp_extract(groups[x["i"]], "^[ +-]*", 0))
+            return F.when(x["i"] < a["free"], a).otherwise(
+                F.struct((x["i"] + F.size(F.split(x["m"], "[ -]"))).alias("free"), F.concat(a["out"], F.array(part(None, before), part(F.lit("card"), x["m"]))).alias("out"))
+            )
+
+        start = F.struct(F.lit(0).alias("free"), none_of(run).alias("out"))
+        return F.aggregate(tried, start, take, lambda a: F.concat(a["out"], F.array(part(None, text(a["free"], F.size(groups))))))
+
+    heads = F.regexp_extract_all(run, F.lit(HEADS), F.lit(1))
+    tried = F.filter(F.transform(heads, lambda h, i: F.struct(i.alias("i"), begins(h).alias("m"))), lambda x: x["m"].isNotNull())
+    groups = F.regexp_extract_all(run, F.lit("[ -]?[+]?[0-9]+"), F.lit(0))
+    return let(tried, lambda t: F.when(F.size(t) > 0, let(groups, lambda g: chosen(t, g))).otherwise(F.array(part(None, run))))
+
+
+#: What has a form of its own comes first, then cards printed as usual, phone numbers that go on into
+#: such groups, and at last cards in any digit groups that are left, a whole run before what is inside it.
+SEARCHES = (
+    (ANY, lambda m: F.array(part(kind_of(m), m))),
+    (RUN, lambda m: cards(m, printed_card)),
+    (PHONE, lambda m: F.array(part(F.lit("phone"), m))),
+    (RUN, lambda m: F.when(is_card(m), F.array(part(F.lit("card"), m))).otherwise(cards(m, any_card))),
+)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with each valid number, date and address of the text replaced by its pseudonym.
 
@@ -218,13 +297,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     """
     col = F.col(f"`{text}`")
     # only texts with a digit or an @ are searched, once
-    hits = F.when(col.rlike("[0-9@]"), F.regexp_extract_all(col, F.lit(ANY), F.lit(0)))
-    one = lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("value"), pseudonym(key, k, m).alias("pseudonym")))
-    spans = F.when(F.size(hits) > 0, F.transform(hits, one))
-    out = docs.withColumn("__spans", spans)
-    pieces = F.split(col, ANY, -1)
-    after = F.concat(F.transform(F.col("__spans"), lambda s: s["pseudonym"]), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(pieces, after, lambda a, b: F.concat(a, b)), "")
+    one = lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(key, s["kind"], s["value"]).alias("pseudonym"))
+    out = docs.withColumn("__spans", F.when(col.rlike("[0-9@]"), F.array(part(None, col))))
+    for pattern, inside in SEARCHES:
+        out = out.withColumn("__spans", search(F.col("__spans"), pattern, inside))
+    out = out.withColumn("__spans", F.transform("__spans", one))
+    joined = F.array_join(F.transform(F.col("__spans"), lambda s: s["pseudonym"]), "")
     out = out.withColumn(text, F.when(F.col("__spans").isNull(), col).otherwise(joined))
     if found:
         valid = F.filter(F.col("__spans"), lambda s: s["kind"].isNotNull())

@@ -217,6 +217,26 @@ def test_pseudonyms(spark, odd):
     assert same.columns == odd.columns and same.exceptAll(odd).count() == 0 and pii.pseudonymise(empty(spark), "key").count() == 0
 
 
+def test_adjacent_numbers_are_found(spark):
+    card, other, phone, two, social, day = "4111 1111 1111 1111", "5500-0000-0000-0004", "555-123-4567", "555-987-6543", "123-45-6789", "2024-01-15"
+    cases = [
+        (f"{card} 123", [card]), (f"{card} 12/25", [card]), (f"no 7 {card}", [card]), (f"1234 {card}", [card]), (f"{phone} {two}", [phone, two]), (f"{phone} {social}", [phone, social]), (f"10423 {day}", [day]),
+        (f"{phone} {card} {social}", [phone, card, social]), (f"{card} {other} {day}", [card, other, day]), (f"{card} 10.0.0.1", [card, "10.0.0.1"]), (f"+44 20 7946 0958 {card}", ["+44 20 7946 0958", card]),
+        (f"7 41111 11111 111111 {day}", ["41111 11111 111111", day]), (f"x9 {card} 12b", [card]), ("4111111111111112 7", []), ("1 " * 9 + card, [card]), ("+49 301 234 5678", ["+49 301 234 5678"]), (f"2023-02-30 {other}", [other]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    new = {}
+    for r in pii.pseudonymise(df, "key", found="spans").orderBy("doc_id").collect():
+        text, want = cases[r.doc_id]
+        assert [s.value for s in r.spans] == want
+        for s in r.spans:
+            assert s.pseudonym != s.value and new.setdefault(s.value, s.pseudonym) == s.pseudonym
+            text = text.replace(s.value, s.pseudonym)
+        assert r.text == text
+    long = pii.pseudonymise(spark.createDataFrame([(1, f"{card} 77 " * 3000)], "doc_id long, text string"), "key", found="spans").first()
+    assert len(long.spans) >= 2900 and card not in long.text
+
+
 def test_feistel_is_a_permutation(spark):
     ids = spark.range(189 * 773).select(pii.feistel_pair("k", "t", F.floor(F.col("id") / 773), F.col("id") % 773, (189, 773)).alias("x"))
     assert ids.filter("x.l between 0 and 188 and x.r between 0 and 772").distinct().count() == 189 * 773
