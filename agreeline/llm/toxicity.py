@@ -29,6 +29,10 @@ STANDS_FOR = {
 #: Log probabilities of the channel: a sign for a letter, a sign that stays, a repeated letter that
 #: is left out, or that is meant.
 HIDDEN, STAYS, DROPPED, MEANT = math.log(0.3), math.log(0.02), math.log(0.5), math.log(0.05)
+#: And of a sign between letters that sets them apart, or that ends a word.
+GAP, BORDER = math.log(0.8), math.log(0.2)
+#: Characters that are decoded from each start of letters set apart.
+WINDOW = 80
 SYMBOLS = 61
 FEATURES = 1 << 20
 STARTS = (4, 5, 6, 7, 8)
@@ -36,10 +40,15 @@ KEPT_TOKENS = 300_000
 #: A feature needs this much evidence, in different contexts, to count.
 LEAST_CONTEXTS, LEAST_RATIO, LEAST_Z, LEAST_ODDS = 4, 0.5, 3.0, 2.0
 
-INNER = r"[ .\-_*~]"
-SPACED = re.compile(rf"(?<!\w)(?:[^\W_]{INNER}){{2,}}[^\W_](?!\w)")
-APART = re.compile(r"(?:[^\W_][.\-_*~]){2,}[^\W_]")
+INNER = r"[\s.\-_*~]"
+SET_APART = frozenset(" .-_*~")
+LETTER = r"[^\W_]|[@$!|+(€£]"
+#: Three single letters or more, or signs for them, set apart; the character before them comes along.
+SPACED = re.compile(rf"[\W_]((?:{LETTER})(?:{INNER}+(?:{LETTER})){{2,}})(?![^\W_])")
+SEPARATORS = re.compile(rf"{INNER}+")
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£]|[0-9@$!|+(€£][^\W\d_]|([^\W\d_])\1\1")
+TWICE = re.compile(r"([^\W_]|[@$!|+(€£])\1")
+EDGE_SIGNS = frozenset(c for c in STANDS_FOR if not c.isalnum())
 
 
 def symbol_table() -> np.ndarray:
@@ -95,37 +104,54 @@ class Decoder:
     """Restores one token at a time. States of the lattice are the last two symbols."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.table = model, Tables.get()
+        self.model, self.table, self.known = model.ravel().tolist(), Tables.get(), {}
 
-    def restore(self, token: str) -> str:
-        """The likeliest word behind a token of signs, letters and repeats."""
+    def symbol(self, c: str) -> int:
+        found = self.known.get(c)
+        if found is None:
+            found = self.known[c] = int(self.table[ord(c)])
+        return found
+
+    def restore(self, token: str, twice: bool = False, edges: bool = False) -> str:
+        """The likeliest words behind a token of signs, letters and repeats; with ``twice``, a letter
+        that stands twice may be meant once; with ``edges``, signs at the edges are letters. Signs that
+        set letters apart go, or end a word."""
         runs: list[list] = []
         for c in token:
             if runs and runs[-1][0] == c:
                 runs[-1][1] += 1
             else:
                 runs.append([c, 1])
+        model, symbol = self.model, self.symbol
+        inner = [i for i, (c, _) in enumerate(runs) if c.isalnum()] or [0]
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c, times in runs:
-            ways = [(c, 0.0 if c.isalpha() else STAYS)] + [(x, HIDDEN) for x in STANDS_FOR.get(c, "")]
-            options = []
-            for x, p in ways:
-                if times <= 2:
-                    options.append((x * times, p * times))
-                else:
-                    options += [(x, p + DROPPED), (x * 2, 2 * p + DROPPED), (x * times, times * p + MEANT)]
+        for i, (c, times) in enumerate(runs):
+            if c in SET_APART and 0 < i < len(runs) - 1:
+                options = [("", GAP), (" ", BORDER)]
+            else:
+                options = []
+                ways = [(x, HIDDEN) for x in STANDS_FOR.get(c, "")]
+                if not ways or not edges or inner[0] <= i <= inner[-1]:
+                    ways.append((c, 0.0 if c.isalpha() else STAYS))
+                for x, p in ways:
+                    if times <= 2:
+                        options.append((x * times, p * times))
+                        if twice and times == 2:
+                            options.append((x, p + DROPPED))
+                    else:
+                        options += [(x, p + DROPPED), (x * 2, 2 * p + DROPPED), (x * times, times * p + MEANT)]
+            spelled = [(piece, [symbol(x) for x in piece], p) for piece, p in options]
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, out) in states.items():
-                for piece, p in options:
+                for piece, symbols, p in spelled:
                     u, v, s = a, b, score + p
-                    for x in piece:
-                        w = int(self.table[ord(x)])
-                        s += float(self.model[u, v, w])
+                    for w in symbols:
+                        s += model[(u * SYMBOLS + v) * SYMBOLS + w]
                         u, v = v, w
                     if (u, v) not in new or new[u, v][0] < s:
                         new[u, v] = (s, out + piece)
             states = new
-        best = max(states.items(), key=lambda x: x[1][0] + float(self.model[x[0][0], x[0][1], 0]))
+        best = max(states.items(), key=lambda x: x[1][0] + model[(x[0][0] * SYMBOLS + x[0][1]) * SYMBOLS])
         return best[1][1]
 
 
@@ -139,26 +165,42 @@ def bare(token: str) -> str:
     return token[start:end]
 
 
+def restored(word: str, decoder: Decoder, edges: bool = False) -> list[str]:
+    """What a word without separators is restored to."""
+    return [decoder.restore(word, False, edges)] if SUSPECT.search(word) else []
+
+
 def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
-    """The words that a token is taken for: its plain spelling, the restored one, and for letters
-    set apart the joined and restored one."""
+    """The words that a token is taken for: its plain spelling, the restored ones, with the signs at
+    its edges as letters and without, and where letters are set apart, what they make when joined
+    from each start, and the first word there."""
     word = bare(token)
-    if not word:
-        return ()
+    wide: list[str] = []
     if word.isalpha() and not SUSPECT.search(word):
         return (word,)
-    if APART.fullmatch(word):
-        word = re.sub(INNER, "", word)
-    if SUSPECT.search(word) and any(c.isalpha() for c in word):
-        return tuple(dict.fromkeys((word, decoder.restore(word))))
-    return (word,)
+    out = [word] if word else []
+    for w in (word, *wide):
+        if not any(c.isalpha() for c in w):
+            continue
+        if SEPARATORS.search(w):
+            for start in (0, *(m.end() for m in SEPARATORS.finditer(w))):
+                rest = w[start : start + WINDOW]
+                first = decoder.restore(SEPARATORS.sub(lambda m: m[0][0], rest), False, w != word).split()[:1]
+                for x in dict.fromkeys((SEPARATORS.sub("", rest), *first)):
+                    out += [x, *restored(x, decoder)]
+        else:
+            out += restored(w, decoder, w != word)
+    return tuple(dict.fromkeys(out))
+
+
+def set_apart(text: str) -> set[str]:
+    """Runs of single letters set apart, with one blank between them."""
+    return {" ".join(SEPARATORS.split(m)) for m in SPACED.findall(f" {text}")}
 
 
 def hidden_words(text: str, tokens: set[str]) -> list[str]:
-    """Tokens of single letters set apart by blanks, joined; looked for if there are three such letters."""
-    if sum(len(t) == 1 for t in tokens) < 3:
-        return []
-    return [re.sub(INNER, "", m) for m in SPACED.findall(text)]
+    """Runs of single letters set apart, joined."""
+    return [m.replace(" ", "") for m in sorted(set_apart(text))] if tokens else []
 
 
 def feature(kind: str, word: str) -> int:
@@ -188,7 +230,7 @@ class Reader:
     def tokens(self, text: str) -> set[str]:
         low = text.lower()
         found = set(low.split())
-        return found.union(hidden_words(low, found)) if found else found
+        return found.union(set_apart(low)) if found else found
 
     def evidence(self, text: str | None) -> float:
         """The weights of the strongest feature of each different token, a feature counted once, added
@@ -251,7 +293,7 @@ def fit(docs: DataFrame, model: np.ndarray, text: str = "text", label: str = "la
                 for i, x in enumerate(found):
                     for f in reader.features(x):
                         seen.add((f, y, xxhash.xxh3_64_intdigest(" ".join(found[max(0, i - 2) : i]) + "|" + " ".join(found[i + 1 : i + 3])) >> 24))
-                for x in hidden_words(t.lower(), set(found)) if found else ():
+                for x in set_apart(t.lower()) if found else ():
                     for f in reader.features(x):
                         seen.add((f, y, xxhash.xxh3_64_intdigest(t) >> 24))
             if len(seen) > 200_000:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -287,6 +288,15 @@ def test_decoder_restores_words(docs):
     assert toxicity.hidden_words("you s t u p i d one", set("you s t u p i d one".split())) == ["stupid"]
 
 
+def test_letters_set_apart_are_decoded(docs):
+    reader = toxicity.Reader(toxicity.character_model(toxicity.trigram_counts(docs)))
+    cases = {"an a s s here": "ass", "so d i e.": "die", "(d i e)": "die", "you are a d u m b": "dumb", "i d i e": "die", "s  t\tu\np i d": "stupid", "fu.ck": "fuck", "st.u-pid": "stupid", "s t @ t e": "state"}
+    for text, word in cases.items():
+        assert word in {w for t in reader.tokens(text) for w in toxicity.readings(t, reader.decoder)}, text
+    assert toxicity.set_apart("a b cat, 1 or x y") == set()
+    assert reader.tokens("a b " * 20_000) and len(toxicity.readings("d u m b " * 500, reader.decoder)) > 1
+
+
 def test_toxicity_learns_words_and_survives_odd_rows(spark, odd):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["na", "te", "so", "ri", "mu", "le"]) for _ in range(rng.randint(1, 4)))
