@@ -154,6 +154,19 @@ class Decoder:
         best = max(states.items(), key=lambda x: x[1][0] + model[(x[0][0] * SYMBOLS + x[0][1]) * SYMBOLS])
         return best[1][1]
 
+    def once(self, word: str) -> str:
+        """The same as restore with ``twice`` for letters only, none more than twice in a row: whether
+        one goes depends on the letters beside it alone."""
+        model, symbol = self.model, self.symbol
+
+        def chosen(m: re.Match) -> str:
+            i, j = m.span()
+            a, x, c = symbol(word[i - 1]) if i else 0, symbol(word[i]), symbol(word[j]) if j < len(word) else 0
+            after = (a * SYMBOLS + x) * SYMBOLS
+            return word[i] if DROPPED + model[after + c] > model[after + x] + model[(x * SYMBOLS + x) * SYMBOLS + c] else m[0]
+
+        return TWICE.sub(chosen, word)
+
 
 def bare(token: str) -> str:
     """A token without the punctuation around it; signs that may hide a first letter stay."""
@@ -165,9 +178,26 @@ def bare(token: str) -> str:
     return token[start:end]
 
 
+def edged(token: str, word: str) -> list[str]:
+    """The bare word of a token with more and more of the signs at its edges that may hide a letter:
+    up to three different ones on each side."""
+    if not word:
+        return []
+    at = token.index(word)
+    starts, ends = [at], [at + len(word)]
+    while len(starts) < 4 and starts[-1] and token[starts[-1] - 1] in EDGE_SIGNS:
+        starts.append(starts[-1] - len(token[: starts[-1]]) + len(token[: starts[-1]].rstrip(token[starts[-1] - 1])))
+    while len(ends) < 4 and ends[-1] < len(token) and token[ends[-1]] in EDGE_SIGNS:
+        ends.append(len(token) - len(token[ends[-1] :].lstrip(token[ends[-1]])))
+    return [token[i:j] for i in starts for j in ends if (i, j) != (starts[0], ends[0])]
+
+
 def restored(word: str, decoder: Decoder, edges: bool = False) -> list[str]:
-    """What a word without separators is restored to."""
-    return [decoder.restore(word, False, edges)] if SUSPECT.search(word) else []
+    """What a word without separators is restored to, with letters that stand twice and without."""
+    if not edges and word.isalpha() and not SUSPECT.search(word):
+        return [decoder.once(word)] if TWICE.search(word) else []
+    out = [decoder.restore(word, False, edges)] if edges or SUSPECT.search(word) else []
+    return [*out, decoder.restore(word, True, edges)] if TWICE.search(word) else out
 
 
 def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
@@ -175,8 +205,8 @@ def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
     its edges as letters and without, and where letters are set apart, what they make when joined
     from each start, and the first word there."""
     word = bare(token)
-    wide: list[str] = []
-    if word.isalpha() and not SUSPECT.search(word):
+    wide = edged(token, word)
+    if not wide and word.isalpha() and not TWICE.search(word):
         return (word,)
     out = [word] if word else []
     for w in (word, *wide):

@@ -297,6 +297,17 @@ def test_letters_set_apart_are_decoded(docs):
     assert reader.tokens("a b " * 20_000) and len(toxicity.readings("d u m b " * 500, reader.decoder)) > 1
 
 
+def test_edge_signs_and_letters_twice_are_decoded(docs):
+    decoder = toxicity.Decoder(toxicity.character_model(toxicity.trigram_counts(docs)))
+    for hidden, word in {"a$$": "ass", "!nto": "into", "|ater": "later", "(ome,": "come", "stuupid": "stupid", "theere": "there", "thh3re": "there"}.items():
+        assert word in toxicity.readings(hidden, decoder), hidden
+    rng = random.Random(9)
+    for _ in range(500):
+        word = re.sub(r"(.)\1\1+", r"\1\1", "".join(rng.choice("etaosé") * rng.choice([1, 1, 2]) for _ in range(rng.randint(1, 8))))
+        assert decoder.once(word) == decoder.restore(word, True)
+    assert {"letter", "stop"} <= {w for t in ("letter", "stop!") for w in toxicity.readings(t, decoder)}
+
+
 def test_toxicity_learns_words_and_survives_odd_rows(spark, odd):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["na", "te", "so", "ri", "mu", "le"]) for _ in range(rng.randint(1, 4)))
