@@ -13,6 +13,8 @@ from .robust import total_order
 #: Cumulative probabilities of Poisson(1) for counts 0 to 8. Fixed values.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998980)
 LEAST_DRAWS = 1000
+#: A stratum of fewer clusters gives no reliable interval.
+LEAST_CLUSTERS = 10
 
 
 def seed_of(master: int, stratum: str) -> int:
@@ -37,16 +39,17 @@ def indexed(cells: DataFrame, stratum: str, key: str) -> DataFrame:
     return ranked.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_st"))).drop("_st")
 
 
-def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int) -> DataFrame:
+def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None) -> DataFrame:
     """(b, stratum, sums): in each of ``draws`` rounds as many clusters as the stratum has, drawn with
-    replacement by hash. Draws and clusters meet in a join on (stratum, index)."""
+    replacement by hash. Draws and clusters meet in a join on (stratum, index). With ``size``, a column
+    of that name has the stratum's number of clusters."""
     own = indexed(cells, stratum, key)
     sizes = own.select(F.col(stratum).alias("_s"), "_g").distinct()
     text = F.concat_ws(":", F.lit(seed).cast("string"), F.col("_s"), F.col("b").cast("string"), F.col("k").cast("string"))
     drawn = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
     drawn = drawn.select("b", "_s", F.pmod(hash52(text), F.col("_g")).alias("_j"))
     got = drawn.join(own, (F.col("_s") == F.col(stratum)) & (F.col("_j") == F.col("_i")))
-    return got.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums])
+    return got.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.max("_g").alias(size)] if size else []))
 
 
 def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int) -> DataFrame:
@@ -57,14 +60,17 @@ def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draw
     return rounds.withColumn("_w", weight).groupBy("b", stratum).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
 
 
-def interval(replicates: DataFrame, by: list[str], value: str, observed: Column | None = None) -> DataFrame:
-    """low and high (2.5 and 97.5 %), p two-sided, and p against the side of the observed value."""
+def interval(replicates: DataFrame, by: list[str], value: str, observed: Column | None = None, size: str | None = None) -> DataFrame:
+    """low and high (2.5 and 97.5 %), p two-sided, and p against the side of the observed value; with
+    ``size``, the least of that column, too."""
     v = F.col(value)
     aggs = [
         F.count(v).alias("n_rounds"), F.round(F.percentile(v, F.lit(0.025)), DIGITS).alias("low"), F.round(F.percentile(v, F.lit(0.975)), DIGITS).alias("high"),
         F.round(F.least(F.lit(1.0), 2 * F.least(F.avg((v > 0).cast("double")), F.avg((v < 0).cast("double")))), DIGITS).alias("p"),
         F.round(F.least(F.lit(1.0), 2 * F.least(F.avg((v <= 0).cast("double")), F.avg((v >= 0).cast("double")))), DIGITS).alias("p_opposite"),
     ]
+    if size:
+        aggs.append(F.min(size).alias(size))
     return replicates.groupBy(*by).agg(*aggs) if by else replicates.agg(*aggs)
 
 
@@ -76,5 +82,9 @@ def benjamini_hochberg(p_values: DataFrame, name: str, p: str, m: int) -> DataFr
     return ranked.withColumn("p_bh", F.round(F.least(F.lit(1.0), F.min("_x").over(down)), DIGITS)).drop("_r", "_x")
 
 
+def enough(n_clusters: Column) -> Column:
+    return F.coalesce(n_clusters >= LEAST_CLUSTERS, F.lit(False))
+
+
 def verdict(low: Column, high: Column, reliable: Column) -> Column:
     return F.when(~reliable | low.isNull(), "inconclusive").when(low > 0, "gap_above_0").when(high < 0, "gap_below_0").otherwise("consistent_with_0")

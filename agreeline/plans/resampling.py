@@ -42,12 +42,12 @@ GAP = "100 * (max(k) FILTER (period = 'pre') - max(k) FILTER (period = 'post'))"
 
 
 def _boot(spark, d):
-    return resample.bootstrap_sums(cells(spark, d), "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED)
+    return resample.bootstrap_sums(cells(spark, d), "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED, "n_clusters")
 
 
 def _gap_of(sums):
     at = lambda p: F.max(F.when(F.col("period") == p, F.try_divide(F.col("n_match").cast("double"), F.col("n_judgeable").cast("double"))))
-    return sums.groupBy("b").agg((100 * (at("pre") - at("post"))).alias("gap"))
+    return sums.groupBy("b").agg((100 * (at("pre") - at("post"))).alias("gap"), F.min("n_clusters").alias("n_clusters"))
 
 
 @query(f"WITH {BOOT_SQL} SELECT b::INT AS b, period, n_judgeable, n_match FROM bs")
@@ -58,8 +58,8 @@ def i03_bootstrap_sums(spark, d):
 @query(f"""WITH {BOOT_SQL}, gp AS (SELECT b, {GAP} AS gap FROM (SELECT b, period, n_match::DOUBLE / n_judgeable AS k FROM bs) GROUP BY b), iv AS ({_interval_sql("gap", "gp")})
 SELECT *, CASE WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict FROM iv""")
 def i04_i08_gap_interval(spark, d):
-    out = resample.interval(_gap_of(_boot(spark, d)), [], "gap")
-    return out.withColumn("verdict", resample.verdict(F.col("low"), F.col("high"), F.lit(True)))
+    out = resample.interval(_gap_of(_boot(spark, d)), [], "gap", size="n_clusters")
+    return out.withColumn("verdict", resample.verdict(F.col("low"), F.col("high"), resample.enough(F.col("n_clusters")))).drop("n_clusters")
 
 
 POISSON_SQL = " + ".join(f"(h >= {p!r}::DOUBLE)::INT" for p in resample.POISSON)
@@ -125,14 +125,15 @@ def i12_reader_gap_bootstrap(spark, d):
     r = readers(spark, d).filter(rd.differs(["a", "b", "c"]))
     names = {"a": "m_a", "b": "m_b", "c": "m_c", "base": "m_base"}
     k = r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]).withColumn("stratum", F.lit("all"))
-    sums = resample.bootstrap_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED)
+    sums = resample.bootstrap_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, "n_clusters")
     gap = lambda m: F.struct(F.lit(m[2:]).alias("reader"), (1000 * F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("n").cast("double"))).alias("gap"), F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("m_base").cast("double")).alias("rel"))
-    long = sums.select(F.explode(F.array(*[gap(m) for m in ("m_a", "m_b", "m_c")])).alias("x")).select("x.*")
-    out = resample.interval(long, ["reader"], "gap")
+    long = sums.select("n_clusters", F.explode(F.array(*[gap(m) for m in ("m_a", "m_b", "m_c")])).alias("x")).select("n_clusters", "x.*")
+    out = resample.interval(long, ["reader"], "gap", size="n_clusters")
     rel = resample.interval(long, ["reader"], "rel").select(F.col("reader").alias("r"), F.col("low").alias("rel_low"), F.col("high").alias("rel_high"), F.col("n_rounds").alias("n_comparable"))
     out = out.join(rel, F.col("reader") == F.col("r")).drop("r")
-    one, two = resample.verdict(F.col("low"), F.col("high"), F.lit(True)), resample.verdict(F.col("rel_low"), F.col("rel_high"), F.lit(True))
-    return out.withColumn("verdict", one).withColumn("conclusion_flip", one != two)
+    sure = resample.enough(F.col("n_clusters"))
+    one, two = resample.verdict(F.col("low"), F.col("high"), sure), resample.verdict(F.col("rel_low"), F.col("rel_high"), sure)
+    return out.withColumn("verdict", one).withColumn("conclusion_flip", one != two).drop("n_clusters")
 
 
 ORACLES["i12_reader_gap_bootstrap"] = f"""WITH {READERS_SQL}, k AS (SELECT cluster, 'all' AS stratum, count(*) AS n, sum((a = target)::INT)::BIGINT AS m_a, sum((b = target)::INT)::BIGINT AS m_b, sum((c = target)::INT)::BIGINT AS m_c, sum((base = target)::INT)::BIGINT AS m_base FROM rd WHERE {MAIN} GROUP BY cluster),

@@ -1,10 +1,13 @@
 """Operators on hand-made frames: nulls, ties, empty groups, unassigned rows, and mutants."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from agreeline.functions import textscore
 from agreeline.operators import catalog, decompose, frame, labels, measures, predict, readers, relations, resample, robust
+from agreeline.plans import bindings, resampling
 from agreeline.sources import tables
 
 
@@ -79,6 +82,18 @@ def test_bootstrap_draws_whole_clusters(spark):
     assert len({r.k for r in got if r.s == "s"}) > 5
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_small_strata_are_inconclusive(spark, monkeypatch):
+    data, load = "/root/testdata/sf0.001", tables.load
+    few = spark.read.parquet(f"{data}/customer.parquet").orderBy("c_custkey").limit(9)
+    monkeypatch.setattr(bindings, "load", lambda s, d, t, *a: few if t == "customer" else load(s, d, t, *a))
+    assert resampling.i04_i08_gap_interval(spark, data).first().verdict == "inconclusive"
+    assert {r.verdict for r in resampling.i12_reader_gap_bootstrap(spark, data).collect()} == {"inconclusive"}
+    ten = spark.read.parquet(f"{data}/customer.parquet").orderBy("c_custkey").limit(10)
+    monkeypatch.setattr(bindings, "load", lambda s, d, t, *a: ten if t == "customer" else load(s, d, t, *a))
+    assert resampling.i04_i08_gap_interval(spark, data).first().verdict != "inconclusive"
+
+
 def test_benjamini_hochberg(spark):
     p = [("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5)]
     got = dict((r.name, r.p_bh) for r in resample.benjamini_hochberg(spark.createDataFrame(p, "name string, p double"), "name", "p", 4).collect())
