@@ -9,6 +9,12 @@ first n-grams form blocks; for each block the product of the document by n-gram
 with its transpose is accumulated row by row, only over documents whose sizes can reach the
 threshold, and pairs below the overlap that their sizes ask for are discarded. What is left of a
 block is a spanning forest of its links, so a group of copies never becomes all of its pairs.
+
+Long sets have many first n-grams and would meet by chance. Their n-grams are dealt by hash into
+more parts than two sets over the threshold can differ in, so such sets are equal on some parts,
+and the whole content of a part takes the place of a single n-gram: of all parts the rarest come
+first, as many as the bound asks for. A part of a long set holds several n-grams, which unrelated
+documents do not share by chance, however many there are.
 """
 
 from __future__ import annotations
@@ -35,6 +41,9 @@ PIECE = 500
 #: Counts of n-grams: slots of the table (8 MB when broadcast), slots of a row of it, and tasks whose
 #: rows are added up first.
 SLOTS, CHUNK, FAN_IN = 1 << 22, 1 << 16, 64
+#: Sets of this many n-grams and more meet by parts. Ways to deal n-grams into parts, tried in turn by
+#: sets to which a way leaves more empty parts than they may leave out.
+LONG, WAYS = 1024, 4
 U = np.uint64
 
 
@@ -129,16 +138,67 @@ def slots(grams: np.ndarray) -> np.ndarray:
     return (mix(grams) & U(SLOTS - 1)).astype(np.int64)
 
 
-def signatures(grams: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarray:
+def first_grams(spread: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first elements of a set, rare ones first: sets over the threshold share one. An element
     is its place in the order, 16 bits of frequency before 48 of its hash; equal places are shared
     whichever element has them, so no pair is lost to them."""
+    place = frequency << U(48) | spread >> U(16)
+    k = len(spread) + (-num * len(spread)) // den + 1
+    return np.partition(place, k - 1)[:k]
+
+
+def long_levels(size: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(number, largest size) of the levels of sizes, from LONG on, in which the smaller set of a pair
+    with a set of ``size`` can lie. A level ends where a set of its first size has no partner any more."""
+    out, first, at = [], LONG, 0
+    while first <= size:
+        last = first * den // num
+        if last * den >= size * num:
+            out.append((at, last))
+        first, at = last + 1, at + 1
+    return out
+
+
+def first_parts(spread: np.ndarray, frequency: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The first parts of a long set for each level of sizes: long sets over the threshold share one.
+
+    Sets that differ in at most ``differ`` elements are equal on all parts but so many. Of ``differ``
+    + 1 + ``spare`` parts, they share ``spare`` + 1, so the first ``differ`` + 1 of each, in one order
+    of all parts and contents, have one in common. Empty parts come last and are never given: a set
+    with no more of them than ``spare`` doesn't need them, and two sets that both have more meet
+    by the next way to deal the parts. After all ways, their empty parts count, too.
+    """
+    out = []
+    for level, largest in long_levels(len(spread), num, den):
+        differ = largest * (den - num) // num
+        parts = differ + 2 + differ // 12
+        for way in range(WAYS):
+            salt = mix(np.array([level * WAYS + way + 1], U))
+            dealt = mix(spread ^ salt)
+            part = (dealt % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            named, starts = np.unique(part[order], return_index=True)
+            content = np.add.reduceat(mix(dealt[order] + salt), starts)
+            rarest = np.minimum.reduceat(frequency[order], starts)
+            place = rarest << U(48) | mix(content ^ mix(named.astype(U) + salt)) >> U(16)
+            out.append(place if len(place) <= differ + 1 else np.partition(place, differ)[: differ + 1])
+            if len(place) > differ:
+                break
+        else:
+            empty = np.setdiff1d(np.arange(parts), named)
+            out.append(mix(empty.astype(U) + salt) >> U(16) | U(0xFFFF) << U(48))
+    return out
+
+
+def signatures(grams: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarray:
+    """What a set may share with others: all sets over the threshold share a signature. Pairs of
+    which the smaller set is long meet by parts, others by their first n-grams."""
     if not len(grams):
         return grams
     spread = mix(grams)
-    place = frequency[(spread & U(SLOTS - 1)).astype(np.int64)].astype(U) << U(48) | spread >> U(16)
-    k = len(grams) + (-num * len(grams)) // den + 1
-    return np.partition(place, k - 1)[:k]
+    often = frequency[(spread & U(SLOTS - 1)).astype(np.int64)].astype(U)
+    short = num * len(grams) < den * LONG
+    return np.concatenate([*([first_grams(spread, often, num, den)] if short else []), *(first_parts(spread, often, num, den) if len(grams) >= LONG else [])])
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -205,8 +265,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     * A null text or one without words has no shingles (n_shingles 0) and is linked with nothing.
     * A text of fewer than n words is one shingle, its whole sequence of words.
     * component_id is the least key of the component, the row's own if it has no link. Rows with
-      equal keys are kept each; a null key stays null and never names a component of others.
-    * Equal sets are one class from the start, so copies of any number cost one comparison.
+      equal keys are kept each, and each of their texts has its own links; a null key stays null,
+      never names a component of others, and a text that only such rows have links nothing.
+    * Equal sets are one class from the start, so copies of any number cost one comparison. Sets are
+      of 64-bit hashes: the result is exact but for their collisions.
     * Whole texts count, and other columns are ignored. An empty table gives an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -264,43 +326,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reps = reps.join(sizes, (F.col("label") == F.col("l")) & (F.col("level") == F.col("v")))
     place = F.struct("level", "sides", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int").alias("side"))
     reps = reps.groupBy("rep", "k1", "label").agg(F.collect_list(place).alias("places"))  # two at most
-    members = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(bounded(reps), "rep").filter(F.length("t") > 0)
+    members = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(bounded(cut(reps)), "rep").filter(F.length("t") > 0)
 
     def sets_of(batches):
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(t, n, hashes) for t in batch["t"]]
             own = [i for i, s in enumerate(sets) if class_key(s) == batch["k1"][i]]  # a key may have other texts, too
-            yield {c: [batch[c][i] for i in own] for c in ("rep", "label", "places")} | {"grams": [sets[i].tobytes() for i in own]}
+            yield {c: [batch[c][i] for i in own] for c in ("k1", "label", "places")} | {"grams": [sets[i].tobytes() for i in own]}
 
-    rows = map_rows(members, ["rep", "k1", "label", "places", "t"], sets_of, f"rep {kind}, label long, places array<struct<level: int, sides: int, side: int>>, grams binary", PIECE)
-    rows = rows.select("rep", "label", "grams", F.inline("places")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = map_rows(members, ["rep", "k1", "label", "places", "t"], sets_of, "k1 long, label long, places array<struct<level: int, sides: int, side: int>>, grams binary", PIECE)
+    rows = rows.select("k1", "label", "grams", F.inline("places")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     rows = rows.select(
-        "rep", "label", "level", "grams", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), (F.col("side") <= F.col("with")).alias("left")
+        "k1", "label", "level", "grams", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), (F.col("side") <= F.col("with")).alias("left")
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, left = table.column("rep").to_pylist(), table.column("left").to_pylist()
-        sets = {r: np.frombuffer(g, U) for r, g in zip(rep, table.column("grams").to_pylist(), strict=True)}
+        name, left = table.column("k1").to_pylist(), table.column("left").to_pylist()
+        sets = {r: np.frombuffer(g, U) for r, g in zip(name, table.column("grams").to_pylist(), strict=True)}
         one = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        names = [sorted({r for r, ok in zip(rep, left, strict=True) if ok == want}) for want in ((True, False) if not one else (True,))]
+        names = [sorted({r for r, ok in zip(name, left, strict=True) if ok == want}) for want in ((True, False) if not one else (True,))]
         flat = [*chain.from_iterable(names)]
         found = block_links([sets[r] for r in names[0]], None if one else [sets[r] for r in names[1]], num, den)
-        return pa.table({"x": pa.array([flat[i] for i, _ in found], table.schema.field("rep").type), "y": pa.array([flat[j] for _, j in found], table.schema.field("rep").type)})
+        return pa.table({"x": pa.array([flat[i] for i, _ in found], pa.int64()), "y": pa.array([flat[j] for _, j in found], pa.int64())})
 
-    links = rows.groupBy("label", "level", "a", "b").applyInArrow(compare, f"x {kind}, y {kind}")
+    links = rows.groupBy("label", "level", "a", "b").applyInArrow(compare, "x long, y long")
     joined = connected(links, "x", "y")
 
-    # back to all documents: key -> class -> representative -> component
+    # back to all documents: class -> component -> its least key
     classes = known.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(key).alias("rep"))
-    classes = classes.join(bounded(joined), F.col("rep") == F.col("node"), "left").select(
-        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "rep").alias("component")
-    )
+    classes = cut(classes.join(bounded(joined), F.col("k1") == F.col("node"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "label"))
+    linked = classes.select(F.coalesce("label", "c1").alias("l"), "rep").groupBy("l").agg(F.min("rep").alias("component"))
+    classes = classes.join(linked, F.coalesce("label", "c1") == F.col("l")).select("c1", "c2", "component")
     out = known.select(key, "n_shingles", "k1", "k2").join(classes, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
-    return out.select(key, "n_shingles", F.coalesce("component", F.col(key)).alias("component_id"))
-
-
-def keep_first(docs: DataFrame, components: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key names their component: one of each group, and all unlinked."""
-    kept = components.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component", F.col(key))).alias("component_id"))

@@ -67,10 +67,11 @@ def brute_components(rows, n, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("side", "grams", "n", "num"), [(2048, 1 << 20, 3, 90), (3, 1 << 20, 3, 90), (2048, 200, 3, 90), (2048, 1 << 20, 5, 80)])
-def test_jaccard_is_exact(spark, monkeypatch, side, grams, n, num):
+@pytest.mark.parametrize(("side", "grams", "n", "num", "long"), [(2048, 1 << 20, 3, 90, 1024), (3, 1 << 20, 3, 90, 16), (2048, 200, 3, 90, 32), (2048, 1 << 20, 5, 80, 10)])
+def test_jaccard_is_exact(spark, monkeypatch, side, grams, n, num, long):
     monkeypatch.setattr(jaccard, "SIDE", side)
     monkeypatch.setattr(jaccard, "SIDE_GRAMS", grams)
+    monkeypatch.setattr(jaccard, "LONG", long)
     rng, rows = random.Random(5), []
     for _ in range(120):
         base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 2, 3, 9, 12, 20, 30, 60, 150]))]
@@ -90,24 +91,44 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
-def test_first_elements_keep_every_pair_over_the_threshold():
+@pytest.mark.parametrize(("num", "long", "ways"), [(90, 1024, 4), (90, 20, 4), (80, 20, 4), (80, 5, 1), (90, 5, 2)])
+def test_signatures_keep_every_pair_over_the_threshold(monkeypatch, num, long, ways):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "WAYS", ways)
     rng = random.Random(3)
     frequency = np.random.default_rng(3).integers(0, 4, jaccard.SLOTS).astype(np.uint16)
     for _ in range(300):
         n = rng.randint(1, 200)
         a = set(rng.sample(range(10_000), n))
         b = set(a)
-        for _ in range(rng.randint(0, max(1, n // 9))):
+        for _ in range(rng.randint(0, max(1, n // (9 if num == 90 else 4)))):
             if rng.random() < 0.5 and b:
                 b.discard(rng.choice(sorted(b)))
             else:
                 b.add(rng.randrange(10_000))
-        if not b or 100 * len(a & b) < 90 * len(a | b):
+        if not b or 100 * len(a & b) < num * len(a | b):
             continue
-        one, two = (jaccard.signatures(np.unique(jaccard.mix(np.array(sorted(x), np.uint64))), frequency, 90, 100) for x in (a, b))
+        one, two = (jaccard.signatures(np.unique(jaccard.mix(np.array(sorted(x), np.uint64))), frequency, num, 100) for x in (a, b))
         assert set(one.tolist()) & set(two.tolist())
 
 
+def test_one_key_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " x"), (8, "c d e"), (None, a)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    assert got == Counter({(5, 5): 2, (6, 5): 1, (7, 5): 1, (8, 8): 1, (None, None): 1})
+
+
+def test_unrelated_long_texts_never_meet():
+    rng = np.random.default_rng(1)
+    frequency, seen = np.zeros(jaccard.SLOTS, np.uint16), set()
+    for _ in range(40):  # a third of each set comes from a pool that all of them share
+        grams = np.unique(jaccard.mix(np.concatenate([rng.integers(0, 50_000, 1500), rng.integers(0, 1 << 60, 3000)]).astype(np.uint64)))
+        sigs = set(jaccard.signatures(grams, frequency, 90, 100).tolist())
+        assert not sigs & seen
+        seen |= sigs
+
+
 def test_frequencies_count_every_document(spark):
     rows = [(i, f"same three words {i}") for i in range(300)]
     table = jaccard.frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, "text")
