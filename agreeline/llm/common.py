@@ -103,6 +103,19 @@ def map_rows(
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it has at most ``rows`` rows; larger ones
-    are joined by a shuffle, whose skewed keys adaptive execution splits."""
+    """``df``, written once, with a broadcast hint if a count shows that it has at most ``rows`` rows;
+    larger ones are joined by a shuffle, whose skewed keys adaptive execution splits."""
+    df = cut(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -301,51 +301,116 @@ def test_hypergeometric_probabilities(spark):
 
 
 def test_decoder_restores_words(docs):
-    model = toxicity.character_model(toxicity.trigram_counts(docs))
-    decoder = toxicity.Decoder(model)
-    for hidden, word in {"st@te": "state", "thhhere": "there", "s.h.a.t": "shat"}.items():
-        assert word in toxicity.readings(hidden, decoder)
-    assert toxicity.readings("plain,", decoder) == ("plain",) and toxicity.readings("...", decoder) == ()
-    assert toxicity.hidden_words("you s t u p i d one", set("you s t u p i d one".split())) == ["stupid"]
+    decoder = toxicity.Decoder(toxicity.character_model(toxicity.trigram_counts(docs)))
+    cases = {"st@te": "state", "thhhere": "there", "thh3re": "there", "s t @ t e": "state", "plain,": "plain", "...": "", "(th3re)": "there"}
+    assert {x: decoder.restore(x) for x in cases} == cases
+    assert decoder.restore("d.1." * 20_000)
+
+
+def readings_of(runs, edge):
+    """All readings of the runs with their log probabilities."""
+    out = [("", 0.0)]
+    for i, (c, n) in enumerate(runs):
+        out = [(a + b, p + q) for a, p in out for b, q in toxicity.options(c, n, edge(i))]
+    return out
+
+
+def test_viterbi_equals_all_readings(docs):
+    decoder = toxicity.Decoder(toxicity.character_model(toxicity.trigram_counts(docs)))
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({w: (3.0, -rng.random() * 9) for w in ("ai", "sea", "ease", "tea", "seat", "oil", "ss")})
 
+    def likely(text):
+        sym = [0, 0, *map(decoder.symbol, text), 0]
+        n = toxicity.SYMBOLS
+        return sum(decoder.model[(a * n + b) * n + c] for a, b, c in zip(sym, sym[1:], sym[2:], strict=False))
 
-def test_letters_set_apart_are_decoded(docs):
-    reader = toxicity.Reader(toxicity.character_model(toxicity.trigram_counts(docs)))
-    cases = {"an a s s here": "ass", "so d i e.": "die", "(d i e)": "die", "you are a d u m b": "dumb", "i d i e": "die", "s  t\tu\np i d": "stupid", "fu.ck": "fuck", "st.u-pid": "stupid", "s t @ t e": "state"}
+    for _ in range(300):
+        token = "".join(rng.choice("aesti1$@.3 o") * rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        runs = toxicity.runs_of(token)
+        inner = [i for i, (c, _) in enumerate(runs) if c.isalnum()] or [0]
+        best = max(p + likely(x) for x, p in readings_of(runs, lambda i: not inner[0] <= i <= inner[-1]))
+        assert decoder.best(runs)[0] == pytest.approx(best, abs=1e-4)
+        want = {}
+        for a in range(len(runs)):
+            for b in range(a + 1, len(runs) + 1):
+                if (a and runs[a - 1][0].isalnum()) or (b < len(runs) and runs[b][0].isalnum()) or runs[a][0] in toxicity.SET_APART:
+                    continue
+                for x, p in readings_of(runs[a:b], lambda i: False):
+                    for node, end in enumerate(lexicon.end):
+                        if node and end and end[0] == x:
+                            want[x, a, b] = max(want.get((x, a, b), -1e9), p + end[1])
+        got = lexicon.along(runs)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_learnt_words_are_restored(docs):
+    decoder = toxicity.Decoder(toxicity.character_model(toxicity.trigram_counts(docs)))
+    words = ["ass", "die", "dumb", "stupid", "fuck", "moron", "idiot", "cunt"]
+    lexicon = toxicity.Lexicon({w: (3.0, -8.0) for w in words})
+    restorer = toxicity.Restorer(np.array(decoder.model), lexicon)
+    cases = {
+        "an a s s here": "ass", "so d i e.": "die", "(d i e)": "die", "you are a d u m b": "dumb", "i d i e": "die", "s  t\tu\np i d": "stupid", "fu.ck": "fuck", "st.u-pid": "stupid", "st@te moron!": "moron",
+        "a$$": "ass", "!diot": "idiot", "(unt,": "cunt", "stuupid": "stupid", "m0r0000n": "moron", "you.idiot": "idiot", "1d1ot?": "idiot", "FUUUCK": "fuck",
+    }
     for text, word in cases.items():
-        assert word in {w for t in reader.tokens(text) for w in toxicity.readings(t, reader.decoder)}, text
+        assert word in {w for t in toxicity.tokens_of(text) for w in restorer.words(t)}, text
+    for text in ("class assist diet", "a b cat, 1 or x y", "plain, (words) and 3.14", "as 5", ""):
+        assert not {w for t in toxicity.tokens_of(text) for w in restorer.words(t)}, text
     assert toxicity.set_apart("a b cat, 1 or x y") == set()
-    assert reader.tokens("a b " * 20_000) and len(toxicity.readings("d u m b " * 500, reader.decoder)) > 1
+    assert restorer.evidence("a b " * 20_000 + "x" * 100_000 + " " + "d.u" * 50_000) == 0
 
 
-def test_edge_signs_and_letters_twice_are_decoded(docs):
-    decoder = toxicity.Decoder(toxicity.character_model(toxicity.trigram_counts(docs)))
-    for hidden, word in {"a$$": "ass", "!nto": "into", "|ater": "later", "(ome,": "come", "stuupid": "stupid", "theere": "there", "thh3re": "there"}.items():
-        assert word in toxicity.readings(hidden, decoder), hidden
-    rng = random.Random(9)
-    for _ in range(500):
-        word = re.sub(r"(.)\1\1+", r"\1\1", "".join(rng.choice("etaosé") * rng.choice([1, 1, 2]) for _ in range(rng.randint(1, 8))))
-        assert decoder.once(word) == decoder.restore(word, True)
-    assert {"letter", "stop"} <= {w for t in ("letter", "stop!") for w in toxicity.readings(t, decoder)}
+def hidden(word, rng):
+    """A spelling that hides a word: signs for letters, letters apart, or letters repeated."""
+    signs = {"o": "0", "i": "1!|", "e": "3", "a": "4@", "s": "5$", "t": "7+"}
+    how = rng.randrange(3)
+    if how == 0:
+        return "".join(rng.choice(signs[c]) if c in signs and rng.random() < 0.7 else c for c in word)
+    if how == 1:
+        return rng.choice(". -*").join(word)
+    at = rng.randrange(len(word))
+    return word[:at] + word[at] * rng.randint(3, 6) + word[at + 1 :]
 
 
-def test_toxicity_learns_words_and_survives_odd_rows(spark, odd):
+def test_toxicity_goes_through_the_channel_and_survives_odd_rows(spark, odd, monkeypatch):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["na", "te", "so", "ri", "mu", "le"]) for _ in range(rng.randint(1, 4)))
-    rows = []
-    for i in range(600):
+    bad, rows = ["idiot", "moron", "stupid", "asshole", "trash"], []
+    for i in range(800):
         w = [word() for _ in range(30)]
-        if i % 5 == 0:
-            w[rng.randrange(30)] = rng.choice(["idiot", "moron", "1diot", "m o r o n"])
+        if i % 5 == 0:  # plain in the rows that teach, hidden in the others
+            x = rng.choice(bad)
+            while i >= 500 and (new := hidden(x, rng)) in {x, ""}:
+                pass
+            w[rng.randrange(30)] = x if i < 500 else new
         rows.append((i, " ".join(w), int(i % 5 == 0)))
-    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    got = {r.doc_id: r.score for r in toxicity.score(df.drop("label"), df.filter("doc_id < 400")).collect()}
-    held = [(got[i], y) for i, _, y in rows if i >= 400]
-    assert sum((s >= 0.3) == bool(y) for s, y in held) >= 0.97 * len(held)
-    strange = {r.doc_id: r.score for r in toxicity.score(odd, df.filter("doc_id < 400")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+
+    def held():
+        got = {r.doc_id: r.score for r in toxicity.score(df, df, F.col("doc_id") < 500).collect()}
+        return np.mean([got[i] >= 0.3 for i, _, y in rows if i >= 500 and y]), np.mean([got[i] >= 0.3 for i, _, y in rows if i >= 500 and not y])
+
+    caught, wrong = held()
+    assert caught >= 0.95 and wrong <= 0.01
+    strange = {r.doc_id: r.score for r in toxicity.score(odd.withColumn("toxic", F.lit("x")), df.withColumn("k", F.lit(1)), F.lit(True)).collect()}
+    assert strange[1] == strange[2] == strange[None]
+    teaching = odd.select("doc_id", "text").union(df.select(F.col("doc_id") + 100, "text"))
+    strange = {r.doc_id: r.score for r in toxicity.score(teaching, df.withColumn("doc_id", F.col("doc_id") + 100)).collect()}
     assert strange[1] == strange[2] < 0.3 < strange[4]
-    unlearnt = toxicity.score(odd, df.limit(0)).collect()
-    assert len(unlearnt) == odd.count() and toxicity.score(empty(spark), df).count() == 0
+    assert len({r.score for r in toxicity.score(odd, df.limit(0)).collect()}) == 1 and toxicity.score(empty(spark), df).count() == 0
+
+
+def test_without_decoding_hidden_words_are_missed(docs):
+    rng = random.Random(7)
+    words = {"idiot": (3.0, -8.0), "moron": (3.0, -8.0), "stupid": (3.0, -8.0), "asshole": (3.0, -9.0), "trash": (3.0, -9.0)}
+    model = toxicity.character_model(toxicity.trigram_counts(docs))
+    texts = [f"well {hidden(rng.choice([*words]), rng)} said" for _ in range(400)]
+    with_it = toxicity.Restorer(model, toxicity.Lexicon(words))
+    assert np.mean([with_it.evidence(t) > 0 for t in texts]) >= 0.9
+    plain = toxicity.Restorer(model, toxicity.Lexicon(words))
+    plain.lexicon.along = lambda runs: {}
+    assert np.mean([plain.evidence(t) > 0 for t in texts]) <= 0.2
 
 
 def test_weak_labels(spark, odd):
