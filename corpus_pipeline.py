@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; all others stay, unlabelled and empty ones too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = toxicity.score(docs, toxicity.labelled_rows(docs, labels, F.lit(True)))
+    scores = toxicity.score(docs, labels)
     rejected = scores.filter(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_rejected")).distinct()
     return docs.join(bounded(rejected), F.col("doc_id") == F.col("_rejected"), "left_anti")
 
