@@ -17,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 #: Days of 400 years from 1800 on are 189 * 773.
 DAYS = (189, 773)
@@ -28,7 +30,12 @@ FIRST_DAY = "1800-01-01"
 SSN = (898, 99 * 9999)
 
 EDGE, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+#: The end of a mail address: a label of letters only. A candidate has such a label; its labels are
+#: taken by a possessive group, which Java's engine runs through in a loop, however many there are.
+LABEL_END = r"\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9.-]*?" + LABEL_END + r")[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: A candidate up to its last label of letters only.
+ADDRESS = r"^[^@]++@[A-Za-z0-9.-]+(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])"
 #: In ISO order only days that exist, since their dashes could be those of a card.
 LEAP = r"(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
 ISO = r"(?:(?:1[89]|2[01])[0-9]{2}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|" + LEAP + "-02-29)"
@@ -49,6 +56,12 @@ HEADS = r"(?<![0-9])(?=([0-9][0-9 -]{0,37}))"
 ANY = "|".join((EMAIL, DATE, IPV4, SOCIAL, ALONE))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms from the session's setting ``agreeline.pii.key``; where that is
+    unset, as in tests, a key that everyone knows."""
+    return spark.conf.get("agreeline.pii.key", "for tests only")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for each row."""
     return F.transform(F.array(value), body)[0]
@@ -201,7 +214,7 @@ def date(key: str, m: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """What a candidate is, null if it isn't valid."""
     return (
-        F.when(m.contains("@"), "email")
+        F.when(m.contains("@"), F.when(m.rlike(ADDRESS + "$"), "email"))
         .when(m.rlike(f"^(?:{DATE})$"), F.when(day_of(m).isNotNull(), "date"))
         .when(m.rlike(f"^(?:{IPV4})$"), F.when(is_ipv4(m), "ipv4"))
         .when(m.rlike(f"^(?:{SOCIAL})$"), F.when(is_social(m), "social"))
@@ -277,10 +290,17 @@ def cards(run: Column, begins: Callable[[Column], Column]) -> Column:
     return let(tried, lambda t: F.when(F.size(t) > 0, let(groups, lambda g: chosen(t, g))).otherwise(F.array(part(None, run))))
 
 
+def own_forms(m: Column) -> Column:
+    """The parts of a candidate with a form of its own: a mail address ends with its last label of
+    letters only, and what follows it is searched on."""
+    split = lambda e: F.when(e == "", F.array(part(None, m))).otherwise(F.array(part(F.lit("email"), e), part(None, F.substr(m, F.length(e) + 1))))
+    return F.when(m.contains("@"), let(F.regexp_extract(m, ADDRESS, 0), split)).otherwise(F.array(part(kind_of(m), m)))
+
+
 #: What has a form of its own comes first, then cards printed as usual, phone numbers that go on into
 #: such groups, and at last cards in any digit groups that are left, a whole run before what is inside it.
 SEARCHES = (
-    (ANY, lambda m: F.array(part(kind_of(m), m))),
+    (ANY, own_forms),
     (RUN, lambda m: cards(m, printed_card)),
     (PHONE, lambda m: F.array(part(F.lit("phone"), m))),
     (RUN, lambda m: F.when(is_card(m), F.array(part(F.lit("card"), m))).otherwise(cards(m, any_card))),
@@ -290,21 +310,22 @@ SEARCHES = (
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with each valid number, date and address of the text replaced by its pseudonym.
 
-    All other characters, and candidates that aren't valid, stay as they are; a null text stays
-    null and an empty one empty; other columns, whatever their names, and the rows' number and
-    repeats are kept. With ``found``, a column of that name lists kind, value and pseudonym in the
-    order of the text. Each row is worked on alone: nothing is shuffled, whatever the text's length.
+    ``key`` is the caller's secret: who has it can tell what a pseudonym stands for. All other
+    characters, and candidates that aren't valid, stay as they are; a null text stays null and an empty
+    one empty; other columns, whatever their names, and the rows' number and repeats are kept. With
+    ``found``, a column of that name lists kind, value and pseudonym in the order of the text. Each row
+    is worked on alone, whole whatever its length: nothing is shuffled, and no pattern recurs with it.
     """
-    col = F.col(f"`{text}`")
+    col, (_, spans) = F.col(f"`{text}`"), fresh(docs, found or "found", "spans")
     # only texts with a digit or an @ are searched, once
     one = lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(key, s["kind"], s["value"]).alias("pseudonym"))
-    out = docs.withColumn("__spans", F.when(col.rlike("[0-9@]"), F.array(part(None, col))))
+    out = docs.withColumn(spans, F.when(col.rlike("[0-9@]"), F.array(part(None, col))))
     for pattern, inside in SEARCHES:
-        out = out.withColumn("__spans", search(F.col("__spans"), pattern, inside))
-    out = out.withColumn("__spans", F.transform("__spans", one))
-    joined = F.array_join(F.transform(F.col("__spans"), lambda s: s["pseudonym"]), "")
-    out = out.withColumn(text, F.when(F.col("__spans").isNull(), col).otherwise(joined))
+        out = out.withColumn(spans, search(F.col(spans), pattern, inside))
+    out = out.withColumn(spans, F.transform(spans, one))
+    joined = F.array_join(F.transform(F.col(spans), lambda s: s["pseudonym"]), "")
+    out = out.withColumn(text, F.when(F.col(spans).isNull(), col).otherwise(joined))
     if found:
-        valid = F.filter(F.col("__spans"), lambda s: s["kind"].isNotNull())
+        valid = F.filter(F.col(spans), lambda s: s["kind"].isNotNull())
         out = out.withColumn(found, F.coalesce(valid, F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"), F.lit("").alias("pseudonym"))), lambda s: F.lit(False))))
-    return out.drop("__spans")
+    return out.drop(spans)

@@ -76,13 +76,9 @@ def op6_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Pseudonyms follow from this key; a real run passes its own secret.
-PII_KEY = "agreeline"
-
-
 @_query
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, found="found")
+    out = pii.pseudonymise(read(spark, sf_dir, "documents"), pii.session_key(spark), found="found")
     of_kind = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).alias(f"n_{k}")
     counts = [of_kind(k) for k in pii.KINDS]
     return out.select("doc_id", "text", *counts, F.transform("found", lambda s: s["pseudonym"]).alias("pseudonyms"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import base64
+import heapq
+import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +19,11 @@ from .common import cut, map_rows
 
 #: How a text falls into pieces before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PIECES = regex.compile(PATTERN)
+#: Pieces of more characters than this are merged here: the library's search for pieces and its merges
+#: take too long, or fail, on a million equal signs.
+LONG_PIECE = 2000
+LONG_RUN = re.compile(rf"\s{{{LONG_PIECE}}}|[^\s]{{{LONG_PIECE}}}")
 #: Lengths of a bucket; suffix sums run inside buckets and over the totals of buckets.
 BUCKET = 1024
 
@@ -26,13 +35,49 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of one piece: the pair of least rank, the leftmost first, is merged until none is left."""
+    n = len(piece)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    left = n
+    while heap:
+        _, i, middle, stop = heapq.heappop(heap)
+        if end[i] != middle or middle >= n or end[middle] != stop:
+            continue  # one of the two has been merged since
+        end[i], end[middle], after[i] = stop, 0, stop
+        left -= 1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, stop, end[stop]))
+        if (j := before[i]) >= 0 and (r := ranks.get(piece[j:stop])) is not None:
+            heapq.heappush(heap, (r, j, i, stop))
+    return left
+
+
+def count_tokens(text: str | None, coder: tiktoken.Encoding) -> int:
+    """Tokens of a whole text; null has none."""
+    if not text:
+        return 0
+    if not LONG_RUN.search(text):
+        return len(coder.encode_ordinary(text))
+    pieces = PIECES.findall(text)
+    long = [p for p in pieces if len(p) > LONG_PIECE]
+    # a piece falls into itself, so the short ones may be counted alone
+    each = Counter(p for p in pieces if len(p) <= LONG_PIECE)
+    return sum(n * len(coder.encode_ordinary(p)) for p, n in each.items()) + sum(merged(p.encode(), coder._mergeable_ranks) for p in long)
+
+
 def with_token_counts(docs: DataFrame, vocab_path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and n_tokens (long) of every row; null texts have 0 tokens."""
+    """``keep`` columns and n_tokens (long) of every row; null texts have 0 tokens. Whole texts of any
+    length are encoded; special tokens in a text are text."""
 
     def run(batches):
-        encode = encoding(vocab_path).encode_ordinary
+        coder = encoding(vocab_path)
         for batch in batches:
-            n = np.fromiter((len(encode(t)) if t else 0 for t in batch[text]), np.int64, len(batch[text]))
+            n = np.fromiter((count_tokens(t, coder) for t in batch[text]), np.int64, len(batch[text]))
             yield {c: batch[c] for c in keep} | {"n_tokens": pa.array(n)}
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

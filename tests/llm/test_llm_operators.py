@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels; odd inputs."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -174,6 +175,16 @@ def test_length_histogram(spark, odd):
     assert tokens.length_histogram(tokens.with_token_counts(empty(spark), RANKS, ["source"]), "source").count() == 0
 
 
+def test_long_runs_are_counted():
+    enc, rng = tokens.encoding(RANKS), random.Random(1)
+    for _ in range(100):
+        p = "".join(rng.choice("ab  \n\n\tée.!1") for _ in range(rng.randint(1, 400)))
+        assert sum(tokens.merged(x.encode(), enc._mergeable_ranks) for x in tokens.PIECES.findall(p)) == len(enc.encode_ordinary(p))
+    mixed = "  \n " * 1000 + " ab" + "c" * 3000 + " " * 2500
+    assert tokens.count_tokens(mixed, enc) == len(enc.encode_ordinary(mixed))
+    assert tokens.count_tokens("x <|endoftext|>" + " " * 5000, enc) == len(enc.encode_ordinary("x <|endoftext|>" + " " * 5000))
+
+
 def test_rules(spark, odd):
     assert quality_rules.repeated_words("a b c d e f a b c d e".split()) == 10 and quality_rules.repeated_words("a a a a a a".split()) == 6 and quality_rules.repeated_words("a b c d e".split()) == 0
     got = {r.doc_id: r for r in quality_rules.judge(odd).collect()}
@@ -259,6 +270,79 @@ def test_adjacent_numbers_are_found(spark):
     assert len(long.spans) >= 2900 and card not in long.text
 
 
+def turns(key, tag, left, right, sizes):
+    """The Feistel network over pairs, in Python."""
+    for turn in range(pii.ROUNDS):
+        h = int(hashlib.sha256(f"{key}|{tag}|{turn}|{right if turn % 2 == 0 else left}".encode()).hexdigest()[:12], 16)
+        left, right = ((left + h) % sizes[0], right) if turn % 2 == 0 else (left, (right + h) % sizes[1])
+    return left, right
+
+
+def plain_pseudonym(key, kind, v):
+    """What one value becomes, written apart from the operator."""
+    if kind == "date":
+        n = (datetime.date.fromisoformat(v) - datetime.date(1800, 1, 1)).days
+        a, b = turns(key, "date", n // 773, n % 773, (189, 773))
+        return (datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 773 + b)).isoformat()
+    if kind == "ipv4":
+        p = [*map(int, v.split("."))]
+        a, b = turns(key, "ipv4", p[0] * 256 + p[1], p[2] * 256 + p[3], (65536, 65536))
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "social":
+        areas = [x for x in range(1, 900) if x != 666]
+        p = [*map(int, v.split("-"))]
+        a, b = turns(key, "social", areas.index(p[0]), (p[1] - 1) * 9999 + p[2] - 1, (898, 99 * 9999))
+        return f"{areas[a]:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    digits = [int(c) for c in v if c.isdigit()][:-1]
+    half = len(digits) // 2
+    for turn in range(pii.ROUNDS):
+        side = digits[half:] if turn % 2 == 0 else digits[:half]
+        h = hashlib.sha256(f"{key}|card|{turn}|{','.join(map(str, side))}".encode()).hexdigest()
+        digits = [(d + int(h[4 * (i % 16) : 4 * (i % 16) + 4], 16)) % 10 if (i < half) == (turn % 2 == 0) else d for i, d in enumerate(digits)]
+    total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits)))
+    new = iter([*digits, -total % 10])
+    return "".join(str(next(new)) if c.isdigit() else c for c in v)
+
+
+def test_pseudonyms_equal_a_plain_program(spark):
+    rng, rows = random.Random(12), []
+
+    def value(kind):
+        if kind == "date":
+            return (datetime.date(1800, 1, 1) + datetime.timedelta(days=rng.randrange(189 * 773))).isoformat()
+        if kind == "ipv4":
+            return ".".join(str(rng.randrange(256)) for _ in range(4))
+        if kind == "social":
+            return f"{rng.choice([1, 77, 665, 667, 899]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"
+        d = [rng.randrange(10) for _ in range(15)]
+        d.append(-sum(x if i % 2 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10)
+        s = "".join(map(str, d))
+        return rng.choice([s, " ".join(s[i : i + 4] for i in (0, 4, 8, 12))])
+
+    filler = ["word", "(see", "x1", "3.14", "12,", "a@b", "99-1,", "end.", "mail@", "2020-13-45,", "1.2.3", "000-12-3456,"]
+    for i in range(150):
+        text, want, spans = "", "", []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.choice(["date", "ipv4", "social", "card"])
+            v, before = value(kind), " ".join(rng.choice(filler) for _ in range(rng.randint(1, 4))) + " or "
+            spans.append((kind, v, plain_pseudonym("k", kind, v)))
+            text, want = text + before + v + ", ", want + before + spans[-1][2] + ", "
+        rows.append((i, text, want, spans))
+    got = pii.pseudonymise(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), "k", found="spans").collect()
+    for r in got:
+        assert [tuple(s) for s in r.spans] == rows[r.doc_id][3] and r.text == rows[r.doc_id][2]
+
+
+def test_mail_addresses_end_with_letters(spark):
+    cases = {
+        "to x@a.com.": ["x@a.com"], "x@a.com1 y": [], "x@mail.com.1 y": ["x@mail.com"], "x@a..com": [], "x@10.0.0.1": ["10.0.0.1"], "a.b+c@d-e.co.uk!": ["a.b+c@d-e.co.uk"], "@a.com x@": [], "q@x.y.com-": [],
+        "x@mail.com.4111111111111111": ["x@mail.com", "4111111111111111"], "x@" + "a." * 100_000 + "com": ["x@" + "a." * 100_000 + "com"], "x@" + "a1." * 100_000: [], "x" * 300_000 + "@": [], "a@" * 100_000: [],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k", found="spans").orderBy("doc_id").collect():
+        assert [s.value for s in r.spans] == [*cases.values()][r.doc_id], r.doc_id
+
+
 def test_feistel_is_a_permutation(spark):
     ids = spark.range(189 * 773).select(pii.feistel_pair("k", "t", F.floor(F.col("id") / 773), F.col("id") % 773, (189, 773)).alias("x"))
     assert ids.filter("x.l between 0 and 188 and x.r between 0 and 772").distinct().count() == 189 * 773
@@ -446,6 +530,33 @@ def test_top_k_is_exact(spark, monkeypatch, block):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.fixture(scope="module")
+def very_long(spark):
+    """Long runs of one kind of sign, each of which some engine walks by recursion or in square time."""
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 1_000_000, "x@" + "a." * 200_000 + "com", "4111 " * 100_000, "1.2-" * 100_000, "a'" * 200_000, "$h1t" * 100_000, "d.i e " * 50_000, "l\n" * 200_000, "+1 555 " * 50_000]
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(4).cache()
+
+
+LABELS = [(0, 0), (1, 1), (5, 0), (7, 1)]
+EVERY = {
+    "tokens": lambda d, s: tokens.length_histogram(tokens.with_token_counts(d, RANKS, ["source"]), "source"),
+    "rules": lambda d, s: quality_rules.judge(d),
+    "language": lambda d, s: language.identify(d, d.limit(3)),
+    "bpe": lambda d, s: bpe.encode_decode(d, JSON).select("doc_id", "n_tokens"),
+    "jaccard": lambda d, s: jaccard.jaccard_components(d, 3, 90, 100),
+    "mixing": lambda d, s: mixing.draw(d, mixing.mix(d)),
+    "pii": lambda d, s: pii.pseudonymise(d, "k"),
+    "toxicity": lambda d, s: toxicity.score(d, s.createDataFrame(LABELS, "doc_id long, toxic int")),
+    "weak": lambda d, s: weak_quality.score(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(EVERY))
+def test_very_long_texts(spark, very_long, name):
+    out = EVERY[name](very_long, spark)
+    out.write.format("noop").mode("overwrite").save()
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
