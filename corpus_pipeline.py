@@ -15,7 +15,6 @@ from agreeline.llm.common import bounded, new_path
 
 #: Documents that score at least so much are rejected.
 TOXIC = 0.5
-PII_KEY = "corpus"
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -37,7 +36,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Valid personal numbers, dates and addresses become pseudonyms of their format."""
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
