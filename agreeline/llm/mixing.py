@@ -8,14 +8,20 @@ blocks, drawing how many of each source go left from the multivariate hypergeome
 source by source. The counts at the leaves are exact: they add up to each source's quota and differ
 by one block at most between shards. Each shard then takes the next blocks of each source, so
 shards share no block, and its documents are shuffled by hash within the shard.
+
+Rows are told apart by a hash of all that the mix reads and a turn among rows that are equal in it.
+Which of equal rows has which turn makes no difference, so turns are given out within the tasks that
+hold the rows, after an offset for each task; rows that are all alike meet nowhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, n_words
+from .common import bounded, cut, fresh, n_words
 
 #: Bits of the permutation: blocks use the leading ones, steps inside a block the next ones.
 BITS = 24
@@ -48,7 +54,7 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes:
     before, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     capped, used = F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     out = out.withColumn("level", (F.sum("source_size").over(whole) - capped) / (F.sum("weight").over(whole) - used))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"]
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("src").isNull().alias("null"), "src", "level"))).over(whole)["level"]
     return out.withColumn("target", F.least("cap", F.coalesce(first, F.col("ratio")) * F.col("weight"))).drop("cap", "ratio", "level")
 
 
@@ -57,31 +63,45 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / float(1 << 52)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` blocks out of ``total`` are among the ``marked``, for the uniform u.
 
-    The probabilities are walked from the mode to both sides as ratios, over all counts that can
-    occur or at least 14 standard deviations, and the count is where their running sum passes u.
+    The probabilities, as ratios to the mode's, are walked from the mode down to the least count that
+    can occur, or 14 standard deviations, for their sum, then up again to where the sum passes u.
     """
     low, high = F.greatest(F.lit(0), drawn + marked - total), F.least(marked, drawn)
     n, k, m = (x.cast("double") for x in (total, marked, drawn))
     spread = (14 * F.sqrt(F.greatest(F.lit(1.0), m * k / n * (1 - k / n))) + 4).cast("int")
     mode = F.least(high, F.greatest(low, F.floor((m + 1) * (k + 1) / (n + 2)).cast("int")))
-    start, end = F.greatest(low, mode - spread), F.least(high, mode + spread)
-    up = lambda x: (k - x) * (m - x) / ((x + 1) * (n - k - m + x + 1))  # noqa: E731  p(x + 1) / p(x)
-    first = F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("all"))
-    step = lambda ratio: lambda a, x: F.struct((a["p"] * ratio(x.cast("double"))).alias("p"), F.concat(a["all"], F.array(a["p"] * ratio(x.cast("double")))).alias("all"))
-    none = F.array().cast("array<int>")
-    above = F.aggregate(F.when(mode < end, F.sequence(mode, end - 1)).otherwise(none), first, step(up))["all"]
-    below = F.aggregate(F.when(mode > start, F.sequence(mode - 1, start, F.lit(-1))).otherwise(none), first, step(lambda x: 1 / up(x)))["all"]
-    p = F.concat(F.reverse(below), F.slice(above, F.lit(2), F.greatest(F.size(above) - 1, F.lit(0))))
-    sum_all = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    passed = F.aggregate(
-        p,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + F.when(a["sum"] + x <= u * sum_all, 1).otherwise(0)).alias("n")),
-    )["n"]
-    return F.when(total <= 0, 0).otherwise(F.least(end, start + passed)).cast("int")
+
+    def chosen(c: Column) -> Column:
+        mode, start, end = c["mode"], c["start"], c["end"]
+        up = lambda x: (k - x) * (m - x) / ((x + 1) * (n - k - m + x + 1))  # noqa: E731  p(x + 1) / p(x)
+        none = F.array().cast("array<int>")
+        walk = lambda over, ratio: F.aggregate(
+            over,
+            F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum")),
+            lambda a, x: (lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum")))(a["p"] * ratio(x.cast("double"))),
+        )
+        below = walk(F.when(mode > start, F.sequence(mode - 1, start, F.lit(-1))).otherwise(none), lambda x: 1 / up(x))
+        above = walk(F.when(mode < end, F.sequence(mode, end - 1)).otherwise(none), up)
+
+        def climb(b: Column) -> Column:
+            aim = u * (b["b"]["sum"] + 1 + b["a"])
+            step = lambda a, x: F.struct(
+                (a["p"] * up(x.cast("double"))).alias("p"), (a["sum"] + a["p"]).alias("sum"), (a["n"] + F.when(a["sum"] + a["p"] <= aim, 1).otherwise(0)).alias("n")
+            )
+            return F.aggregate(F.when(start < end, F.sequence(start, end - 1)).otherwise(none), F.struct(b["b"]["p"].alias("p"), F.lit(0.0).alias("sum"), F.lit(0).alias("n")), step)["n"]
+
+        return F.least(end, start + let(F.struct(below.alias("b"), above["sum"].alias("a")), climb))
+
+    bounds = F.struct(mode.alias("mode"), F.greatest(low, mode - spread).alias("start"), F.least(high, mode + spread).alias("end"))
+    return F.when(total <= 0, 0).otherwise(let(bounds, chosen)).cast("int")
 
 
 def splitting_tree(quotas: DataFrame, depth: int, seed: int = 17) -> DataFrame:
@@ -113,26 +133,46 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = 17) -> DataFrame:
     return leaf.withColumn("first", F.coalesce(F.sum("blocks").over(order), F.lit(0)))
 
 
+def identity(key: str, source: str, text: str, seed: int) -> Column:
+    """A hash of what the mix reads of a row."""
+    return F.xxhash64(F.lit(seed), F.col(key).isNull(), F.col(key), F.col(source).isNull(), F.col(source), F.col(text).isNull(), F.col(text))
+
+
+def with_turns(rows: DataFrame, row: str, turn: str) -> DataFrame:
+    """``rows``, which must be written already, with a number from 0 on among those of equal ``row``. Each
+    task numbers its own rows, from the number of those in the tasks before it."""
+    own, row2, own2, before = fresh(rows, "part", "row2", "part2", "before")
+    rows = rows.withColumn(own, F.spark_partition_id())
+    rows = cut(rows)
+    counts = rows.groupBy(F.col(row).alias(row2), F.col(own).alias(own2)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(row2).orderBy(own2).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(row2, own2, F.coalesce(earlier, F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(row, own).orderBy(row))
+    out = rows.withColumn(turn, place).join(counts, (F.col(row) == F.col(row2)) & (F.col(own) == F.col(own2)))
+    return out.withColumn(turn, (F.col(turn) - 1 + F.col(before)).cast("long")).drop(own, row2, own2, before)
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: float = 3.0, depth: int = 4, seed: int = 17,
     key: str = "doc_id", source: str = "source", text: str = "text",
 ) -> DataFrame:
-    """(key, src, size, source_size, target, copies, shards) of every row.
+    """(key, src, size, source_size, target, copies, shards, row, turn, equals) of every row.
 
-    * size: words of the whole text (null: 0). source_size, target: of its source.
+    * size: words of the whole text (null: 0), however long. source_size, target: of its source.
     * copies: how often the mix takes the document, at most ``passes`` rounded up and never more
       than passes times its words; shards: the output shard of each copy, in order.
+    * row, turn: which row it is, for ``draw``: equal rows (equals of them) have the turns from 0 on.
     * A null source is a source of its own. Sources without words have target 0 and no copies;
       a document without words is taken with its block and adds nothing.
-    * Rows that repeat, with equal or null keys, are rows of their own; ties of the permutation
-      are in the same step and are cut by size, then key. Reruns agree. An empty table gives none.
+    * Rows that repeat, or share a key or have none, are rows of their own, taken or left each by
+      itself. Reruns agree. An empty table gives none. Other columns, whatever their names, are ignored.
 
     Only numbers are shuffled. A source's documents meet nowhere: their words are added up by block
     and step, both of bounded number, and only the rows of the last step of a source are ranked.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("size")), F.lit(1 << BITS)).cast("int")
-    rows = docs.select(F.col(key), F.col(source).alias("src"), n_words(text).alias("size")).withColumn("at", part)
-    rows = cut(rows)
+    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("src"), n_words(text).alias("size"), identity(key, source, text, seed).alias("row"))
+    part = F.pmod(F.xxhash64(F.lit(seed), "row", "turn"), F.lit(1 << BITS)).cast("int")
+    rows = cut(with_turns(cut(rows), "row", "turn").withColumn("at", part))
     sources = rows.groupBy("src").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
     sources = water_fill(sources, weights, passes).withColumn("bits", bits_for(F.col("docs"), BLOCK_BITS))
     full = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target") / F.col("source_size"), 9))).otherwise(0).cast("int")
@@ -154,7 +194,7 @@ def mix(
 
     # inside that block: the steps that fit, then documents of the step it ends in
     ends = blocks.filter("part").select(F.col("src").alias("s"), F.col("block").alias("b"), "steps", "left")
-    inside = rows.select(key, "src", "block", "bits", "size", "at").join(bounded(ends), F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    inside = rows.select("row", "turn", "src", "block", "bits", "size", "at").join(bounded(ends), F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     low = F.col("at") - F.col("block") * F.pow(F.lit(2), BITS - F.col("bits"))
     inside = cut(inside.withColumn("step", (low / F.pow(F.lit(2), BITS - F.col("bits") - F.col("steps"))).cast("int")).drop("s", "b"))
     steps = inside.groupBy("src", "step", "left").agg(F.sum("size").alias("words"))
@@ -164,20 +204,20 @@ def mix(
     )
     inside = inside.join(bounded(steps), F.col("src").eqNullSafe(F.col("s")) & (F.col("step") == F.col("st"))).drop("s", "st")
     last = inside.filter(~F.col("fits") & (F.col("need") > 0)).withColumns({"taken": F.lit(False), "open": F.col("need")})
-    for turn in range(REFINE):
+    for again in range(REFINE):
         # of those not taken that still fit, the first ones by hash whose sum fits
         can = ~F.col("taken") & (F.col("size") <= F.col("open")) & (F.col("size") > 0)
-        order = Window.partitionBy("src").orderBy(F.when(can, 0).otherwise(1), F.xxhash64(F.lit(seed + turn), "at"), F.desc("size"), key)
+        order = Window.partitionBy("src").orderBy(F.when(can, 0).otherwise(1), F.xxhash64(F.lit(seed + again), "at"), F.desc("size"), "row", "turn")
         sums = F.sum(F.when(can, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
         last = last.withColumn("now", can & (sums <= F.col("open")))
         got = F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(Window.partitionBy("src"))
         last = last.withColumns({"open": F.col("open") - got, "taken": F.col("taken") | F.col("now")})
     # the one document that brings the sum nearer to the target than it is without it
     near = ~F.col("taken") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("open"))
-    order = Window.partitionBy("src").orderBy(F.when(near, F.abs(F.col("size") - F.col("open"))).otherwise(F.lit(float("inf"))), key)
+    order = Window.partitionBy("src").orderBy(F.when(near, F.abs(F.col("size") - F.col("open"))).otherwise(F.lit(float("inf"))), "at", "row", "turn")
     last = last.withColumn("taken", F.col("taken") | (near & (F.row_number().over(order) == 1)))
-    picked = inside.filter("fits").select(key, "src", "at", "size").union(last.filter("taken").select(key, "src", "at", "size"))
-    picked = picked.groupBy(F.col(key).alias("pk"), F.col("src").alias("ps"), F.col("at").alias("pa"), F.col("size").alias("pz")).agg(F.count(F.lit(1)).alias("picked"))
+    chosen = inside.filter("fits").select("row", "turn").union(last.filter("taken").select("row", "turn"))
+    picked = chosen.select(F.col("row").alias("pr"), F.col("turn").alias("pt"), F.lit(True).alias("picked"))
 
     # the quota of each source in blocks, dealt to shards by the tree
     each = F.col("full") + F.when(F.col("whole") | F.col("part"), 1).otherwise(0)
@@ -190,19 +230,33 @@ def mix(
     shard = lambda i: F.element_at(F.filter("deal", lambda d: (d["first"] <= i) & (i < d["first"] + d["blocks"])), 1)["shard"]
     blocks = blocks.select(F.col("src").alias("s"), F.col("block").alias("b"), "whole", "part", F.transform(number, shard).alias("deals"))
 
-    out = rows.join(blocks, F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    out = out.join(picked, F.col(key).eqNullSafe(F.col("pk")) & F.col("src").eqNullSafe(F.col("ps")) & (F.col("at") == F.col("pa")) & (F.col("size") == F.col("pz")), "left")
-    more = F.col("whole") | (F.col("part") & (F.coalesce(F.col("picked"), F.lit(0)) > 0))
+    out = rows.join(bounded(blocks), F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    out = out.join(bounded(picked), (F.col("row") == F.col("pr")) & (F.col("turn") == F.col("pt")), "left")
+    more = F.col("whole") | (F.col("part") & F.col("picked").isNotNull())
     out = out.withColumn("copies", F.col("full") + F.when(more, 1).otherwise(0))
-    return out.select(key, "src", "size", "source_size", "target", "copies", F.slice("deals", F.lit(1), F.col("copies")).alias("shards"))
+    several = bounded(rows.filter("turn > 0").groupBy(F.col("row").alias("er")).agg((F.max("turn") + 1).alias("equals")))
+    out = out.join(several, F.col("row") == F.col("er"), "left")
+    return out.select(
+        F.col("id").alias(key), "src", "size", "source_size", "target", "copies", F.slice("deals", F.lit(1), F.col("copies")).alias("shards"), "row", "turn", F.coalesce("equals", F.lit(1)).alias("equals")
+    )
 
 
-def draw(docs: DataFrame, plan: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mixed documents: each row as often as the plan takes it, shard by shard, in an order by
-    hash within the shard. The columns are those of ``docs``."""
+def draw(docs: DataFrame, plan: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mixed documents: each row of ``docs`` as often as its row of the plan says, shard by shard, in an
+    order by hash within the shard. The columns are those of ``docs``, whatever their names. ``plan`` is
+    what ``mix`` made of the same rows with the same seed; rows without copies don't appear."""
     names = docs.columns
-    plan = plan.filter("copies > 0").select(F.col(key).alias("_k"), F.col("shards").alias("_shards"))
-    plan = plan.groupBy("_k").agg(F.max("_shards").alias("_shards"))
-    out = docs.join(plan, F.col(key).eqNullSafe(F.col("_k"))).select(*names, F.posexplode("_shards").alias("_copy", "_shard"))
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key), "_copy"), F.lit(64))  # shards are dealt out in 64 parts each
-    return out.repartition("_shard", spread).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 1), F.col(key), "_copy")).select(*names)
+    row, turn, copy, shard, r, t, shards = fresh(docs, "row", "turn", "copy", "shard", "r", "t", "shards")
+    plan = cut(plan.filter("copies > 0").select(F.col("row").alias(r), F.col("turn").alias(t), "equals", F.col("shards").alias(shards)))
+    given = docs.withColumn(row, identity(key, source, text, seed))
+    same = F.col(row) == F.col(r)
+    out = given.join(bounded(plan.filter("equals = 1").select(r, shards)), same).drop(r)
+    # only rows that others equal need their turn
+    equal = plan.filter("equals > 1").drop("equals")
+    repeated = equal.select(r).distinct()
+    if not repeated.isEmpty():
+        again = with_turns(given.join(bounded(repeated), same, "left_semi"), row, turn)
+        out = out.unionByName(again.join(bounded(equal), same & (F.col(turn) == F.col(t))).drop(r, t, turn))
+    out = out.select(*[F.col(f"`{c}`") for c in names], row, F.posexplode(shards).alias(copy, shard))
+    spread = F.pmod(F.xxhash64(F.lit(seed), row, copy), F.lit(64))  # shards are dealt out in 64 parts each
+    return out.repartition(shard, spread).sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 1), row, copy)).select(*[F.col(f"`{c}`") for c in names])
