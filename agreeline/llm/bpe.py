@@ -2,8 +2,8 @@
 
 The frequent words of the whole corpus are compiled into a minimal acyclic transducer: words share
 their beginnings and their ends, and the numbers on the arcs of a word's path add up to its place
-in a table of token ids. The automaton is written once to the shared folder and memory-mapped by
-the workers; words that it lacks are merged pair by pair, by rank, as the vocabulary file says.
+in a table of token ids. The automaton is written once to the shared folder, fetched once by each
+executor and memory-mapped by its workers; words that it lacks are merged pair by pair, by rank, as the vocabulary file says.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, new_path
+from .common import cut, map_rows, share_file
 
 #: How a text falls into pieces before the merges, as the vocabulary file's pre-tokenizer has it.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -190,11 +191,10 @@ def words(text: str, vocab: Vocabulary) -> list[str]:
 class Lexicon:
     """A minimal acyclic transducer from words to rows of token ids, held in flat arrays."""
 
-    NAMES = ("first", "label", "target", "skip", "final", "offset", "ids")
+    NAMES = ("first", "keys", "target", "skip", "final", "offset", "ids")
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-        self.keys = np.repeat(np.arange(len(arrays["first"]) - 1, dtype=np.int64), np.diff(arrays["first"])) * 256 + arrays["label"]
+        self.a, self.keys = arrays, arrays["keys"]
 
     @classmethod
     def build(cls, entries: dict[bytes, list[int]]) -> Lexicon:
@@ -242,7 +242,7 @@ class Lexicon:
             finals.append(final)
         ids = [entries[w] for w in order]
         return cls({
-            "first": np.array(first, np.int64), "label": np.array(label, np.uint8), "target": np.array(target, np.int64),
+            "first": np.array(first, np.int64), "keys": np.repeat(np.arange(len(first) - 1), np.diff(first)) * 256 + np.array(label, np.int64), "target": np.array(target, np.int64),
             "skip": np.array(skip, np.int64), "final": np.array(finals, bool),
             "offset": np.cumsum([0, *map(len, ids)]).astype(np.int64), "ids": np.fromiter(chain.from_iterable(ids), np.int64),
         })
@@ -317,10 +317,28 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: int = LEXICON_WORDS) -> Lexicon:
-    """The lexicon of the ``size`` most frequent words of all documents (ties: smaller word first)."""
+    """The lexicon of the most frequent words of all documents: of all words that occur as often as some
+    number, twice at least, the most that are no more than ``size``. Only these and counts of counts,
+    first by orders of magnitude, then within the one that matters, come to the driver."""
     vocab = vocabulary(vocab_path)
-    top = word_counts(docs, vocab_path, text).filter("n > 1").orderBy(F.desc("n"), "word").limit(size)
-    return Lexicon.build({r.word.encode(): vocab.ids(r.word) for r in top.collect()})
+    counts = cut(word_counts(docs, vocab_path, text).filter("n > 1").withColumn("order", F.floor(8 * F.log2("n")).cast("int")))
+    left, most = size, None
+    for r in counts.groupBy("order").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("order")).collect():  # 8 for each bit of n
+        if r.words > left:
+            most = r.order
+            break
+        left -= r.words
+    least = 2
+    if most is not None:
+        last = None
+        for r in counts.filter(F.col("order") == most).groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+            if r.words > left:
+                last = r.n
+                break
+            left -= r.words
+        least = last + 1
+    top = counts.filter(F.col("n") >= least).select("word").collect()
+    return Lexicon.build({r.word.encode(): vocab.ids(r.word) for r in top})
 
 
 class Encoder:
@@ -404,18 +422,10 @@ def encode_decode(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: s
     result. Rows that repeat, with equal or null keys, are encoded each. Bytes that form no valid
     UTF-8 are decoded to the replacement character, which can't happen for ids of a valid text.
     """
-    spark = docs.sparkSession
-    data = build_lexicon(docs, vocab_path, text, size).save()
-    path, everywhere = new_path(spark, "lexicon"), spark.sparkContext.broadcast(data)
-    local = path.removeprefix("file://") if path.startswith(("/", "file:/")) else None
-    if local:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(local, "wb") as f:
-            f.write(data)
+    name = share_file(docs.sparkSession, "lexicon", build_lexicon(docs, vocab_path, text, size).save())
 
     def run(batches):
-        # the folder may be one that only Spark reads: then the same bytes come by broadcast
-        mapped = np.memmap(local, np.uint8, "r") if local and os.path.exists(local) else everywhere.value
+        mapped = np.memmap(SparkFiles.get(name), np.uint8, "r")
         encoder = Encoder(vocabulary(vocab_path), Lexicon.load(mapped))
         for batch in batches:
             keys = iter(batch[key])

@@ -22,9 +22,11 @@ GAP = r"[\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; where that is
-    unset, as in tests on one machine, a new temporary folder that the session then keeps."""
+    unset and Spark runs on one machine, as in tests, a new temporary folder that the session keeps."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("agreeline.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("agreeline.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,6 +44,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def share_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes bytes to the shared folder and has every executor fetch them from there; gives the name by
+    which a task finds its copy on its machine (``pyspark.SparkFiles``)."""
+    path, context = new_path(spark, name), spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    context.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
 def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
 
