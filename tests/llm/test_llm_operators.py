@@ -159,6 +159,17 @@ def test_lexicon_is_minimal_and_exact():
     assert len(bpe.Lexicon.build({w.encode(): [i] for w, i in ends.items()}).a["first"]) - 1 == 6  # root; after b, c or d; o; l; t; the end
 
 
+def test_lexicon_has_the_most_frequent_words(spark):
+    n = {f"w{i}": 2 + i // 3 for i in range(60)}
+    df = spark.createDataFrame([(0, " ".join(f"{w} " * k for w, k in n.items()), "", "", 0)], SCHEMA)
+    counts = Counter({r.word: r.n for r in bpe.word_counts(df, JSON).filter("n > 1").collect()})
+    for size in (1, 2, 3, 7, 30, 59, 60, 61, 1000):
+        lexicon = bpe.build_lexicon(df, JSON, size=size)
+        held = {w for w in counts if lexicon.rows([w.encode()])[0] >= 0}
+        least = min((v for v in set(counts.values()) if sum(x >= v for x in counts.values()) <= size), default=10**9)
+        assert held == {w for w, v in counts.items() if v >= least}
+
+
 def test_length_histogram(spark, odd):
     counted = tokens.with_token_counts(odd, RANKS, ["source"])
     enc = tokens.encoding(RANKS)
@@ -364,8 +375,59 @@ def test_mix(spark, docs, odd):
     again = mixing.mix(docs.repartition(3))
     assert sorted(map(tuple, again.select("doc_id", "copies").collect())) == sorted((r.doc_id, r.copies) for r in rows)
     assert mixing.draw(docs, plan).count() == sum(r.copies for r in rows) and mixing.draw(docs, plan).columns == docs.columns
-    strange = mixing.mix(odd).collect()
+    plan = mixing.mix(odd).cache()
+    strange = plan.collect()
     assert len(strange) == odd.count() and all(r["size"] * r.copies <= 3 * r["size"] for r in strange) and mixing.mix(empty(spark)).count() == 0
+    want = Counter({})
+    for r in strange:
+        want[r.doc_id, r.src] += r.copies
+    clashing = odd.withColumns({c: F.lit("y") for c in ("row", "turn", "shards", "equals", "copies", "r", "copy")})
+    got = mixing.draw(clashing, plan)
+    assert got.columns == clashing.columns and Counter((r.doc_id, r.source) for r in got.collect()) == +want
+    assert mixing.draw(empty(spark), mixing.mix(empty(spark))).count() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_mix_of_equal_rows_comes_near_its_target(spark, key):
+    words = "a b c d e f g h i j"
+    rows = [(key, words, "en", "x", 0)] * 100 + [(i, words + f" {i}" * 5, "en", "y", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    plan = mixing.mix(df).cache()
+    got = {r.src: (r.taken, r.target) for r in plan.groupBy("src").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(taken - target) <= 8 for taken, target in got.values()) and got["x"][1] == pytest.approx(4000 * 5 / 7) or got["x"][1] == 3000
+    drawn = Counter(r.source for r in mixing.draw(df.repartition(3), plan).collect())
+    assert drawn == Counter({r.src: r["n"] for r in plan.groupBy("src").agg(F.sum("copies").alias("n")).collect()})
+    part = mixing.mix(spark.createDataFrame([(key, words, "en", "x", 0)] * 100 + [(i, words, "en", "y", 0) for i in range(20)] + [(i, words, "en", "z", 0) for i in range(60)], SCHEMA)).collect()
+    for s in "xyz":
+        own = [r for r in part if r.src == s]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 5
+    assert all(0 <= r.copies <= 3 for r in part) and sum({r.src: r.target for r in part}.values()) == pytest.approx(1800)
+
+
+def brute_targets(sizes, weights, passes):
+    """Water-filling by resharing the excess round by round."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    target, left, open_ = dict.fromkeys(names, 0.0), float(sum(sizes.values())), set(names)
+    while left > 1e-6 and open_:
+        share = left / sum(weight[n] for n in open_)
+        left = 0.0
+        for n in sorted(open_, key=str):
+            target[n] += share * weight[n]
+            if target[n] >= passes * sizes[n] - 1e-9:
+                left += target[n] - passes * sizes[n]
+                target[n] = passes * sizes[n]
+                open_.discard(n)
+    return target
+
+
+def test_targets_equal_resharing(spark):
+    rng = random.Random(3)
+    for _ in range(6):
+        sizes = {n: rng.choice([0, 1, 5, 50, 1000, 20_000]) for n in [None, *"abcdefgh"[: rng.randint(1, 8)]]}
+        df = spark.createDataFrame([(n, 1, v) for n, v in sizes.items()], "src string, docs long, source_size long")
+        got = {r.src: r.target for r in mixing.water_fill(df).collect()}
+        assert got == pytest.approx(brute_targets(sizes, (5, 2, 1), 3), abs=1e-3)
 
 
 def test_splitting_tree_is_exact(spark):
@@ -374,6 +436,7 @@ def test_splitting_tree_is_exact(spark):
     shards = Counter()
     for r in got:
         shards[r.shard] += r.blocks
+    assert {(r.src, r.first) for r in got} == {(s, sum(r.blocks for r in got if r.src == s and r.shard < k)) for s in quotas for k in range(8)}
     assert {s: sum(r.blocks for r in got if r.src == s) for s in quotas} == quotas and max(shards.values()) - min(shards.values()) <= 1
 
 
@@ -382,6 +445,10 @@ def test_hypergeometric_probabilities(spark):
 
     u = spark.range(4000).select(mixing.hypergeometric(F.lit(20), F.lit(8), F.lit(10), (F.col("id") + 0.5) / 4000).alias("x")).groupBy("x").count().collect()
     assert all(abs(r["count"] / 4000 - comb(8, r.x) * comb(12, 10 - r.x) / comb(20, 10)) < 1e-3 for r in u)
+    edge = [(0, 0, 0, 0), (5, 5, 3, 3), (5, 0, 3, 0), (7, 3, 0, 0), (7, 3, 7, 3), (100_000, 40_000, 50_000, 20_000)]
+    for total, marked, drawn, want in edge:
+        got = spark.range(1).select(mixing.hypergeometric(F.lit(total), F.lit(marked), F.lit(drawn), F.lit(0.5)).alias("x")).first().x
+        assert abs(got - want) <= 1
 
 
 def test_decoder_restores_words(docs):
