@@ -2,8 +2,11 @@
 
 Since |q - x|^2 = |q|^2 + |x|^2 - 2 <q, x>, a lower bound of the distance is an upper bound of the
 inner product. Inside a segment of length L with means m and deviations s, the inner product is at
-most L * (m_q * m_x + s_q * s_x). Sums over a few long segments discard most of what can't enter the
-best k, sums over more, shorter ones discard more, and only survivors get their exact product.
+most L * (m_q * m_x + s_q * s_x). Vectors are turned first by an orthogonal matrix that decorrelates
+the candidates, which changes no product, so leading segments hold most of what differs. From one
+resolution to the next segments get shorter, at last down to single components in front, and only
+pairs whose sum of bounds can still reach the query's k-th best score go on. What survives all
+resolutions gets its exact product, of whole numbers.
 """
 
 from __future__ import annotations
@@ -15,61 +18,109 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 
-#: Segments of each resolution, coarse to fine.
-SEGMENTS = (4, 16)
-#: Queries of a block, candidates of a group, candidates compared at once.
-QUERY_BLOCK, GROUP, TILE = 8192, 32_768, 2048
-
-
-def segments(x: np.ndarray, n: int) -> np.ndarray:
-    """For each row, the means and deviations of n segments, scaled so that their products add up to
-    the bound."""
-    parts = np.array_split(x, n, axis=1)
-    mean = np.stack([p.mean(1) * np.sqrt(p.shape[1]) for p in parts], 1)
-    dev = np.stack([np.sqrt(np.maximum(0, ((p - p.mean(1, keepdims=True)) ** 2).sum(1))) for p in parts], 1)
-    return np.concatenate([mean, dev], 1)
-
-
-def best(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of the k best of ``x`` for each query, ties to the smaller id;
-    candidates with the query's id are left out."""
+#: Resolutions, coarse to fine: the share of leading components that are segments of their own, and
+#: into how many segments the others fall.
+RESOLUTIONS = ((0.0, 4), (0.0, 16), (0.5, 8), (0.75, 4))
+#: Queries of a block, candidates of a group; queries and candidates that a task compares at once; and
+#: pairs whose exact products it takes at once.
+QUERY_BLOCK, GROUP, ROWS, TILE, PAIRS = 8192, 32_768, 1024, 2048, 1 << 16
+#: Candidates of a tile, those of the highest coarse bounds, that raise the k-th best score first.
+FIRST = 16
+#: Widest vectors that are turned; others keep their components as they are.
+TURNED = 1024
+
+
+def segments(x: np.ndarray, alone: float, n: int) -> np.ndarray:
+    """For each row, the means and deviations of segments, scaled so that their products add up to the
+    bound: the first share ``alone`` of the components one by one, the others in n segments."""
+    head = int(alone * x.shape[1])
+    parts = np.array_split(x[:, head:], min(n, max(1, x.shape[1] - head)), axis=1)
+    mean = np.stack([p.mean(1) * np.sqrt(p.shape[1]) if p.shape[1] else np.zeros(len(x)) for p in parts], 1)
+    dev = np.stack([np.sqrt(np.maximum(0, ((p - p.mean(1, keepdims=True)) ** 2).sum(1))) if p.shape[1] else np.zeros(len(x)) for p in parts], 1)
+    return np.concatenate([x[:, :head], mean, dev], 1)
+
+
+def turned(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides in the axes along which the candidates vary most, those first."""
+    if not len(x) or not 1 < x.shape[1] <= TURNED:
+        return q, x
+    _, axes = np.linalg.eigh(x.T @ x)
+    return q @ axes[:, ::-1], x @ axes[:, ::-1]
+
+
+class Search:
+    """The k best candidates so far of some queries."""
+
+    def __init__(self, q_row: np.ndarray, q: np.ndarray, k: int, exact: type):
+        self.q_row, self.q, self.k, self.exact = q_row, q.astype(exact), k, exact
+        self.low = np.iinfo(np.int64).min
+        self.floor = np.full((len(q), k), self.low, np.int64)  # ascending
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.products = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, x_row: np.ndarray, x: np.ndarray) -> None:
+        """Exact products of the pairs (query i, candidate j); a row is no candidate of its own."""
+        other = self.q_row[i] != x_row[j]
+        i, j = i[other], j[other]
+        score = np.empty(len(i), np.int64)
+        for at in range(0, len(i), PAIRS):
+            part = slice(at, at + PAIRS)
+            score[part] = np.einsum("ij,ij->i", self.q[i[part]], x[j[part]].astype(self.exact, copy=False))
+        self.products += len(i)
+        keep = score >= self.floor[i, 0]
+        i, j, score = i[keep], j[keep], score[keep]
+        self.found.append((i, j, score))
+        order = np.lexsort((-score, i))  # the k best new ones of each query join its best
+        a, s = i[order], score[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        new = np.full((len(self.q), self.k), self.low, np.int64)
+        new[a[place < self.k], place[place < self.k]] = s[place < self.k]
+        self.floor = np.sort(np.concatenate([self.floor, new], 1), 1)[:, -self.k :]
+
+
+def best(q_row: np.ndarray, q: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query's row, candidate's id, score) of the k best of ``x`` for each query, ties to the smaller id,
+    and how many exact products that took. Rows tell apart what shares an id; a query's own row is left
+    out."""
     order = np.argsort(x_id, kind="stable")
-    x_id, x = x_id[order], x[order]
+    x_row, x_id, x = x_row[order], x_id[order], x[order]
     big = float(np.abs(q).max(initial=1)) * float(np.abs(x).max(initial=1)) * max(1, q.shape[1])
-    exact = (lambda a, b: (a @ b.T).astype(np.int64)) if big < 2**53 else (lambda a, b: a.astype(np.int64) @ b.T.astype(np.int64))
-    levels = [min(s, max(1, x.shape[1])) for s in SEGMENTS]
-    q_seg, x_seg = [segments(q, s) for s in levels], [segments(x, s) for s in levels]
-    low = np.iinfo(np.int64).min
-    floor = np.full((len(q), k), low, np.int64)  # the k best scores so far, ascending
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(x), TILE):
-        tile = slice(at, at + TILE)
-        rows, cols = np.arange(len(q)), np.arange(len(x))[tile]
-        need = floor[:, 0].astype(float)
-        for a, b in zip(q_seg, x_seg, strict=True):  # rows and columns in which nothing survives go
-            bound = a[rows] @ b[cols].T
-            live = bound * (1 + 1e-9) + 1e-6 >= need[rows, None]
-            rows, cols = rows[live.any(1)], cols[live.any(0)]
-            if not len(rows):
-                break
-        if not len(rows):
-            continue
-        score = exact(q[rows], x[cols])
-        score[q_id[rows, None] == x_id[cols]] = low
-        new = np.concatenate([floor[rows], score], 1)
-        new.partition(new.shape[1] - k, axis=1)
-        floor[rows] = np.sort(new[:, -k:], 1)
-        i, j = np.nonzero((score >= floor[rows, :1]) & (score > low))
-        found.append((rows[i], cols[j], score[i, j]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j, score = (np.concatenate(v) for v in zip(*found, strict=True))
-    keep = score >= floor[i, 0]
-    i, j, score = i[keep], j[keep], score[keep]
-    order = np.lexsort((x_id[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return q_id[i[rank < k]], x_id[j[rank < k]], score[rank < k]
+    exact = np.float64 if big < 2**53 else np.int64
+    q_turned, x_turned = turned(q, x)
+    x_seg = [segments(x_turned, *r) for r in RESOLUTIONS]
+    error = 1e-9 * np.linalg.norm(x, axis=1).max(initial=0)
+    out, products = [], 0
+    for start in range(0, len(q), ROWS):
+        mine = slice(start, start + ROWS)
+        q_seg, slack = [segments(q_turned[mine], *r) for r in RESOLUTIONS], error * np.linalg.norm(q[mine], axis=1) + 1e-6
+        s = Search(q_row[mine], q[mine], k, exact)
+        for at in range(0, len(x), TILE):
+            tile = slice(at, at + TILE)
+            live = np.ones((len(q_seg[0]), len(x_seg[0][tile])), bool)
+            for level, (a, b) in enumerate(zip(q_seg, x_seg, strict=True)):
+                rows, cols = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
+                if not len(rows):
+                    break
+                bound = np.where(live[np.ix_(rows, cols)], a[rows] @ b[at + cols].T, -np.inf)
+                if level in (0, len(q_seg) - 1):  # those of the highest bounds first: they raise the rest's bar
+                    seeds = min(FIRST, len(cols))
+                    first = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
+                    i, c = np.nonzero(np.take_along_axis(bound, first, 1) > -np.inf)
+                    s.add(rows[i], at + cols[first[i, c]], x_row, x)
+                    np.put_along_axis(bound, first, -np.inf, 1)
+                live[np.ix_(rows, cols)] = bound >= (s.floor[rows, 0] - slack[rows])[:, None]
+            i, j = np.nonzero(live)
+            s.add(i, at + j, x_row, x)
+        products += s.products
+        i, j, score = (np.concatenate(v) for v in zip(*s.found, strict=True)) if s.found else (np.zeros(0, np.int64),) * 3
+        keep = score >= s.floor[i, 0]
+        i, j, score = i[keep], j[keep], score[keep]
+        order = np.lexsort((x_id[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((s.q_row[i[top]], x_id[j[top]], score[top]))
+    found = [np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return found[0], found[1], found[2], products
 
 
 def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -77,8 +128,10 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
     vectors of floor(scale * component), ties to the smaller id.
 
     Rows with a null id, a null vector, or null, infinite or NaN components take no part; shorter
-    vectors count as padded with zeros. A row is its own query's candidate never, nor are rows that
-    repeat its id. With fewer than k candidates all are returned; an empty table gives an empty result.
+    vectors, however short, count as padded with zeros. A row is its own query's candidate never; other
+    rows that repeat its id are, and each query row that repeats an id has its own k best. With fewer
+    than k candidates all are returned; an empty table gives an empty result. Other columns, whatever
+    their names, are ignored.
 
     Queries are dealt into blocks and candidates into groups of bounded size; each block meets each
     group in one task, and only k rows per query leave it.
@@ -87,16 +140,17 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
     x = F.col(vector)
     fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
     whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double"))
-    good = cut(vectors.filter(F.col(key).isNotNull() & x.isNotNull() & fine).select(F.col(key).cast("long").alias("id"), whole.alias("v"), is_query.alias("q")))
-    n, queries = good.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    good = vectors.filter(F.col(key).isNotNull() & x.isNotNull() & fine)
+    good = cut(good.select(F.col(key).cast("long").alias("id"), whole.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")))
+    n, queries, width = good.agg(F.count(F.lit(1)), F.count_if("q"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     blocks, groups = max(1, -(-queries // QUERY_BLOCK)), max(8, -(-n // GROUP))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    asked = good.filter("q").dropDuplicates(["id"]).select("id", "v", place(blocks).alias("b"), every(groups).alias("g"))
-    held = good.select("id", "v", place(groups).alias("g"), every(blocks).alias("b"))
+    place = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
+    asked = good.filter("q").select("row", "id", "v", place(blocks).alias("b"), every(groups).alias("g"))
+    held = good.select("row", "id", "v", place(groups).alias("g"), every(blocks).alias("b"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(t: pa.Table, width: int) -> np.ndarray:
+        def matrix(t: pa.Table) -> np.ndarray:
             flat = t.column("v").combine_chunks()
             flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
             size = np.diff(flat.offsets.to_numpy())
@@ -104,13 +158,15 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
             out[np.arange(width) < size[:, None]] = flat.flatten().to_numpy(zero_copy_only=False)
             return out
 
-        width = max([len(v) for t in (left, right) for v in t.column("v").to_pylist()], default=0)
-        if not len(left) or not len(right) or not width:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        ids = [t.column("id").to_numpy() for t in (left, right)]
-        found = best(ids[0], matrix(left, width), ids[1], matrix(right, width), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
-
-    met = asked.groupBy("b", "g").cogroup(held.groupBy("b", "g")).applyInArrow(compare, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        names = ("query_row", "vec_id", "score")
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        numbers = [t.column(c).to_numpy() for t, c in ((left, "row"), (right, "row"), (right, "id"))]
+        found = best(numbers[0], matrix(left), numbers[1], numbers[2], matrix(right), k)
+        return pa.table(dict(zip(names, map(pa.array, found[:3]), strict=True)))
+
+    met = asked.groupBy("b", "g").cogroup(held.groupBy("b", "g")).applyInArrow(compare, "query_row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    met = met.withColumn("rank", rank).filter(F.col("rank") <= k)
+    names = good.filter("q").select("row", F.col("id").alias("query_id"))
+    return met.join(names, F.col("query_row") == F.col("row")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

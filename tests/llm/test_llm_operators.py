@@ -624,6 +624,32 @@ def test_very_long_texts(spark, very_long, name):
     out.write.format("noop").mode("overwrite").save()
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0], "a"), (50, [0.5, 0.5], "b"), (50, [1.0, 0.0], "a"), (1, [2.0], "c"), (2, [], "d"), (None, [9.0, 9.0], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, k=2).collect())
+    u = 256 * 256
+    assert got == sorted([(50, 1, 1, 2 * u), (50, 2, 50, u)] * 2 + [(50, 1, 1, u), (50, 2, 50, u // 2)])
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "few axes"])
+def test_most_pairs_are_pruned(kind):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    if kind == "clusters":
+        x = x[rng.integers(0, 60, 6000)] + 0.3 * x
+    if kind == "few axes":
+        x = x @ (np.linalg.qr(rng.normal(size=(64, 64)))[0] * 0.8 ** np.arange(64)[:, None])
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    row, ids = np.arange(6000), np.arange(6000)
+    asked = row[row % 50 == 0]
+    q_row, vec, score, products = topk.best(asked, x[asked], row, ids, x, 5)
+    assert products <= {"even": 0.3, "clusters": 0.15, "few axes": 0.05}[kind] * len(asked) * len(x)
+    for q in asked[:20]:
+        all_scores = sorted((-int(x[q] @ x[j]), int(j)) for j in range(6000) if j != q)[:5]
+        assert [(-s, v) for s, v in zip(score[q_row == q].tolist(), vec[q_row == q].tolist(), strict=True)] == all_scores
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
