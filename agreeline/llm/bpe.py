@@ -8,6 +8,7 @@ executor and memory-mapped by its workers; words that it lacks are merged pair b
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
@@ -33,7 +34,7 @@ LEXICON_WORDS = 100_000
 #: Longest word of the lexicon in bytes; longer ones are merged.
 LEXICON_BYTES = 64
 #: Words that a worker keeps with their ids, and words that a counting task keeps, at most.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 #: Characters that are encoded and decoded at a time; the arrays of a step take about 30 bytes for each.
 SLICE_CHARS = 500_000
 
@@ -354,9 +355,20 @@ class Encoder:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.known_pieces: dict[str, list[int]] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.length, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """Forgets all but the most used third of the words it keeps."""
+        kept = np.zeros(len(self.uses), bool)
+        kept[np.argsort(-self.uses, kind="stable")[: KEPT_WORDS // 3]] = True
+        stays = kept.tolist()
+        self.known = {w: n for n, w in enumerate(w for w, i in self.known.items() if stays[i])}
+        self.pool = self.pool[spans(self.start[kept], self.length[kept])]
+        self.length, self.uses = self.length[kept], self.uses[kept] // 2
+        self.start = np.cumsum(self.length) - self.length
+        self.known_pieces = {}
+
     def learn(self, new: list[str]) -> None:
         """Ids of new words: the lexicon has those of frequent pieces, the others are merged."""
         parts, pieces = [self.vocab.pieces(w) for w in new], self.known_pieces
@@ -371,6 +383,7 @@ class Encoder:
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
         self.length = np.concatenate([self.length, sizes])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         base = len(self.known)
         self.known.update((w, base + i) for i, w in enumerate(new))
 
@@ -378,12 +391,13 @@ class Encoder:
         """(number of ids of each text, ids of all texts)."""
         parts = [words(t, self.vocab) for t in texts]
         if len(self.known) > KEPT_WORDS:
-            self.reset()
+            self.forget()
         known = self.known
         if new := [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in known]:
             self.learn(new)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.length[at]
         before = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -427,6 +441,13 @@ def encode_decode(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: s
     def run(batches):
         mapped = np.memmap(SparkFiles.get(name), np.uint8, "r")
         encoder = Encoder(vocabulary(vocab_path), Lexicon.load(mapped))
+        gc.disable()  # what it makes has no cycles, and the collector would walk all kept words again and again
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            gc.enable()
+
+    def encoded(encoder, batches):
         for batch in batches:
             keys = iter(batch[key])
             for texts in slices([t or "" for t in batch[text]]):
