@@ -1,9 +1,14 @@
 """Language by cross-parsing: the language whose text explains a document in the fewest phrases.
 
-For each language a suffix automaton is built from a bounded sample of labelled text. A document is
-parsed greedily against each automaton: a phrase is the longest match from where the last one ended.
-Phrases, weighed by the log of the sample's length, over the letters read estimate the cross
-entropy, and the language with the least wins.
+For each language a suffix automaton is built from a bounded sample of labelled texts, whole ones. A
+document is parsed greedily against each automaton: a phrase is the longest match from where the last
+one ended. Phrases, weighed by the log of the sample's length, over the letters read estimate the
+cross entropy, and the language with the least wins.
+
+The automata are built once, on the driver, from the sample, and packed without empty arcs into arrays
+of a few megabytes that all tasks share. Blocks of a text are parsed at once, each as if a phrase began
+with it; then every block is parsed again from the state in which the one before has left off, up to
+the first phrase that begins where one of the first parse does, since from there on both are the same.
 """
 
 from __future__ import annotations
@@ -17,32 +22,35 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Bound of the sample: stretches of a language, characters of a stretch. Stretches are taken from
-#: documents, and from places in them, by hash.
-STRETCHES, STRETCH = 128, 384
-#: Letters that a block of a text has; blocks are parsed each by itself, all at once.
+#: Bound of the sample: rows of a language, by hash of the key, and characters that such a row's text
+#: has at most. Texts are learnt whole.
+ROWS, MOST_CHARS = 40, 4096
+#: Letters of a block, and characters that are parsed at a time.
 BLOCK = 256
 SLICE_CHARS = 1_500_000
 
 
 def training_text(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = 7) -> dict[str, list[str]]:
-    """At most STRETCHES stretches of STRETCH characters for each language, by hash of the key.
+    """The texts of at most ROWS rows for each language, those of least hash of the key among the rows
+    of at most MOST_CHARS characters. A language that has only longer texts is learnt from the shortest.
 
     The threshold on the hash follows from each language's number of rows, so that few rows beyond
     the bound meet; the exact cut is a rank among those."""
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("p"), F.col(key).alias("k"))
-    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
+    short = F.length("t") <= MOST_CHARS
+    sizes = rows.groupBy("l").agg(F.count_if(short).alias("n"), F.min(F.length("t")).alias("least")).collect()
     if not sizes:
         return {}
-    limit = F.create_map(*[F.lit(x) for r in sizes for x in (r.l, int(min(1.0, 4 * STRETCHES / r.n) * (1 << 40)))])
-    few = rows.filter(F.col("p") < F.element_at(limit, F.col("l")))
-    start = 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.greatest(F.lit(1), F.length("t") - STRETCH))
-    few = few.select("l", "p", "k", F.substr("t", start.cast("int"), F.lit(STRETCH)).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("p", "k", "s"))
+    of = lambda f: F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.l, f(r))]), F.col("l"))
+    limit = of(lambda r: int(min(1.0, 4 * ROWS / max(1, r.n)) * (1 << 40)))
+    shortest = of(lambda r: MOST_CHARS if r.n else r.least)
+    few = rows.filter((F.length("t") <= shortest) & (F.col("p") < limit))
+    order = Window.partitionBy("l").orderBy("p", "k", "t")
+    held = of(lambda r: ROWS if r.n else 1)
     out: dict[str, list[str]] = {}
-    for r in few.withColumn("r", rank).filter(F.col("r") <= STRETCHES).orderBy("l", "r").collect():
-        out.setdefault(r.l, []).append(r.s)
+    for r in few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= held).orderBy("l", "r").collect():
+        out.setdefault(r.l, []).append(r.t)
     return out
 
 
@@ -73,16 +81,16 @@ class Alphabet:
         return codes[keep], np.bincount(doc[keep], minlength=len(texts))
 
 
-def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
-    """Transitions of the suffix automaton: state 0 is dead, 1 the root; from the root each substring
-    of ``codes``, and nothing else, leads to a live state. Zeros in ``codes`` part stretches."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Arcs of the suffix automaton by state: state 0 is dead, 1 the root; from the root each substring
+    of ``codes``, and nothing else, leads to a live state. Zeros in ``codes`` part texts."""
     link, length, arcs = [0, 0], [0, 0], [{}, {}]
     last = 1
     for c in codes:
-        if c == 0:  # nothing runs over the border of stretches
+        if c == 0:  # nothing runs over the border of texts
             last = 1
             continue
-        if c in arcs[last]:  # another stretch has led here
+        if c in arcs[last]:  # another text has led here
             q = arcs[last][c]
             if length[q] == length[last] + 1:
                 last = q
@@ -120,31 +128,68 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
                     arcs[p][c] = clone
                     p = link[p]
         last = new
-    table = np.zeros((len(arcs), size), np.int32)
-    for s, out in enumerate(arcs):
-        for c, t in out.items():
-            table[s, c] = t
-    return table
+    return arcs
+
+
+def packed(arcs: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shift of each state, owner and target of each place): the arc of state s with letter c is at
+    shift[s] + c if s owns that place, and there is none otherwise. States with many arcs are laid
+    first, each at the first place where its arcs fall between those of others."""
+    shift = np.zeros(len(arcs), np.int32)
+    owner = [0] * (2 * size + sum(map(len, arcs)))
+    target = [0] * len(owner)
+    free = size  # no place before it is free
+    for s in sorted(range(1, len(arcs)), key=lambda s: -len(arcs[s])):
+        letters = sorted(arcs[s])
+        if not letters:
+            continue
+        while owner[free]:
+            free += 1
+        at = free
+        while owner[at] or any(owner[at + c - letters[0]] for c in letters):
+            at += 1
+            if at + size >= len(owner):
+                owner += [0] * len(owner)
+                target += [0] * len(target)
+        base = at - letters[0]
+        shift[s] = base
+        for c in letters:
+            owner[base + c], target[base + c] = s, arcs[s][c]
+        if len(owner) - free < 2 * size:
+            owner += [0] * len(owner)
+            target += [0] * len(target)
+    end = max((i for i, o in enumerate(owner) if o), default=0) + size + 1
+    return shift, np.array((owner + [0] * size)[:end], np.int32), np.array((target + [0] * size)[:end], np.int32)
 
 
 class Languages:
-    """The automata of all languages in one table; states of a language are shifted by its base."""
+    """The automata of all languages in one set of arrays; states and places of a language are counted
+    on after those of the one before."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
         self.alphabet = Alphabet(sorted({x for ss in samples.values() for s in ss for c in s if c.isalpha() and len(x := c.lower()) == 1}))
-        tables, self.bits, base = [], [], 0
+        shifts, owners, targets, self.bits, states, places = [], [], [], [], 0, 0
         self.dead, self.root = [], []
         for name in self.names:
             codes, sizes = self.alphabet.read(samples[name])
             parts = np.split(codes, np.cumsum(sizes)[:-1])
-            t = suffix_automaton([c for p in parts for c in [*p.tolist(), 0]], self.alphabet.size)
-            tables.append(np.where(t > 0, t + base, base).astype(np.int32))
-            self.dead.append(base)
-            self.root.append(base + 1)
+            shift, owner, target = packed(suffix_automaton([c for p in parts for c in [*p.tolist(), 0]]), self.alphabet.size)
+            shifts.append(shift + places)
+            owners.append(np.where(owner > 0, owner + states, -1))
+            targets.append(target + states)
+            self.dead.append(states)
+            self.root.append(states + 1)
             self.bits.append(math.log2(max(2, len(codes))))
-            base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            states += len(shift)
+            places += len(owner)
+        whole = lambda parts: np.concatenate(parts).astype(np.int32) if parts else np.zeros(1, np.int32)
+        self.shift, self.owner, self.target = whole(shifts), whole(owners), whole(targets)
+
+    def follow(self, state: np.ndarray, dead: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where the arcs of letters ``c`` lead, or the dead states of the same languages."""
+        at = self.shift[state] + c
+        return np.where(self.owner[at] == state, self.target[at], dead)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each text against each language, letters of each text)."""
@@ -156,19 +201,53 @@ class Languages:
         start = (np.cumsum(size) - size)[doc] + inside * BLOCK
         length = np.minimum(BLOCK, size[doc] - inside * BLOCK)
         order = np.argsort(-length, kind="stable")
-        start, length, doc = start[order], length[order], doc[order]
-        k, width = len(self.names), self.alphabet.size
+        k, n_blocks = len(self.names), len(doc)
         dead, root = np.array(self.dead, np.int32)[:, None], np.array(self.root, np.int32)[:, None]
-        state = np.repeat(dead, len(doc), 1)
-        count = np.zeros((k, len(doc)), np.int32)
-        live = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than each step
+        # every block as if a phrase began with it
+        state = np.repeat(dead, n_blocks, 1)  # in the order of lengths
+        begins = np.zeros((k, len(codes)), bool)
+        live = np.searchsorted(-length[order], -np.arange(BLOCK), "left")  # blocks longer than each step
+        first = start[order]
         for step in range(int(length.max(initial=0))):
             n = live[step]
-            c = codes[start[:n] + step]
-            at = self.table[state[:, :n] * width + c]
-            cold = at == dead
-            count[:, :n] += cold
-            state[:, :n] = np.where(cold, self.table[root * width + c], at)
+            at = first[:n] + step
+            c = codes[at].astype(np.int32)
+            new = self.follow(state[:, :n], dead, c)
+            cold = new == dead
+            begins[:, at] = cold
+            state[:, :n] = np.where(cold, self.follow(root, dead, c), new)
+        exits = np.empty_like(state)
+        exits[:, order] = state
+        met_exits = exits.copy()
+        count = np.add.reduceat(begins, start, axis=1, dtype=np.int64) if n_blocks else np.zeros((k, 0), np.int64)
+        own = count.copy()
+        # again from where the block before has left off, until both parses begin a phrase
+        lang, block = np.nonzero(np.broadcast_to(inside > 0, (k, n_blocks)))
+        while len(lang):
+            state = exits[lang, block - 1]
+            gained = np.zeros(len(lang), np.int64)
+            open_, unmet = np.arange(len(lang)), np.ones(len(lang), bool)
+            for step in range(BLOCK):
+                open_ = open_[step < length[block[open_]]]
+                if not len(open_):
+                    break
+                la, at = lang[open_], start[block[open_]] + step
+                c = codes[at].astype(np.int32)
+                new = self.follow(state[open_], dead[la, 0], c)
+                cold = new == dead[la, 0]
+                state[open_] = np.where(cold, self.follow(root[la, 0], dead[la, 0], c), new)
+                there = begins[la, at]
+                gained[open_] += cold.astype(np.int64) - there
+                unmet[open_[cold & there]] = False
+                open_ = open_[~(cold & there)]
+            count[lang, block] = own[lang, block] + gained
+            # a block whose parses never meet leaves off in another state
+            now = np.where(unmet, state, met_exits[lang, block])
+            changed = exits[lang, block] != now
+            exits[lang, block] = now
+            lang, block = lang[changed], block[changed] + 1
+            ok = (block < n_blocks) & (inside[np.minimum(block, n_blocks - 1)] > 0)
+            lang, block = lang[ok], block[ok]
         total = np.zeros((len(texts), k), np.int64)
         np.add.at(total, doc, count.T)
         return total, letters
@@ -181,15 +260,13 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: st
     language is ``und`` with score 0 where the text is null or has no letter, or nothing was learnt.
     Ties go to the smaller name. score is the winner's share of the languages' likelihoods, for the
     estimated cross entropy of 40 letters. Repeated rows are judged each, an empty table gives none.
+    Phrases run through the whole text, however long; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(training_text(labelled, text, lang, key))
-    made: list[Languages] = []
+    shared = spark.sparkContext.broadcast(Languages(training_text(labelled, text, lang, key)))
 
     def run(batches):
-        if not made:
-            made.append(Languages(shared.value))
-        known = made[0]
+        known = shared.value
         bits = np.array(known.bits)
         for batch in batches:
             names, scores = [], []

@@ -427,8 +427,8 @@ def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(key, score) of every row: the probability of label 1, from the text alone.
+def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, score) of every row, with the columns ``keep`` between them: the probability of label 1, from the text alone.
 
     ``labels`` has ``key`` and ``label``; what is learnt comes from the rows of ``docs`` that pass ``where``
     (all, if None) and whose key has a label of 0 or 1. Other labels, null keys and keys without a
@@ -438,7 +438,7 @@ def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
     table gives an empty result. Whole texts are read, of any length, in time that grows with them.
     Other columns of both tables, whatever their names, are ignored.
     """
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    spark = docs.sparkSession
     model = character_model(trigram_counts(docs, text))
     named = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
     named = bounded(named)
@@ -450,11 +450,14 @@ def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
         model, words = shared.value
         restorer = Restorer(model, Lexicon(words))
         for batch in batches:
-            yield {"id": batch["id"], "learnt": batch["learnt"], "x": pa.array([restorer.evidence(t) for t in batch["t"]], pa.float64())}
+            yield {c: batch[c] for c in kept} | {"x": pa.array([restorer.evidence(t) for t in batch["t"]], pa.float64())}
 
     learnt = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), learnt.alias("learnt"))
-    found = cut(map_rows(rows, ["id", "learnt", "t"], run, f"id {kind}, learnt boolean, x double"))
+    more = [F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(key).alias("id"), learnt.alias("learnt"), *more, F.col(text).alias("t"))
+    kept = rows.columns[:-1]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    found = cut(map_rows(rows, [*kept, "t"], run, f"{kinds}, x double"))
     table = found.filter("learnt").join(named, F.col("id") == F.col("k")).groupBy(F.round(4 * F.least("x", F.lit(64.0))).cast("int").alias("at"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
     slope, base = logistic([(r["at"] / 4, r.y, r.n) for r in table]) if words else (1.0, prior)
-    return found.select(F.col("id").alias(key), (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("x") + base))))).alias("score"))
+    return found.select(F.col("id").alias(key), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("x") + base))))).alias("score"))

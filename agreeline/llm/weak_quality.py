@@ -1,9 +1,11 @@
 """A quality classifier without labels: heuristic labellers, their accuracies, and a linear scorer.
 
-Labellers vote high, low or not at all on each document. Expectation-maximisation over the counts of
-vote patterns estimates how often each labeller votes what on documents of either kind, and with it
-the probability that a document is good. These posteriors train a linear scorer on hashed words and
-word shapes, which reads what no labeller looks at.
+Labellers vote high, low or not at all on each document. Documents are good, or bad in one of several
+ways, one for each labeller: defects seldom come together, so a single bad kind, whose votes were
+independent, would not fit them. Expectation-maximisation over the counts of vote patterns estimates
+how often each labeller votes what on documents of each kind, and with it the probability that a
+document is good. These posteriors train a linear scorer on hashed words and word shapes, which reads
+what no labeller looks at.
 """
 
 from __future__ import annotations
@@ -23,9 +25,6 @@ from .quality_rules import SIGNS, repeated_words
 SAMPLE_DOCS = 8000
 BUCKETS = 1 << 17
 KEPT_TOKENS = 300_000
-#: A low vote is at least so many times likelier on bad documents than on good ones, a high vote at
-#: most so many times likelier on good ones, but for the votes that the other kind casts.
-LOW_ODDS, HIGH_ODDS = 20.0, 1.5
 END = re.compile(r"[.!?](?=\s|$)")
 
 
@@ -80,32 +79,39 @@ def digits(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(share of good documents, table [labeller, kind, vote] of probabilities) by EM from the counts
-    of vote patterns. It starts from the majority of votes, so kind 1 is what high votes mean."""
+def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each kind, table [kind, labeller, vote] of probabilities) by EM from the counts of vote
+    patterns. Kind 0 is good; it starts from the documents without a low vote, and the bad kind of
+    each labeller from those that it votes low on."""
     v = digits(patterns)
-    post = (1.0 + (v == 1).sum(1)) / (2.0 + (v < 2).sum(1))
+    low, kinds = v == 0, 1 + v.shape[1]
+    fine = ~low.any(1)[:, None]
+    post = np.concatenate([np.where(fine, 0.8, 0.2), np.where(fine, 0.2 / (kinds - 1), 0.8 * low / np.maximum(1, low.sum(1))[:, None])], 1)
+    shares, table = np.zeros(kinds), np.zeros((kinds, v.shape[1], 3))
+    votes_are = np.stack([v == x for x in range(3)], -1).astype(float)
     for _ in range(rounds):
-        kinds = np.stack([1 - post, post], 1) * n[:, None]
-        prior = (kinds[:, 1].sum() + 1) / (n.sum() + 2)
-        table = np.stack([[(kinds[:, k] * (v[:, j] == x).astype(float)).sum() + (2.0 if x == k else 1.0) for x in range(3)] for j in range(v.shape[1]) for k in range(2)])
-        table = table.reshape(v.shape[1], 2, 3)
+        held = post * n[:, None]
+        shares = (held.sum(0) + 1) / (n.sum() + kinds)
+        table = np.einsum("pk,pjx->kjx", held, votes_are) + 1.0
         table /= table.sum(-1, keepdims=True)
-        # a low vote speaks against a document; that nothing is amiss speaks for it, but not strongly
-        table[:, 0, 0] = np.maximum(table[:, 0, 0], LOW_ODDS * table[:, 1, 0])
-        table[:, 0, 1] = np.maximum(table[:, 0, 1], table[:, 1, 1] / HIGH_ODDS)
-        table /= table.sum(-1, keepdims=True)
-        new = posterior(patterns, prior, table)
+        new = kind_posteriors(patterns, shares, table)
         if np.abs(new - post).max(initial=0) < 1e-7:
             break
         post = new
-    return prior, table
+    return shares, table
 
 
-def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
+def kind_posteriors(patterns: np.ndarray, shares: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Probabilities of the kinds, for each pattern."""
     v = digits(patterns)
-    logs = np.log(table)[np.arange(v.shape[1])[None, :, None], np.arange(2)[None, None, :], v[:, :, None]].sum(1)
-    return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] + np.log(1 - prior) - np.log(prior), -700, 700)))
+    logs = np.log(shares) + np.log(table)[:, np.arange(v.shape[1]), v].sum(-1).T
+    out = np.exp(logs - logs.max(1, keepdims=True))
+    return out / out.sum(1, keepdims=True)
+
+
+def posterior(patterns: np.ndarray, shares: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The probability that a document of each pattern is good."""
+    return kind_posteriors(patterns, shares, table)[:, 0]
 
 
 #: Letters and digits to their kind, for shapes of words.
@@ -162,18 +168,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, se
     return w, b
 
 
-def posteriors(docs: DataFrame, model: tuple[float, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, posterior) of every row: the labellers' verdict, by the estimated model."""
-
-    def run(batches):
-        for batch in batches:
-            yield {key: batch[key], "posterior": pa.array(posterior(np.array([votes(t) for t in batch[text]], np.int64), *model))}
-
-    return map_rows(docs, [key, text], run, f"`{key}` {docs.schema[key].dataType.simpleString()}, posterior double")
-
-
-def label_model(docs: DataFrame, text: str = "text") -> tuple[float, np.ndarray, int]:
-    """(share of good documents, votes table, different texts at most) from the vote patterns of all
+def label_model(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
+    """(shares of kinds, table of votes, number of documents) from the vote patterns of all
     documents; their number is bounded by the labellers."""
 
     def vote(batches):
@@ -191,14 +187,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     Vote patterns are counted over all documents; their number is bounded by the labellers. The
     scorer is fitted to at most about ``sample`` documents, chosen by hash of the text, so copies
     come together or not at all. Null and empty texts have no words: the labellers call them low,
-    and the scorer gives its intercept. Repeated rows are scored each; an empty table gives none.
+    and the scorer gives its intercept. Repeated rows are scored each; an empty table gives none. Whole
+    texts are read, however long; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
 
     kind = docs.schema[key].dataType.simpleString()
-    prior, table, texts = label_model(docs, text)
+    shares, table, texts = label_model(docs, text)
     limit = int(min(1.0, sample / max(1, texts)) * (1 << 40))
-    known = spark.sparkContext.broadcast((prior, table))
+    known = spark.sparkContext.broadcast((shares, table))
 
     def pick(batches):
         seen = set()
