@@ -1,24 +1,65 @@
-"""Pooled text error rates: edits of all rows over reference lengths of all rows."""
+"""Pooled text error rates: edits of all rows over reference lengths of all rows.
+
+Texts are brought to one form first: compatibility characters to plain ones, lower case, one kind of
+apostrophe, and a table of characters folded through its chains. A character error rate counts letters,
+marks and numbers; a mixed one counts Latin words and numbers, with the apostrophes inside them, as
+one token each and every other letter, mark or number by itself.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+KEPT = r"\p{L}\p{M}\p{N}"
+WORD = r"[\p{IsLatin}0-9&&[\p{L}0-9]]"
+#: Groups are possessive, which Java's engine runs through in a loop, however long a word is.
+TOKEN = rf"{WORD}++(?:'++{WORD}++)*+|[{KEPT}]"
+APOSTROPHES = {"\u2019": "'", "\u2018": "'", "\u02bc": "'"}
+#: Steps of a chain of folds that are followed.
+CHAIN = 4
+
+
+def flat_folds(folds: dict[str, str]) -> dict[str, str]:
+    """Every character of the table to the end of its chain, of four steps at most."""
+    out = {}
+    for c in folds:
+        to = c
+        for _ in range(CHAIN):
+            if folds.get(to, to) == to:
+                break
+            to = folds[to]
+        out[c] = to
+    return out
 
-#: Han, kana and hangul characters are tokens by themselves; Latin words and numbers, with
-#: apostrophes inside, are one token each.
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+(?:'[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+)*"
 
+def normal_form(text: Column, folds: dict[str, str] | None = None) -> Column:
+    """The one form of a text; null stays null. Spark has no such function: Arrow batches of texts go
+    through one small function each."""
+    table = str.maketrans(APOSTROPHES)
+    more = str.maketrans(flat_folds(folds or {}))
 
-def plain(text: Column, folds: tuple[str, str] = ("", "")) -> Column:
-    """Lower case, characters folded one by one, and all but letters, marks and numbers left out."""
-    low = F.lower(text)
-    low = F.translate(low, *folds) if folds[0] else low
-    return F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}]", "")
+    @pandas_udf("string")
+    def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower().translate(table).translate(more))
 
+    return form(text)
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, "[’ʼ]", "'")), F.lit(TOKEN), F.lit(0))
+
+def characters(normal: Column) -> Column:
+    """A text in its one form without all but letters, marks and numbers."""
+    return F.regexp_replace(normal, f"[^{KEPT}]", "")
+
+
+def tokens(normal: Column) -> Column:
+    """Words and single characters of a text in its one form."""
+    return F.regexp_extract_all(normal, F.lit(TOKEN), F.lit(0))
 
 
 def token_edits(a: Column, b: Column) -> Column:
@@ -34,17 +75,37 @@ def token_edits(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a, F.sequence(F.lit(0), F.size(b)), row), -1)
 
 
-def character_error(pairs: DataFrame, ref: str, hyp: str, by: list[str] | None = None) -> DataFrame:
+def character_error(pairs: DataFrame, ref: str, hyp: str, by: list[str] | None = None, folds: dict[str, str] | None = None) -> DataFrame:
     """(n_pairs, edits, n_ref, cer_pm) pooled over rows."""
-    p = pairs.withColumns({"_r": plain(F.col(ref)), "_h": plain(F.coalesce(F.col(hyp), F.lit("")))})
+    p = pairs.withColumns({"_r": normal_form(F.col(ref), folds), "_h": normal_form(F.coalesce(F.col(hyp), F.lit("")), folds)})
+    p = p.withColumns({"_r": characters(F.col("_r")), "_h": characters(F.col("_h"))})
     return _pool(p, F.levenshtein("_r", "_h"), F.length("_r"), by, "cer_pm")
 
 
-def mixed_error(pairs: DataFrame, ref: str, hyp: str, by: list[str] | None = None) -> DataFrame:
-    p = pairs.withColumns({"_r": tokens(F.col(ref)), "_h": tokens(F.coalesce(F.col(hyp), F.lit("")))})
+def mixed_error(pairs: DataFrame, ref: str, hyp: str, by: list[str] | None = None, folds: dict[str, str] | None = None) -> DataFrame:
+    p = pairs.withColumns({"_r": normal_form(F.col(ref), folds), "_h": normal_form(F.coalesce(F.col(hyp), F.lit("")), folds)})
+    p = p.withColumns({"_r": tokens(F.col("_r")), "_h": tokens(F.col("_h"))})
     return _pool(p, token_edits(F.col("_r"), F.col("_h")), F.size("_r"), by, "mer_pm")
 
 
+def scored(references: DataFrame, predictions: DataFrame, metric: str, folds: dict[str, str] | None = None) -> DataFrame:
+    """One row of (n_pairs, edits, n_ref, rate) of predictions (id, hyp) against references (id, ref). Both
+    must have each id once, and the same ids, and every reference must have something to count;
+    otherwise it fails."""
+    units = {"cer": characters, "mer": tokens}[metric]
+    lengths = references.select("id", F.length(characters(normal_form(F.col("ref"), folds))).alias("n"))
+    r = lengths.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"), F.count_if(F.coalesce(F.col("n"), F.lit(0)) == 0).alias("empty")).first()
+    h = predictions.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d")).first()
+    both = references.join(predictions.select(F.col("id").alias("_id"), "hyp"), F.col("id") == F.col("_id"))
+    met = both.count()
+    wrong = {"repeated references": r.n - r.d, "repeated predictions": h.n - h.d, "empty references": r["empty"], "missing": r.n - met, "extra": h.n - met}
+    if any(wrong.values()) or not r.n:
+        raise ValueError(f"references and predictions don't match: {wrong}")
+    if metric == "mer" and both.filter(F.size(units(normal_form(F.col("ref"), folds))) == 0).count():
+        raise ValueError("a reference has no tokens")
+    return (character_error if metric == "cer" else mixed_error)(both, "ref", "hyp", None, folds)
+
+
 def _pool(p: DataFrame, edits: Column, size: Column, by: list[str] | None, name: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_pairs"), F.sum(edits).cast("long").alias("edits"), F.sum(size).cast("long").alias("n_ref")]
     out = p.groupBy(*by).agg(*aggs) if by else p.agg(*aggs)

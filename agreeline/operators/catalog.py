@@ -19,6 +19,23 @@ def derive(wide: DataFrame, derived: dict[str, tuple[set[str], Callable[[], Colu
     return out
 
 
+def with_denominators(metrics: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """(name, value, n): the denominator of each metric by its name. ``rules`` are patterns, the first
+    that matches the whole name counts, each with the names of the counts whose values add up to n. A
+    metric that no rule names, or whose counts aren't there, fails."""
+    counts = {x for _, names in rules for x in names}
+    values = {r.name: r.value for r in metrics.filter(F.col("name").isin(*counts)).collect()}
+    if lacking := sorted(counts - set(values)):
+        raise ValueError(f"counts that denominators need aren't there: {lacking}")
+    n = F.lit(None).cast("long")
+    for pattern, names in reversed(rules):
+        n = F.when(F.col("name").rlike(f"^(?:{pattern})$"), F.lit(int(sum(values[x] for x in names))).cast("long")).otherwise(n)
+    out = metrics.select("name", "value", n.alias("n"))
+    if unnamed := [r.name for r in out.filter("n is null").select("name").limit(3).collect()]:
+        raise ValueError(f"no rule names the denominator of {unnamed}")
+    return out
+
+
 def declared_n(metrics: DataFrame, declared: DataFrame) -> DataFrame:
     """(name, n, declared, ok) of metrics whose denominator was declared."""
     d = declared.select(F.col("name").alias("_n"), F.col("n").alias("declared"))

@@ -26,10 +26,11 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]])
     return joined.drop("_right"), stats
 
 
-def require(stats: DataFrame, expected: dict[str, int]) -> None:
-    """Fails unless the one row of counts is as declared; names that it lacks fail, too."""
-    row = stats.first().asDict()
-    wrong = {k: (row.get(k), v) for k, v in expected.items() if row.get(k) != v}
+def require(stats: DataFrame, expected: dict[str, int], within: dict[str, int] | None = None) -> None:
+    """Fails unless the one row of counts is as declared, each within its tolerance (0 if none is given);
+    names that it lacks fail, too."""
+    row, within = stats.first().asDict(), within or {}
+    wrong = {k: (row.get(k), v) for k, v in expected.items() if row.get(k) is None or abs(row[k] - v) > within.get(k, 0)}
     if wrong:
         raise ValueError(f"counts differ (found, expected): {wrong}")
 
@@ -66,3 +67,58 @@ def coverage(have: DataFrame, want: DataFrame, key_have: str, key_want: str) ->
     b = want.select(F.col(key_want).alias("b")).distinct()
     j = a.join(b, F.col("a") == F.col("b"), "full_outer")
     return j.agg(F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("b").isNull()).alias("extra"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+
+
+def tiers_differ(df: DataFrame, unit_tier: str, segment_tier: str) -> DataFrame:
+    """One row: units whose tier isn't their segment's, nulls counted like values."""
+    return df.agg(F.count_if(~F.col(unit_tier).eqNullSafe(F.col(segment_tier))).alias("n_different"), F.count(F.lit(1)).alias("n"))
+
+
+def lookup(df: DataFrame, key: str, attributes: DataFrame, attribute_key: str, columns: list[str]) -> DataFrame:
+    """``df`` with columns of its key's row in ``attributes``. A column that ``df`` has already, a key that
+    repeats there, and a key of ``df`` that isn't there fail."""
+    if clash := sorted(set(columns) & set(df.columns)):
+        raise ValueError(f"columns are there already: {clash}")
+    side = attributes.select(F.col(attribute_key).alias("_key"), *columns)
+    joined, stats = checked_join(df, side, [(key, "_key")])
+    found = stats.first()
+    if found.unmatched_left or found.rows_out != df.count():
+        raise ValueError(f"{found.unmatched_left} rows without attributes, {found.rows_out} rows after the join")
+    return joined.drop("_key")
+
+
+def assemble(
+    units: DataFrame, segments: DataFrame, clusters: DataFrame, unit_segment: str, segment: str, segment_cluster: str, cluster: str,
+    tier: str, tiers: list[str], unit_tier: str | None = None, expected: dict[str, int] | None = None, within: dict[str, int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(published units with their segment's and cluster's columns, ledger of the steps).
+
+    ``expected`` declares counts of clusters, segments, units and published rows, each met within its
+    tolerance or the assembly fails. So do units without a segment, published rows without a cluster,
+    repeated keys, and, with ``unit_tier``, units whose tier isn't their segment's. Other units are
+    left out by tier. The ledger has (step, rule, grp, rows_before, rows_after, unmatched_left).
+    """
+    sizes = {"clusters": clusters.count(), "segments": segments.count(), "units": units.count()}
+    with_segment, stats = checked_join(units, segments, [(unit_segment, segment)])
+    one = stats.first()
+    if one.unmatched_left or one.rows_out != sizes["units"]:
+        raise ValueError(f"units and segments: {one.unmatched_left} unmatched, {one.rows_out} rows of {sizes['units']}")
+    if unit_tier and (n := tiers_differ(with_segment, unit_tier, tier).first().n_different):
+        raise ValueError(f"{n} units have another tier than their segment")
+    kept = published(with_segment, tier, tiers)
+    out, stats = checked_join(kept, clusters, [(segment_cluster, cluster)])
+    two = stats.first()
+    sizes["published"] = two.matched + two.unmatched_left
+    if two.unmatched_left or two.rows_out != kept.count():
+        raise ValueError(f"published rows and clusters: {two.unmatched_left} unmatched, {two.rows_out} rows")
+    declared = df_of(kept, sizes)
+    require(declared, expected or {}, within)
+    steps = [(1, "clusters, whole table", sizes["clusters"], sizes["clusters"]), (2, "segments, whole table", sizes["segments"], sizes["segments"]), (3, "units, whole table", sizes["units"], sizes["units"]),
+             (4, "units with their segment", sizes["units"], one.rows_out), (5, f"{tier} in {', '.join(tiers)}", one.rows_out, sizes["published"]), (6, "published rows with their cluster", sizes["published"], two.rows_out)]
+    ledger = kept.sparkSession.createDataFrame([(*x[:2], "all", *x[2:], 0) for x in steps], "step int, rule string, grp string, rows_before long, rows_after long, unmatched_left long")
+    return out, ledger
+
+
+def df_of(like: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """One row of counts."""
+    return like.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"`{k}` long" for k in counts))

@@ -58,6 +58,15 @@ def class_rates(frame: DataFrame, by: list[str], kind: str, classes: tuple[str,
     return out.select(*by, "n", *[x for c in classes for x in (F.col(f"n_{c}"), rate(F.col(f"n_{c}"), F.col("n"), unit).alias(f"rate_{c}"))])
 
 
+def class_gaps(frame: DataFrame, period: str, kind: str, classes: tuple[str, ...], within: Column, unit: float = 1000.0) -> DataFrame:
+    """(class, gap_pm): the rate of each class among rows that meet ``within``, post less pre, in one pass."""
+    count = lambda p, c=None: F.count_if(within & (F.col(period) == p) & (F.lit(True) if c is None else F.col(kind) == c)).cast("double")
+    wide = frame.agg(*[count(p).alias(f"n_{p}") for p in ("pre", "post")], *[count(p, c).alias(f"{c}_{p}") for c in classes for p in ("pre", "post")])
+    share = lambda c, p: F.try_divide(F.col(f"{c}_{p}"), F.col(f"n_{p}"))
+    each = [F.struct(F.lit(c).alias("class"), F.round(unit * (share(c, "post") - share(c, "pre")), DIGITS).alias("gap_pm")) for c in classes]
+    return wide.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def mean_gap(frame: DataFrame, period: str, measure: str, unit: float = 1000.0) -> DataFrame:
     """mean_pre, mean_post and their gap, post less pre."""
     at = lambda p: F.avg(F.when(F.col(period) == p, F.col(measure)))
@@ -87,3 +96,29 @@ def column_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
     wide = frame.agg(*[x for c in columns for x in (F.count(c).alias(f"{c}__n"), F.count_distinct(c).alias(f"{c}__d"))])
     each = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n_nonnull"), F.col(f"{c}__d").alias("n_distinct"), (F.col(f"{c}__d") <= 1).alias("constant")) for c in columns]
     return wide.select(F.explode(F.array(*each)).alias("p")).select("p.*")
+
+
+def flat_key(columns: list[str], separator: str = "\x1f") -> Column:
+    """One key of several columns. A part that holds the separator makes the key null, so that two keys
+    are never taken for one; ``bad_keys`` counts such rows."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    bad = F.lit(False)
+    for p in parts:
+        bad = bad | F.contains(p, F.lit(separator))
+    return F.when(~bad, F.concat_ws(separator, *parts))
+
+
+def bad_keys(frame: DataFrame, columns: list[str], separator: str = "\x1f") -> DataFrame:
+    """One row: rows whose parts hold the separator, and different keys of the others."""
+    key = flat_key(columns, separator)
+    return frame.agg(F.count_if(key.isNull()).alias("n_bad"), F.count_distinct(key).alias("n_keys"))
+
+
+def reader_counts(frame: DataFrame, by: list[str], realised: str, dur: str, readers: list[str], target: str) -> DataFrame:
+    """The counts of ``six_counts`` with one number of matches for each reader, among judgeable rows."""
+    r, d = F.col(realised), F.col(dur)
+    ok, empty, short = judgeable(r, d), F.coalesce(r, F.lit("")) == "", F.coalesce(d <= 0, F.lit(False))
+    return frame.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_judgeable"), F.count_if(empty).alias("n_empty_realized"), F.count_if(short).alias("n_dur_le_0"),
+        F.count_if(empty & short).alias("n_empty_and_zerodur"), *[F.count_if(ok & (F.col(x) == F.col(target))).alias(f"n_match_{x}") for x in readers],
+    )

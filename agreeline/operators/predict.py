@@ -40,3 +40,32 @@ def predict(seqs: DataFrame, segment: str, labeller: Callable[[list[list[str]]],
 def by_unit(predicted: DataFrame) -> DataFrame:
     """(id, hyp) rows."""
     return predicted.select(F.explode(F.arrays_zip("ids", "labels")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.labels").alias("hyp"))
+
+
+def per_character(label_words: Callable[[str], list[tuple[str, list[str] | None]]], missing: str = "?") -> Callable[[list[list[str]]], list[list[str]]]:
+    """A labeller of single characters from one of words. ``label_words`` gives the words of a text, each
+    with a label for every character or none. Words whose labels don't fit are asked for again one
+    character at a time; what has no label then, or more than one, is ``missing``. Words that don't make up
+    the text fail."""
+
+    def one(text: str) -> list[str]:
+        words = label_words(text)
+        if "".join(w for w, _ in words) != text:
+            raise ValueError("the words don't make up the text")
+        out: list[str] = []
+        for word, labels in words:
+            if labels is None:
+                out += [missing] * len(word)
+            elif len(labels) == len(word):
+                out += [x or missing for x in labels]
+            else:
+                for c in word:
+                    again = label_words(c)
+                    fits = len(again) == 1 and again[0][0] == c and again[0][1] is not None and len(again[0][1]) == 1
+                    out.append(again[0][1][0] if fits else missing)
+        return out
+
+    def labeller(batch: list[list[str]]) -> list[list[str]]:
+        return [one("".join(tokens)) for tokens in batch]
+
+    return labeller

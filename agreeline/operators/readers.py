@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frame import checked_join
 from .measures import rate
 
 
@@ -12,6 +13,43 @@ def normal(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
+def _apart() -> str:
+    """A class of the characters that full case folding changes and lower case doesn't, as ranges."""
+    points = [p for p in range(0x110000) if chr(p).casefold() != chr(p).lower()]
+    known = set(points)
+    starts, ends = [p for p in points if p - 1 not in known], [p for p in points if p + 1 not in known]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+#: Sharp s, final sigma, ligatures and others of which lower case isn't the folded form.
+APART = _apart()
+
+
+def folds_apart(c: Column) -> Column:
+    """Readings that full case folding would change where lower case doesn't: their normal forms must not
+    be compared."""
+    return F.coalesce(normal(c).rlike(APART), F.lit(False))
+
+
+def join_readers(units: DataFrame, unit_id: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """``units`` with one column for each reader, from tables of (id, hyp). Every unit must have exactly
+    one reading of each reader, or it fails; readings of other units are left out."""
+    out, n = units, units.count()
+    for name, table in tables.items():
+        side = table.select(F.col("id").alias(f"_{name}"), F.col("hyp").alias(name))
+        out, stats = checked_join(out, side, [(unit_id, f"_{name}")])
+        found = stats.first()
+        if found.unmatched_left or found.rows_out != n:
+            raise ValueError(f"reader {name}: {found.unmatched_left} units without a reading, {found.rows_out} rows for {n} units")
+        out = out.drop(f"_{name}")
+    return out
+
+
+def missing_readings(df: DataFrame, readers: list[str], where: Column) -> DataFrame:
+    """One row: of the rows that meet ``where``, how many lack each reader's reading."""
+    return df.agg(*[F.count_if(where & (F.coalesce(F.trim(r), F.lit("")) == "")).alias(r) for r in readers])
+
+
 def differs(readers: list[str]) -> Column:
     """Any two readers differ; null if a reading is missing."""
     lacking = F.exists(F.array(*[F.col(r) for r in readers]), lambda x: x.isNull())

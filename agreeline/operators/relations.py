@@ -17,6 +17,22 @@ def permute(df: DataFrame, parts: int, seed: int = 1) -> DataFrame:
     return df.repartition(parts, F.rand(seed))
 
 
+def double_predictions(predictions: DataFrame, prefix: str = "dup:") -> DataFrame:
+    """Predictions (id, hyp) and a copy of them for the units of a doubled table."""
+    return double(predictions, ["id"], prefix)
+
+
+def exclude_predictions(predictions: DataFrame, units: DataFrame, unit_id: str) -> DataFrame:
+    """Predictions without those whose unit is gone."""
+    left = units.select(F.col(unit_id).alias("_unit")).distinct()
+    return predictions.join(left, F.col("id") == F.col("_unit"), "left_semi")
+
+
+def anchor(units: DataFrame, declared: int, tolerance: int = 0) -> DataFrame:
+    """(n, declared, ok): the rows that are left after exclusion against the published number."""
+    return units.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(declared).cast("long").alias("declared"), (F.abs(F.col("n") - declared) <= tolerance).alias("ok"))
+
+
 def family(name: Column, counts: tuple[str, ...] = ("n_",), rates: tuple[str, ...] = ("agree", "gap", "rate", "share", "mean")) -> Column:
     starts = lambda ps: F.greatest(*[F.startswith(name, F.lit(p)) for p in ps]) if len(ps) > 1 else F.startswith(name, F.lit(ps[0]))
     return F.when(starts(counts), "count").when(starts(rates), "rate").otherwise("unclassified")

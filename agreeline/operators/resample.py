@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agreeline.sources.shared import bounded, cut, is_small
+
 from .measures import DIGITS
 from .robust import total_order
 
@@ -15,6 +17,8 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 LEAST_DRAWS = 1000
 #: A stratum of fewer clusters gives no reliable interval.
 LEAST_CLUSTERS = 10
+#: Up to so many cells clusters are drawn one by one; above, they get Poisson weights.
+EXACT_CLUSTERS = 1_000_000
 
 
 def seed_of(master: int, stratum: str) -> int:
@@ -32,50 +36,79 @@ def hash52(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def indexed(cells: DataFrame, stratum: str, key: str) -> DataFrame:
-    """Cells with a dense index in their stratum and the stratum's size; strata are few."""
-    sizes = cells.groupBy(F.col(stratum).alias("_st")).agg(F.count(F.lit(1)).alias("_g"))
-    ranked = total_order(cells, [key], "_i", [stratum]).withColumn("_i", F.col("_i") - 1)
-    return ranked.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_st"))).drop("_st")
+def stratum_seed(master: int, stratum: Column) -> Column:
+    """``seed_of`` as a Spark expression."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(master).cast("string"), stratum).cast("binary"), 256), 1, 8), 16, 10).cast("long")
+
+
+def indexed(cells: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+    """Cells, written once, with a dense index ``_i`` in their stratum and the stratum's size ``_g`` and seed
+    ``_seed``. Strata whose seeds are equal fail. Few cells are ranked by a window, many ones by ranges."""
+    cells = cut(cells)
+    sizes = cut(cells.groupBy(F.col(stratum).alias("_st")).agg(F.count(F.lit(1)).alias("_g")).withColumn("_seed", stratum_seed(seed, F.col("_st"))))
+    n, different = sizes.agg(F.count(F.lit(1)), F.count_distinct("_seed")).first()
+    if n != different:
+        raise ValueError("the seeds of strata aren't pairwise distinct")
+    if is_small(cells):
+        ranked = cells.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1)
+    else:
+        ranked = total_order(cells, [key], "_i", [stratum]).withColumn("_i", F.col("_i") - 1)
+    return cut(ranked.join(bounded(sizes), F.col(stratum).eqNullSafe(F.col("_st"))).drop("_st"))
 
 
-def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None) -> DataFrame:
+def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
     """(b, stratum, sums): in each of ``draws`` rounds as many clusters as the stratum has, drawn with
-    replacement by hash. Draws and clusters meet in a join on (stratum, index). With ``size``, a column
-    of that name has the stratum's number of clusters."""
-    own = indexed(cells, stratum, key)
-    sizes = own.select(F.col(stratum).alias("_s"), "_g").distinct()
-    text = F.concat_ws(":", F.lit(seed).cast("string"), F.col("_s"), F.col("b").cast("string"), F.col("k").cast("string"))
-    drawn = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
-    drawn = drawn.select("b", "_s", F.pmod(hash52(text), F.col("_g")).alias("_j"))
-    got = drawn.join(own, (F.col("_s") == F.col(stratum)) & (F.col("_j") == F.col("_i")))
+    replacement by hash. Rounds are spread over the tasks by cell; a draw finds its cluster in a
+    broadcast table where cells are few, and is added up within its task. With ``size``, a column of
+    that name has the stratum's number of clusters. Fewer than ``least`` draws fail."""
+    check_draws(draws, least)
+    own = indexed(cells, stratum, key, seed)
+    turn = own.select(F.col(stratum).alias("_s"), "_g", "_seed", F.col("_i").cast("long").alias("k")).repartition(max(8, own.sparkSession.sparkContext.defaultParallelism), "_s", "k")
+    text = F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.col("k").cast("string"))
+    drawn = turn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("b", "_s", F.pmod(hash52(text), F.col("_g")).alias("_j"))
+    got = drawn.join(bounded(own), F.col("_s").eqNullSafe(F.col(stratum)) & (F.col("_j") == F.col("_i")))
     return got.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.max("_g").alias(size)] if size else []))
 
 
-def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int) -> DataFrame:
-    """The same with Poisson weights by cluster and round: no join, and sums within tasks first."""
-    rounds = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = hash52(F.concat_ws(":", F.lit(seed).cast("string"), F.col(stratum), F.col("b").cast("string"), F.col(key).cast("string"))) / float(1 << 52)
+def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
+    """The same with Poisson weights by cluster and round: no index, no join, and sums within tasks first."""
+    check_draws(draws, least)
+    rounds = cells.withColumns({"_seed": stratum_seed(seed, F.col(stratum)), "b": F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))})
+    u = hash52(F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.col(key).cast("string"))) / float(1 << 52)
     weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    return rounds.withColumn("_w", weight).groupBy("b", stratum).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
+    return rounds.withColumn("_w", weight).groupBy("b", stratum).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums], *([F.count(F.lit(1)).alias(size)] if size else []))
 
 
-def interval(replicates: DataFrame, by: list[str], value: str, observed: Column | None = None, size: str | None = None) -> DataFrame:
-    """low and high (2.5 and 97.5 %), p two-sided, and p against the side of the observed value; with
-    ``size``, the least of that column, too."""
+def resampled_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS, exact_up_to: int = EXACT_CLUSTERS) -> DataFrame:
+    """``bootstrap_sums`` for at most ``exact_up_to`` cells, ``poisson_sums`` for more."""
+    cells = cut(cells)
+    return (bootstrap_sums if is_small(cells, exact_up_to) else poisson_sums)(cells, stratum, key, sums, draws, seed, size, least)
+
+
+def interval(replicates: DataFrame, by: list[str], value: str, observed: str | None = None, size: str | None = None) -> DataFrame:
+    """low and high (2.5 and 97.5 %), p two-sided, and with ``observed``, a column that holds the observed
+    value, p_opposite: twice the share of replicates on the other side of 0 than the observed value (0
+    counts as both). With ``size``, the least of that column, too."""
     v = F.col(value)
+    share = lambda c: F.avg(c.cast("double"))
     aggs = [
         F.count(v).alias("n_rounds"), F.round(F.percentile(v, F.lit(0.025)), DIGITS).alias("low"), F.round(F.percentile(v, F.lit(0.975)), DIGITS).alias("high"),
-        F.round(F.least(F.lit(1.0), 2 * F.least(F.avg((v > 0).cast("double")), F.avg((v < 0).cast("double")))), DIGITS).alias("p"),
-        F.round(F.least(F.lit(1.0), 2 * F.least(F.avg((v <= 0).cast("double")), F.avg((v >= 0).cast("double")))), DIGITS).alias("p_opposite"),
+        F.round(F.least(F.lit(1.0), 2 * F.least(share(v > 0), share(v < 0))), DIGITS).alias("p"),
     ]
+    if observed:
+        against = F.when(F.max(observed) >= 0, share(v <= 0)).when(F.max(observed) < 0, share(v >= 0))
+        aggs += [F.round(F.max(observed), DIGITS).alias("observed"), F.round(F.least(F.lit(1.0), 2 * against), DIGITS).alias("p_opposite")]
     if size:
         aggs.append(F.min(size).alias(size))
     return replicates.groupBy(*by).agg(*aggs) if by else replicates.agg(*aggs)
 
 
 def benjamini_hochberg(p_values: DataFrame, name: str, p: str, m: int) -> DataFrame:
-    """Adds p_bh: p * m / rank, made monotone from the largest, at most 1. One row per test."""
+    """Adds p_bh: p * m / rank, made monotone from the largest, at most 1. One row per test, few of them;
+    a number of tests other than the declared m fails."""
+    p_values = cut(p_values)
+    if (n := p_values.count()) != m:
+        raise ValueError(f"{n} tests where {m} were declared")
     up = Window.orderBy(p, name)
     down = Window.orderBy(F.desc(p), F.desc(name)).rowsBetween(Window.unboundedPreceding, 0)
     ranked = p_values.withColumn("_r", F.row_number().over(up)).withColumn("_x", F.col(p) * m / F.col("_r"))
@@ -86,5 +119,20 @@ def enough(n_clusters: Column) -> Column:
     return F.coalesce(n_clusters >= LEAST_CLUSTERS, F.lit(False))
 
 
+def conclusion(n_clusters: Column) -> Column:
+    """``inconclusive`` where the smallest stratum has too few clusters."""
+    return F.when(enough(n_clusters), "estimated").otherwise("inconclusive")
+
+
+def away(low: Column, high: Column) -> Column:
+    """Whether an interval lies on one side of 0."""
+    return F.coalesce((low > 0) | (high < 0), F.lit(False))
+
+
+def sign_flip(gap: Column, ratio: Column) -> Column:
+    """Whether the absolute and the relative gap have different signs; a missing ratio counts as a flip."""
+    return F.coalesce(F.signum(gap) != F.signum(ratio), F.lit(True))
+
+
 def verdict(low: Column, high: Column, reliable: Column) -> Column:
     return F.when(~reliable | low.isNull(), "inconclusive").when(low > 0, "gap_above_0").when(high < 0, "gap_below_0").otherwise("consistent_with_0")

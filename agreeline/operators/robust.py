@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agreeline.sources.shared import cut
+from agreeline.sources.shared import bounded, cut
 
 from .measures import DIGITS
 
@@ -37,15 +37,16 @@ def cluster_means(segments: DataFrame, cluster: list[str], by: str, measure: Col
     return segments.groupBy(*cluster, by).agg(F.round(F.avg(measure.cast("double")), DIGITS).alias("score"), F.count(measure).alias("n"), F.sum(measure.cast("double")).alias("total"))
 
 
-def median_by(clusters: DataFrame, by: str) -> DataFrame:
-    return clusters.groupBy(by).agg(F.count(F.lit(1)).alias("n_clusters"), F.round(F.percentile("score", F.lit(0.5)), DIGITS).alias("median"))
+def median_by(clusters: DataFrame, by: str, key: str = "cluster") -> DataFrame:
+    """(by, n_clusters, median) by rank, so that no task holds all clusters of a group."""
+    return ranked_median(clusters, by, "score", key).select(by, F.col("n").alias("n_clusters"), "median")
 
 
 def ranked_median(rows: DataFrame, by: str, score: str, key: str) -> DataFrame:
     """The median by rank with a tie key: the middle row, or the mean of the two middle rows."""
     some = rows.filter(F.col(score).isNotNull()).select(by, score, key)
     sizes = some.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = total_order(some, [score, key], "_r", [by]).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")))
+    ranked = total_order(some, [score, key], "_r", [by]).join(bounded(sizes), F.col(by).eqNullSafe(F.col("_by")))
     mid = ranked.filter((F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor((F.col("_n") + 2) / 2)))
     return mid.groupBy(by).agg(F.round(F.avg(score), DIGITS).alias("median"), F.first("_n").alias("n"))
 
@@ -65,10 +66,11 @@ def gap(rows: DataFrame, by: str, value: str, unit: float = 1.0, name: str = "ga
 
 
 def quantiles_np1(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Order statistics at position p * (n + 1), linear between neighbours and held at the ends."""
-    some = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    """Order statistics at position p * (n + 1), linear between neighbours and held at the ends. Equal
+    values are spread over the ranges by a number of their own."""
+    some = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("_tie"))
     sizes = some.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = total_order(some, ["v"], "r", [by]).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")))
+    ranked = total_order(some, ["v", "_tie"], "r", [by]).join(bounded(sizes), F.col(by).eqNullSafe(F.col("_by")))
     cols = []
     for name, p in points.items():
         at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), p * (F.col("n") + 1)))
@@ -77,6 +79,17 @@ def quantiles_np1(df: DataFrame, by: str, value: str, points: dict[str, float])
     return ranked.groupBy(by).agg(F.max("n").alias("n"), *cols)
 
 
+def profile(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n_nonnull, n_distinct, min, p25, median, p75, max, constant) of a number in each group."""
+    v = F.col(value)
+    wide = df.groupBy(by).agg(
+        F.count(v).alias("n_nonnull"), F.count_distinct(v).alias("n_distinct"), F.round(F.min(v), DIGITS).alias("min"), F.round(F.max(v), DIGITS).alias("max"), (F.count_distinct(v) <= 1).alias("constant")
+    )
+    points = quantiles_np1(df, by, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).drop("n").withColumnRenamed(by, "_by")
+    out = wide.join(points, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return out.select(by, "n_nonnull", "n_distinct", "min", "p25", "median", "p75", "max", "constant")
+
+
 def triptych(row: DataFrame, names: tuple[str, str, str] = ("row", "median", "trim")) -> DataFrame:
     """The three gaps with ``inconclusive``: any two differ in sign, one is zero and one isn't, or
     one is more than twice the other."""

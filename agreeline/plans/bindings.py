@@ -56,12 +56,15 @@ def published_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.join(c, s["seg_cluster"] == c["cluster"])
 
 
-def readers(spark: SparkSession, d: str) -> DataFrame:
-    """Three readers of each unit, the target and the baseline."""
-    u = assembled(spark, d)
+def reader_columns() -> list:
+    """Three readers of each assembled unit, the target and the baseline."""
     c = F.when(F.col("l_returnflag") == "R", "F").when(F.col("l_returnflag") == "N", "O").when(F.col("l_returnflag") == "A", "P")
     target = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("type") % 3 + 1).cast("int"))
-    return u.select("cluster", "period", "type", F.col("l_linestatus").alias("a"), F.col("tier").alias("b"), c.alias("c"), F.lit("O").alias("base"), target.alias("target"))
+    return ["cluster", "period", "type", F.col("l_linestatus").alias("a"), F.col("tier").alias("b"), c.alias("c"), F.lit("O").alias("base"), target.alias("target")]
+
+
+def readers(spark: SparkSession, d: str) -> DataFrame:
+    return assembled(spark, d).select(*reader_columns())
 
 
 SEGMENTS_SQL = """

@@ -27,7 +27,10 @@ def query(sql: str | None = None):
 FINGERPRINTED = ["o_orderkey", "o_custkey", "o_orderstatus"]
 
 
-@query("""SELECT 'orders' AS name, count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', coalesce(o_orderkey::VARCHAR, chr(0) || 'null'), coalesce(o_custkey::VARCHAR, chr(0) || 'null'), coalesce(o_orderstatus, chr(0) || 'null'))), 1, 8))::UBIGINT::HUGEINT)::VARCHAR AS digest FROM orders""")
+_HASHED = ", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}, 'null')" for c in FINGERPRINTED)
+
+
+@query(f"SELECT 'orders' AS name, count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', {_HASHED})), 1, 15))::UBIGINT::HUGEINT)::VARCHAR AS digest FROM orders")
 def a09_fingerprint(spark, d):
     return tables.fingerprint(tables.load(spark, d, "orders", FINGERPRINTED), FINGERPRINTED, "orders")
 
@@ -40,12 +43,12 @@ def a10_inventory(spark, d):
     return tables.inventory({t: tables.load(spark, d, t) for t in INVENTORY})
 
 
-@query("""WITH p AS (SELECT l_orderkey AS id, CASE WHEN l_quantity > 49 THEN ' ' ELSE l_returnflag END AS v FROM lineitem WHERE l_linenumber <= 2), k AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P')
+@query("""WITH p AS (SELECT doc_id AS id, lang AS v FROM documents), k AS (SELECT DISTINCT doc_id AS id FROM labels)
 SELECT 'repeated' AS kind, id FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'blank', id FROM p WHERE trim(coalesce(v, '')) = '' UNION ALL SELECT 'unknown', id FROM p WHERE id NOT IN (SELECT id FROM k)""")
 def a03_prediction_checks(spark, d):
-    p = tables.load(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_quantity") > 49, " ").otherwise(F.col("l_returnflag")).alias("hyp"))
-    known = tables.load(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
-    return tables.violations(p, known)
+    """All documents' languages as predictions for the labelled documents."""
+    p = tables.load(spark, d, "documents", ["doc_id", "lang"]).select(F.col("doc_id").alias("id"), F.col("lang").alias("hyp"))
+    return tables.violations(p, tables.load(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 
 def _wide(u):
@@ -147,11 +150,6 @@ def l02_l03_pooled_mer(spark, d):
     return textscore.mixed_error(p, "ref", "hyp", ["grp"])
 
 
-def initials(batch: list[list[str]]) -> list[list[str]]:
-    """The demonstration labeller: the first letter of a role; nothing for a missing one."""
-    return [[(t or "")[:1] for t in tokens] for tokens in batch]
-
-
 def _turns(spark, d):
     t = tables.load(spark, d, "conversations", ["conv_id", "turn", "role"])
     return predict.sequences(t.withColumn("id", F.concat_ws(":", "conv_id", "turn")), "conv_id", "turn", "id", "role")

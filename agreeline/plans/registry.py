@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement, checks, resampling, robustness
+from . import agreement, checks, frames, resampling, robustness
 
-QUERIES = {**agreement.QUERIES, **robustness.QUERIES, **resampling.QUERIES, **checks.QUERIES}
-ORACLES = {**agreement.ORACLES, **robustness.ORACLES, **resampling.ORACLES, **checks.ORACLES}
+QUERIES = {**agreement.QUERIES, **robustness.QUERIES, **resampling.QUERIES, **checks.QUERIES, **frames.QUERIES}
+ORACLES = {**agreement.ORACLES, **robustness.ORACLES, **resampling.ORACLES, **checks.ORACLES, **frames.ORACLES}

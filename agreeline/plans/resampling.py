@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from agreeline.operators import decompose, measures, resample
 from agreeline.operators import readers as rd
 from agreeline.sources import tables
+from agreeline.sources.shared import cut
 
-from .bindings import CLASSES, READERS_SQL, UNITS_SQL, readers, units
+from .bindings import CLASSES, READERS_SQL, UNITS_SQL, clusters, published_segments, readers, units
 from .robustness import CELLS_SQL, cells
 
 QUERIES, ORACLES = {}, {}
-DRAWS, SEED = 200, 20250918
+DRAWS, SEED = 2000, 20250918
 
 
 def query(sql: str | None = None):
@@ -25,16 +26,30 @@ def query(sql: str | None = None):
     return add
 
 
+def _seed_sql(stratum: str) -> str:
+    return f"('0x' || substr(sha256('{SEED}:' || {stratum}), 1, 8))::UBIGINT::VARCHAR"
+
+
 def _draws_sql(cells: str, key: str, stratum: str, sums: list[str]) -> str:
     return f"""ix AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY {key}) - 1 AS i, count(*) OVER (PARTITION BY {stratum}) AS g FROM {cells}),
-sz AS (SELECT DISTINCT {stratum} AS st, g FROM ix), dr AS (SELECT st, b, (('0x' || substr(md5(concat_ws(':', '{SEED}', st, b::VARCHAR, k::VARCHAR)), 1, 13))::UBIGINT % g::UBIGINT)::BIGINT AS j
-  FROM (SELECT st, g, b, unnest(range(g)) AS k FROM sz, range({DRAWS}) t(b))),
-bs AS (SELECT b, {stratum}, {', '.join(f'sum({s})::BIGINT AS {s}' for s in sums)} FROM dr JOIN ix ON st = {stratum} AND j = i GROUP BY ALL)"""
+sz AS (SELECT DISTINCT {stratum} AS st, g, {_seed_sql(stratum)} AS sd FROM ix), dr AS (SELECT st, b, (('0x' || substr(md5(concat_ws(':', sd, b::VARCHAR, k::VARCHAR)), 1, 13))::UBIGINT % g::UBIGINT)::BIGINT AS j
+  FROM (SELECT st, sd, g, b, unnest(range(g)) AS k FROM sz, range({DRAWS}) t(b))),
+bs AS (SELECT b, {stratum}, min(g) AS g, {', '.join(f'sum({s})::BIGINT AS {s}' for s in sums)} FROM dr JOIN ix ON st = {stratum} AND j = i GROUP BY b, {stratum})"""
 
 
-def _interval_sql(value: str, table: str, by: str = "") -> str:
+def _interval_sql(value: str, table: str, by: str = "", observed: str = "obs") -> str:
+    """Intervals, and the tail of the replicates on the other side of 0 than the observed value."""
     return f"""SELECT {by + ',' if by else ''} count({value}) AS n_rounds, round(quantile_cont({value}, 0.025), 6) AS low, round(quantile_cont({value}, 0.975), 6) AS high,
-round(least(1.0, 2 * least(avg(({value} > 0)::INT), avg(({value} < 0)::INT))), 6) AS p, round(least(1.0, 2 * least(avg(({value} <= 0)::INT), avg(({value} >= 0)::INT))), 6) AS p_opposite FROM {table} {'GROUP BY ' + by if by else ''}"""
+round(least(1.0, 2 * least(avg(({value} > 0)::INT), avg(({value} < 0)::INT))), 6) AS p, round(max({observed}), 6) AS observed,
+round(least(1.0, 2 * CASE WHEN max({observed}) >= 0 THEN avg(({value} <= 0)::INT) ELSE avg(({value} >= 0)::INT) END), 6) AS p_opposite, min(g) AS n_clusters FROM {table} {'GROUP BY ' + by if by else ''}"""
+
+
+def _with_observed(replicates, point, by: list[str], name: str):
+    """Replicates with the observed value of the same statistic, one row for each of ``by``."""
+    one = point.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(name).alias("obs"))
+    if not by:
+        return replicates.crossJoin(F.broadcast(one))  # a single row
+    return replicates.join(F.broadcast(one), F.col(by[0]) == F.col(f"_{by[0]}")).drop(f"_{by[0]}")  # as many rows as classes
 
 
 BOOT_SQL = f"{CELLS_SQL}, {_draws_sql('cells', 'cluster', 'period', ['n_judgeable', 'n_match'])}"
@@ -55,17 +70,23 @@ def i03_bootstrap_sums(spark, d):
     return _boot(spark, d).select("b", "period", "n_judgeable", "n_match")
 
 
-@query(f"""WITH {BOOT_SQL}, gp AS (SELECT b, {GAP} AS gap FROM (SELECT b, period, n_match::DOUBLE / n_judgeable AS k FROM bs) GROUP BY b), iv AS ({_interval_sql("gap", "gp")})
-SELECT *, CASE WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict FROM iv""")
+POINT_SQL = f"(SELECT {GAP} AS obs FROM (SELECT period, sum(n_match)::DOUBLE / nullif(sum(n_judgeable), 0) AS k FROM cells GROUP BY period))"
+
+
+@query(f"""WITH {BOOT_SQL}, gp AS (SELECT b, {GAP} AS gap, min(g) AS g FROM (SELECT b, g, period, n_match::DOUBLE / n_judgeable AS k FROM bs) GROUP BY b), iv AS ({_interval_sql("gap", f"(SELECT * FROM gp, {POINT_SQL})")})
+SELECT * EXCLUDE n_clusters, CASE WHEN n_clusters < 10 THEN 'inconclusive' WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict FROM iv""")
 def i04_i08_gap_interval(spark, d):
-    out = resample.interval(_gap_of(_boot(spark, d)), [], "gap", size="n_clusters")
+    c = cut(cells(spark, d))
+    gaps = _gap_of(resample.resampled_sums(c, "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED, "n_clusters"))
+    point = _gap_of(c.groupBy("period").agg(F.lit(0).alias("b"), F.sum("n_judgeable").alias("n_judgeable"), F.sum("n_match").alias("n_match"), F.lit(0).alias("n_clusters")))
+    out = resample.interval(_with_observed(gaps, point, [], "gap"), [], "gap", "obs", "n_clusters")
     return out.withColumn("verdict", resample.verdict(F.col("low"), F.col("high"), resample.enough(F.col("n_clusters")))).drop("n_clusters")
 
 
 POISSON_SQL = " + ".join(f"(h >= {p!r}::DOUBLE)::INT" for p in resample.POISSON)
 
 
-@query(f"""WITH {CELLS_SQL}, w AS (SELECT b, period, n_judgeable, n_match, ('0x' || substr(md5(concat_ws(':', '{SEED}', period, b::VARCHAR, cluster::VARCHAR)), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS h FROM cells, range({DRAWS}) t(b))
+@query(f"""WITH {CELLS_SQL}, w AS (SELECT b, period, n_judgeable, n_match, ('0x' || substr(md5(concat_ws(':', {_seed_sql('period')}, b::VARCHAR, cluster::VARCHAR)), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS h FROM cells, range({DRAWS}) t(b))
 SELECT b::INT AS b, period, sum(n_judgeable * ({POISSON_SQL}))::BIGINT AS n_judgeable, sum(n_match * ({POISSON_SQL}))::BIGINT AS n_match FROM w GROUP BY ALL""")
 def i03p_poisson_sums(spark, d):
     return resample.poisson_sums(cells(spark, d), "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED).select("b", "period", "n_judgeable", "n_match")
@@ -88,33 +109,61 @@ def i09_decomposition_bootstrap(spark, d):
 
 
 KINDS = [*CLASSES[:2], "exact_alt"]
-CLASS_CELLS = ", ".join(f"sum((ok AND verdict = '{c}')::INT)::BIGINT AS n_{c}" for c in KINDS)
+CLASS_CELLS = ", ".join(f"coalesce(sum((ok AND verdict = '{c}')::INT), 0)::BIGINT AS n_{c}" for c in KINDS)
+#: Every cluster in both periods: those without a unit there stay, with sums of 0.
+BASE_SQL = "(SELECT cg.cluster, p.period FROM cg CROSS JOIN (VALUES ('pre'), ('post')) p(period))"
 
 
-@query(f"""WITH {UNITS_SQL}, k AS (SELECT cluster, period, sum(ok::INT)::BIGINT AS n, {CLASS_CELLS} FROM u WHERE period <> 'unassigned' GROUP BY ALL), {_draws_sql('k', 'cluster', 'period', ['n', *(f'n_{c}' for c in KINDS)])},
-l AS ({' UNION ALL '.join(f"SELECT b, period, '{c}' AS class, n_{c}::DOUBLE / n AS x FROM bs" for c in KINDS)}),
-g AS (SELECT b, class, 1000 * (max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre')) AS gap FROM l GROUP BY ALL), iv AS ({_interval_sql("gap", "g", "class")}),
-rk AS (SELECT *, row_number() OVER (ORDER BY p, class) AS r FROM iv), bh AS (SELECT *, p * 3 / r AS x FROM rk)
-SELECT class, n_rounds, low, high, p, p_opposite, round(least(1.0, min(x) OVER (ORDER BY p DESC, class DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh FROM bh""")
-def i10_class_gaps_bh(spark, d):
-    u = units(spark, d).filter("period <> 'unassigned'")
-    k = u.groupBy("cluster", "period").agg(F.sum(F.col("ok").cast("long")).alias("n"), *[F.sum((F.col("ok") & (F.col("verdict") == c)).cast("long")).alias(f"n_{c}") for c in KINDS])
-    sums = resample.bootstrap_sums(k, "period", "cluster", ["n", *[f"n_{c}" for c in KINDS]], DRAWS, SEED)
-    long = sums.select("b", "period", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.try_divide(F.col(f"n_{c}").cast("double"), F.col("n").cast("double")).alias("x")) for c in KINDS])).alias("z")).select("b", "period", "z.*")
-    at = lambda p: F.max(F.when(F.col("period") == p, F.col("x")))
-    gaps = long.groupBy("b", "class").agg((1000 * (at("post") - at("pre"))).alias("gap"))
-    return resample.benjamini_hochberg(resample.interval(gaps, ["class"], "gap"), "class", "p", len(KINDS))
+def _base(spark, d):
+    return clusters(spark, d).select("cluster").withColumn("period", F.explode(F.array(F.lit("pre"), F.lit("post"))))
 
 
-@query(f"""WITH {UNITS_SQL}, k AS (SELECT cluster, period, count(*) AS n, sum(flag)::BIGINT AS n_flag FROM ps WHERE period <> 'unassigned' GROUP BY ALL), {_draws_sql('k', 'cluster', 'period', ['n', 'n_flag'])},
-g AS (SELECT b, 1000 * (max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre')) AS gap FROM (SELECT b, period, n_flag::DOUBLE / n AS x FROM bs) GROUP BY b) {_interval_sql("gap", "g")}""")
-def i11_flag_gap_bootstrap(spark, d):
-    from .bindings import published_segments
+def _at(period, value):
+    return F.max(F.when(F.col("period") == period, F.col(value)))
+
 
-    k = published_segments(spark, d).filter("period <> 'unassigned'").groupBy("cluster", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("flag").alias("n_flag"))
-    sums = resample.bootstrap_sums(k, "period", "cluster", ["n", "n_flag"], DRAWS, SEED)
-    at = lambda p: F.max(F.when(F.col("period") == p, F.try_divide(F.col("n_flag").cast("double"), F.col("n").cast("double"))))
-    return resample.interval(sums.groupBy("b").agg((1000 * (at("post") - at("pre"))).alias("gap")), [], "gap")
+@query(f"""WITH {UNITS_SQL}, k AS (SELECT base.cluster, base.period, coalesce(sum(ok::INT), 0)::BIGINT AS n, {CLASS_CELLS} FROM {BASE_SQL} base LEFT JOIN u ON u.cluster = base.cluster AND u.period = base.period GROUP BY ALL), {_draws_sql('k', 'cluster', 'period', ['n', *(f'n_{c}' for c in KINDS)])},
+l AS ({' UNION ALL '.join(f"SELECT b, g, period, '{c}' AS class, n_{c}::DOUBLE / nullif(n, 0) AS x FROM bs" for c in KINDS)}),
+gp AS (SELECT b, class, min(g) AS g, 1000 * (max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre')) AS gap FROM l GROUP BY b, class),
+pt AS (SELECT class, 1000 * (max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre')) AS obs FROM ({' UNION ALL '.join(f"SELECT period, '{c}' AS class, sum(n_{c})::DOUBLE / nullif(sum(n), 0) AS x FROM k GROUP BY period" for c in KINDS)}) GROUP BY class),
+iv AS ({_interval_sql("gap", "(SELECT * FROM gp JOIN pt USING (class))", "class")}),
+rk AS (SELECT *, row_number() OVER (ORDER BY p_opposite, class) AS r FROM iv), bh AS (SELECT *, p_opposite * 3 / r AS x FROM rk)
+SELECT class, n_rounds, low, high, p, observed, p_opposite, round(least(1.0, min(x) OVER (ORDER BY p_opposite DESC, class DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh, CASE WHEN n_clusters < 10 THEN 'inconclusive' ELSE 'estimated' END AS conclusion FROM bh""")
+def i10_class_gaps_bh(spark, d):
+    counts = {"n": F.col("ok"), **{f"n_{c}": F.col("ok") & (F.col("verdict") == c) for c in KINDS}}
+    k = cut(decompose.cluster_cells(_base(spark, d), units(spark, d), ["cluster", "period"], counts))
+    shares = lambda sums: sums.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.try_divide(F.col(f"n_{c}").cast("double"), F.col("n").cast("double")).alias("x")) for c in KINDS])).alias("z")).select("*", "z.*")
+    sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, "n_clusters")
+    gap = (1000 * (_at("post", "x") - _at("pre", "x"))).alias("gap")
+    gaps = shares(sums).groupBy("b", "class").agg(gap, F.min("n_clusters").alias("n_clusters"))
+    point = shares(k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])).groupBy("class").agg(gap)
+    out = resample.interval(_with_observed(gaps, point, ["class"], "gap"), ["class"], "gap", "obs", "n_clusters")
+    out = resample.benjamini_hochberg(out, "class", "p_opposite", len(KINDS))
+    return out.withColumn("conclusion", resample.conclusion(F.col("n_clusters"))).drop("n_clusters")
+
+
+@query(f"""WITH {UNITS_SQL}, k AS (SELECT base.cluster, base.period, count(ps.segment) AS n, coalesce(sum(flag), 0)::BIGINT AS n_flag, coalesce(sum(round(100 * measure)::BIGINT), 0)::BIGINT AS total FROM {BASE_SQL} base LEFT JOIN ps ON ps.cluster = base.cluster AND ps.period = base.period GROUP BY ALL), {_draws_sql('k', 'cluster', 'period', ['n', 'n_flag', 'total'])},
+l AS (SELECT b, g, period, 'flag_pm' AS rate, 1000 * n_flag::DOUBLE / nullif(n, 0) AS x FROM bs UNION ALL SELECT b, g, period, 'measure', total::DOUBLE / 100 / nullif(n, 0) FROM bs),
+gp AS (SELECT b, rate, min(g) AS g, max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre') AS gap FROM l GROUP BY b, rate),
+pt AS (SELECT rate, max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre') AS obs FROM (SELECT period, 'flag_pm' AS rate, 1000 * sum(n_flag)::DOUBLE / nullif(sum(n), 0) AS x FROM k GROUP BY period UNION ALL SELECT period, 'measure', sum(total)::DOUBLE / 100 / nullif(sum(n), 0) FROM k GROUP BY period) GROUP BY rate),
+iv AS ({_interval_sql("gap", "(SELECT * FROM gp JOIN pt USING (rate))", "rate")}),
+rk AS (SELECT *, row_number() OVER (ORDER BY p_opposite, rate) AS r FROM iv), bh AS (SELECT *, p_opposite * 2 / r AS x FROM rk)
+SELECT rate, n_rounds, low, high, p, observed, p_opposite, round(least(1.0, min(x) OVER (ORDER BY p_opposite DESC, rate DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh, CASE WHEN n_clusters < 10 THEN 'inconclusive' ELSE 'estimated' END AS conclusion FROM bh""")
+def i11_flag_gap_bootstrap(spark, d):
+    """A flag's rate and a measure's mean (added up in hundredths, so that sums are exact)."""
+    counts = {"n": F.lit(1), "n_flag": F.col("flag"), "total": F.round(100 * F.col("measure"))}
+    k = cut(decompose.cluster_cells(_base(spark, d), published_segments(spark, d), ["cluster", "period"], counts))
+    rates = lambda sums: sums.select("*", F.explode(F.array(
+        F.struct(F.lit("flag_pm").alias("rate"), (1000 * F.try_divide(F.col("n_flag").cast("double"), F.col("n").cast("double"))).alias("x")),
+        F.struct(F.lit("measure").alias("rate"), F.try_divide(F.col("total").cast("double") / 100, F.col("n").cast("double")).alias("x")),
+    )).alias("z")).select("*", "z.*")
+    sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, "n_clusters")
+    gap = (_at("post", "x") - _at("pre", "x")).alias("gap")
+    gaps = rates(sums).groupBy("b", "rate").agg(gap, F.min("n_clusters").alias("n_clusters"))
+    point = rates(k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])).groupBy("rate").agg(gap)
+    out = resample.interval(_with_observed(gaps, point, ["rate"], "gap"), ["rate"], "gap", "obs", "n_clusters")
+    out = resample.benjamini_hochberg(out, "rate", "p_opposite", 2)
+    return out.withColumn("conclusion", resample.conclusion(F.col("n_clusters"))).drop("n_clusters")
 
 
 MAIN = "(a <> b OR b <> c OR a <> c)"
@@ -125,23 +174,30 @@ def i12_reader_gap_bootstrap(spark, d):
     r = readers(spark, d).filter(rd.differs(["a", "b", "c"]))
     names = {"a": "m_a", "b": "m_b", "c": "m_c", "base": "m_base"}
     k = r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]).withColumn("stratum", F.lit("all"))
-    sums = resample.bootstrap_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, "n_clusters")
+    k = cut(k)
+    sums = resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, "n_clusters")
     gap = lambda m: F.struct(F.lit(m[2:]).alias("reader"), (1000 * F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("n").cast("double"))).alias("gap"), F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("m_base").cast("double")).alias("rel"))
-    long = sums.select("n_clusters", F.explode(F.array(*[gap(m) for m in ("m_a", "m_b", "m_c")])).alias("x")).select("n_clusters", "x.*")
-    out = resample.interval(long, ["reader"], "gap", size="n_clusters")
+    each = lambda df: df.select("*", F.explode(F.array(*[gap(m) for m in ("m_a", "m_b", "m_c")])).alias("x")).select("*", "x.*")
+    point = each(k.agg(*[F.sum(c).alias(c) for c in ("n", *names.values())]))
+    long = _with_observed(each(sums).select("n_clusters", "reader", "gap", "rel"), point, ["reader"], "gap")
+    out = resample.interval(long, ["reader"], "gap", "obs", "n_clusters")
     rel = resample.interval(long, ["reader"], "rel").select(F.col("reader").alias("r"), F.col("low").alias("rel_low"), F.col("high").alias("rel_high"), F.col("n_rounds").alias("n_comparable"))
-    out = out.join(rel, F.col("reader") == F.col("r")).drop("r")
-    sure = resample.enough(F.col("n_clusters"))
-    one, two = resample.verdict(F.col("low"), F.col("high"), sure), resample.verdict(F.col("rel_low"), F.col("rel_high"), sure)
-    return out.withColumn("verdict", one).withColumn("conclusion_flip", one != two).drop("n_clusters")
+    ratio = point.select(F.col("reader").alias("q"), F.col("rel").alias("ratio"))
+    out = out.join(rel, F.col("reader") == F.col("r")).join(ratio, F.col("reader") == F.col("q"))
+    one, two = resample.away(F.col("low"), F.col("high")), resample.away(F.col("rel_low"), F.col("rel_high"))
+    out = out.withColumn("verdict", resample.verdict(F.col("low"), F.col("high"), resample.enough(F.col("n_clusters"))))
+    out = out.withColumn("sign_flip", resample.sign_flip(F.col("observed"), F.col("ratio")))
+    return out.withColumn("conclusion_flip", F.col("sign_flip") | (one != two)).drop("n_clusters", "r", "q", "ratio")
 
 
 ORACLES["i12_reader_gap_bootstrap"] = f"""WITH {READERS_SQL}, k AS (SELECT cluster, 'all' AS stratum, count(*) AS n, sum((a = target)::INT)::BIGINT AS m_a, sum((b = target)::INT)::BIGINT AS m_b, sum((c = target)::INT)::BIGINT AS m_c, sum((base = target)::INT)::BIGINT AS m_base FROM rd WHERE {MAIN} GROUP BY cluster),
 {_draws_sql('k', 'cluster', 'stratum', ['n', 'm_a', 'm_b', 'm_c', 'm_base'])},
-g AS ({' UNION ALL '.join(f"SELECT '{r}' AS reader, 1000 * ((m_{r} - m_base)::DOUBLE / n) AS gap, (m_{r} - m_base)::DOUBLE / nullif(m_base, 0) AS rel FROM bs" for r in 'abc')}),
-iv AS ({_interval_sql("gap", "g", "reader")}), rl AS (SELECT reader, count(rel) AS n_comparable, round(quantile_cont(rel, 0.025), 6) AS rel_low, round(quantile_cont(rel, 0.975), 6) AS rel_high FROM g GROUP BY reader),
-v AS (SELECT *, CASE WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict, CASE WHEN rel_low > 0 THEN 'gap_above_0' WHEN rel_high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS v2 FROM iv JOIN rl USING (reader))
-SELECT reader, n_rounds, low, high, p, p_opposite, n_comparable, rel_low, rel_high, verdict, verdict <> v2 AS conclusion_flip FROM v"""
+gp AS ({' UNION ALL '.join(f"SELECT '{r}' AS reader, g, 1000 * ((m_{r} - m_base)::DOUBLE / n) AS gap, (m_{r} - m_base)::DOUBLE / nullif(m_base, 0) AS rel FROM bs" for r in 'abc')}),
+pt AS ({' UNION ALL '.join(f"SELECT '{r}' AS reader, 1000 * (sum(m_{r} - m_base)::DOUBLE / sum(n)) AS obs, sum(m_{r} - m_base)::DOUBLE / nullif(sum(m_base), 0) AS ratio FROM k" for r in 'abc')}),
+iv AS ({_interval_sql("gap", "(SELECT * FROM gp JOIN pt USING (reader))", "reader")}), rl AS (SELECT reader, count(rel) AS n_comparable, round(quantile_cont(rel, 0.025), 6) AS rel_low, round(quantile_cont(rel, 0.975), 6) AS rel_high FROM gp GROUP BY reader),
+v AS (SELECT *, ratio IS NULL OR sign(observed) <> sign(ratio) AS sign_flip, coalesce(low > 0 OR high < 0, false) AS one, coalesce(rel_low > 0 OR rel_high < 0, false) AS two FROM iv JOIN rl USING (reader) JOIN pt USING (reader))
+SELECT reader, n_rounds, low, high, p, observed, p_opposite, n_comparable, rel_low, rel_high, CASE WHEN n_clusters < 10 THEN 'inconclusive' WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict,
+  sign_flip, sign_flip OR one <> two AS conclusion_flip FROM v"""
 
 
 @query(f"WITH {READERS_SQL} SELECT {MAIN} AS main, count(*) AS n FROM rd GROUP BY 1")

@@ -89,11 +89,11 @@ def e05_order_statistics(spark, d):
     return robust.quantiles_np1(tables.load(spark, d, "events"), "event_type", "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
-@query("SELECT event_type, count(value) AS n_nonnull, count(DISTINCT value) AS n_distinct, round(min(value), 6) AS min, round(max(value), 6) AS max, count(DISTINCT value) <= 1 AS constant FROM events GROUP BY 1")
+@query("WITH z AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), q AS (SELECT event_type AS e, "
+       + ", ".join(_quantile_sql(p, n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))) + " FROM z GROUP BY 1) SELECT event_type, count(value) AS n_nonnull, count(DISTINCT value) AS n_distinct, round(min(value), 6) AS min, max(p25) AS p25, max(median) AS median, max(p75) AS p75, "
+       "round(max(value), 6) AS max, count(DISTINCT value) <= 1 AS constant FROM events LEFT JOIN q ON event_type = e GROUP BY 1")
 def e06_profile(spark, d):
-    return tables.load(spark, d, "events").groupBy("event_type").agg(
-        F.count("value").alias("n_nonnull"), F.count_distinct("value").alias("n_distinct"), F.round(F.min("value"), 6).alias("min"), F.round(F.max("value"), 6).alias("max"), (F.count_distinct("value") <= 1).alias("constant")
-    )
+    return robust.profile(tables.load(spark, d, "events"), "event_type", "value")
 
 
 @query(f"""WITH {MEANS_SQL}, m AS (SELECT period, round(quantile_cont(score, 0.5), 6) AS x FROM k GROUP BY period), md AS (SELECT round(max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre'), 3) AS median FROM m),

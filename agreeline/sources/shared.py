@@ -1,16 +1,36 @@
-"""Cutting lineage: rows written once to the folder that driver and executors share."""
+"""What tables go through between jobs: rows written once to the folder that driver and executors
+share, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only if it was counted and has at most so many rows.
+BROADCAST_ROWS = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed under ``spark.checkpoint.dir``; only where that is unset, as on one
-    machine, under a temporary folder."""
+    """The same rows, checkpointed under ``spark.checkpoint.dir``; only where that is unset and Spark runs
+    on one machine, as in tests, under a temporary folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df``, which should be written or cheap to count, has at most ``rows`` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written once, with a broadcast hint if it has at most ``rows`` rows; larger ones are joined
+    by a shuffle, whose skewed keys adaptive execution splits."""
+    df = cut(df)
+    return F.broadcast(df) if is_small(df, rows) else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from datetime import datetime, timezone
 
@@ -19,9 +20,41 @@ def load(spark: SparkSession, folder: str, table: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def json_rows(spark: SparkSession, path: str, keys: tuple[str, str]) -> DataFrame:
+    """The two text values of each line of a JSON lines file. A line that is no JSON object, a value that
+    is missing or no text, and a file without rows fail; blank lines don't count."""
+    line = F.try_parse_json(F.col("value"))
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(line.alias("v"))
+    is_text = lambda k: F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) == "STRING"
+    fine = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")) & is_text(keys[0]) & is_text(keys[1]), F.lit(False))
+    n, good = lines.agg(F.count(F.lit(1)), F.count_if(fine)).first()
+    if not n:
+        raise ValueError(f"{path} holds no rows")
+    if n != good:
+        raise ValueError(f"{n - good} lines of {path} are no objects with the texts {keys}")
+    return lines.select(*[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in keys])
+
+
+def unique_texts(rows: DataFrame, value: str, what: str) -> DataFrame:
+    """The rows themselves; an id that stands twice or a blank value fails."""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"), F.count_if(F.coalesce(F.trim(value), F.lit("")) == "").alias("blank")).first()
+    if r.n != r.d or r.blank:
+        raise ValueError(f"{what}: {r.n - r.d} repeated ids, {r.blank} blank values")
+    return rows
+
+
 def read_predictions(spark: SparkSession, path: str, value: str = "hyp") -> DataFrame:
-    """JSON lines of (id, value); a line that is no such JSON fails the read."""
-    return spark.read.schema(f"id string, {value} string").option("mode", "FAILFAST").json(path)
+    """(id, value) of a JSON lines file, as ``json_rows`` reads it; ``violations`` checks the ids."""
+    return json_rows(spark, path, ("id", value))
+
+
+def read_references(spark: SparkSession, path: str) -> DataFrame:
+    """(id, ref) of a JSON lines file; ids that repeat and references without a letter, mark or number
+    fail."""
+    rows = unique_texts(json_rows(spark, path, ("id", "ref")), "ref", path)
+    if rows.filter(~F.col("ref").rlike(r"[\p{L}\p{M}\p{N}]")).limit(1).count():
+        raise ValueError(f"{path} has a reference with nothing to count")
+    return rows
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -39,10 +72,46 @@ def violations(predictions: DataFrame, units: DataFrame, id_col: str = "id", val
 
 
 def fingerprint(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """(name, n_rows, digest): order-insensitive, in one aggregate; nulls differ from all text."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
-    value = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(value), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
+    """(name, n_rows, digest): order-insensitive, in one aggregate. Values are hashed with their lengths,
+    so no value runs into the next one, and nulls differ from all text; 60 bits of each row count."""
+    value = lambda c: F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
+    text = F.concat_ws("|", *[F.coalesce(value(F.col(c)), F.lit("null")) for c in columns])
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
+
+
+def manifest(inputs: dict[str, DataFrame], ledger: DataFrame | None = None) -> DataFrame:
+    """(kind, name, n_rows, detail): each input with its rows and columns, and the steps of a ledger
+    (step, rule, grp, rows_before, rows_after) with what they left. A run writes it beside its outputs."""
+    rows = [df.agg(F.lit("input").alias("kind"), F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.lit(",".join(df.columns)).alias("detail")) for n, df in sorted(inputs.items())]
+    if ledger is not None:
+        detail = F.concat_ws(" ", F.col("rule"), F.concat(F.lit("from "), F.col("rows_before").cast("string")))
+        rows.append(ledger.select(F.lit("step").alias("kind"), F.concat_ws(":", F.col("step").cast("string"), F.coalesce(F.col("grp").cast("string"), F.lit("null"))).alias("name"), F.col("rows_after").alias("n_rows"), detail.alias("detail")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+PROVENANCE = ("script_commit", "model", "model_revision", "decoding", "device", "dirty")
+
+
+def provenance(card: dict) -> dict:
+    """The record of how predictions were made; fails unless it names commit and revision by full hashes,
+    model and device, has decoding settings, and says that nothing was uncommitted."""
+    lacking = [k for k in PROVENANCE if k not in card]
+    full = [k for k in ("script_commit", "model_revision") if k in card and not (isinstance(card[k], str) and re.fullmatch(r"[0-9a-f]{40}", card[k]))]
+    blank = [k for k in ("model", "device") if k in card and not (isinstance(card[k], str) and card[k].strip())]
+    settings = [] if "decoding" not in card or (isinstance(card["decoding"], dict) and card["decoding"]) else ["decoding"]
+    clean = [] if "dirty" not in card or card["dirty"] is False else ["dirty"]
+    if wrong := lacking + full + blank + settings + clean:
+        raise ValueError(f"the provenance record lacks or misstates {wrong}")
+    return card
+
+
+def with_provenance(predictions: DataFrame, card: dict) -> DataFrame:
+    """Predictions, each row with its checked record as one column of JSON."""
+    return predictions.withColumn("made_by", F.lit(json.dumps(provenance(card), sort_keys=True)))
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on hand-made frames: nulls, ties, empty groups, unassigned rows, and mutants."""
 
+import re
+import unicodedata
 from pathlib import Path
 
 import pytest
@@ -9,6 +11,7 @@ from agreeline.functions import textscore
 from agreeline.operators import catalog, decompose, frame, labels, measures, predict, readers, relations, resample, robust
 from agreeline.plans import bindings, resampling
 from agreeline.sources import tables
+from agreeline.streaming import windows
 
 
 def rows(df):
@@ -77,11 +80,27 @@ def test_seed_and_draws():
 
 def test_bootstrap_draws_whole_clusters(spark):
     cells = spark.createDataFrame([("s", i, 1, i) for i in range(10)] + [("t", 99, 5, 7)], "s string, c int, n int, k int")
-    got = resample.bootstrap_sums(cells, "s", "c", ["n", "k"], 20, 1).collect()
+    got = resample.bootstrap_sums(cells, "s", "c", ["n", "k"], 20, 1, least=20).collect()
     assert len(got) == 40 and all(r.n == 10 for r in got if r.s == "s") and all((r.n, r.k) == (5, 7) for r in got if r.s == "t")
     assert len({r.k for r in got if r.s == "s"}) > 5
 
 
+def test_bootstraps_refuse_few_draws_and_fall_back_to_weights(spark):
+    cells = spark.createDataFrame([("s", i, 1, i) for i in range(10)], "s string, c int, n int, k int")
+    for f in (resample.bootstrap_sums, resample.poisson_sums, resample.resampled_sums):
+        with pytest.raises(ValueError, match="draws"):
+            f(cells, "s", "c", ["n"], 999, 1)
+    many = resample.resampled_sums(cells, "s", "c", ["n"], 1000, 1, exact_up_to=9).collect()
+    assert len({r.n for r in many}) > 3 and 9.5 < sum(r.n for r in many) / 1000 < 10.5
+    assert [r[0] for r in spark.createDataFrame([("film_pre",)], "h string").select(resample.stratum_seed(20250918, F.col("h"))).collect()] == [1446693614]
+
+
+def test_tail_is_opposite_to_the_observed_value(spark):
+    # 3 replicates of 1, 7 of -1: on the other side of an observed 0.5 lie 7, of an observed -0.5 lie 3
+    v = spark.createDataFrame([(g, x, o) for g, o in (("a", 0.5), ("b", -0.5), ("c", 0.0)) for x in [1.0] * 3 + [-1.0] * 7], "g string, v double, o double")
+    assert {r.g: r.p_opposite for r in resample.interval(v, ["g"], "v", "o").collect()} == {"a": 1.0, "b": 0.6, "c": 1.0}
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
 def test_small_strata_are_inconclusive(spark, monkeypatch):
     data, load = "/root/testdata/sf0.001", tables.load
@@ -98,6 +117,8 @@ def test_benjamini_hochberg(spark):
     p = [("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5)]
     got = dict((r.name, r.p_bh) for r in resample.benjamini_hochberg(spark.createDataFrame(p, "name string, p double"), "name", "p", 4).collect())
     assert got == {"a": 0.04, "b": 0.053333, "c": 0.053333, "d": 0.5}
+    with pytest.raises(ValueError, match="declared"):
+        resample.benjamini_hochberg(spark.createDataFrame(p, "name string, p double"), "name", "p", 3)
 
 
 def test_readers(spark):
@@ -153,8 +174,203 @@ def test_text_scores(spark):
     one = spark.createDataFrame([("天氣好好", "天氣好"), ("", "x")], "r string, h string")
     assert tuple(textscore.character_error(one.limit(1), "r", "h").first()) == (1, 1, 4, 250.0)
     assert textscore.character_error(one.filter("r = ''"), "r", "h").first().cer_pm is None
-    t = spark.createDataFrame([("Don't 天氣 abc 12",)], "t string").select(textscore.tokens(F.col("t"))).first()[0]
-    assert t == ["don't", "天", "氣", "abc", "12"]
+
+
+FOLDS = {"們": "们", "薴": "苧", "苧": "苎"}
+
+
+def plain_tokens(text, metric):
+    """The rule of tokens, one character at a time."""
+    kept = lambda c: unicodedata.category(c)[0] in "LMN"
+    part = lambda c: c == "'" or (c.isascii() and c.isdigit()) or (c.isalpha() and unicodedata.name(c, "").startswith("LATIN"))
+    norm = []
+    for c in unicodedata.normalize("NFKC", text).lower():
+        c = "'" if c in "\u2018\u2019\u02bc" else c
+        for _ in range(4):
+            c = FOLDS.get(c, c)
+        norm.append(c)
+    if metric == "cer":
+        return [c for c in norm if kept(c)]
+    out, word = [], ""
+    for c in [*norm, " "]:
+        if part(c):
+            word += c
+            continue
+        if word.strip("'"):
+            out.append(word.strip("'"))
+        word = ""
+        if kept(c):
+            out.append(c)
+    return out
+
+
+def test_tokens_follow_the_rule(spark):
+    import random
+
+    rng = random.Random(8)
+    alphabet = "aZé'’‘09 中們薴ひ한гд٣ไทยअ́\u0301ﬁＡ①½.,-ßİ"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    texts += ["Don't 天氣 abc 12", "don\u2019t café", "我哋去 Shopping 啦，don't worry", "rock''n''roll 'tis' '", "去ＳＨＯＰ，ping！", "Привет мир", "薴", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("n", textscore.normal_form(F.col("t"), FOLDS))
+    for r in df.select("i", textscore.tokens(F.col("n")).alias("m"), textscore.characters(F.col("n")).alias("c")).collect():
+        assert r.m == plain_tokens(texts[r.i], "mer"), texts[r.i]
+        assert list(r.c) == plain_tokens(texts[r.i], "cer"), texts[r.i]
+    long = spark.createDataFrame([("a'" * 300_000,), ("a" * 1_000_000,), ("'" * 1_000_000,)], "t string")
+    assert [r[0] for r in long.select(F.size(textscore.tokens(textscore.normal_form(F.col("t"))))).collect()] == [1, 1, 0]
+
+
+def test_scores_need_equal_ids_and_full_references(spark):
+    refs = spark.createDataFrame([("a", "我們去 Shop!"), ("b", "x")], "id string, ref string")
+    hyps = [("a", "我们去 shop"), ("b", "y z")]
+    make = lambda rows: spark.createDataFrame(rows, "id string, hyp string")
+    assert tuple(textscore.scored(refs, make(hyps), "mer", FOLDS).first()) == (2, 2, 5, 400.0)
+    assert tuple(textscore.scored(refs, make(hyps), "cer", FOLDS).first())[1:3] == (2, 8)
+    for bad in (hyps[:1], [*hyps, ("c", "q")], [*hyps, ("b", "q")]):
+        with pytest.raises(ValueError, match="don't match"):
+            textscore.scored(refs, make(bad), "cer")
+    with pytest.raises(ValueError, match="empty references"):
+        textscore.scored(refs.union(spark.createDataFrame([("c", "?!")], "id string, ref string")), make([*hyps, ("c", "q")]), "mer")
+
+
+def test_mixed_error_of_a_table_equals_the_rule(spark):
+    pairs = [("The quick fox 中文", "the quick, box 中"), ("a b c", ""), ("it's 12 o'clock", "its 12 oclock")]
+    got = textscore.mixed_error(spark.createDataFrame(pairs, "r string, h string"), "r", "h").first()
+    want = sum(edit(plain_tokens(a, "mer"), plain_tokens(b, "mer")) for a, b in pairs)
+    assert (got.n_pairs, got.edits, got.n_ref) == (3, want, sum(len(plain_tokens(a, "mer")) for a, _ in pairs))
+
+
+def lines(tmp_path, name, *rows):
+    path = tmp_path / name
+    path.write_text("\n".join(rows), encoding="utf-8")
+    return str(path)
+
+
+def test_predictions_and_references_are_read_strictly(spark, tmp_path):
+    good = lines(tmp_path, "good", '{"id": "a", "hyp": "x", "more": 1}', "", '{"id": "b", "hyp": "ü\\n"}')
+    assert rows(tables.read_predictions(spark, good)) == [("a", "x"), ("b", "ü\n")]
+    for i, bad in enumerate(['{"id": 7, "hyp": "x"}', '{"id": "a", "hyp": 5}', '{"id": "a"}', '{"id": "a", "hyp": null}', "[1]", "{bad", '"text"']):
+        with pytest.raises(ValueError):
+            tables.read_predictions(spark, lines(tmp_path, f"bad{i}", '{"id": "a", "hyp": "x"}', bad))
+    with pytest.raises(ValueError, match="no rows"):
+        tables.read_predictions(spark, lines(tmp_path, "empty", ""))
+    assert tables.read_references(spark, lines(tmp_path, "refs", '{"id": "a", "ref": "x"}')).count() == 1
+    for i, bad in enumerate(['{"id": "a", "ref": "y"}', '{"id": "b", "ref": " "}', '{"id": "b", "ref": "?!"}']):
+        with pytest.raises(ValueError):
+            tables.read_references(spark, lines(tmp_path, f"refs{i}", '{"id": "a", "ref": "x"}', bad))
+    out = str(tmp_path / "written")
+    tables.write_predictions(tables.read_predictions(spark, good), out)
+    assert rows(tables.read_predictions(spark, out)) == [("a", "x"), ("b", "ü\n")]
+
+
+def test_fingerprint_keeps_values_apart(spark):
+    digest = lambda *v: tables.fingerprint(spark.createDataFrame([v], "a string, b string"), ["a", "b"], "x").first().digest
+    values = [("a|b", "c"), ("a", "b|c"), (None, "null"), ("null", None), ("", None), (None, ""), ("4:null", "x")]
+    assert len({digest(*v) for v in values}) == len(values)
+
+
+def test_provenance(spark):
+    card = {"script_commit": "a" * 40, "model": "m", "model_revision": "b" * 40, "decoding": {"beam": 1}, "device": "cpu", "dirty": False}
+    assert tables.provenance(card) == card
+    for change in ({"script_commit": "a" * 39}, {"model": " "}, {"decoding": {}}, {"dirty": True}, {"device": None}):
+        with pytest.raises(ValueError):
+            tables.provenance(card | change)
+    with pytest.raises(ValueError):
+        tables.provenance({k: v for k, v in card.items() if k != "model_revision"})
+
+
+def test_assembly_fails_on_what_does_not_fit(spark):
+    u = spark.createDataFrame([(1, 10, "A"), (2, 10, "A"), (3, 11, "B"), (4, 12, "C")], "id int, us int, ut string")
+    s = spark.createDataFrame([(10, 5, "A"), (11, 5, "B"), (12, 6, "C")], "s int, sc int, tier string")
+    c = spark.createDataFrame([(5, "x"), (6, "y")], "c int, title string")
+    args = ("us", "s", "sc", "c", "tier", ["A", "B"])
+    out, ledger = frame.assemble(u, s, c, *args, unit_tier="ut", expected={"units": 5, "published": 3}, within={"units": 1})
+    assert out.count() == 3 and [(r.step, r.rows_before, r.rows_after) for r in ledger.orderBy("step").collect()][3:] == [(4, 4, 4), (5, 4, 3), (6, 3, 3)]
+    with pytest.raises(ValueError, match="counts differ"):
+        frame.assemble(u, s, c, *args, expected={"units": 5})
+    with pytest.raises(ValueError, match="unmatched"):
+        frame.assemble(u, s.filter("s < 12"), c, *args)
+    with pytest.raises(ValueError, match="rows of"):
+        frame.assemble(u, s.union(s.limit(1)), c, *args)
+    with pytest.raises(ValueError, match="clusters"):
+        frame.assemble(u, s, c.filter("c = 6"), *args)
+    with pytest.raises(ValueError, match="tier"):
+        frame.assemble(u.withColumn("ut", F.lit("A")), s, c, *args, unit_tier="ut")
+
+
+def test_lookup_and_reader_tables(spark):
+    df, side = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "kk int, w string")
+    assert rows(frame.lookup(df, "k", side, "kk", ["w"])) == [(1, "a", "x"), (2, "b", "y")]
+    for bad in (side.filter("kk <> 2"), side.union(side.filter("kk = 1"))):
+        with pytest.raises(ValueError):
+            frame.lookup(df, "k", bad, "kk", ["w"])
+    with pytest.raises(ValueError, match="already"):
+        frame.lookup(df, "k", side.withColumnRenamed("w", "v"), "kk", ["v"])
+    read = spark.createDataFrame([(1, "p"), (2, "q"), (9, "r")], "id int, hyp string")
+    assert rows(readers.join_readers(df, "k", {"one": read, "two": read.filter("id < 9")})) == [(1, "a", "p", "p"), (2, "b", "q", "q")]
+    for bad in (read.filter("id <> 2"), read.union(read.filter("id = 1"))):
+        with pytest.raises(ValueError, match="reader two"):
+            readers.join_readers(df, "k", {"one": read, "two": bad})
+    assert [r[0] for r in spark.createDataFrame([("Straße",), ("abc",), (None,), ("ÄÖ",)], "t string").select(readers.folds_apart(F.col("t"))).collect()] == [True, False, False, False]
+
+
+def test_keys_with_the_separator_are_refused(spark):
+    df = spark.createDataFrame([("a", "b"), ("a\x1fb", "c"), ("a", "b"), (None, "b")], "x string, y string")
+    assert tuple(measures.bad_keys(df, ["x", "y"]).first()) == (1, 2)
+
+
+def test_denominators_by_name(spark):
+    m = spark.createDataFrame([("n_a", 4.0), ("n_b", 6.0), ("agree_a", 0.5), ("gap", 1.0)], "name string, value double")
+    rules = [("n_.*", ["n_b"]), ("agree_.*", ["n_a"]), ("gap", ["n_a", "n_b"])]
+    assert {r.name: r.n for r in catalog.with_denominators(m, rules).collect()} == {"n_a": 6, "n_b": 6, "agree_a": 4, "gap": 10}
+    with pytest.raises(ValueError, match="no rule"):
+        catalog.with_denominators(m, rules[:2])
+    with pytest.raises(ValueError, match="aren't there"):
+        catalog.with_denominators(m, [(".*", ["n_c"])])
+
+
+def test_relations_of_predictions_and_anchor(spark):
+    p = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, hyp string")
+    assert rows(relations.double_predictions(p)) == [("a", "x"), ("b", "y"), ("dup:a", "x"), ("dup:b", "y")]
+    left = spark.createDataFrame([("b",), ("b",), ("z",)], "u string")
+    assert rows(relations.exclude_predictions(p, left, "u")) == [("b", "y")]
+    assert [relations.anchor(left, n, t).first().ok for n, t in ((3, 0), (4, 0), (4, 1))] == [True, False, True]
+
+
+def test_checks_catch_broken_metrics(spark):
+    m = spark.createDataFrame([("n_pre", 10.0, 40), ("agree_share", 0.5, 10)], "name string, value double, n long")
+    wrong = spark.createDataFrame([("n_pre", 41), ("agree_share", 10)], "name string, n long")
+    assert {r.name: r.ok for r in catalog.declared_n(m, wrong).collect()} == {"n_pre": False, "agree_share": True}
+    moved = m.withColumn("value", F.col("value") + F.when(F.col("name") == "agree_share", 0.01).otherwise(0.0))
+    assert not relations.report(relations.compare(m, moved, "permute"), "permute").first().passed
+    assert not relations.report(relations.compare(m, moved, "exclude"), "exclude").first().passed
+    assert {r.name: r.ok for r in catalog.routes_agree(m, moved).collect()} == {"n_pre": True, "agree_share": False}
+    rows_of = lambda df: df.select(F.lit("n").alias("name"), F.spark_partition_id().cast("double").alias("value"), F.lit(1).cast("long").alias("n")).orderBy(F.desc("value")).limit(1)
+    assert not catalog.deterministic(rows_of, spark.range(100).coalesce(1)).first().ok
+
+
+def test_word_labels_fall_back_to_characters(spark):
+    def words(text):
+        known = {"ab": ["1", "2"], "cde": ["x", "y"], "c": ["3"], "d": None, "e": ["5", "6"], "f": None}
+        return [(w, known[w]) for w in re.findall("ab|cde|.", text)]
+
+    labeller = predict.per_character(words)
+    assert labeller([list("abcde"), ["f", "ab"], []]) == [["1", "2", "3", "?", "?"], ["?", "1", "2"], []]
+    with pytest.raises(ValueError, match="make up"):
+        predict.per_character(lambda t: [("z", None)])([["a"]])
+
+
+def test_windowed_counts_on_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(at + timedelta(minutes=m), k, float(m)) for m in range(0, 300, 7) for k in "ab"], "ts timestamp, k string, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    counted = windows.windowed_counts(stream, "ts", ["k"], "1 hour", "2 hours", F.col("value") > 50)
+    q = counted.writeStream.outputMode("complete").format("memory").queryName("windowed").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("windowed")) == rows(windows.windowed_counts(events, "ts", ["k"], "1 hour", "2 hours", F.col("value") > 50))
 
 
 def test_prediction_lengths(spark):
