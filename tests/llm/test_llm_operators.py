@@ -542,23 +542,28 @@ def test_without_decoding_hidden_words_are_missed(docs):
     assert np.mean([plain.evidence(t) > 0 for t in texts]) <= 0.2
 
 
-def test_estimates_come_near_the_labellers_true_accuracies():
+@pytest.mark.parametrize("alarms", [0.02, 0.01])
+def test_estimates_come_near_the_labellers_true_accuracies(alarms):
     rng = np.random.default_rng(4)
     m, n = len(weak_quality.LABELLERS), 200_000
     kind = np.where(rng.random(n) < 0.8, 0, rng.integers(1, m + 1, n))
-    p_low = np.full((m + 1, m), 0.02)
+    p_low = np.full((m + 1, m), alarms)
     for j, p in ((0, 0.9), (1, 0.7), (2, 0.6)):  # each defect is seen by several labellers
         p_low[np.arange(1, m + 1), (np.arange(m) + j) % m] = p
     low = rng.random((n, m)) < p_low[kind]
     votes = np.where(low, 0, np.where(rng.random((n, m)) < 0.7, 1, 2))
     patterns, count = np.unique((votes * 3 ** np.arange(m)).sum(1), return_counts=True)
     shares, table = weak_quality.estimate(patterns, count.astype(float))
-    assert abs(shares[0] - 0.8) < 0.03 and np.abs(table[0, :, 0] - 0.02).max() < 0.01
-    true = np.stack([p_low * 1.0, (1 - p_low) * 0.7, (1 - p_low) * 0.3], -1)
-    truth = weak_quality.posterior(patterns, np.array([0.8, *[0.2 / m] * m]), true)
-    assert np.average(np.abs(weak_quality.posterior(patterns, shares, table) - truth), weights=count) < 0.01
-    plain = shares * np.prod(table[:, np.arange(m), weak_quality.digits(patterns)], -1).T  # Bayes' rule, written out
-    assert weak_quality.posterior(patterns, shares, table) == pytest.approx(plain[:, 0] / plain.sum(1))
+    assert abs(shares[0] - 0.8) < 0.05 and np.abs(table[0, :, 0] - alarms).max() < 0.015
+    v = weak_quality.digits(patterns)
+    bayes = lambda share, t: share * np.prod(t[:, np.arange(m), v], -1).T
+    truth = bayes(np.array([0.8, *[0.2 / m] * m]), np.stack([p_low, (1 - p_low) * 0.7, (1 - p_low) * 0.3], -1))
+    truth = truth[:, 0] / truth.sum(1)
+    got = weak_quality.posterior(patterns, shares, table)
+    clear = np.abs(truth - 0.5) > 0.25  # a lone low vote may be either
+    assert np.average(np.abs(got - truth), weights=count) < 0.05 and np.average(((got > 0.5) == (truth > 0.5))[clear], weights=count[clear]) > 0.99
+    plain = bayes(shares, table) * weak_quality.belief(patterns) ** weak_quality.PRIOR
+    assert got == pytest.approx(plain[:, 0] / plain.sum(1))
 
 
 def test_weak_labels_odd_rows(spark, odd):
