@@ -35,10 +35,13 @@ def repeated_words(words: list, n: int = 5) -> int:
     mixed = np.sort(mixed)
     if not (mixed[1:] == mixed[:-1]).any():  # equal windows have equal mixes
         return 0
+    bound = len(number)
     for i in range(1, n):  # pairs of (window so far, next word) get new numbers
-        windows = windows * len(number) + w[i : len(w) - n + 1 + i]
-        if i % 2 == 0 or i == n - 1 or len(number) > 2_000_000:
-            _, windows, times = np.unique(windows, return_inverse=True, return_counts=True)
+        if bound * len(number) >= 1 << 62:
+            held, windows = np.unique(windows, return_inverse=True)
+            bound = len(held)
+        windows, bound = windows * len(number) + w[i : len(w) - n + 1 + i], bound * len(number)
+    _, windows, times = np.unique(windows, return_inverse=True, return_counts=True)
     starts = np.flatnonzero(times[windows] > 1)
     marked = np.zeros(len(w) + 1, np.int64)
     np.add.at(marked, starts, 1)

@@ -204,6 +204,11 @@ def test_rules(spark, odd):
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def test_windows_of_many_different_words_never_mix():
+    words = [str(i) for i in range(3_000_000)]
+    assert quality_rules.repeated_words([*words, *words[5:12], "x", *words[100:104]]) == 14
+
+
 def test_host_rates_shrink(spark):
     rows = [("big", i < 90) for i in range(100)] + [(f"h{j}", i < 2) for j in range(20) for i in range(40)] + [("tiny", True)]
     got = {r.host: r for r in quality_rules.host_rates(spark.createDataFrame(rows, "h string, bad boolean"), "h", "bad").collect()}
