@@ -25,6 +25,8 @@ from .common import map_rows
 #: Bound of the sample: rows of a language, by hash of the key, and characters that such a row's text
 #: has at most. Texts are learnt whole.
 ROWS, MOST_CHARS = 40, 4096
+#: Places that are tried for a state before the search moves on.
+SEARCH = 64
 #: Letters of a block, and characters that are parsed at a time.
 BLOCK = 256
 SLICE_CHARS = 1_500_000
@@ -133,32 +135,37 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 def packed(arcs: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shift of each state, owner and target of each place): the arc of state s with letter c is at
-    shift[s] + c if s owns that place, and there is none otherwise. States with many arcs are laid
-    first, each at the first place where its arcs fall between those of others."""
+    shift[s] + c if s owns that place, and there is none otherwise. States with several arcs are laid
+    first, where their arcs fall between those of others, and the search moves on where that takes
+    long; states with one arc then take the places that are left free."""
     shift = np.zeros(len(arcs), np.int32)
-    owner = [0] * (2 * size + sum(map(len, arcs)))
-    target = [0] * len(owner)
-    free = size  # no place before it is free
-    for s in sorted(range(1, len(arcs)), key=lambda s: -len(arcs[s])):
+    room = 3 * size + 2 * sum(map(len, arcs))
+    owner, target = [0] * room, [0] * room
+    start = end = size
+    for s in sorted((s for s in range(1, len(arcs)) if len(arcs[s]) > 1), key=lambda s: -len(arcs[s])):
         letters = sorted(arcs[s])
-        if not letters:
-            continue
-        while owner[free]:
-            free += 1
-        at = free
-        while owner[at] or any(owner[at + c - letters[0]] for c in letters):
+        first = letters[0]
+        at = start
+        while owner[at] or any(owner[at + c - first] for c in letters):
             at += 1
             if at + size >= len(owner):
                 owner += [0] * len(owner)
                 target += [0] * len(target)
-        base = at - letters[0]
-        shift[s] = base
+        if at - start > SEARCH:
+            start = at - SEARCH // 2
+        shift[s] = at - first
         for c in letters:
-            owner[base + c], target[base + c] = s, arcs[s][c]
-        if len(owner) - free < 2 * size:
-            owner += [0] * len(owner)
-            target += [0] * len(target)
-    end = max((i for i, o in enumerate(owner) if o), default=0) + size + 1
+            owner[at - first + c], target[at - first + c] = s, arcs[s][c]
+        end = max(end, at - first + letters[-1] + 1)
+    free = (p for p in range(size, len(owner)) if not owner[p])
+    for s, out in enumerate(arcs):
+        if len(out) == 1:
+            ((c, to),) = out.items()
+            at = next(free)
+            shift[s] = at - c
+            owner[at], target[at] = s, to
+            end = max(end, at + 1)
+    end += size
     return shift, np.array((owner + [0] * size)[:end], np.int32), np.array((target + [0] * size)[:end], np.int32)
 
 
