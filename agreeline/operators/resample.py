@@ -59,13 +59,16 @@ def indexed(cells: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
 def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
     """(b, stratum, sums): in each of ``draws`` rounds as many clusters as the stratum has, drawn with
     replacement by hash. Rounds are spread over the tasks by cell; a draw finds its cluster in a
-    broadcast table where cells are few, and is added up within its task. With ``size``, a column of
+    broadcast table where cells are few, and is added up within its task. A hash gives four draws. With ``size``, a column of
     that name has the stratum's number of clusters. Fewer than ``least`` draws fail."""
     check_draws(draws, least)
     own = indexed(cells, stratum, key, seed)
-    turn = own.select(F.col(stratum).alias("_s"), "_g", "_seed", F.col("_i").cast("long").alias("k")).repartition(max(8, own.sparkSession.sparkContext.defaultParallelism), "_s", "k")
-    text = F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.col("k").cast("string"))
-    drawn = turn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("b", "_s", F.pmod(hash52(text), F.col("_g")).alias("_j"))
+    spread = max(8, own.sparkSession.sparkContext.defaultParallelism)
+    turn = own.filter(F.col("_i") % 4 == 0).select(F.col(stratum).alias("_s"), "_g", "_seed", F.col("_i").cast("long").alias("k")).repartition(spread, "_s", "k")
+    text = F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.floor(F.col("k") / 4).cast("string"))
+    drawn = turn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", F.md5(text))
+    one = lambda r: F.struct((F.col("k") + r).alias("k"), F.pmod(F.conv(F.substring("_h", 1 + 8 * r, 8), 16, 10).cast("long"), F.col("_g")).alias("_j"))
+    drawn = drawn.select("b", "_s", "_g", F.explode(F.array(*map(one, range(4)))).alias("d")).filter(F.col("d.k") < F.col("_g")).select("b", "_s", "d._j")
     got = drawn.join(bounded(own), F.col("_s").eqNullSafe(F.col(stratum)) & (F.col("_j") == F.col("_i")))
     return got.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.max("_g").alias(size)] if size else []))
 

@@ -32,7 +32,7 @@ def _seed_sql(stratum: str) -> str:
 
 def _draws_sql(cells: str, key: str, stratum: str, sums: list[str]) -> str:
     return f"""ix AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY {key}) - 1 AS i, count(*) OVER (PARTITION BY {stratum}) AS g FROM {cells}),
-sz AS (SELECT DISTINCT {stratum} AS st, g, {_seed_sql(stratum)} AS sd FROM ix), dr AS (SELECT st, b, (('0x' || substr(md5(concat_ws(':', sd, b::VARCHAR, k::VARCHAR)), 1, 13))::UBIGINT % g::UBIGINT)::BIGINT AS j
+sz AS (SELECT DISTINCT {stratum} AS st, g, {_seed_sql(stratum)} AS sd FROM ix), dr AS (SELECT st, b, (('0x' || substr(md5(concat_ws(':', sd, b::VARCHAR, (k // 4)::VARCHAR)), 1 + 8 * (k % 4)::INT, 8))::UBIGINT % g::UBIGINT)::BIGINT AS j
   FROM (SELECT st, sd, g, b, unnest(range(g)) AS k FROM sz, range({DRAWS}) t(b))),
 bs AS (SELECT b, {stratum}, min(g) AS g, {', '.join(f'sum({s})::BIGINT AS {s}' for s in sums)} FROM dr JOIN ix ON st = {stratum} AND j = i GROUP BY b, {stratum})"""
 
