@@ -76,6 +76,7 @@ def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], dr
 def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
     """The same with Poisson weights by cluster and round: no index, no join, and sums within tasks first."""
     check_draws(draws, least)
+    cells = cells.repartition(max(8, cells.sparkSession.sparkContext.defaultParallelism), stratum, key)  # rounds are spread with them
     rounds = cells.withColumns({"_seed": stratum_seed(seed, F.col(stratum)), "b": F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))})
     u = hash52(F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.col(key).cast("string"))) / float(1 << 52)
     weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
