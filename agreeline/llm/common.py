@@ -58,6 +58,17 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path.rsplit("/", 1)[1]
 
 
+_vocabularies: dict[tuple[str, str], str] = {}
+
+
+def share_vocabulary(spark: SparkSession, path: str) -> str:
+    """``share_file`` of a file that the driver has, once for each application; executors need no such path."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _vocabularies:
+        _vocabularies[key] = share_file(spark, "vocabulary", Path(path).read_bytes())
+    return _vocabularies[key]
+
+
 def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, jaccard, language, mixing, pii, quality_rules, spelling, tokens, topk, toxicity, weak_quality
+from . import alignment, bpe, decontaminate, jaccard, language, mixing, pii, quality_rules, spelling, tokens, topk, toxicity, weak_quality
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,11 @@ def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+@_query
+def op11_shared_cut_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.judged(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
 @_query
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
