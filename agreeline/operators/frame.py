@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agreeline.sources.shared import written
+
 
 def published(df: DataFrame, tier: str, values: list[str]) -> DataFrame:
     return df.filter(F.col(tier).isin(values))
@@ -74,17 +76,31 @@ def tiers_differ(df: DataFrame, unit_tier: str, segment_tier: str) -> DataFrame:
     return df.agg(F.count_if(~F.col(unit_tier).eqNullSafe(F.col(segment_tier))).alias("n_different"), F.count(F.lit(1)).alias("n"))
 
 
+def marked_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], mark: str) -> DataFrame:
+    """Left join with a column ``mark`` that is null where nothing matched."""
+    side = right.withColumn(mark, F.lit(1))
+    return left.join(side, [left[a] == side[b] for a, b in keys], "left")
+
+
+def counted(df: DataFrame, marks: dict[str, Column], name: str) -> tuple[DataFrame, dict[str, int]]:
+    """(``df`` without its marks, numbers): how many rows there are, as ``rows``, and how many meet each
+    condition. The rows are made once, written to the shared folder; the counts read only the marks from there,
+    so a task that runs twice isn't counted twice."""
+    made = written(df.withColumns({f"_is_{k}": F.coalesce(c, F.lit(False)) for k, c in marks.items()}), name)
+    found = made.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(f"_is_{k}").alias(k) for k in marks]).first().asDict()
+    return made.drop(*[f"_is_{k}" for k in marks]), found
+
+
 def lookup(df: DataFrame, key: str, attributes: DataFrame, attribute_key: str, columns: list[str]) -> DataFrame:
     """``df`` with columns of its key's row in ``attributes``. A column that ``df`` has already, a key that
-    repeats there, and a key of ``df`` that isn't there fail."""
+    repeats there, and a key of ``df`` that isn't there fail. The join runs once."""
     if clash := sorted(set(columns) & set(df.columns)):
         raise ValueError(f"columns are there already: {clash}")
     side = attributes.select(F.col(attribute_key).alias("_key"), *columns)
-    joined, stats = checked_join(df, side, [(key, "_key")])
-    found = stats.first()
-    if found.unmatched_left or found.rows_out != df.count():
-        raise ValueError(f"{found.unmatched_left} rows without attributes, {found.rows_out} rows after the join")
-    return joined.drop("_key")
+    joined, found = counted(marked_join(df, side, [(key, "_key")], "_found"), {"lacking": F.col("_found").isNull()}, "lookup")
+    if found["lacking"] or found["rows"] != df.count():
+        raise ValueError(f"{found['lacking']} rows without attributes, {found['rows']} rows after the join")
+    return joined.drop("_key", "_found")
 
 
 def assemble(
@@ -97,26 +113,31 @@ def assemble(
     tolerance or the assembly fails. So do units without a segment, published rows without a cluster,
     repeated keys, and, with ``unit_tier``, units whose tier isn't their segment's. Other units are
     left out by tier. The ledger has (step, rule, grp, rows_before, rows_after, unmatched_left).
+
+    Segments get their clusters, units their segments; either join runs once, and all counts come from
+    the rows that it made.
     """
     sizes = {"clusters": clusters.count(), "segments": segments.count(), "units": units.count()}
-    with_segment, stats = checked_join(units, segments, [(unit_segment, segment)])
-    one = stats.first()
-    if one.unmatched_left or one.rows_out != sizes["units"]:
-        raise ValueError(f"units and segments: {one.unmatched_left} unmatched, {one.rows_out} rows of {sizes['units']}")
-    if unit_tier and (n := tiers_differ(with_segment, unit_tier, tier).first().n_different):
-        raise ValueError(f"{n} units have another tier than their segment")
-    kept = published(with_segment, tier, tiers)
-    out, stats = checked_join(kept, clusters, [(segment_cluster, cluster)])
-    two = stats.first()
-    sizes["published"] = two.matched + two.unmatched_left
-    if two.unmatched_left or two.rows_out != kept.count():
-        raise ValueError(f"published rows and clusters: {two.unmatched_left} unmatched, {two.rows_out} rows")
-    declared = df_of(kept, sizes)
-    require(declared, expected or {}, within)
-    steps = [(1, "clusters, whole table", sizes["clusters"], sizes["clusters"]), (2, "segments, whole table", sizes["segments"], sizes["segments"]), (3, "units, whole table", sizes["units"], sizes["units"]),
-             (4, "units with their segment", sizes["units"], one.rows_out), (5, f"{tier} in {', '.join(tiers)}", one.rows_out, sizes["published"]), (6, "published rows with their cluster", sizes["published"], two.rows_out)]
-    ledger = kept.sparkSession.createDataFrame([(*x[:2], "all", *x[2:], 0) for x in steps], "step int, rule string, grp string, rows_before long, rows_after long, unmatched_left long")
-    return out, ledger
+    with_cluster = marked_join(segments.withColumn("_segment", F.lit(1)), clusters, [(segment_cluster, cluster)], "_cluster")
+    whole = units.join(with_cluster, units[unit_segment] == with_cluster[segment], "left")
+    of_tier = F.col(tier).isin(tiers)
+    marks = {"unmatched": F.col("_segment").isNull(), "published": of_tier, "lacking": of_tier & F.col("_cluster").isNull()}
+    if unit_tier:
+        marks["differ"] = F.col("_segment").isNotNull() & ~F.col(unit_tier).eqNullSafe(F.col(tier))
+    made, found = counted(whole, marks, "frame")
+    if found["unmatched"] or found["rows"] != sizes["units"]:
+        raise ValueError(f"units and segments: {found['unmatched']} unmatched, {found['rows']} rows of {sizes['units']} after the joins")
+    if found.get("differ"):
+        raise ValueError(f"{found['differ']} units have another tier than their segment")
+    if found["lacking"]:
+        raise ValueError(f"published rows and clusters: {found['lacking']} unmatched")
+    sizes["published"] = found["published"]
+    require(df_of(units, sizes), expected or {}, within)
+    n = sizes["units"]
+    steps = [(1, "clusters, whole table", sizes["clusters"], sizes["clusters"]), (2, "segments, whole table", sizes["segments"], sizes["segments"]), (3, "units, whole table", n, n),
+             (4, "units with their segment", n, found["rows"]), (5, f"{tier} in {', '.join(tiers)}", found["rows"], sizes["published"]), (6, "published rows with their cluster", sizes["published"], sizes["published"])]
+    ledger = units.sparkSession.createDataFrame([(*x[:2], "all", *x[2:], 0) for x in steps], "step int, rule string, grp string, rows_before long, rows_after long, unmatched_left long")
+    return published(made, tier, tiers).drop("_segment", "_cluster"), ledger
 
 
 def df_of(like: DataFrame, counts: dict[str, int]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frame import checked_join
+from .frame import counted, marked_join
 from .measures import rate
 
 
@@ -33,16 +33,18 @@ def folds_apart(c: Column) -> Column:
 
 def join_readers(units: DataFrame, unit_id: str, tables: dict[str, DataFrame]) -> DataFrame:
     """``units`` with one column for each reader, from tables of (id, hyp). Every unit must have exactly
-    one reading of each reader, or it fails; readings of other units are left out."""
-    out, n = units, units.count()
+    one reading of each reader, or it fails; readings of other units are left out. Each reader is joined
+    once, however many there are, and all are counted in the rows so made."""
+    out = units
     for name, table in tables.items():
-        side = table.select(F.col("id").alias(f"_{name}"), F.col("hyp").alias(name))
-        out, stats = checked_join(out, side, [(unit_id, f"_{name}")])
-        found = stats.first()
-        if found.unmatched_left or found.rows_out != n:
-            raise ValueError(f"reader {name}: {found.unmatched_left} units without a reading, {found.rows_out} rows for {n} units")
-        out = out.drop(f"_{name}")
-    return out
+        side = table.groupBy(F.col("id").alias(f"_{name}")).agg(F.min("hyp").alias(name), F.count(F.lit(1)).alias(f"_n_{name}"))
+        out = marked_join(out, side, [(unit_id, f"_{name}")], f"_in_{name}")
+    marks = {f"lacking_{n}": F.col(f"_in_{n}").isNull() for n in tables} | {f"repeated_{n}": F.col(f"_n_{n}") > 1 for n in tables}
+    out, found = counted(out, marks, "readers")
+    for name in tables:
+        if found[f"lacking_{name}"] or found[f"repeated_{name}"]:
+            raise ValueError(f"reader {name}: {found[f'lacking_{name}']} units without a reading, {found[f'repeated_{name}']} with several, of {found['rows']}")
+    return out.drop(*[f"{p}{n}" for n in tables for p in ("_", "_n_", "_in_")])
 
 
 def missing_readings(df: DataFrame, readers: list[str], where: Column) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agreeline.sources.shared import bounded, cut, is_small
+from agreeline.sources.shared import bounded, cut, is_small, ship
 
 from .measures import DIGITS
 from .robust import total_order
@@ -17,8 +20,8 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 LEAST_DRAWS = 1000
 #: A stratum of fewer clusters gives no reliable interval.
 LEAST_CLUSTERS = 10
-#: Up to so many cells clusters are drawn one by one; above, they get Poisson weights.
-EXACT_CLUSTERS = 1_000_000
+#: Clusters of a stratum, and hashes of a round, that a task holds; strata whose sums it holds.
+HELD, TURNS, HELD_STRATA = 1_000_000, 65_536, 200
 
 
 def seed_of(master: int, stratum: str) -> int:
@@ -32,10 +35,6 @@ def check_draws(draws: int, least: int = LEAST_DRAWS) -> int:
     return draws
 
 
-def hash52(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
-
-
 def stratum_seed(master: int, stratum: Column) -> Column:
     """``seed_of`` as a Spark expression."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(master).cast("string"), stratum).cast("binary"), 256), 1, 8), 16, 10).cast("long")
@@ -56,37 +55,112 @@ def indexed(cells: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     return cut(ranked.join(bounded(sizes), F.col(stratum).eqNullSafe(F.col("_st"))).drop("_st"))
 
 
+def _values(columns, sums: list[str]) -> np.ndarray:
+    """The columns to add up, a row each, nulls as 0: whole numbers stay whole."""
+    found = [pc.fill_null(columns[c], 0).to_numpy(zero_copy_only=False) for c in sums]
+    return np.stack([v if v.dtype == np.float64 else v.astype(np.int64) for v in found]) if found else np.zeros((0, len(columns[0])), np.int64)
+
+
+def _sum_fields(cells: DataFrame, stratum: str, sums: list[str]) -> tuple[str, str]:
+    """The schema of rounds' sums, and the name of the kind of the sums: long, or double if a column is."""
+    whole = all(cells.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in sums)
+    kind = "long" if whole else "double"
+    fields = ["b int", f"`{stratum}` {cells.schema[stratum].dataType.simpleString()}", *(f"`{c}` {kind}" for c in sums), "_g long"]
+    return ", ".join(fields), kind
+
+
 def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
     """(b, stratum, sums): in each of ``draws`` rounds as many clusters as the stratum has, drawn with
-    replacement by hash. Rounds are spread over the tasks by cell; a draw finds its cluster in a
-    broadcast table where cells are few, and is added up within its task. A hash gives four draws. With ``size``, a column of
-    that name has the stratum's number of clusters. Fewer than ``least`` draws fail."""
+    replacement by hash, four draws from each. With ``size``, a column of that name has the stratum's number of
+    clusters. Fewer than ``least`` draws fail; null sums count as 0.
+
+    A task has up to ``HELD`` clusters of a stratum and some of the rounds; it draws, counts how often each of
+    its clusters comes and multiplies. Clusters are sent as often as there are groups of rounds, a
+    fixed number, never once for each round. A stratum of more than ``HELD`` clusters is cut, and each
+    part's tasks draw anew, which takes time in proportion: for very many clusters take ``poisson_sums``.
+    """
     check_draws(draws, least)
     own = indexed(cells, stratum, key, seed)
-    spread = max(8, own.sparkSession.sparkContext.defaultParallelism)
-    turn = own.filter(F.col("_i") % 4 == 0).select(F.col(stratum).alias("_s"), "_g", "_seed", F.col("_i").cast("long").alias("k")).repartition(spread, "_s", "k")
-    text = F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.floor(F.col("k") / 4).cast("string"))
-    drawn = turn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", F.md5(text))
-    one = lambda r: F.struct((F.col("k") + r).alias("k"), F.pmod(F.conv(F.substring("_h", 1 + 8 * r, 8), 16, 10).cast("long"), F.col("_g")).alias("_j"))
-    drawn = drawn.select("b", "_s", "_g", F.explode(F.array(*map(one, range(4)))).alias("d")).filter(F.col("d.k") < F.col("_g")).select("b", "_s", "d._j")
-    got = drawn.join(bounded(own), F.col("_s").eqNullSafe(F.col(stratum)) & (F.col("_j") == F.col("_i")))
-    return got.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.max("_g").alias(size)] if size else []))
+    tasks = max(8, own.sparkSession.sparkContext.defaultParallelism)
+    groups = min(draws, 2 * tasks)
+    schema, kind = _sum_fields(own, stratum, sums)
+    parts = own.select(stratum, "_i", "_g", "_seed", *sums, F.floor(F.col("_i") / HELD).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_r"))
+    names = ["b", stratum, *sums, "_g"]
+
+    def draw(table: pa.Table) -> pa.Table:
+        first = {c: table[c][0].as_py() for c in (stratum, "_g", "_seed", "_r", "_c")}
+        table = table.sort_by("_i")
+        values, at = _values(table, sums), table["_i"].to_numpy()
+        g, low, n = first["_g"], int(at[0]), len(at)
+        rounds = range(first["_r"], draws, groups)
+        out = np.zeros((len(rounds), len(sums)), values.dtype)
+        for turn in range(0, -(-g // 4), TURNS):
+            turns = [str(k).encode() for k in range(turn, min(turn + TURNS, -(-g // 4)))]
+            for row, b in enumerate(rounds):
+                prefix = f"{first['_seed']}:{b}:".encode()
+                drawn = np.frombuffer(b"".join([hashlib.md5(prefix + t).digest() for t in turns]), ">u4")[: g - 4 * turn].astype(np.int64) % g - low
+                times = np.bincount(drawn[(drawn >= 0) & (drawn < n)], minlength=n)
+                out[row] += values @ times
+        columns = [pa.array(list(rounds), pa.int32()), pa.array([first[stratum]] * len(rounds), table.schema.field(stratum).type)]
+        columns += [pa.array(out[:, i].astype(np.int64 if kind == "long" else np.float64)) for i in range(len(sums))]
+        return pa.Table.from_arrays([*columns, pa.array([g] * len(rounds), pa.int64())], names)
+
+    ship(own.sparkSession)
+    dealt = parts.repartition(2 * tasks, stratum, "_c", "_r")  # as many as these, however little data it is
+    found = dealt.groupBy(stratum, "_c", "_r").applyInArrow(draw, schema)
+    return found.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.max("_g").alias(size)] if size else []))
 
 
 def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
-    """The same with Poisson weights by cluster and round: no index, no join, and sums within tasks first."""
+    """The same with Poisson weights by cluster and round: no index and no join. A task adds up all rounds of
+    the clusters that it reads in one array for each stratum."""
     check_draws(draws, least)
-    cells = cells.repartition(max(8, cells.sparkSession.sparkContext.defaultParallelism), stratum, key)  # rounds are spread with them
-    rounds = cells.withColumns({"_seed": stratum_seed(seed, F.col(stratum)), "b": F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))})
-    u = hash52(F.concat_ws(":", F.col("_seed").cast("string"), F.col("b").cast("string"), F.col(key).cast("string"))) / float(1 << 52)
-    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    return rounds.withColumn("_w", weight).groupBy("b", stratum).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums], *([F.count(F.lit(1)).alias(size)] if size else []))
-
-
-def resampled_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS, exact_up_to: int = EXACT_CLUSTERS) -> DataFrame:
-    """``bootstrap_sums`` for at most ``exact_up_to`` cells, ``poisson_sums`` for more."""
-    cells = cut(cells)
-    return (bootstrap_sums if is_small(cells, exact_up_to) else poisson_sums)(cells, stratum, key, sums, draws, seed, size, least)
+    tasks = max(8, cells.sparkSession.sparkContext.defaultParallelism)
+    schema, kind = _sum_fields(cells, stratum, sums)
+    given = cells.select(F.col(stratum), stratum_seed(seed, F.col(stratum)).alias("_seed"), F.col(key).cast("string").alias("_key"), *sums)
+    given = given.repartition(max(tasks, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_seed", "_key")  # their rounds are spread with the clusters
+    limits, most, names = np.array(POISSON), HELD_STRATA, ["b", stratum, *sums, "_g"]
+
+    def weigh(batches):
+        held: dict = {}
+
+        def rows():
+            for (name, _), (total, n) in held.items():
+                columns = [pa.array(range(draws), pa.int32()), pa.array([name] * draws, kind_of_stratum)]
+                columns += [pa.array(total[:, i].astype(np.int64 if kind == "long" else np.float64)) for i in range(len(sums))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([n] * draws, pa.int64())], names)
+            held.clear()
+
+        for batch in batches:
+            kind_of_stratum, values = batch.schema.field(stratum).type, _values(batch, sums)
+            where: dict = {}
+            for i, s in enumerate(zip(batch[stratum].to_pylist(), batch["_seed"].to_pylist(), strict=True)):
+                where.setdefault(s, []).append(i)
+            keys = batch["_key"].to_pylist()
+            for s, places in where.items():
+                total, n = held.get(s, (np.zeros((draws, len(sums)), values.dtype), 0))
+                own, tails = values[:, places].T, [b"" if keys[i] is None else f":{keys[i]}".encode() for i in places]
+                for b in range(draws):
+                    prefix = f"{s[1]}:{b}".encode()
+                    drawn = np.frombuffer(b"".join([hashlib.md5(prefix + t).digest()[:8] for t in tails]), ">u8") >> np.uint64(12)
+                    total[b] += np.searchsorted(limits, drawn / float(1 << 52), "right") @ own
+                held[s] = (total, n + len(places))
+            if len(held) > most:
+                yield from rows()
+        yield from rows()
+
+    ship(cells.sparkSession)
+    found = given.mapInArrow(weigh, schema)
+    return found.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.sum("_g").alias(size)] if size else []))
+
+
+#: How rounds are drawn: clusters one by one, or Poisson weights of them.
+SCHEMES = {"drawn": bootstrap_sums, "poisson": poisson_sums}
+
+
+def resampled_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, scheme: str, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
+    """Sums of each round by the scheme that the caller names, whatever the number of cells."""
+    return SCHEMES[scheme](cut(cells), stratum, key, sums, draws, seed, size, least)
 
 
 def interval(replicates: DataFrame, by: list[str], value: str, observed: str | None = None, size: str | None = None) -> DataFrame:

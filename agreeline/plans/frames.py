@@ -68,6 +68,24 @@ def c03_frame_assembly(spark, d):
     return frame.assemble(raw_units(spark, d), s, clusters(spark, d), "unit_segment", "segment", "of_cluster", "cluster", "tier", TIERS)[1]
 
 
+@query("""WITH c AS (SELECT (max(c_custkey) - min(c_custkey) + 1)::BIGINT AS n FROM customer), s AS (SELECT (max(o_orderkey) - min(o_orderkey) + 1)::BIGINT AS n FROM orders), u AS (SELECT count(*) FILTER (o_orderkey IS NOT NULL) AS n, count(*) FILTER (o_orderstatus <> 'P') AS p FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'clusters' AS what, c.n AS expected, (SELECT count(*) FROM customer) AS found, 0::BIGINT AS within FROM c UNION ALL SELECT 'segments', s.n, (SELECT count(*) FROM orders), 0 FROM s UNION ALL SELECT 'units', 4 * s.n, u.n, s.n // 50 FROM s, u UNION ALL SELECT 'published', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') ON l_orderkey = o_orderkey), u.p, 0 FROM u""")
+def k06_frame_counts(spark, d):
+    """Counts that the assembly is held to: as many clusters and segments as keys range over, four units to a
+    segment within two per cent, and all units published but those of a left-out tier."""
+    o, c, u = segments(spark, d), clusters(spark, d), raw_units(spark, d)
+    span = lambda df, k: df.agg((F.max(k) - F.min(k) + 1).cast("long")).first()[0]
+    n = span(o, "segment")
+    left_out = u.join(o.filter("tier = 'P'"), F.col("unit_segment") == F.col("segment"), "left_semi").count()
+    expected = {"clusters": span(c, "cluster"), "segments": n, "units": 4 * n, "published": u.count() - left_out}
+    within = {"units": n // 50}
+    s = o.withColumnRenamed("seg_cluster", "of_cluster")
+    ledger = frame.assemble(u, s, c, "unit_segment", "segment", "of_cluster", "cluster", "tier", TIERS, expected=expected, within=within)[1]
+    found = {1: "clusters", 2: "segments", 3: "units", 5: "published"}
+    declared = spark.createDataFrame([(i, w, expected[w], within.get(w, 0)) for i, w in found.items()], "i int, what string, expected long, within long")
+    return declared.join(F.broadcast(ledger), F.col("i") == F.col("step")).select("what", "expected", F.col("rows_after").alias("found"), "within")  # four rows
+
+
 @query("""WITH r AS (SELECT o_orderstatus AS target, CASE WHEN o_totalprice > 150000 THEN 'O' ELSE 'F' END AS price, substr(o_orderpriority, 1, 1) AS urgent FROM orders)
 SELECT target, count(*) AS n, count(*) FILTER (price = target) AS n_price, count(*) FILTER (urgent = '1') AS n_urgent FROM r GROUP BY target""")
 def c10_reader_tables(spark, d):

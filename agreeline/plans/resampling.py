@@ -14,6 +14,8 @@ from .robustness import CELLS_SQL, cells
 
 QUERIES, ORACLES = {}, {}
 DRAWS, SEED = 2000, 20250918
+#: Clusters are drawn one by one, as the SQL does; ``poisson`` is the way for very many clusters.
+SCHEME = "drawn"
 
 
 def query(sql: str | None = None):
@@ -77,7 +79,7 @@ POINT_SQL = f"(SELECT {GAP} AS obs FROM (SELECT period, sum(n_match)::DOUBLE / n
 SELECT * EXCLUDE n_clusters, CASE WHEN n_clusters < 10 THEN 'inconclusive' WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict FROM iv""")
 def i04_i08_gap_interval(spark, d):
     c = cut(cells(spark, d))
-    gaps = _gap_of(resample.resampled_sums(c, "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED, "n_clusters"))
+    gaps = _gap_of(resample.resampled_sums(c, "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED, SCHEME, "n_clusters"))
     point = _gap_of(c.groupBy("period").agg(F.lit(0).alias("b"), F.sum("n_judgeable").alias("n_judgeable"), F.sum("n_match").alias("n_match"), F.lit(0).alias("n_clusters")))
     out = resample.interval(_with_observed(gaps, point, [], "gap"), [], "gap", "obs", "n_clusters")
     return out.withColumn("verdict", resample.verdict(F.col("low"), F.col("high"), resample.enough(F.col("n_clusters")))).drop("n_clusters")
@@ -101,7 +103,7 @@ SELECT 'unadjusted' AS part, round(quantile_cont(unadjusted, 0.025), 6) AS low,
 SELECT 'residual', round(quantile_cont(residual, 0.025), 6), round(quantile_cont(residual, 0.975), 6) FROM v UNION ALL SELECT 'explained', round(quantile_cont(explained, 0.025), 6), round(quantile_cont(explained, 0.975), 6) FROM v""")
 def i09_decomposition_bootstrap(spark, d):
     st = cells(spark, d).withColumn("stratum", F.concat_ws("_", "grp", "period"))
-    sums = resample.bootstrap_sums(st, "stratum", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED)
+    sums = resample.resampled_sums(st, "stratum", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED, SCHEME)
     sums = sums.withColumns({"grp": F.split("stratum", "_")[0], "period": F.split("stratum", "_")[1]})
     parts = decompose.kitagawa(sums, ["b"], "grp", "period", "n_judgeable", "n_match")
     long = parts.unpivot("b", ["unadjusted", "residual", "explained"], "part", "v")
@@ -133,7 +135,7 @@ def i10_class_gaps_bh(spark, d):
     counts = {"n": F.col("ok"), **{f"n_{c}": F.col("ok") & (F.col("verdict") == c) for c in KINDS}}
     k = cut(decompose.cluster_cells(_base(spark, d), units(spark, d), ["cluster", "period"], counts))
     shares = lambda sums: sums.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.try_divide(F.col(f"n_{c}").cast("double"), F.col("n").cast("double")).alias("x")) for c in KINDS])).alias("z")).select("*", "z.*")
-    sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, "n_clusters")
+    sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, SCHEME, "n_clusters")
     gap = (1000 * (_at("post", "x") - _at("pre", "x"))).alias("gap")
     gaps = shares(sums).groupBy("b", "class").agg(gap, F.min("n_clusters").alias("n_clusters"))
     point = shares(k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])).groupBy("class").agg(gap)
@@ -157,7 +159,7 @@ def i11_flag_gap_bootstrap(spark, d):
         F.struct(F.lit("flag_pm").alias("rate"), (1000 * F.try_divide(F.col("n_flag").cast("double"), F.col("n").cast("double"))).alias("x")),
         F.struct(F.lit("measure").alias("rate"), F.try_divide(F.col("total").cast("double") / 100, F.col("n").cast("double")).alias("x")),
     )).alias("z")).select("*", "z.*")
-    sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, "n_clusters")
+    sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, SCHEME, "n_clusters")
     gap = (_at("post", "x") - _at("pre", "x")).alias("gap")
     gaps = rates(sums).groupBy("b", "rate").agg(gap, F.min("n_clusters").alias("n_clusters"))
     point = rates(k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])).groupBy("rate").agg(gap)
@@ -175,7 +177,7 @@ def i12_reader_gap_bootstrap(spark, d):
     names = {"a": "m_a", "b": "m_b", "c": "m_c", "base": "m_base"}
     k = r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]).withColumn("stratum", F.lit("all"))
     k = cut(k)
-    sums = resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, "n_clusters")
+    sums = resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, SCHEME, "n_clusters")
     gap = lambda m: F.struct(F.lit(m[2:]).alias("reader"), (1000 * F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("n").cast("double"))).alias("gap"), F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("m_base").cast("double")).alias("rel"))
     each = lambda df: df.select("*", F.explode(F.array(*[gap(m) for m in ("m_a", "m_b", "m_c")])).alias("x")).select("*", "x.*")
     point = each(k.agg(*[F.sum(c).alias(c) for c in ("n", *names.values())]))

@@ -4,26 +4,43 @@ share, and broadcasts of a checked size."""
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed under ``spark.checkpoint.dir``; only where that is unset and Spark runs
-    on one machine, as in tests, under a temporary folder."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> None:
+    """Sets the folder that driver and executors share, ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs on one machine, as in tests, a temporary folder."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, checkpointed in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder; readers of a few columns read only those."""
+    context = df.sparkSession.sparkContext
+    shared(df.sparkSession)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df``, which should be written or cheap to count, has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
@@ -34,3 +51,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     by a shuffle, whose skewed keys adaptive execution splits."""
     df = cut(df)
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once for each application."""
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="spark-code-"), f"{root.name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(path))

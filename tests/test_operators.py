@@ -1,5 +1,6 @@
 """Operators on hand-made frames: nulls, ties, empty groups, unassigned rows, and mutants."""
 
+import hashlib
 import re
 import unicodedata
 from pathlib import Path
@@ -85,12 +86,65 @@ def test_bootstrap_draws_whole_clusters(spark):
     assert len({r.k for r in got if r.s == "s"}) > 5
 
 
-def test_bootstraps_refuse_few_draws_and_fall_back_to_weights(spark):
+def brute_draws(cells, draws, seed):
+    """Rounds of clusters drawn by hash, a draw at a time."""
+    out = []
+    for s in {c[0] for c in cells}:
+        own = sorted(c[1:] for c in cells if c[0] == s)
+        for b in range(draws):
+            drawn = []
+            for k in range(len(own)):
+                h = hashlib.md5(f"{resample.seed_of(seed, s)}:{b}:{k // 4}".encode()).hexdigest()
+                drawn.append(own[int(h[8 * (k % 4) : 8 * (k % 4) + 8], 16) % len(own)])
+            out.append((b, s, sum(d[1] or 0 for d in drawn), sum(d[2] or 0 for d in drawn), len(own)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("held", "turns"), [(1_000_000, 65_536), (7, 2), (1, 1)])
+def test_bootstrap_sums_equal_brute_force(spark, monkeypatch, held, turns):
+    monkeypatch.setattr(resample, "HELD", held)
+    monkeypatch.setattr(resample, "TURNS", turns)
+    cells = [("s", i, i * i % 7 if i != 3 else None, i / 2) for i in range(23)] + [("t", i, 2**40 + i, -1.0) for i in range(4)] + [("one", 5, 9, 0.5)]
+    df = spark.createDataFrame(cells, "s string, c int, n long, x double")
+    got = resample.bootstrap_sums(df, "s", "c", ["n", "x"], 40, 11, "g", least=40)
+    assert sorted((r.b, r.s, int(r.n), r.x, r.g) for r in got.collect()) == brute_draws(cells, 40, 11)
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bootstrap_plans_have_no_row_for_each_cluster_and_round(spark):
+    cells = spark.range(2000).select(F.lit("s").alias("s"), F.col("id").alias("c"), F.lit(1).cast("long").alias("n"))
+    for scheme in resample.SCHEMES:
+        spark.sparkContext.setJobGroup(scheme, scheme)
+        out = resample.resampled_sums(cells, "s", "c", ["n"], 1000, 1, scheme).persist()
+        assert out.count() == 1000
+        assert 1900 < out.agg(F.avg("n")).first()[0] < 2100
+        out.unpersist()
+        assert "explode(sequence(0, 999" not in out._jdf.queryExecution().toString()
+
+
+def test_weights_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(resample, "HELD_STRATA", 2)
+    cells = [(s, f"{s}{i}" if i else None, i, 2 * i) for s in ("a", "b", None, "d", "e") for i in range(5)]
+    got = resample.poisson_sums(spark.createDataFrame(cells, "s string, c string, n int, k int"), "s", "c", ["n", "k"], 30, 4, "g", least=30).collect()
+    want = {}
+    for s, c, n, k in cells:
+        seed = int(hashlib.sha256(":".join(["4", *([s] if s else [])]).encode()).hexdigest()[:8], 16)
+        for b in range(30):
+            u = int(hashlib.md5(":".join([str(seed), str(b), *([c] if c else [])]).encode()).hexdigest()[:13], 16) / 2**52
+            w, row = sum(u >= p for p in resample.POISSON), want.setdefault((b, s), [0, 0, 0])
+            want[b, s] = [row[0] + w * n, row[1] + w * k, row[2] + 1]
+    assert {(r.b, r.s): [r.n, r.k, r.g] for r in got} == want
+
+
+def test_bootstraps_refuse_few_draws_and_take_the_scheme_that_is_named(spark):
     cells = spark.createDataFrame([("s", i, 1, i) for i in range(10)], "s string, c int, n int, k int")
-    for f in (resample.bootstrap_sums, resample.poisson_sums, resample.resampled_sums):
+    for f in (resample.bootstrap_sums, resample.poisson_sums, lambda *x: resample.resampled_sums(*x, "drawn"), lambda *x: resample.resampled_sums(*x, "poisson")):
         with pytest.raises(ValueError, match="draws"):
             f(cells, "s", "c", ["n"], 999, 1)
-    many = resample.resampled_sums(cells, "s", "c", ["n"], 1000, 1, exact_up_to=9).collect()
+    with pytest.raises(KeyError):
+        resample.resampled_sums(cells, "s", "c", ["n"], 1000, 1, "both")
+    many = resample.resampled_sums(cells, "s", "c", ["n"], 1000, 1, "poisson").collect()
     assert len({r.n for r in many}) > 3 and 9.5 < sum(r.n for r in many) / 1000 < 10.5
     assert [r[0] for r in spark.createDataFrame([("film_pre",)], "h string").select(resample.stratum_seed(20250918, F.col("h"))).collect()] == [1446693614]
 
@@ -402,3 +456,25 @@ def test_cascade_and_ledger(spark):
     assert out["g"].count() == 1
     led = frame.ledger(spark.createDataFrame([("a", 1), ("a", None), ("b", 5)], "g string, x int"), [("pos", F.col("x") > 0), ("big", F.col("x") > 2)], "g")
     assert rows(led) == [(1, "pos", "a", 2, 1), (1, "pos", "b", 1, 1), (2, "big", "a", 1, 0), (2, "big", "b", 1, 1)]
+
+
+def test_checked_joins_run_once(spark):
+    """Every join makes its rows in one job: no join stands in what the caller gets, and its inputs are read once."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(x):
+        reads.add(1)
+        return x
+
+    left = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 4).alias("s"))
+    side = spark.range(4).repartition(1).select(F.col("id").alias("kk"), F.col("id").alias("w"))
+    probe = left.withColumn("p", seen(F.col("k").cast("int")))
+    out = frame.lookup(probe, "s", side, "kk", ["w"])
+    assert out.filter("p >= 0").count() == 40 and reads.value == 40
+    assert "Join" not in out._jdf.queryExecution().toString()
+    tables_of = {n: left.select(F.col("k").alias("id"), F.lit(n).alias("hyp")) for n in ("a", "b", "c")}
+    before = reads.value
+    joined = readers.join_readers(probe, "k", tables_of)
+    assert joined.filter("p >= 0 and a = 'a' and c = 'c'").count() == 40 and reads.value == before + 40
+    assert "Join" not in joined._jdf.queryExecution().toString()
