@@ -9,20 +9,24 @@ one token each and every other letter, mark or number by itself.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from agreeline.sources.shared import ship
+
 KEPT = r"\p{L}\p{M}\p{N}"
 WORD = r"[\p{IsLatin}0-9&&[\p{L}0-9]]"
 #: Groups are possessive, which Java's engine runs through in a loop, however long a word is.
 TOKEN = rf"{WORD}++(?:'++{WORD}++)*+|[{KEPT}]"
+# fixed values: characters that stand for an apostrophe, and the steps of a chain of folds that are followed
 APOSTROPHES = {"\u2019": "'", "\u2018": "'", "\u02bc": "'"}
-#: Steps of a chain of folds that are followed.
 CHAIN = 4
+#: Rows of the table of edits that are worked out at once.
+BLOCK = 8192
 
 
 def flat_folds(folds: dict[str, str]) -> dict[str, str]:
@@ -39,17 +43,25 @@ def flat_folds(folds: dict[str, str]) -> dict[str, str]:
 
 
 def normal_form(text: Column, folds: dict[str, str] | None = None) -> Column:
-    """The one form of a text; null stays null. Spark has no such function: Arrow batches of texts go
-    through one small function each."""
-    table = str.maketrans(APOSTROPHES)
-    more = str.maketrans(flat_folds(folds or {}))
+    """The one form of a text; null stays null. Plain ASCII has it in lower case, but for folds, by Spark's
+    own functions. Others go through one small function in Arrow batches, since Spark has no such one; of
+    ASCII texts, only nulls go there."""
+    flat = flat_folds(folds or {})
+    table, more = str.maketrans(APOSTROPHES), str.maketrans(flat)
 
     @pandas_udf("string")
     def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower().translate(table).translate(more))
 
-    return form(text)
+    plain = {c: to for c, to in flat.items() if c.isascii()}
+    if any(len(c) != 1 or len(to) != 1 for c, to in plain.items()):
+        return form(text)
+    ascii_only = text.rlike("^[\\x00-\\x7F]*+\\z")
+    lower = F.lower(text)
+    if plain:
+        lower = F.translate(lower, "".join(plain), "".join(plain.values()))
+    return F.coalesce(F.when(ascii_only, lower), form(F.when(~ascii_only, text)))
 
 
 def characters(normal: Column) -> Column:
@@ -62,17 +74,50 @@ def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(TOKEN), F.lit(0))
 
 
+def edit_distance(a: Sequence, b: Sequence, width: int = BLOCK) -> int:
+    """Edit distance of two sequences, unit costs. A column of the table is held as two numbers of ``width``
+    bits, its steps up and its steps down, and all of its cells are worked out at once; more than
+    ``width`` rows are done block by block, each handing its lowest row's steps to the next."""
+    first, last_a, last_b = 0, len(a), len(b)
+    while first < min(last_a, last_b) and a[first] == b[first]:
+        first += 1
+    while first < min(last_a, last_b) and a[last_a - 1] == b[last_b - 1]:
+        last_a, last_b = last_a - 1, last_b - 1
+    a, b = a[first:last_a], b[first:last_b]
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    steps = [1] * len(b)  # of the row above, from one column to the next
+    for at in range(0, len(a), width):
+        part = a[at : at + width]
+        where: dict = {}
+        for i, x in enumerate(part):
+            where[x] = where.get(x, 0) | 1 << i
+        mask, low = (1 << len(part)) - 1, 1 << (len(part) - 1)
+        up, down = mask, 0
+        for j, y in enumerate(b):
+            equal, step = where.get(y, 0), steps[j]
+            vertical = equal | down
+            if step < 0:
+                equal |= 1
+            diagonal = (((equal & up) + up) ^ up) | equal
+            more, less = down | (mask & ~(diagonal | up)), up & diagonal
+            steps[j] = 1 if more & low else -1 if less & low else 0
+            more, less = more << 1 | (step > 0), less << 1 | (step < 0)
+            up, down = (less | ~(vertical | more)) & mask, more & vertical & mask
+    return len(a) + sum(steps)
+
+
 def token_edits(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of tokens, unit costs, by one row of the table at a time."""
+    """Edit distance of two arrays of tokens, unit costs; null if one is null. Arrow batches go through
+    ``edit_distance``, which Spark has for texts only."""
 
-    def row(prev: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.element_at(prev, 1) + 1).alias("row"), F.lit(1).alias("j"))
-        step = lambda s, y: F.struct(
-            F.concat(s["row"], F.array(F.least(F.element_at(s["row"], -1) + 1, F.element_at(prev, s["j"] + 1) + 1, F.element_at(prev, s["j"]) + F.when(x == y, 0).otherwise(1)))).alias("row"), (s["j"] + 1).alias("j")
-        )
-        return F.aggregate(b, start, step)["row"]
+    @pandas_udf("long")
+    def edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([None if x is None or y is None else edit_distance(x.tolist(), y.tolist()) for x, y in zip(left, right, strict=True)], dtype="Int64")
 
-    return F.element_at(F.aggregate(a, F.sequence(F.lit(0), F.size(b)), row), -1)
+    ship(SparkSession.getActiveSession())
+    return edits(a, b)
 
 
 def character_error(pairs: DataFrame, ref: str, hyp: str, by: list[str] | None = None, folds: dict[str, str] | None = None) -> DataFrame:

@@ -144,7 +144,17 @@ def l01_pooled_cer(spark, d):
     return textscore.character_error(p, "ref", "hyp", ["grp"])
 
 
-@query()
+WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''+[a-z0-9]+)*')"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT row_number() OVER () AS id, grp, {WORDS.format('ref')} AS r, {WORDS.format('hyp')} AS h FROM ({PAIRS_SQL})),
+dp AS (
+  SELECT id, 0::BIGINT AS i, range(0, len(h) + 1) AS cells FROM p
+  UNION ALL
+  SELECT id, i + 1, [list_min([CASE WHEN k = 0 THEN i + 1 ELSE least(cells[k + 1] + 1, cells[k] + (r[i + 1] <> h[k])::INT) END + j - k FOR k IN range(0, j + 1)]) FOR j IN range(0, len(h) + 1)]
+  FROM dp JOIN p USING (id) WHERE i < len(r)
+)
+SELECT grp, count(*) AS n_pairs, sum(cells[len(h) + 1])::BIGINT AS edits, sum(len(r))::BIGINT AS n_ref, round(1000.0 * sum(cells[len(h) + 1])::BIGINT / sum(len(r))::BIGINT, 6) AS mer_pm FROM dp JOIN p USING (id) WHERE i = len(r) GROUP BY grp""")
 def l02_l03_pooled_mer(spark, d):
     p = tables.load(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("ref"), F.col("p_type").alias("hyp"))
     return textscore.mixed_error(p, "ref", "hyp", ["grp"])

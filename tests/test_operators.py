@@ -478,3 +478,42 @@ def test_checked_joins_run_once(spark):
     joined = readers.join_readers(probe, "k", tables_of)
     assert joined.filter("p >= 0 and a = 'a' and c = 'c'").count() == 40 and reads.value == before + 40
     assert "Join" not in joined._jdf.queryExecution().toString()
+
+
+def test_edit_distance_in_blocks_equals_the_table():
+    import random
+    import time
+
+    rng = random.Random(8)
+    for n in range(400):
+        a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        if n % 3 == 0:
+            b = a[: len(a) // 2] + b[:3] + a[len(a) // 2 :]
+        for width in (1, 3, 8, 64):
+            assert textscore.edit_distance(a, b, width) == edit(a, b)
+    words = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    other = list(words)
+    for _ in range(500):
+        del other[rng.randrange(len(other))]
+    start = time.time()
+    assert textscore.edit_distance(words, other) == 500
+    assert textscore.edit_distance(words, words[::-1]) > 15_000
+    assert time.time() - start < 20
+
+
+def test_ascii_texts_have_one_form_natively_and_equal_the_rule(spark):
+    texts = ["Plain ASCII", "It's\n", "\n", "", None, "É FF ﬁ", "Ａ１", "x\u2019s", "ß ẞ", "a\tB\x00c", "İ", "Q" * 5000, "abc\u2028", "ABC\u0085"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for folds in (None, {"a": "b", "b": "c", "é": "e"}, {"q": "kw"}):
+        want = [t and plain_form(t, folds or {}) for t in texts]
+        assert [r[0] for r in df.select(textscore.normal_form(F.col("t"), folds)).collect()] == want
+
+
+def plain_form(text, folds):
+    out = []
+    for c in unicodedata.normalize("NFKC", text).lower():
+        c = "'" if c in "\u2018\u2019\u02bc" else c
+        for _ in range(4):
+            c = folds.get(c, c)
+        out.append(c)
+    return "".join(out)
