@@ -87,6 +87,11 @@ def class_key(grams: np.ndarray) -> int:
     return int(mix(grams.sum(dtype=U, keepdims=True)).view(np.int64)[0])
 
 
+def second_key(grams: np.ndarray) -> int:
+    """Another such number."""
+    return int(mix(grams).sum(dtype=U, keepdims=True).view(np.int64)[0])
+
+
 def packed(counts: np.ndarray) -> bytes:
     """Counts in one byte each if they fit, compressed."""
     return zlib.compress(counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64).tobytes(), 1)
@@ -265,8 +270,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     * A null text or one without words has no shingles (n_shingles 0) and is linked with nothing.
     * A text of fewer than n words is one shingle, its whole sequence of words.
     * component_id is the least key of the component, the row's own if it has no link. Rows with
-      equal keys are kept each, and each of their texts has its own links; a null key stays null,
-      never names a component of others, and a text that only such rows have links nothing.
+      equal keys are kept each, and each of their texts has its own links. Rows without a key link like
+      others, also where only they tie two documents together, but name no component: their own is null.
     * Equal sets are one class from the start, so copies of any number cost one comparison. Sets are
       of 64-bit hashes: the result is exact but for their collisions.
     * Whole texts count, and other columns are ignored. An empty table gives an empty result.
@@ -280,7 +285,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         for batch in batches:
             sets = [shingles(t, n, hashes) for t in batch[text]]
             k1 = np.fromiter(map(class_key, sets), np.int64, len(sets))
-            k2 = np.fromiter((mix(s).sum(dtype=U) for s in sets), U, len(sets))
+            k2 = np.fromiter(map(second_key, sets), np.int64, len(sets))
             new = []  # a class that the task has met has been given its signatures
             for i, h in enumerate(k1.tolist()):
                 if len(sets[i]) and h not in seen:
@@ -293,7 +298,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             count[np.array(new, np.int64)] = [*map(len, firsts)]
             sig = np.concatenate([np.zeros(0, U), *firsts])
             yield {
-                key: batch[key], "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), "k1": pa.array(k1), "k2": pa.array(k2.view(np.int64)),
+                key: batch[key], "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), "k1": pa.array(k1), "k2": pa.array(k2),
                 "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig.view(np.int64))),
             }
 
@@ -316,17 +321,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # one document of each class to compare, with the class's group of candidates; a group of more
     # than one side is split by sizes, each document among those of its size and those it can reach
     reps = known.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(key).alias("rep"))
-    reps = cut(reps.filter(F.col("rep").isNotNull()).join(near, F.col("k1") == F.col("node")).select("rep", "k1", "label", "n_shingles"))
+    reps = cut(reps.join(near, F.col("k1") == F.col("node")).select("rep", "k1", "k2", "label", "n_shingles"))
     held = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n_shingles") / SIDE_GRAMS)).cast("int").alias("sides")
     groups = reps.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("members"), held).filter("members > 1")
     low, high = (F.floor(F.log(F.col("n_shingles") * r) / math.log(1.02 * den / num) + e).cast("int") for r, e in ((1, 0), (den / num, 1e-9)))
     level = F.when(F.col("sides") > 1, F.sequence(low, high)).otherwise(F.array(F.lit(0)))
-    reps = cut(reps.join(groups, F.col("label") == F.col("l")).select("rep", "k1", "label", "n_shingles", F.explode(level).alias("level")))
+    reps = cut(reps.join(groups, F.col("label") == F.col("l")).select("rep", "k1", "k2", "label", "n_shingles", F.explode(level).alias("level")))
     sizes = reps.groupBy(F.col("label").alias("l"), F.col("level").alias("v")).agg(F.count(F.lit(1)).alias("members"), held).filter("members > 1")
     reps = reps.join(sizes, (F.col("label") == F.col("l")) & (F.col("level") == F.col("v")))
-    place = F.struct("level", "sides", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int").alias("side"))
-    reps = reps.groupBy("rep", "k1", "label").agg(F.collect_list(place).alias("places"))  # two at most
-    members = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(bounded(reps), "rep").filter(F.length("t") > 0)
+    place = F.struct("level", "sides", F.pmod(F.xxhash64("k1"), F.col("sides")).cast("int").alias("side"))
+    reps = cut(reps.groupBy("rep", "k1", "k2", "label").agg(F.collect_list(place).alias("places")))  # two at most
+    members = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(bounded(reps.filter(F.col("rep").isNotNull())), "rep").filter(F.length("t") > 0)
 
     def sets_of(batches):
         hashes = WordHashes()
@@ -335,7 +340,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             own = [i for i, s in enumerate(sets) if class_key(s) == batch["k1"][i]]  # a key may have other texts, too
             yield {c: [batch[c][i] for i in own] for c in ("k1", "label", "places")} | {"grams": [sets[i].tobytes() for i in own]}
 
+    def sets_of_all(batches):
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            sets = [s for t in batch[text] if len(s := shingles(t, n, hashes))]
+            new = {class_key(s): s for s in sets}
+            sets = [s for k, s in new.items() if k not in seen]  # copies once in a task
+            seen.update(new)
+            yield {"c1": pa.array([class_key(s) for s in sets], pa.int64()), "c2": pa.array([second_key(s) for s in sets], pa.int64()), "grams": [s.tobytes() for s in sets]}
+            if len(seen) > 1_000_000:
+                seen.clear()
+
     rows = map_rows(members, ["rep", "k1", "label", "places", "t"], sets_of, "k1 long, label long, places array<struct<level: int, sides: int, side: int>>, grams binary", PIECE)
+    nameless = reps.filter(F.col("rep").isNull()).select("k1", "k2", "label", "places")
+    if not nameless.isEmpty():  # classes that only rows without a key have are found by their sets
+        sets = map_rows(docs.filter(F.col(key).isNull()), [text], sets_of_all, "c1 long, c2 long, grams binary", PIECE)
+        sets = sets.join(bounded(nameless), (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
+        rows = rows.union(sets.select("k1", "label", "places", "grams"))
     rows = rows.select("k1", "label", "grams", F.inline("places")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     rows = rows.select(
         "k1", "label", "level", "grams", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), (F.col("side") <= F.col("with")).alias("left")

@@ -53,6 +53,8 @@ CARD = EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + END
 #: Digit groups, one blank or dash between them, of 13 digits or more; and what begins at each group.
 RUN = EDGE + r"\+?(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
 HEADS = r"(?<![0-9])(?=([0-9][0-9 -]{0,37}))"
+#: Cards of a run that are gathered at a time.
+FINDS = 64
 ANY = "|".join((EMAIL, DATE, IPV4, SOCIAL, ALONE))
 
 
@@ -273,7 +275,8 @@ def cards(run: Column, begins: Callable[[Column], Column]) -> Column:
     """The parts of a run of digit groups: every group is tried as a card's first one, from the left."""
 
     def chosen(tried: Column, groups: Column) -> Column:  # groups have the signs before them
-        text = lambda start, end: F.array_join(F.slice(groups, start + 1, end - start), "")
+        # groups are picked by index and finds gathered a few at a time: slices and a growing array would be copied at each find
+        text = lambda start, end: F.when(end > start, F.array_join(F.transform(F.sequence(start, end - 1), lambda i: groups[i]), "")).otherwise("")
 
         def take(a: Column, x: Column) -> Column:
             before = F.concat(text(a["free"], x["i"]), F.regexp_extract(groups[x["i"]], "^[ +-]*", 0))
@@ -281,8 +284,15 @@ def cards(run: Column, begins: Callable[[Column], Column]) -> Column:
                 F.struct((x["i"] + F.size(F.split(x["m"], "[ -]"))).alias("free"), F.concat(a["out"], F.array(part(None, before), part(F.lit("card"), x["m"]))).alias("out"))
             )
 
-        start = F.struct(F.lit(0).alias("free"), none_of(run).alias("out"))
-        return F.aggregate(tried, start, take, lambda a: F.concat(a["out"], F.array(part(None, text(a["free"], F.size(groups))))))
+        def some(a: Column, c: Column) -> Column:
+            places = F.sequence(c * FINDS, F.least((c + 1) * FINDS, F.size(tried)) - 1)
+            begin = F.struct(a["free"].alias("free"), none_of(run).alias("out"))
+            done = F.aggregate(places, begin, lambda b, i: take(b, tried[i]))
+            return let(done, lambda b: F.struct(b["free"].alias("free"), F.concat(a["out"], F.array(b["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("free"), F.filter(F.array(none_of(run)), lambda _: F.lit(False)).alias("out"))
+        last = lambda a: F.concat(F.flatten(a["out"]), F.array(part(None, text(a["free"], F.size(groups)))))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(tried) - 1) / FINDS).cast("int")), start, some, last)
 
     heads = F.regexp_extract_all(run, F.lit(HEADS), F.lit(1))
     tried = F.filter(F.transform(heads, lambda h, i: F.struct(i.alias("i"), begins(h).alias("m"))), lambda x: x["m"].isNotNull())

@@ -741,3 +741,32 @@ def test_toxic_rows_go_one_by_one(spark, docs):
     got = corpus_pipeline.toxicity_stage(spark, docs.filter("doc_id <> 1").unionByName(same), DATA)
     assert [r.text for r in got.filter("doc_id = 1").collect()] == ["A calm and friendly sentence about the weather."]
     assert got.filter("doc_id is null").count() == 0
+
+
+@pytest.mark.parametrize("keys", [(1, None, 2), (2, None, 1), (None, 1, 2), (1, 2, None), (None, None, 1), (None, None, None)])
+def test_rows_without_a_key_lose_no_link(spark, keys):
+    """Texts A and B are linked by a text N only; all orders of keys, N's or another's null."""
+    words = [f"w{i}" for i in range(200)]
+    swapped = lambda at: [f"x{i}" if i in at else w for i, w in enumerate(words)]
+    texts = [" ".join(w) for w in (words, swapped({100, 20}), swapped({100, 20, 50, 150}))]
+    sets = [jaccard.shingles(t, 3, jaccard.WordHashes()) for t in texts]
+    near = lambda a, b: len(np.intersect1d(a, b)) * 100 >= 90 * len(np.union1d(a, b))
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    rows = [(k, t) for k, t in zip(keys, texts, strict=True) for _ in range(2)] + [(9, "all others are apart from it")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=90, den=100).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(k, k and min(x for x in keys if x)) for k in keys for _ in range(2)] + [(9, 9)], key=str)
+
+
+@pytest.mark.parametrize("sign", [" ", "-"])
+def test_many_cards_in_one_run_take_linear_time(spark, sign):
+    import time
+
+    card = sign.join(("4111", "1111", "1111", "1111"))
+    df = spark.createDataFrame([(1, sign.join([card] * 16_000)), (2, "12 " * 60_000 + card), (3, f"x {card}, " * 2000)], "doc_id long, text string")
+    pii.pseudonymise(df.limit(0), "k", found="f").collect()
+    start = time.time()
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k", found="f").collect()}
+    assert time.time() - start < 120
+    other = {x.pseudonym for r in out.values() for x in r.f}
+    assert [len(out[i].f) for i in (1, 2, 3)] == [16_000, 1, 2000] and len(other) == 1
+    assert out[1].text == sign.join([*other] * 16_000) and out[2].text == "12 " * 60_000 + [*other][0]
