@@ -36,7 +36,7 @@ MEANS_SQL = SEGMENTS_SQL + ", k AS (SELECT cluster, title, period, round(avg(mea
 @query(f"WITH {SEGMENTS_SQL}, z AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY measure, segment) AS r, count(*) OVER (PARTITION BY period) AS n FROM ps WHERE measure IS NOT NULL) "
        "SELECT period, round(avg(measure), 6) AS median, max(n) AS n FROM z WHERE r = (n + 1) // 2 OR r = (n + 2) // 2 GROUP BY period")
 def e01_ranked_median(spark, d):
-    return robust.ranked_median(published_segments(spark, d), "period", "measure", "segment")
+    return robust.ranked_median(published_segments(spark, d), "period", "measure")
 
 
 @query(f"WITH {MEANS_SQL} SELECT period, count(*) AS n_clusters, round(quantile_cont(score, 0.5), 6) AS median FROM k GROUP BY period")

@@ -70,7 +70,7 @@ def test_total_order_and_quantiles(spark):
 
 def test_ranked_median_even_and_ties(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("a", 3.0, 3), ("a", 9.0, 4), ("b", None, 1)], "g string, v double, k int")
-    assert rows(robust.ranked_median(df, "g", "v", "k")) == [("a", 3.0, 4)]
+    assert rows(robust.ranked_median(df, "g", "v")) == [("a", 3.0, 4)]
 
 
 def test_seed_and_draws():
@@ -517,3 +517,38 @@ def plain_form(text, folds):
             c = folds.get(c, c)
         out.append(c)
     return "".join(out)
+
+
+@pytest.mark.parametrize(("steps", "few"), [(4096, 100_000), (64, 3)])
+def test_order_statistics_equal_sorted_values(spark, monkeypatch, steps, few):
+    import math
+    import random
+
+    monkeypatch.setattr(robust, "STEPS", steps)
+    monkeypatch.setattr(robust, "FEW", few)
+    rng = random.Random(steps)
+    values = {
+        "ties": [rng.choice([1.0, 2.0, 2.5]) for _ in range(90)], None: [rng.gauss(0, 1) for _ in range(75)], "one": [7.0], "equal": [3.0] * 40,
+        "wide": [10.0 ** rng.randint(-300, 300) * rng.choice([1, -1]) for _ in range(60)], "odd": [math.inf, -math.inf, math.nan, 1e308, -1e308, 0.0, -0.0, math.nan, math.inf, 5e-324],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("ties", None), ("none", None)], "g string, v double")
+    n = F.col("n")
+    ranks = {"a": F.lit(1), "b": F.floor((n + 1) / 2), "c": n, "d": F.lit(9), "e": n + 1}
+    got = {r.g: tuple(r) for r in robust.order_statistics(df, "g", "v", ranks).collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        s = sorted(vs, key=lambda x: (math.isnan(x), x))
+        want = [s[0], s[(len(s) + 1) // 2 - 1], s[-1], s[8] if len(s) > 8 else None, None]
+        assert got[g][1] == len(vs) and all(x == y or (x != x and y != y) for x, y in zip(got[g][2:], want, strict=True)), (g, got[g], want)
+
+
+def test_trimmed_equals_a_whole_order(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(robust, "FEW", 5)
+    rng = random.Random(2)
+    for n, scores in ((1, [1.0]), (5, [None]), (40, [1.0]), (60, [1.0, 2.0, None]), (80, [rng.random() for _ in range(50)])):
+        data = [(rng.choice(scores), i % 7, i) for i in range(n)]
+        k = 0 if n < 2 else 1 if n < 20 else int(0.05 * n)
+        want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))[k : n - k]
+        assert rows(robust.trimmed(spark.createDataFrame(data, "s double, t int, c int"), ["s", "t", "c"])) == sorted(want, key=str)
