@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def derive(wide: DataFrame, derived: dict[str, tuple[set[str], Callable[[], Column]]]) -> DataFrame:
-    """Adds derived metrics, each after those it needs; a zero divisor gives null; a cycle fails."""
+    """Adds derived metrics, each after those it needs; a cycle fails. Quotients are made by ``quotient``."""
     left, out = dict(derived), wide
     while left:
         ready = [n for n, (needs, _) in left.items() if not needs & set(left)]
@@ -19,6 +19,13 @@ def derive(wide: DataFrame, derived: dict[str, tuple[set[str], Callable[[], Colu
     return out
 
 
+def quotient(metric: str, above: Column, divisor: str) -> Column:
+    """``above`` by the metric ``divisor``; fails, naming both, where that is 0, and is null where either is."""
+    below = F.col(divisor).cast("double")
+    why = F.concat(F.lit(f"metric {metric} divides by {divisor}, which is "), below.cast("string"))
+    return F.when(below == 0, F.raise_error(why).cast("double")).otherwise(above.cast("double") / below)
+
+
 def with_denominators(metrics: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     """(name, value, n): the denominator of each metric by its name. ``rules`` are patterns, the first
     that matches the whole name counts, each with the names of the counts whose values add up to n. A

@@ -92,22 +92,51 @@ def top_values(frame: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def column_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n_nonnull, n_distinct, constant) of each column, in one pass."""
-    wide = frame.agg(*[x for c in columns for x in (F.count(c).alias(f"{c}__n"), F.count_distinct(c).alias(f"{c}__d"))])
-    each = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n_nonnull"), F.col(f"{c}__d").alias("n_distinct"), (F.col(f"{c}__d") <= 1).alias("constant")) for c in columns]
-    return wide.select(F.explode(F.array(*each)).alias("p")).select("p.*")
+    """(column, n_nonnull, n_distinct, constant) of each column. Each is counted by value on its own: several
+    distinct counts in one aggregate would multiply all rows by their number, and a scan of one column reads
+    no other."""
+    out = None
+    for c in columns:
+        by_value = frame.select(F.col(c).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        one = by_value.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nonnull"), F.count(F.lit(1)).alias("n_distinct"))
+        one = one.select(F.lit(c).alias("column"), "n_nonnull", "n_distinct", (F.col("n_distinct") <= 1).alias("constant"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: A sketch has 2^SKETCH_BITS slots; its count is off by less than four standard errors of 1.04 / 2^(SKETCH_BITS / 2).
+SKETCH_BITS = 14
+SKETCH_ERROR = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(frame: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One sketch of the different values of each column for each group, of a fixed size, in one pass. Sketches
+    of days or parts of a table can be kept and merged; nulls don't count."""
+    return frame.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(c) for c in columns])
+
+
+def merged_distinct(sketches: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, column, about): how many different values all sketches of a group saw, about."""
+    one = sketches.groupBy(*(by or [])).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0)).alias("about")) for c in columns]))
+    return one.select(*(by or []), each.alias("e")).select(*(by or []), "e.*")
 
 
 def flat_key(columns: list[str], separator: str = "\x1f") -> Column:
-    """One key of several columns. A part that holds the separator makes the key null, so that two keys
-    are never taken for one; ``bad_keys`` counts such rows."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    """One key of several columns. A part that holds the separator or the sign for null makes the key null,
+    so that two keys are never taken for one; ``bad_keys`` counts such rows. Nulls have a sign of their own,
+    and so differ from empty text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_SIGN)) for c in columns]
     bad = F.lit(False)
-    for p in parts:
-        bad = bad | F.contains(p, F.lit(separator))
+    for c, p in zip(columns, parts, strict=True):
+        bad = bad | F.contains(p, F.lit(separator)) | F.coalesce(F.contains(F.col(c).cast("string"), F.lit(NULL_SIGN)), F.lit(False))
     return F.when(~bad, F.concat_ws(separator, *parts))
 
 
+#: Stands for null in keys of several columns.
+NULL_SIGN = "\x00"
+
+
 def bad_keys(frame: DataFrame, columns: list[str], separator: str = "\x1f") -> DataFrame:
     """One row: rows whose parts hold the separator, and different keys of the others."""
     key = flat_key(columns, separator)

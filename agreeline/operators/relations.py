@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agreeline.sources.shared import cut
+
 
 def double(df: DataFrame, keys: list[str], prefix: str = "dup:") -> DataFrame:
     """The rows and a copy of them whose keys, references and types carry a prefix; these columns
@@ -56,9 +58,15 @@ def report(compared: DataFrame, relation: str, exempt: list[str] | None = None)
     return r.select(F.lit(relation).alias("relation"), "*", ((F.col("compared") > 0) & (F.col("compared") == F.col("n_ok"))).alias("passed"))
 
 
-def exempt_closure(outside: set[str], derived: dict[str, set[str]]) -> set[str]:
-    """Metrics outside the frame and all that are derived from them."""
-    done = set(outside)
-    while new := {n for n, parts in derived.items() if n not in done and parts & done}:
-        done |= new
-    return done
+def exempt_closure(outside: DataFrame, needs: DataFrame) -> DataFrame:
+    """(metric): the metrics of ``outside`` (metric) and all that are derived from them, over any number of
+    steps; ``needs`` has (metric, needs). Each round joins only what the last one found and leaves out what
+    is known, so cycles end; rows that repeat and nulls don't matter."""
+    edges = cut(needs.select(F.col("metric").alias("m"), F.col("needs").alias("of")).filter("m is not null and of is not null").distinct())
+    new = cut(outside.select("metric").filter("metric is not null").distinct())
+    known = new
+    while not new.isEmpty():
+        reached = edges.join(new, F.col("of") == F.col("metric"), "left_semi").select(F.col("m").alias("metric")).distinct()
+        new = cut(reached.join(known, "metric", "left_anti"))
+        known = known.union(new)
+    return known

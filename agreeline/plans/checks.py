@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agreeline.functions import textscore
 from agreeline.operators import catalog, measures, predict, relations
 from agreeline.sources import tables
+from agreeline.sources.shared import new_path
 from agreeline.streaming import windows
 
 from .bindings import UNITS_SQL, segments, units
@@ -63,7 +64,7 @@ WIDE_SQL = f"{UNITS_SQL}, w AS (SELECT count(*) AS n_total, count(*) FILTER (ok)
 
 
 def _metrics(u):
-    wide = catalog.derive(_wide(u), {"agree_all": ({"agree_share"}, lambda: 100 * F.col("agree_share")), "agree_share": (set(), lambda: F.try_divide(F.col("n_match").cast("double"), F.col("n_judgeable").cast("double")))})
+    wide = catalog.derive(_wide(u), {"agree_all": ({"agree_share"}, lambda: 100 * F.col("agree_share")), "agree_share": (set(), lambda: catalog.quotient("agree_share", F.col("n_match"), "n_judgeable"))})
     rows = {n: (F.col(n), F.col("n_total"), "count") for n in NAMES}
     return tables.metric_rows(wide, rows | {n: (F.round(n, 6), F.col("n_judgeable"), "derived") for n in ("agree_share", "agree_all")})
 
@@ -181,3 +182,46 @@ def m02_m04_predictions(spark, d):
 def s01_windowed_counts(spark, d):
     out = windows.windowed_counts(tables.load(spark, d, "events"), "ts", ["event_type"], "1 day", "1 hour", F.col("value") > 50)
     return out.select("event_type", (F.unix_millis(F.col("window.start").cast("timestamp"))).alias("start_ms"), "n", "n_match")
+
+
+FLAGGED_SQL = "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'"
+
+
+@query(f"""WITH RECURSIVE f AS ({FLAGGED_SQL}), e AS (SELECT DISTINCT 'part:' || a.l_partkey AS m, 'supplier:' || a.l_suppkey AS of FROM f a UNION SELECT DISTINCT 'part:' || b.l_partkey, 'part:' || a.l_partkey FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+r AS (SELECT 'supplier:' || s_suppkey AS metric FROM supplier WHERE s_acctbal < 0 UNION SELECT m FROM r JOIN e ON of = metric)
+SELECT metric FROM r""")
+def j06_exempt_closure(spark, d):
+    """What is derived from suppliers in debt: parts that they returned, and parts next to such ones in an order."""
+    f = tables.load(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag"]).filter("l_returnflag = 'R'")
+    part = F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
+    supplier = lambda c: F.concat(F.lit("supplier:"), F.col(c).cast("string"))
+    before = f.select(part.alias("needs"), F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("next"))
+    beside = f.join(before, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("next"))).select(part.alias("metric"), "needs")
+    needs = f.select(part.alias("metric"), supplier("l_suppkey").alias("needs")).union(beside)
+    outside = tables.load(spark, d, "supplier", ["s_suppkey", "s_acctbal"]).filter("s_acctbal < 0").select(supplier("s_suppkey").alias("metric"))
+    return relations.exempt_closure(outside, needs)
+
+
+@query(f"""SELECT 'orders' AS name, count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', {_HASHED})), 1, 15))::UBIGINT::HUGEINT)::VARCHAR AS digest FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'rest', count(*), sum(('0x' || substr(md5(concat_ws('|', {_HASHED})), 1, 15))::UBIGINT::HUGEINT)::VARCHAR FROM orders WHERE o_orderstatus = 'P'""")
+def a07_committed_run(spark, d):
+    """Two outputs written, recorded with declared counts, and read back through the record."""
+    orders = tables.load(spark, d, "orders", FINGERPRINTED)
+    outputs = {"orders": orders.filter("o_orderstatus <> 'P'"), "rest": orders.filter("o_orderstatus = 'P'")}
+    n = orders.count()
+    run = tables.RunRecord(spark, new_path(spark, "run"))
+    run.write(outputs, expected={"orders": n, "rest": 0}, within={"orders": n // 2, "rest": n // 2})
+    back = [tables.fingerprint(run.read(name), FINGERPRINTED, name) for name in outputs]
+    return back[0].unionByName(back[1])
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_nonnull, count(DISTINCT {c}) AS n_distinct, true AS near FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_custkey", "o_orderkey")))
+def d23s_sketched_distinct(spark, d):
+    """Exact distinct counts beside those of sketches, which are made by status and merged."""
+    columns = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_orderkey"]
+    o = tables.load(spark, d, "orders", columns)
+    sketches = measures.distinct_sketches(o.withColumn("by", F.col("o_orderstatus")), ["by"], columns)
+    about = measures.merged_distinct(sketches, columns).select(F.col("column").alias("c"), "about")
+    exact = measures.column_profile(o, columns)
+    near = F.abs(F.col("about") - F.col("n_distinct")) <= F.ceil(measures.SKETCH_ERROR * F.col("n_distinct"))
+    return exact.join(F.broadcast(about), F.col("column") == F.col("c")).select("column", "n_nonnull", "n_distinct", near.alias("near"))  # a row a column

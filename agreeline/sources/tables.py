@@ -130,8 +130,13 @@ def metric_rows(wide: DataFrame, metrics: dict[str, tuple[Column, Column, str]])
 
 
 class RunRecord:
-    """A run's status, written as a table after its outputs: readers refuse a run that isn't complete
-    or an output that is no longer what was written."""
+    """A run's status, a table that is written after its outputs: readers refuse a run that isn't complete
+    or an output that is no longer what was written.
+
+    ``write`` is the whole protocol: the record says that the run is on, outputs are written to folders of
+    their own, counted and fingerprinted as they were written, held against declared counts, and at last the record
+    names them. A run that is killed anywhere before leaves a record that readers refuse.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -139,7 +144,7 @@ class RunRecord:
     def _write(self, status: str, outputs: list[tuple[str, int, str]]) -> None:
         now = datetime.now(timezone.utc).isoformat()
         rows = [(status, now, *o) for o in outputs] or [(status, now, None, None, None)]
-        self.spark.createDataFrame(rows, "status string, at string, name string, n_rows long, digest string").coalesce(1).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame(rows, "status string, at string, name string, n_rows long, digest string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/record")
 
     def start(self) -> None:
         self._write("running", [])
@@ -147,8 +152,34 @@ class RunRecord:
     def complete(self, outputs: dict[str, DataFrame]) -> None:
         self._write("complete", [tuple(fingerprint(df, df.columns, n).first()) for n, df in outputs.items()])
 
+    def write(self, outputs: dict[str, DataFrame], expected: dict[str, int] | None = None, within: dict[str, int] | None = None) -> None:
+        """Writes all outputs and then the record; an output whose number of rows is further from the declared
+        one than its tolerance (0 if none is given) fails the run, and so does a declared one that isn't there."""
+        self.start()
+        if lacking := sorted(set(expected or {}) - set(outputs)):
+            raise ValueError(f"outputs are declared that aren't there: {lacking}")
+        rows = []
+        for name, df in outputs.items():
+            df.write.mode("overwrite").parquet(self._at(name))
+            rows.append(tuple(fingerprint(self.spark.read.parquet(self._at(name)), df.columns, name).first()))
+        wrong = {n: (found, expected[n]) for n, found, _ in rows if expected and n in expected and abs(found - expected[n]) > (within or {}).get(n, 0)}
+        if wrong:
+            raise ValueError(f"counts differ (found, expected): {wrong}")
+        self._write("complete", rows)
+
+    def _at(self, name: str) -> str:
+        if not NAME.fullmatch(name):
+            raise ValueError(f"not a name of an output: {name!r}")
+        return f"{self.path}/{name}.parquet"
+
+    def read(self, name: str) -> DataFrame:
+        """An output of a complete run, as it was written."""
+        df = self.spark.read.parquet(self._at(name))
+        self.check({name: df})
+        return df
+
     def check(self, outputs: dict[str, DataFrame]) -> None:
-        rows = self.spark.read.parquet(self.path).collect()
+        rows = self.spark.read.parquet(f"{self.path}/record").collect()
         if any(r.status != "complete" for r in rows):
             raise ValueError("the run isn't complete")
         said = {r.name: (r.n_rows, r.digest) for r in rows}

@@ -194,7 +194,14 @@ def test_relations_catch_a_constant_denominator(spark):
     other = spark.createDataFrame([("n_x", 3.0), ("agree", 0.5), ("odd", 1.0)], "name string, value double")
     assert {r.name: r.ok for r in relations.compare(base, other, "double").collect()} == {"n_x": False, "agree": True, "odd": False}
     assert not relations.report(relations.compare(base.limit(0), other.limit(0), "double"), "double").first().passed
-    assert relations.exempt_closure({"a"}, {"b": {"a"}, "c": {"b"}, "d": {"e"}}) == {"a", "b", "c"}
+
+
+def test_closure_of_exempt_metrics_ends(spark):
+    edges = [("b", "a"), ("c", "b"), ("d", "e"), ("e", "d"), ("a", "c"), ("f", "f"), ("b", "a"), (None, "a"), ("g", None)] + [(f"x{i}", f"x{i - 1}" if i else "a") for i in range(12)]
+    needs = spark.createDataFrame(edges, "metric string, needs string")
+    closed = lambda start: sorted(r.metric for r in relations.exempt_closure(spark.createDataFrame([(s,) for s in start], "metric string"), needs).collect())
+    assert closed(["a", "a", None]) == sorted(["a", "b", "c", *(f"x{i}" for i in range(12))])
+    assert closed(["d"]) == ["d", "e"] and closed(["g"]) == ["g"] and closed([]) == []
 
 
 def test_catalog(spark):
@@ -203,6 +210,10 @@ def test_catalog(spark):
     assert out.s is None and out.r is None
     with pytest.raises(ValueError):
         catalog.derive(wide, {"p": ({"q"}, lambda: F.lit(1)), "q": ({"p"}, lambda: F.lit(1))})
+    share = {"share": ({"total"}, lambda: catalog.quotient("share", F.col("x"), "total")), "total": (set(), lambda: F.col("y") * 2)}
+    with pytest.raises(Exception, match="metric share divides by total, which is 0"):
+        catalog.derive(wide, share).collect()
+    assert catalog.derive(wide.withColumn("y", F.lit(1)), share).first().share == 2 and catalog.derive(wide.withColumn("y", F.lit(None)), share).first().share is None
     one = spark.createDataFrame([("a", 1.0, 2), ("b", 1.0, 2)], "name string, value double, n long")
     two = spark.createDataFrame([("a", 1.0, 3), ("c", 1.0, 2)], "name string, value double, n long")
     assert {r.name: r.ok for r in catalog.routes_agree(one, two).collect()} == {"a": False, "b": False, "c": False}
@@ -448,6 +459,42 @@ def test_run_record(spark, tmp_path):
         run.check({"x": df.limit(1)})
 
 
+def test_killed_and_changed_runs_are_refused(spark, tmp_path):
+    df = spark.range(10).select(F.col("id").alias("k"))
+    run = tables.RunRecord(spark, str(tmp_path / "run"))
+    run.write({"a": df, "b": df.limit(3)}, expected={"a": 9}, within={"a": 1})
+    assert run.read("a").count() == 10 and run.read("b").count() == 3
+    for declared in ({"a": 8}, {"b": 4}, {"c": 1}):
+        with pytest.raises(ValueError):
+            run.write({"a": df, "b": df.limit(3)}, expected=declared, within={"a": 1})
+        with pytest.raises(ValueError, match="complete"):
+            run.read("a")
+    run.write({"a": df})
+    broken = df.select((F.lit(1) / F.col("k").cast("double")).alias("k"), F.when(F.col("k") == 7, F.raise_error("killed")).alias("x"))
+    with pytest.raises(Exception, match="killed"):
+        run.write({"b": df, "a": broken})
+    with pytest.raises(ValueError, match="complete"):
+        run.read("b")
+    run.write({"a": df})
+    df.limit(9).write.mode("overwrite").parquet(str(tmp_path / "run" / "a.parquet"))
+    with pytest.raises(ValueError, match="isn't what"):
+        run.read("a")
+
+
+def test_sketches_merge_and_keep_their_bound(spark):
+    n = 30_000
+    df = spark.range(n).select((F.col("id") % 3).alias("day"), F.when(F.col("id") % 5 != 0, F.col("id") % 20_000).alias("v"), F.lit(None).cast("long").alias("w"), F.lit(1).alias("one"))
+    exact = len({i % 20_000 for i in range(n) if i % 5})
+    got = {r.column: r.about for r in measures.merged_distinct(measures.distinct_sketches(df, ["day"], ["v", "w", "one"]), ["v", "w", "one"]).collect()}
+    assert abs(got["v"] - exact) <= measures.SKETCH_ERROR * exact and got["w"] == 0 and got["one"] == 1
+    assert {r.column: (r.n_nonnull, r.n_distinct, r.constant) for r in measures.column_profile(df, ["v", "w", "one"]).collect()} == {"v": (24_000, exact, False), "w": (0, 0, True), "one": (n, 1, True)}
+
+
+def test_null_and_empty_parts_of_keys_differ(spark):
+    df = spark.createDataFrame([("a", None), ("a", ""), ("a\x1f", "b"), ("\x00", "b")], "x string, y string")
+    assert tuple(measures.bad_keys(df, ["x", "y"]).first()) == (2, 2)
+
+
 def test_cascade_and_ledger(spark):
     p = spark.createDataFrame([(1,)], "k int")
     c = spark.createDataFrame([(1, 10), (2, 20)], "pk int, ck int")
