@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from agreeline.sources.shared import cut, is_small, ship
 
 
 def year(day: Column) -> Column:
@@ -23,6 +28,47 @@ def has_marker(title: Column, markers: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(title, F.lit(m)) for m in markers]), F.lit(False))
 
 
+#: Markers that go to all tasks, at most; more are joined.
+MOST_MARKERS = 500_000
+
+
+def with_marker(df: DataFrame, title: str, markers: DataFrame, name: str = "marked") -> DataFrame:
+    """``df`` with a boolean: does the title contain one of ``markers`` (tok)? A null title doesn't; an empty marker
+    is in every other title; null markers and repeats don't matter.
+
+    Titles run through an automaton of all markers once, so their number doesn't cost time. Where a count
+    finds more markers than tasks should hold, every piece of a title of a marker's length is looked up by
+    a join instead.
+    """
+    toks = cut(markers.select("tok").filter("tok is not null").distinct())
+    ship(df.sparkSession)
+    if is_small(toks, MOST_MARKERS):
+        known = df.sparkSession.sparkContext.broadcast([r.tok for r in toks.collect()])
+
+        @pandas_udf("boolean")
+        def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import ahocorasick
+
+            found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for tok in known.value:
+                if tok:
+                    found.add_word(tok)
+            every = "" in known.value
+            if len(found):
+                found.make_automaton()
+            for batch in batches:
+                yield batch.map(lambda t: t is not None and (every or (len(found) > 0 and next(found.iter(t), None) is not None)))
+
+        return df.withColumn(name, has(F.col(title)))
+    lengths = [r[0] for r in toks.select(F.length("tok")).distinct().collect()]  # no more than the longest marker has characters
+    titles = df.select(F.col(title).alias("_t")).filter("_t is not null").distinct()
+    t = F.col("_t")
+    of = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = titles.select("_t", F.explode(F.array_distinct(F.flatten(F.array(*map(of, lengths))))).alias("_piece"))
+    hits = pieces.join(toks, F.col("_piece") == F.col("tok"), "left_semi").select("_t").distinct().withColumn("_hit", F.lit(True))
+    return df.join(hits, F.col(title) == F.col("_t"), "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_t", "_hit")
+
+
 def keyword_group(title: Column, markers: list[str], name: str = "marked", other: str = "other") -> Column:
     """Titles with a marker, titles without one, and empty or missing titles unassigned."""
     has = has_marker(title, markers)

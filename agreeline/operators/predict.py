@@ -37,6 +37,35 @@ def predict(seqs: DataFrame, segment: str, labeller: Callable[[list[list[str]]],
     return seqs.select(segment, "ids", "tokens").mapInPandas(run, f"`{segment}` {kind}, ids {ids}, labels array<string>")
 
 
+def streamed(
+    units: DataFrame, segment: str, pos: str, unit: str, token: str, step: Callable[[object, list[str]], tuple[object, list[str]]], missing: str = "?", batch: int = 10_000
+) -> DataFrame:
+    """(id, hyp) of all units, where a segment may be of any length: its units come in order, by position and id,
+    at most ``batch`` at a time, and ``step`` gets what it gave last (None at a segment's beginning)
+    and the tokens, and gives what it needs next time and a label for each token. A task holds one batch and that
+    state; units of null segments are one segment, empty labels become ``missing``."""
+    kind = units.schema[unit].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for f in frames:
+            ends = [*(f["g"] != f["g"].shift()).to_numpy().nonzero()[0], len(f)]
+            for first, until in zip(ends, ends[1:], strict=False):
+                for at in range(first, until, batch):
+                    part = f.iloc[at : min(at + batch, until)]
+                    if part["g"].iat[0] != last:
+                        last, state = part["g"].iat[0], None
+                    state, labels = step(state, part["t"].tolist())
+                    if len(labels) != len(part):
+                        raise ValueError("a label is missing or too many")
+                    yield pd.DataFrame({"id": part["i"].to_numpy(), "hyp": [x or missing for x in labels]})
+
+    # null and text are told apart by the first character
+    g = F.when(F.col(segment).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(segment).cast("string")))
+    rows = units.select(g.alias("g"), F.col(pos).alias("p"), F.col(unit).alias("i"), F.col(token).alias("t"))
+    return rows.repartition("g").sortWithinPartitions("g", "p", "i").select("g", "i", "t").mapInPandas(run, f"id {kind}, hyp string")
+
+
 def by_unit(predicted: DataFrame) -> DataFrame:
     """(id, hyp) rows."""
     return predicted.select(F.explode(F.arrays_zip("ids", "labels")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.labels").alias("hyp"))

@@ -102,13 +102,20 @@ def c02_checked_join(spark, d):
 @query(f"WITH {SEGMENTS_SQL}, m(tok) AS (VALUES ('MACH'), ('BUILD')) SELECT cluster, title FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE contains(title, tok))")
 def c05_no_marker(spark, d):
     m = spark.createDataFrame([(x,) for x in MARKERS], "tok string")
-    return clusters(spark, d).select("cluster", "title").join(F.broadcast(m), F.contains("title", "tok"), "left_anti")
+    return labels.with_marker(clusters(spark, d).select("cluster", "title"), "title", m).filter("not marked").drop("marked")
 
 
 @query(f"WITH {SEGMENTS_SQL}, m(tok) AS (VALUES ('MACH'), ('BUILD')) SELECT cluster, title FROM c WHERE EXISTS (SELECT 1 FROM m WHERE contains(title, tok))")
 def c06_marker(spark, d):
     m = spark.createDataFrame([(x,) for x in MARKERS], "tok string")
-    return clusters(spark, d).select("cluster", "title").join(F.broadcast(m), F.contains("title", "tok"), "left_semi")
+    return labels.with_marker(clusters(spark, d).select("cluster", "title"), "title", m).filter("marked").drop("marked")
+
+
+@query("SELECT doc_id, EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, substr(b.text, 1, 40))) AS marked FROM documents d")
+def c06m_many_markers(spark, d):
+    """Documents that contain the beginning of an item, all items at once."""
+    m = tables.load(spark, d, "benchmark", ["text"]).select(F.substring("text", 1, 40).alias("tok"))
+    return labels.with_marker(tables.load(spark, d, "documents", ["doc_id", "text"]), "text", m).drop("text")
 
 
 @query(f"WITH {SEGMENTS_SQL} SELECT cluster FROM c WHERE cluster NOT IN (SELECT seg_cluster FROM ps)")

@@ -225,3 +225,32 @@ def d23s_sketched_distinct(spark, d):
     exact = measures.column_profile(o, columns)
     near = F.abs(F.col("about") - F.col("n_distinct")) <= F.ceil(measures.SKETCH_ERROR * F.col("n_distinct"))
     return exact.join(F.broadcast(about), F.col("column") == F.col("c")).select("column", "n_nonnull", "n_distinct", near.alias("near"))  # a row a column
+
+
+@query("SELECT conv_id || ':' || turn AS id, role || row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || ':' || turn) AS hyp FROM conversations")
+def f03s_streamed_labels(spark, d):
+    """Each turn's label tells how many turns its conversation has had, however long conversations are."""
+
+    def step(seen, roles):
+        first = (seen or 0) + 1
+        return first + len(roles) - 1, [f"{r}{n}" for n, r in enumerate(roles, first)]
+
+    t = tables.load(spark, d, "conversations", ["conv_id", "turn", "role"]).withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    return predict.streamed(t, "conv_id", "turn", "id", "role", step)
+
+
+@query("SELECT doc_id::VARCHAR AS id, toxic::VARCHAR AS hyp FROM labels")
+def a02_a08_predictions(spark, d):
+    """Predictions written in order of their ids as JSON lines, and read back strictly."""
+    path = new_path(spark, "predictions")
+    tables.write_predictions(tables.load(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("string").alias("hyp")), path)
+    return tables.read_predictions(spark, path)
+
+
+@query("SELECT doc_id::VARCHAR AS id, text AS ref FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{M}\\p{N}]')")
+def a04_references(spark, d):
+    """Texts with something to count, written as a reference set and read back strictly."""
+    path = new_path(spark, "references")
+    texts = tables.load(spark, d, "documents", ["doc_id", "text"]).filter(F.col("text").rlike(r"[\p{L}\p{M}\p{N}]"))
+    texts.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("ref")).write.json(path)
+    return tables.read_references(spark, path)

@@ -599,3 +599,48 @@ def test_trimmed_equals_a_whole_order(spark, monkeypatch):
         k = 0 if n < 2 else 1 if n < 20 else int(0.05 * n)
         want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))[k : n - k]
         assert rows(robust.trimmed(spark.createDataFrame(data, "s double, t int, c int"), ["s", "t", "c"])) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_markers_in_titles(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(labels, "MOST_MARKERS", most)
+    rng = random.Random(6)
+    titles = [None, "", "abc", *("".join(rng.choice("abé") for _ in range(rng.randint(1, 12))) for _ in range(80))]
+    for toks in ([], ["abc", "é", "abc", None], ["aab", "bbé", "zz", "éa", "babab"], ["", "x"]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "k int, t string")
+        got = labels.with_marker(df, "t", spark.createDataFrame([(t,) for t in toks], "tok string")).collect()
+        want = [(i, t, t is not None and any(m is not None and m in t for m in toks)) for i, t in enumerate(titles)]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_many_markers_take_linear_time(spark):
+    import time
+
+    toks = spark.range(100_000).select(F.concat(F.lit("m"), F.col("id").cast("string"), F.lit(";")).alias("tok"))
+    df = spark.range(20_000).select(F.concat(F.lit("a title of m"), (F.col("id") * 10).cast("string"), F.when(F.col("id") % 2 == 0, ";").otherwise("")).alias("t"))
+    start = time.time()
+    assert labels.with_marker(df, "t", toks).filter("marked").count() == 5000
+    assert time.time() - start < 60
+
+
+def test_streamed_labels_keep_state_over_batches(spark):
+    import itertools
+
+    def step(state, tokens):
+        sums = list(itertools.accumulate(map(int, tokens), initial=state or 0))
+        return sums[-1], [str(x) if x % 5 else "" for x in sums[1:]]
+
+    data = [(s, p, f"{s}:{p}", str((p * 7) % 4)) for s, n in (("a", 37), ("b", 1), (None, 9), ("", 4)) for p in range(n)]
+    want = []
+    for _, own in itertools.groupby(data, lambda r: r[0]):
+        total = 0
+        for _, _, i, t in own:
+            total += int(t)
+            want.append((i, str(total) if total % 5 else "?"))
+    df = spark.createDataFrame(data, "s string, p int, i string, t string").repartition(5)
+    for batch in (1, 4, 10_000):
+        assert rows(predict.streamed(df, "s", "p", "i", "t", step, batch=batch)) == sorted(want, key=str)
+    with pytest.raises(Exception, match="missing or too many"):
+        predict.streamed(df, "s", "p", "i", "t", lambda s, t: (s, t[1:])).collect()
