@@ -124,6 +124,22 @@ def _at(period, value):
     return F.max(F.when(F.col("period") == period, F.col(value)))
 
 
+def _ratio(above, below):
+    """A quotient of two columns as doubles, null where the second is 0."""
+    above, below = (F.col(c) if isinstance(c, str) else c for c in (above, below))
+    return F.try_divide(above.cast("double"), below.cast("double"))
+
+
+def _each(df, name, rows):
+    """``df`` with a row for each of ``rows``, which has its columns by its name."""
+    one = [F.struct(F.lit(k).alias(name), *[v.alias(c) for c, v in columns.items()]) for k, columns in rows.items()]
+    return df.select("*", F.explode(F.array(*one)).alias("_z")).select("*", "_z.*").drop("_z")
+
+
+def _post_less_pre(value, unit=1):
+    return (unit * (_at("post", value) - _at("pre", value))).alias("gap")
+
+
 @query(f"""WITH {UNITS_SQL}, k AS (SELECT base.cluster, base.period, coalesce(sum(ok::INT), 0)::BIGINT AS n, {CLASS_CELLS} FROM {BASE_SQL} base LEFT JOIN u ON u.cluster = base.cluster AND u.period = base.period GROUP BY ALL), {_draws_sql('k', 'cluster', 'period', ['n', *(f'n_{c}' for c in KINDS)])},
 l AS ({' UNION ALL '.join(f"SELECT b, g, period, '{c}' AS class, n_{c}::DOUBLE / nullif(n, 0) AS x FROM bs" for c in KINDS)}),
 gp AS (SELECT b, class, min(g) AS g, 1000 * (max(x) FILTER (period = 'post') - max(x) FILTER (period = 'pre')) AS gap FROM l GROUP BY b, class),
@@ -134,11 +150,12 @@ SELECT class, n_rounds, low, high, p, observed, p_opposite, round(least(1.0, min
 def i10_class_gaps_bh(spark, d):
     counts = {"n": F.col("ok"), **{f"n_{c}": F.col("ok") & (F.col("verdict") == c) for c in KINDS}}
     k = cut(decompose.cluster_cells(_base(spark, d), units(spark, d), ["cluster", "period"], counts))
-    shares = lambda sums: sums.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.try_divide(F.col(f"n_{c}").cast("double"), F.col("n").cast("double")).alias("x")) for c in KINDS])).alias("z")).select("*", "z.*")
+    shares = {c: {"x": _ratio(f"n_{c}", "n")} for c in KINDS}
     sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, SCHEME, "n_clusters")
-    gap = (1000 * (_at("post", "x") - _at("pre", "x"))).alias("gap")
-    gaps = shares(sums).groupBy("b", "class").agg(gap, F.min("n_clusters").alias("n_clusters"))
-    point = shares(k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])).groupBy("class").agg(gap)
+    gap = _post_less_pre("x", 1000)
+    gaps = _each(sums, "class", shares).groupBy("b", "class").agg(gap, F.min("n_clusters").alias("n_clusters"))
+    observed = k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])
+    point = _each(observed, "class", shares).groupBy("class").agg(gap)
     out = resample.interval(_with_observed(gaps, point, ["class"], "gap"), ["class"], "gap", "obs", "n_clusters")
     out = resample.benjamini_hochberg(out, "class", "p_opposite", len(KINDS))
     return out.withColumn("conclusion", resample.conclusion(F.col("n_clusters"))).drop("n_clusters")
@@ -155,14 +172,12 @@ def i11_flag_gap_bootstrap(spark, d):
     """A flag's rate and a measure's mean (added up in hundredths, so that sums are exact)."""
     counts = {"n": F.lit(1), "n_flag": F.col("flag"), "total": F.round(100 * F.col("measure"))}
     k = cut(decompose.cluster_cells(_base(spark, d), published_segments(spark, d), ["cluster", "period"], counts))
-    rates = lambda sums: sums.select("*", F.explode(F.array(
-        F.struct(F.lit("flag_pm").alias("rate"), (1000 * F.try_divide(F.col("n_flag").cast("double"), F.col("n").cast("double"))).alias("x")),
-        F.struct(F.lit("measure").alias("rate"), F.try_divide(F.col("total").cast("double") / 100, F.col("n").cast("double")).alias("x")),
-    )).alias("z")).select("*", "z.*")
+    rates = {"flag_pm": {"x": 1000 * _ratio("n_flag", "n")}, "measure": {"x": _ratio(F.col("total").cast("double") / 100, "n")}}
     sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, SCHEME, "n_clusters")
-    gap = (_at("post", "x") - _at("pre", "x")).alias("gap")
-    gaps = rates(sums).groupBy("b", "rate").agg(gap, F.min("n_clusters").alias("n_clusters"))
-    point = rates(k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])).groupBy("rate").agg(gap)
+    gap = _post_less_pre("x")
+    gaps = _each(sums, "rate", rates).groupBy("b", "rate").agg(gap, F.min("n_clusters").alias("n_clusters"))
+    observed = k.groupBy("period").agg(*[F.sum(c).alias(c) for c in counts])
+    point = _each(observed, "rate", rates).groupBy("rate").agg(gap)
     out = resample.interval(_with_observed(gaps, point, ["rate"], "gap"), ["rate"], "gap", "obs", "n_clusters")
     out = resample.benjamini_hochberg(out, "rate", "p_opposite", 2)
     return out.withColumn("conclusion", resample.conclusion(F.col("n_clusters"))).drop("n_clusters")
@@ -175,13 +190,14 @@ MAIN = "(a <> b OR b <> c OR a <> c)"
 def i12_reader_gap_bootstrap(spark, d):
     r = readers(spark, d).filter(rd.differs(["a", "b", "c"]))
     names = {"a": "m_a", "b": "m_b", "c": "m_c", "base": "m_base"}
-    k = r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]).withColumn("stratum", F.lit("all"))
-    k = cut(k)
+    hits = [F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]
+    k = cut(r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *hits).withColumn("stratum", F.lit("all")))
     sums = resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, SCHEME, "n_clusters")
-    gap = lambda m: F.struct(F.lit(m[2:]).alias("reader"), (1000 * F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("n").cast("double"))).alias("gap"), F.try_divide((F.col(m) - F.col("m_base")).cast("double"), F.col("m_base").cast("double")).alias("rel"))
-    each = lambda df: df.select("*", F.explode(F.array(*[gap(m) for m in ("m_a", "m_b", "m_c")])).alias("x")).select("*", "x.*")
-    point = each(k.agg(*[F.sum(c).alias(c) for c in ("n", *names.values())]))
-    long = _with_observed(each(sums).select("n_clusters", "reader", "gap", "rel"), point, ["reader"], "gap")
+    more = lambda x: F.col(f"m_{x}") - F.col("m_base")
+    gaps = {x: {"gap": 1000 * _ratio(more(x), "n"), "rel": _ratio(more(x), "m_base")} for x in "abc"}
+    point = _each(k.agg(*[F.sum(c).alias(c) for c in ("n", *names.values())]), "reader", gaps)
+    replicates = _each(sums, "reader", gaps).select("n_clusters", "reader", "gap", "rel")
+    long = _with_observed(replicates, point, ["reader"], "gap")
     out = resample.interval(long, ["reader"], "gap", "obs", "n_clusters")
     rel = resample.interval(long, ["reader"], "rel").select(F.col("reader").alias("r"), F.col("low").alias("rel_low"), F.col("high").alias("rel_high"), F.col("n_rounds").alias("n_comparable"))
     ratio = point.select(F.col("reader").alias("q"), F.col("rel").alias("ratio"))
