@@ -5,7 +5,7 @@ passes over the source. A source's documents are permuted by hash and fall into
 target becomes full passes over all blocks, a number of leading blocks, and part of the next one.
 A splitting tree deals the block quotas of all sources to output shards: every node halves its
 blocks, drawing how many of each source go left from the multivariate hypergeometric distribution,
-source by source. The counts at the leaves are exact: they add up to each source's quota and differ
+group of sources by group, then source by source. The counts at the leaves are exact: they add up to each source's quota and differ
 by one block at most between shards. Each shard then takes the next blocks of each source, so
 shards share no block, and its documents are shuffled by hash within the shard.
 
@@ -32,6 +32,10 @@ PER_BLOCK = 64
 #: Draws inside a step that close in on the target.
 REFINE = 4
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Sources, or groups of sources, whose counts one row of the splitting tree has.
+FAN = 256
+#: Most tasks for the draws of a level.
+MOST_TASKS = 1000
 
 
 def bits_for(rows: Column, most: int) -> Column:
@@ -39,23 +43,44 @@ def bits_for(rows: Column, most: int) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(rows, F.lit(1)) / PER_BLOCK)))).cast("int")
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with, by name, the sum of each column over the rows before, in an order that has no ties.
+
+    Rows are dealt to tasks by ranges of the order. Each task adds up its own rows, from the sums of the
+    tasks before it, so what meets in one task is a row for each of them."""
+    own, own2, *before = fresh(rows, "part", "part2", *(f"{name}_before" for name in sums))
+    rows = cut(rows.repartitionByRange(*order).withColumn(own, F.spark_partition_id()))
+    earlier = Window.orderBy(own2).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy(F.col(own).alias(own2)).agg(*[F.sum(c).alias(b) for b, c in zip(before, sums.values(), strict=True)])
+    tasks = tasks.select(own2, *[F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in before])
+    out = rows.withColumns({name: F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()})
+    out = out.join(bounded(tasks), F.col(own) == F.col(own2))
+    return out.withColumns({name: F.col(name) + F.col(b) for name, b in zip(sums, before, strict=True)}).drop(own, own2, *before)
+
+
+def in_order(source: str = "src") -> list[Column]:
+    """Sources by code point, null last."""
+    return [F.col(source).isNull(), F.col(source)]
+
+
 def water_fill(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: float = 3.0) -> DataFrame:
     """``sources`` (src, docs, source_size) with weight and target (double).
 
     Sources take the weights in turn, by code point, null last. Targets are level * weight, or
     passes * source_size where that is less; the level is such that they add up to all sizes. That
-    is where resharing the excess by weight ends. The windows run over one row for each source.
+    is where resharing the excess by weight ends. Sources, however many, are added up in ranges.
     """
-    order = Window.orderBy(F.col("src").isNull(), F.col("src"))
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    out = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1))
+    turn = F.pmod(F.col("turn"), F.lit(len(weights))).cast("int")
+    out = running(sources, in_order(), turn=F.lit(1))
+    out = out.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1)).drop("turn")
     out = out.withColumns({"cap": passes * F.col("source_size"), "ratio": passes * F.col("source_size") / F.col("weight")})
-    by_ratio = Window.orderBy("ratio", F.col("src").isNull(), "src")
-    before, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    capped, used = F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    out = out.withColumn("level", (F.sum("source_size").over(whole) - capped) / (F.sum("weight").over(whole) - used))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("src").isNull().alias("null"), "src", "level"))).over(whole)["level"]
-    return out.withColumn("target", F.least("cap", F.coalesce(first, F.col("ratio")) * F.col("weight"))).drop("cap", "ratio", "level")
+    out = cut(running(out, [F.col("ratio"), *in_order()], capped=F.col("cap"), used=F.col("weight")))
+    size, weight = out.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(size) - F.col("capped")) / (F.lit(weight) - F.col("used"))
+    # the first level, by ratio, that a source's cap doesn't stop
+    first = out.filter(level <= F.col("ratio")).agg(F.min(F.struct("ratio", F.col("src").isNull().alias("null"), "src", level.alias("level")))["level"]).first()[0]
+    return out.withColumn("target", F.least("cap", F.coalesce(F.lit(first).cast("double"), F.col("ratio")) * F.col("weight"))).drop("cap", "ratio", "capped", "used")
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -76,13 +101,13 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     """
     low, high = F.greatest(F.lit(0), drawn + marked - total), F.least(marked, drawn)
     n, k, m = (x.cast("double") for x in (total, marked, drawn))
-    spread = (14 * F.sqrt(F.greatest(F.lit(1.0), m * k / n * (1 - k / n))) + 4).cast("int")
-    mode = F.least(high, F.greatest(low, F.floor((m + 1) * (k + 1) / (n + 2)).cast("int")))
+    spread = (14 * F.sqrt(F.greatest(F.lit(1.0), m * k / n * (1 - k / n))) + 4).cast("long")
+    mode = F.least(high, F.greatest(low, F.floor((m + 1) * (k + 1) / (n + 2)).cast("long")))
 
     def chosen(c: Column) -> Column:
         mode, start, end = c["mode"], c["start"], c["end"]
         up = lambda x: (k - x) * (m - x) / ((x + 1) * (n - k - m + x + 1))  # noqa: E731  p(x + 1) / p(x)
-        none = F.array().cast("array<int>")
+        none = F.array().cast("array<bigint>")
         walk = lambda over, ratio: F.aggregate(
             over,
             F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum")),
@@ -101,33 +126,61 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
         return F.least(end, start + let(F.struct(below.alias("b"), above["sum"].alias("a")), climb))
 
     bounds = F.struct(mode.alias("mode"), F.greatest(low, mode - spread).alias("start"), F.least(high, mode + spread).alias("end"))
-    return F.when(total <= 0, 0).otherwise(let(bounds, chosen)).cast("int")
+    return F.when(total <= 0, 0).otherwise(let(bounds, chosen)).cast("long")
+
+
+def drawn_left(counts: Column, total: Column, drawn: Column, uniform_of: Callable[[Column], Column]) -> Column:
+    """How many of each of ``counts``, which add up to ``total``, are among ``drawn``: one after the other,
+    hypergeometric given what the earlier ones have taken. ``uniform_of`` gives the uniform of the i-th, from 1."""
+
+    def step(a: Column, s: Column) -> Column:
+        k = hypergeometric(a["n"], s["x"], a["m"], uniform_of(s["i"]))
+        return let(k, lambda k: F.struct((a["n"] - s["x"]).alias("n"), (a["m"] - k).alias("m"), F.concat(a["l"], F.array(k)).alias("l")))
+
+    start = F.struct(total.alias("n"), drawn.alias("m"), F.array().cast("array<bigint>").alias("l"))
+    return F.aggregate(F.zip_with(counts, F.sequence(F.lit(1), F.size(counts)), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), start, step)["l"]
 
 
 def splitting_tree(quotas: DataFrame, depth: int, seed: int = 17) -> DataFrame:
     """(src, shard, first, blocks) from ``quotas`` (src, quota): 2**depth shards, whose block counts
     of each source add up to its quota; ``first`` is the place of the shard's first block.
 
-    The sources of a node stay together in one row of counts, so a level is one projection: for each
-    source in turn, what goes left is hypergeometric given what the earlier ones have taken.
+    A row has the counts of FAN sources in a node. Where there are more, their sums make up rows of a
+    tier above, and so on up to one row for each node. What goes left is drawn from the top tier down:
+    of the groups in a row first, then, with each group's share of the draw, of what is in the group.
+    That draws from the same distribution as one source after the other, and no row grows with the sources.
     """
-    node = quotas.orderBy(F.col("src").isNull(), "src").groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("src").isNull().alias("is_null"), "src", "quota"))).alias("s"))
-    node = node.select(F.col("s").alias("sources"), F.transform("s", lambda x: x["quota"]).alias("c"), F.lit(0).alias("node"))
+    sources = cut(running(quotas.withColumn("quota", F.col("quota").cast("long")), in_order(), place=F.lit(1)))
+    group = lambda x: F.floor(F.col(x) / FAN).cast("long").alias("g")
+    listed = F.sort_array(F.collect_list(F.struct("place", "src", "quota"))).alias("sources")
+    node = sources.groupBy(group("place")).agg(listed).select("g", "sources", F.transform("sources", lambda x: x["quota"]).alias("c"), F.lit(0).alias("node"))
+    node, n, tiers = cut(node), sources.count(), 0
+    while FAN ** (tiers + 1) < n:
+        tiers += 1
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     for level in range(depth):
-        total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
+        rows = [node]
+        for _ in range(tiers):
+            held = F.transform(F.sort_array(F.collect_list(F.struct("g", whole("c").alias("c")))), lambda x: x["c"])
+            rows.append(rows[-1].groupBy("node", group("g")).agg(held.alias("c")))
+        top = rows[-1].withColumn("total", whole("c"))
         # an odd block goes left or right by chance
-        half = ((total + F.when(uniform(seed, F.lit(level), F.col("node")) < 0.5, 1).otherwise(0)) / 2).cast("int")
-        node = node.withColumns({"total": total, "half": half})
-        drawn = F.aggregate(
-            F.zip_with("c", F.sequence(F.lit(1), F.size("c")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-            F.struct(F.col("total").alias("n"), F.col("half").alias("m"), F.array().cast("array<int>").alias("l")),
-            lambda a, s: (lambda k: F.struct((a["n"] - s["x"]).alias("n"), (a["m"] - k).alias("m"), F.concat(a["l"], F.array(k)).alias("l")))(
-                hypergeometric(a["n"], s["x"], a["m"], uniform(seed + 1, F.lit(level), F.col("node"), s["i"]))
-            ),
-        )["l"]
-        node = cut(node.withColumn("l", drawn))
-        side = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("c")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("c", "l", lambda x, y: x - y).alias("c"))))
-        node = node.select("sources", side.alias("x")).select("sources", "x.c", "x.node")
+        half = (F.col("total") + F.when(uniform(seed, F.lit(level), F.col("node")) < 0.5, 1).otherwise(0)) / 2
+        split = top.withColumn("half", half.cast("long"))
+        for tier in range(tiers, -1, -1):
+            index = lambda i: (F.col("g") * FAN + i).cast("int")
+            chance = lambda i, tier=tier, index=index: uniform(seed + 1 + tier, F.lit(level), F.col("node"), index(i))
+            # few bytes but long walks: tasks by number of rows, eight or so in each
+            tasks = min(MOST_TASKS, 1 + 2**level * n // (8 * FAN ** (tier + 1)))
+            split = split.repartition(tasks, "node", "g")
+            split = cut(split.withColumn("l", drawn_left(F.col("c"), F.col("total"), F.col("half"), chance)))
+            if tier:
+                share = split.select(F.col("node").alias("n2"), "g", F.posexplode("l").alias("at", "half")).select("n2", (F.col("g") * FAN + F.col("at")).alias("g2"), "half")
+                below = rows[tier - 1].withColumn("total", whole("c"))
+                split = below.join(share, (F.col("node") == F.col("n2")) & (F.col("g") == F.col("g2"))).drop("n2", "g2")
+        left, right = F.col("l"), F.zip_with("c", "l", lambda x, y: x - y)
+        side = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("c")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("c"))))
+        node = split.select("g", "sources", side.alias("x")).select("g", "sources", "x.c", "x.node")
     leaf = node.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("sources", "c")).alias("x")).select("x.sources.src", "shard", F.col("x.c").alias("blocks"))
     order = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaf.withColumn("first", F.coalesce(F.sum("blocks").over(order), F.lit(0)))

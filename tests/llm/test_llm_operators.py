@@ -423,6 +423,43 @@ def test_splitting_tree_is_exact(spark):
     assert {s: sum(r.blocks for r in got if r.src == s) for s in quotas} == quotas and max(shards.values()) - min(shards.values()) <= 1
 
 
+def test_splitting_tree_of_many_sources(spark, monkeypatch):
+    """Three tiers of groups of sources; sums and draws stay right through them."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    quotas = {**{f"s{i:03d}": i % 4 for i in range(40)}, "s007": 900, None: 2}
+    table = spark.createDataFrame([*quotas.items()], "src string, quota int")
+    got = mixing.splitting_tree(table.repartition(3), 2).collect()
+    shards = Counter()
+    for r in got:
+        shards[r.shard] += r.blocks
+    assert len(got) == 4 * len(quotas) and all(r.blocks >= 0 for r in got)
+    assert {s: sum(r.blocks for r in got if r.src == s) for s in quotas} == quotas and max(shards.values()) - min(shards.values()) <= 1
+    assert {(r.src, r.first) for r in got} == {(s, sum(r.blocks for r in got if r.src == s and r.shard < k)) for s in quotas for k in range(4)}
+    assert sorted(map(tuple, mixing.splitting_tree(table, 2).select("shard", "blocks").collect())) == sorted((r.shard, r.blocks) for r in got)
+    # of 3,000 sources of one block, half go left, and of those in any hundred as many as chance allows
+    monkeypatch.setattr(mixing, "FAN", 64)
+    many = spark.range(3000).select(F.format_string("%04d", "id").alias("src"), F.lit(1).alias("quota"))
+    left = {int(r.src) for r in mixing.splitting_tree(many, 1).filter("shard = 0 and blocks = 1").collect()}
+    hundreds = [sum(x // 100 == h for x in left) for h in range(30)]
+    assert len(left) == 1500 and all(25 <= x <= 75 for x in hundreds)
+    assert 12 < sum((x - 50) ** 2 for x in hundreds) / 30 < 50  # the variance is 25 * 2900 / 2999
+
+
+def test_sources_are_added_up_in_ranges(spark):
+    """Running sums over 5,000 sources are those of a plain loop, null last; targets are those of resharing."""
+    rng = random.Random(4)
+    sizes = {**{f"h{rng.random():.12f}": rng.choice([0, 1, 7, 300]) for _ in range(5000)}, None: 40}
+    df = spark.createDataFrame([(n, 1, v) for n, v in sizes.items()], "src string, docs long, source_size long").repartition(7)
+    got = {r.src: (r.n, r.sum) for r in mixing.running(df, mixing.in_order(), n=F.lit(1), sum=F.col("source_size")).collect()}
+    want, total = {}, 0
+    for i, name in enumerate(sorted(sizes, key=lambda x: (x is None, x or ""))):
+        want[name] = (i, total)
+        total += sizes[name]
+    assert got == want
+    assert {r.src: r.target for r in mixing.water_fill(df).collect()} == pytest.approx(brute_targets(sizes, (5, 2, 1), 3), abs=1e-3)
+    assert mixing.water_fill(df.limit(0)).count() == 0
+
+
 def test_hypergeometric_probabilities(spark):
     from math import comb
 
