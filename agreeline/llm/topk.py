@@ -28,8 +28,8 @@ RESOLUTIONS = ((0.0, 4), (0.0, 16), (0.5, 8), (0.75, 4))
 #: Queries that a task gathers, candidates of a group; queries and candidates that a task compares at
 #: once; and pairs whose exact products it takes at once.
 QUERY_BLOCK, GROUP, ROWS, TILE, PAIRS = 8192, 32_768, 1024, 2048, 1 << 16
-#: Groups grow rather than pass about twice this number, so that their ranges fit on the driver.
-MOST_GROUPS = 1 << 15
+#: Groups grow rather than have ranges of more than about twice so many numbers, which the driver holds.
+MOST_NUMBERS = 1 << 22
 #: Of a group's ranges: leading components that are segments of their own, and segments of the others.
 HEAD, TAIL = 16, 4
 #: Queries whose groups a task names at once.
@@ -156,12 +156,15 @@ class Held:
 
     def ranges(self) -> np.ndarray:
         """What bounds a query's product with any of the candidates, see ``reach``."""
-        means, devs = whole(turn(self.x, self.axes))
-        return np.concatenate([means.max(0), means.min(0), devs.max(0)])
+        x = turn(self.x, self.axes)
+        centre = x.mean(0)
+        means, devs = whole(x - centre)
+        return np.concatenate([centre, means.max(0), means.min(0), devs.max(0)])
 
 
 def whole(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The means and deviations that a group's ranges are of."""
+    """The means and deviations that a group's ranges are of, those of what its members differ from their
+    centre by."""
     head = min(HEAD, x.shape[1])
     stats = np.concatenate([x[:, :head], segments(x[:, head:], 0.0, TAIL)], 1)
     n = (stats.shape[1] - head) // 2
@@ -171,7 +174,7 @@ def whole(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def reach(q: np.ndarray, ranges: np.ndarray) -> np.ndarray:
     """For each turned query and each group's ranges, a bound of the products with the group's members."""
     means, devs = whole(q)
-    return np.concatenate([np.maximum(means, 0), np.minimum(means, 0), devs], 1) @ ranges.T
+    return np.concatenate([q, np.maximum(means, 0), np.minimum(means, 0), devs], 1) @ ranges.T
 
 
 def best(q_row: np.ndarray, q: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -231,7 +234,7 @@ def survey(vectors: DataFrame) -> tuple[int, int, float, np.ndarray | None, np.n
 def grouped(vectors: DataFrame, n: int, axes: np.ndarray | None, centre: np.ndarray, kind: str) -> tuple[DataFrame, int]:
     """The vectors with a group "g" each, and the number of groups: like ones lie on the same side of the
     centre in the leading axes; what is too large for one group is dealt into several by hash."""
-    most = max(GROUP, -(-n // MOST_GROUPS))
+    most = max(GROUP, -(-n // (MOST_NUMBERS // (len(centre) + 3 * (HEAD + TAIL)) or 1)))
     bits = min(len(centre), max(3, (-(-n // most) - 1).bit_length()))
     lead, middle = None if axes is None else axes[:, :bits].copy(), centre[:bits]
     width = len(centre)
@@ -243,7 +246,7 @@ def grouped(vectors: DataFrame, n: int, axes: np.ndarray | None, centre: np.ndar
             yield b.append_column("cell", pa.array((over @ (1 << np.arange(bits))).astype(np.int32)))
 
     placed = cut(vectors.mapInArrow(sides, f"row long, id long, v array<{kind}>, q boolean, cell int"))
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # at most 2 * MOST_GROUPS
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # a power of two of them, at most twice the wanted groups
     starts, groups = [], 0
     for r in cells:
         parts = -(-r.n // most)
