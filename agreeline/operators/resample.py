@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agreeline.functions.hashes import by_length, numerals
 from agreeline.sources.shared import bounded, cut, is_small, ship
 
 from .measures import DIGITS
@@ -20,8 +22,8 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 LEAST_DRAWS = 1000
 #: A stratum of fewer clusters gives no reliable interval.
 LEAST_CLUSTERS = 10
-#: Clusters of a stratum, and hashes of a round, that a task holds; strata whose sums it holds.
-HELD, TURNS, HELD_STRATA = 1_000_000, 65_536, 200
+#: Clusters of a stratum that a task holds, hashes that are made at once, strata whose sums a task holds, and clusters in a row.
+HELD, TURNS, HELD_STRATA, PACKED = 16_000_000, 32_768, 200, 65_536
 
 
 def seed_of(master: int, stratum: str) -> int:
@@ -74,61 +76,133 @@ def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], dr
     replacement by hash, four draws from each. With ``size``, a column of that name has the stratum's number of
     clusters. Fewer than ``least`` draws fail; null sums count as 0.
 
-    A task has up to ``HELD`` clusters of a stratum and some of the rounds; it draws, counts how often each of
-    its clusters comes and multiplies. Clusters are sent as often as there are groups of rounds, a
-    fixed number, never once for each round. A stratum of more than ``HELD`` clusters is cut, and each
-    part's tasks draw anew, which takes time in proportion: for very many clusters take ``poisson_sums``.
+    Clusters are packed: a row has the sums of up to ``PACKED`` of them as bytes, and is sent once to each of a fixed
+    number of tasks, which share the rounds of all strata evenly. A task holds one stratum at a time, draws, and
+    adds up what it draws. Only a stratum of more than ``HELD`` clusters is cut, and drawn anew for each part.
     """
     check_draws(draws, least)
     own = indexed(cells, stratum, key, seed)
-    tasks = max(8, own.sparkSession.sparkContext.defaultParallelism)
-    groups = min(draws, 2 * tasks)
+    tasks = min(draws, 2 * max(8, own.sparkSession.sparkContext.defaultParallelism))
     schema, kind = _sum_fields(own, stratum, sums)
-    parts = own.select(stratum, "_i", "_g", "_seed", *sums, F.floor(F.col("_i") / HELD).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_r"))
-    names = ["b", stratum, *sums, "_g"]
-
-    def draw(table: pa.Table) -> pa.Table:
-        first = {c: table[c][0].as_py() for c in (stratum, "_g", "_seed", "_r", "_c")}
-        table = table.sort_by("_i")
-        values, at = _values(table, sums), table["_i"].to_numpy()
-        g, low, n = first["_g"], int(at[0]), len(at)
-        rounds = range(first["_r"], draws, groups)
-        out = np.zeros((len(rounds), len(sums)), values.dtype)
-        for turn in range(0, -(-g // 4), TURNS):
-            turns = [str(k).encode() for k in range(turn, min(turn + TURNS, -(-g // 4)))]
-            for row, b in enumerate(rounds):
-                prefix = f"{first['_seed']}:{b}:".encode()
-                drawn = np.frombuffer(b"".join([hashlib.md5(prefix + t).digest() for t in turns]), ">u4")[: g - 4 * turn].astype(np.int64) % g - low
-                times = np.bincount(drawn[(drawn >= 0) & (drawn < n)], minlength=n)
-                out[row] += values @ times
-        columns = [pa.array(list(rounds), pa.int32()), pa.array([first[stratum]] * len(rounds), table.schema.field(stratum).type)]
-        columns += [pa.array(out[:, i].astype(np.int64 if kind == "long" else np.float64)) for i in range(len(sums))]
-        return pa.Table.from_arrays([*columns, pa.array([g] * len(rounds), pa.int64())], names)
+    names, turns_held, exact = ["b", stratum, *sums, "_g"], TURNS, np.int64 if kind == "long" else np.float64
+
+    def draw(batches):
+        for name, g, own_seed, task, low, n, columns in _parts(batches, len(sums)):
+            rounds, turns = range(task, draws, tasks), -(-g // 4)
+            out = np.zeros((len(rounds), len(sums)), exact)
+            for turn in range(0, turns, turns_held):
+                for first, tails in numerals(turn, min(turn + turns_held, turns)):
+                    last = 4 * (first + len(tails.texts) - 1)
+                    for row, hashes in tails.md5([f"{own_seed}:{b}:".encode() for b in rounds], turns_held):
+                        for k, h in enumerate(hashes):
+                            h = h if last + k < g else h[:, :-1]  # of the last hash, only as many as are left
+                            at = (h - h // np.uint32(g) * np.uint32(g) if g < 1 << 32 else h).astype(np.int64)
+                            if n < g:
+                                at -= low
+                                others = (at < 0) | (at >= n)
+                                at[others] = 0
+                            for i, v in enumerate(columns):
+                                drawn = v[at]
+                                if n < g:
+                                    drawn[others] = 0
+                                out[row : row + len(h), i] += drawn.sum(1, dtype=exact)
+            found = [pa.array([*rounds], pa.int32()), pa.repeat(name, len(rounds)), *[pa.array(x) for x in out.T], pa.array([g] * len(rounds), pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, names)
 
     ship(own.sparkSession)
-    dealt = parts.repartition(2 * tasks, stratum, "_c", "_r")  # as many as these, however little data it is
-    found = dealt.groupBy(stratum, "_c", "_r").applyInArrow(draw, schema)
+    sent = _packed(own, stratum, sums).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    dealt = sent.repartitionById(tasks, "_t").sortWithinPartitions("_t", stratum, "_c", "_b")
+    found = dealt.select(stratum, "_g", "_seed", "_t", "_c", "_low", "_n", *[f"_v{i}" for i in range(len(sums))], "_kinds").mapInArrow(draw, schema)
     return found.groupBy("b", stratum).agg(*[F.sum(c).alias(c) for c in sums], *([F.max("_g").alias(size)] if size else []))
 
 
+def _packed(own: DataFrame, stratum: str, sums: list[str]) -> DataFrame:
+    """The cells of ``indexed``, those of up to ``PACKED`` following indexes in a row: its part ``_c`` of the stratum,
+    the part's first index ``_low``, the block ``_b`` of the part, the number of cells ``_n``, and each of the sums as the
+    bytes ``_v0``, ``_v1``, ... of the shortest numbers that hold it, whose kinds are in ``_kinds``."""
+    part, size = HELD, min(PACKED, HELD)
+    named = [f"_v{i}" for i in range(len(sums))]
+    kind = own.schema[stratum].dataType.simpleString()
+    schema = f"`{stratum}` {kind}, _g long, _seed long, _c long, _low long, _b long, _n long, {''.join(f'{v} binary, ' for v in named)}_kinds string"
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        short = [_shortest(v) for v in _values(table, sums)]
+        first = {c: table[c][:1] for c in (stratum, "_g", "_seed", "_c", "_b")}
+        low = pa.array([first["_c"][0].as_py() * part], pa.int64())
+        columns = [*[first[c] for c in (stratum, "_g", "_seed", "_c")], low, first["_b"], pa.array([len(table)], pa.int64())]
+        return pa.table([*columns, *[pa.array([v.tobytes()]) for v in short], pa.array([",".join(v.dtype.str for v in short)])], [stratum, "_g", "_seed", "_c", "_low", "_b", "_n", *named, "_kinds"])
+
+    places = {"_c": F.floor(F.col("_i") / part), "_b": F.floor(F.pmod(F.col("_i"), F.lit(part)) / size)}
+    return own.select(stratum, "_i", "_g", "_seed", *sums).withColumns(places).groupBy(stratum, "_c", "_b").applyInArrow(pack, schema)
+
+
+def _shortest(v: np.ndarray) -> np.ndarray:
+    """Whole numbers as the shortest kind that holds all of them."""
+    if v.dtype == np.float64 or not len(v):
+        return v
+    low, high = int(v.min()), int(v.max())
+    return v.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
+
+def _parts(batches, n_sums: int):
+    """The parts of ``_packed`` whose rows follow one another: stratum, its size and seed, the task, the part's
+    first index and number of cells, and its columns."""
+    held, last = [], None
+
+    def whole():
+        kinds = [k.split(",") for *_, k in held]
+        columns = [np.concatenate([np.frombuffer(row[1 + i], k[i]) for row, k in zip(held, kinds, strict=True)]) for i in range(n_sums)]
+        name, g, seed, task, _, low = last
+        return name, g, seed, task, low, sum(row[0] for row in held), columns
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            name, *numbers = [batch.column(i)[r] for i in range(6)]
+            this = (name, *[x.as_py() for x in numbers])
+            if this != last:
+                if held:
+                    yield whole()
+                held, last = [], this
+            held.append((batch.column(6)[r].as_py(), *[batch.column(7 + i)[r].as_buffer() for i in range(n_sums)], batch.column(7 + n_sums)[r].as_py()))
+    if held:
+        yield whole()
+
+
 def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
     """The same with Poisson weights by cluster and round: no index and no join. A task adds up all rounds of
-    the clusters that it reads in one array for each stratum."""
+    the clusters that it reads in one array for each stratum, many clusters at a time."""
     check_draws(draws, least)
-    tasks = max(8, cells.sparkSession.sparkContext.defaultParallelism)
+    tasks = 2 * max(8, cells.sparkSession.sparkContext.defaultParallelism)
     schema, kind = _sum_fields(cells, stratum, sums)
     given = cells.select(F.col(stratum), stratum_seed(seed, F.col(stratum)).alias("_seed"), F.col(key).cast("string").alias("_key"), *sums)
-    given = given.repartition(max(tasks, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_seed", "_key")  # their rounds are spread with the clusters
-    limits, most, names = np.array(POISSON), HELD_STRATA, ["b", stratum, *sums, "_g"]
+    given = given.repartition(tasks, "_seed", "_key")  # their rounds are spread with the clusters
+    limits = [np.uint64(math.ceil(p * 2**52)) for p in POISSON]
+    most, at_once, names, exact = HELD_STRATA, TURNS, ["b", stratum, *sums, "_g"], np.int64 if kind == "long" else np.float64
 
     def weigh(batches):
-        held: dict = {}
+        held: dict = {}  # by stratum: sums of all rounds, number of clusters, and clusters to be weighed
+
+        def add(s):
+            total, _, keys, values = held[s]
+            own = np.concatenate(values, 1)
+            for places, tails in by_length(keys):
+                some = own[:, places].T
+                for b, h in tails.md5([f"{s[1]}:{b}".encode() for b in range(draws)], at_once):
+                    drawn = (h[0].astype(np.uint64) << np.uint64(20)) | (h[1] >> np.uint32(12))
+                    times = np.zeros(drawn.shape, np.uint8)
+                    for limit in limits:
+                        times += drawn >= limit
+                    total[b : b + len(times)] += times.astype(np.int64) @ some
+            keys.clear()
+            values.clear()
 
         def rows():
-            for (name, _), (total, n) in held.items():
-                columns = [pa.array(range(draws), pa.int32()), pa.array([name] * draws, kind_of_stratum)]
-                columns += [pa.array(total[:, i].astype(np.int64 if kind == "long" else np.float64)) for i in range(len(sums))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([n] * draws, pa.int64())], names)
+            for s, (total, n, keys, _) in held.items():
+                if keys:
+                    add(s)
+                found = [pa.array(range(draws), pa.int32()), pa.array([s[0]] * draws, kind_of_stratum), *[pa.array(x) for x in total.T], pa.array([n] * draws, pa.int64())]
+                yield pa.RecordBatch.from_arrays(found, names)
             held.clear()
 
         for batch in batches:
@@ -138,13 +212,12 @@ def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draw
                 where.setdefault(s, []).append(i)
             keys = batch["_key"].to_pylist()
             for s, places in where.items():
-                total, n = held.get(s, (np.zeros((draws, len(sums)), values.dtype), 0))
-                own, tails = values[:, places].T, [b"" if keys[i] is None else f":{keys[i]}".encode() for i in places]
-                for b in range(draws):
-                    prefix = f"{s[1]}:{b}".encode()
-                    drawn = np.frombuffer(b"".join([hashlib.md5(prefix + t).digest()[:8] for t in tails]), ">u8") >> np.uint64(12)
-                    total[b] += np.searchsorted(limits, drawn / float(1 << 52), "right") @ own
-                held[s] = (total, n + len(places))
+                total, n, waiting, their = held.get(s, (np.zeros((draws, len(sums)), exact), 0, [], []))
+                waiting += [b"" if keys[i] is None else f":{keys[i]}".encode() for i in places]
+                their.append(values[:, places])
+                held[s] = (total, n + len(places), waiting, their)
+                if len(waiting) >= at_once:
+                    add(s)
             if len(held) > most:
                 yield from rows()
         yield from rows()
@@ -160,7 +233,7 @@ SCHEMES = {"drawn": bootstrap_sums, "poisson": poisson_sums}
 
 def resampled_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draws: int, seed: int, scheme: str, size: str | None = None, least: int = LEAST_DRAWS) -> DataFrame:
     """Sums of each round by the scheme that the caller names, whatever the number of cells."""
-    return SCHEMES[scheme](cut(cells), stratum, key, sums, draws, seed, size, least)
+    return SCHEMES[scheme](cells, stratum, key, sums, draws, seed, size, least)
 
 
 def interval(replicates: DataFrame, by: list[str], value: str, observed: str | None = None, size: str | None = None) -> DataFrame:

@@ -112,6 +112,25 @@ def test_bootstrap_sums_equal_brute_force(spark, monkeypatch, held, turns):
     assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("held", [16_000_000, 2500])
+def test_bootstrap_sums_of_many_clusters_equal_brute_force(spark, monkeypatch, held):
+    # clusters are packed, hashed together, and sent to a task once, however many rounds there are
+    monkeypatch.setattr(resample, "HELD", held)
+    monkeypatch.setattr(resample, "PACKED", 1000)
+    cells = [("s", i, i * i % 300 - 40, i) for i in range(5003)] + [(None, i, 2**40 + i, -1) for i in range(1200)]
+    got = resample.bootstrap_sums(spark.createDataFrame(cells, "s string, c int, n long, x long"), "s", "c", ["n", "x"], 20, 11, "g", least=20)
+    own = resample._packed(resample.indexed(spark.createDataFrame(cells, "s string, c int, n long, x long"), "s", "c", 11), "s", ["n", "x"])
+    assert own.count() == (8 if held > 5003 else 9)
+    want = {}
+    for s in ("s", None):
+        mine, seed = [c for c in cells if c[0] == s], int(hashlib.sha256(("11:s" if s else "11").encode()).hexdigest()[:8], 16)
+        for b in range(20):
+            digits = "".join(hashlib.md5(f"{seed}:{b}:{k}".encode()).hexdigest() for k in range(-(-len(mine) // 4)))
+            drawn = [mine[int(digits[8 * k : 8 * k + 8], 16) % len(mine)] for k in range(len(mine))]
+            want[b, s] = (sum(d[2] for d in drawn), sum(d[3] for d in drawn), len(mine))
+    assert {(r.b, r.s): (r.n, r.x, r.g) for r in got.collect()} == want
+
+
 def test_bootstrap_plans_have_no_row_for_each_cluster_and_round(spark):
     cells = spark.range(2000).select(F.lit("s").alias("s"), F.col("id").alias("c"), F.lit(1).cast("long").alias("n"))
     for scheme in resample.SCHEMES:
