@@ -44,7 +44,8 @@ class Tails:
             self.size, self.words = size, self._words(size)
         width = -(-size // 4)
         heads = np.frombuffer(b"".join([p.ljust(4 * width, b"\0") for p in prefixes]), "<u4").reshape(m, width)
-        words = [np.add(w, heads[:, i : i + 1]) if i < width else w for i, w in enumerate(self.words)]
+        heads = heads if m > 1 else heads[0]  # of one prefix, numbers
+        words = [np.add(w, heads[..., i : i + 1] if m > 1 else heads[i]) if i < width else w for i, w in enumerate(self.words)]
         words = [np.broadcast_to(w, (m, n)).ravel() if np.ndim(w) else w for w in words]
         return np.stack(_rounds(words, m * n)).byteswap(inplace=True).reshape(4, m, n)
 
@@ -62,9 +63,15 @@ class Tails:
 
 
 def _rounds(words: list, n: int) -> list[np.ndarray]:
-    a, b, c, d = (np.full(n, s, np.uint32) for s in START)
+    state, same = START, 0
+    while same < 16 and not isinstance(words[same], np.ndarray):  # steps that are the same for all
+        a, b, c, d = state
+        f = (((c ^ d) & b ^ d) + a + int(words[same]) + SINES[same]) % 2**32
+        state = d, (b + (f << TURNS[same] | f >> 32 - TURNS[same])) % 2**32, b, c
+        same += 1
+    a, b, c, d = (np.full(n, s, np.uint32) for s in state)
     f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for i in range(64):
+    for i in range(same, 64):
         if i < 16:
             np.bitwise_xor(c, d, out=f)
             np.bitwise_and(f, b, out=f)
