@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agreeline.functions.hashes import by_length, numerals
-from agreeline.sources.shared import bounded, cut, is_small, ship
+from agreeline.sources.shared import bounded, cut, cut_spread, is_small, ship
 
 from .measures import DIGITS
 from .robust import total_order
@@ -45,7 +45,7 @@ def stratum_seed(master: int, stratum: Column) -> Column:
 def indexed(cells: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     """Cells, written once, with a dense index ``_i`` in their stratum and the stratum's size ``_g`` and seed
     ``_seed``. Strata whose seeds are equal fail. Few cells are ranked by a window, many ones by ranges."""
-    cells = cut(cells)
+    cells = cut_spread(cells)
     sizes = cut(cells.groupBy(F.col(stratum).alias("_st")).agg(F.count(F.lit(1)).alias("_g")).withColumn("_seed", stratum_seed(seed, F.col("_st"))))
     n, different = sizes.agg(F.count(F.lit(1)), F.count_distinct("_seed")).first()
     if n != different:
@@ -54,7 +54,7 @@ def indexed(cells: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
         ranked = cells.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1)
     else:
         ranked = total_order(cells, [key], "_i", [stratum]).withColumn("_i", F.col("_i") - 1)
-    return cut(ranked.join(bounded(sizes), F.col(stratum).eqNullSafe(F.col("_st"))).drop("_st"))
+    return cut_spread(ranked.join(bounded(sizes), F.col(stratum).eqNullSafe(F.col("_st"))).drop("_st"))
 
 
 def _values(columns, sums: list[str]) -> np.ndarray:
@@ -102,7 +102,7 @@ def bootstrap_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], dr
                                 others = (at < 0) | (at >= n)
                                 at[others] = 0
                             for i, v in enumerate(columns):
-                                drawn = v[at]
+                                drawn = v.take(at)
                                 if n < g:
                                     drawn[others] = 0
                                 out[row : row + len(h), i] += drawn.sum(1, dtype=exact)
@@ -173,6 +173,7 @@ def poisson_sums(cells: DataFrame, stratum: str, key: str, sums: list[str], draw
     """The same with Poisson weights by cluster and round: no index and no join. A task adds up all rounds of
     the clusters that it reads in one array for each stratum, many clusters at a time."""
     check_draws(draws, least)
+    cells = cut_spread(cells)
     tasks = 2 * max(8, cells.sparkSession.sparkContext.defaultParallelism)
     schema, kind = _sum_fields(cells, stratum, sums)
     given = cells.select(F.col(stratum), stratum_seed(seed, F.col(stratum)).alias("_seed"), F.col(key).cast("string").alias("_key"), *sums)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from agreeline.operators import decompose, measures, resample
 from agreeline.operators import readers as rd
 from agreeline.sources import tables
-from agreeline.sources.shared import cut
+from agreeline.sources.shared import cut_spread
 
 from .bindings import CLASSES, READERS_SQL, UNITS_SQL, clusters, published_segments, readers, units
 from .robustness import CELLS_SQL, cells
@@ -78,7 +78,7 @@ POINT_SQL = f"(SELECT {GAP} AS obs FROM (SELECT period, sum(n_match)::DOUBLE / n
 @query(f"""WITH {BOOT_SQL}, gp AS (SELECT b, {GAP} AS gap, min(g) AS g FROM (SELECT b, g, period, n_match::DOUBLE / n_judgeable AS k FROM bs) GROUP BY b), iv AS ({_interval_sql("gap", f"(SELECT * FROM gp, {POINT_SQL})")})
 SELECT * EXCLUDE n_clusters, CASE WHEN n_clusters < 10 THEN 'inconclusive' WHEN low > 0 THEN 'gap_above_0' WHEN high < 0 THEN 'gap_below_0' ELSE 'consistent_with_0' END AS verdict FROM iv""")
 def i04_i08_gap_interval(spark, d):
-    c = cut(cells(spark, d))
+    c = cut_spread(cells(spark, d))
     gaps = _gap_of(resample.resampled_sums(c, "period", "cluster", ["n_judgeable", "n_match"], DRAWS, SEED, SCHEME, "n_clusters"))
     point = _gap_of(c.groupBy("period").agg(F.lit(0).alias("b"), F.sum("n_judgeable").alias("n_judgeable"), F.sum("n_match").alias("n_match"), F.lit(0).alias("n_clusters")))
     out = resample.interval(_with_observed(gaps, point, [], "gap"), [], "gap", "obs", "n_clusters")
@@ -149,7 +149,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY p_opposite, class) AS r FROM iv), b
 SELECT class, n_rounds, low, high, p, observed, p_opposite, round(least(1.0, min(x) OVER (ORDER BY p_opposite DESC, class DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh, CASE WHEN n_clusters < 10 THEN 'inconclusive' ELSE 'estimated' END AS conclusion FROM bh""")
 def i10_class_gaps_bh(spark, d):
     counts = {"n": F.col("ok"), **{f"n_{c}": F.col("ok") & (F.col("verdict") == c) for c in KINDS}}
-    k = cut(decompose.cluster_cells(_base(spark, d), units(spark, d), ["cluster", "period"], counts))
+    k = cut_spread(decompose.cluster_cells(_base(spark, d), units(spark, d), ["cluster", "period"], counts))
     shares = {c: {"x": _ratio(f"n_{c}", "n")} for c in KINDS}
     sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, SCHEME, "n_clusters")
     gap = _post_less_pre("x", 1000)
@@ -171,7 +171,7 @@ SELECT rate, n_rounds, low, high, p, observed, p_opposite, round(least(1.0, min(
 def i11_flag_gap_bootstrap(spark, d):
     """A flag's rate and a measure's mean (added up in hundredths, so that sums are exact)."""
     counts = {"n": F.lit(1), "n_flag": F.col("flag"), "total": F.round(100 * F.col("measure"))}
-    k = cut(decompose.cluster_cells(_base(spark, d), published_segments(spark, d), ["cluster", "period"], counts))
+    k = cut_spread(decompose.cluster_cells(_base(spark, d), published_segments(spark, d), ["cluster", "period"], counts))
     rates = {"flag_pm": {"x": 1000 * _ratio("n_flag", "n")}, "measure": {"x": _ratio(F.col("total").cast("double") / 100, "n")}}
     sums = resample.resampled_sums(k, "period", "cluster", [*counts], DRAWS, SEED, SCHEME, "n_clusters")
     gap = _post_less_pre("x")
@@ -191,7 +191,7 @@ def i12_reader_gap_bootstrap(spark, d):
     r = readers(spark, d).filter(rd.differs(["a", "b", "c"]))
     names = {"a": "m_a", "b": "m_b", "c": "m_c", "base": "m_base"}
     hits = [F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]
-    k = cut(r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *hits).withColumn("stratum", F.lit("all")))
+    k = cut_spread(r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *hits).withColumn("stratum", F.lit("all")))
     sums = resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, SCHEME, "n_clusters")
     more = lambda x: F.col(f"m_{x}") - F.col("m_base")
     gaps = {x: {"gap": 1000 * _ratio(more(x), "n"), "rel": _ratio(more(x), "m_base")} for x in "abc"}

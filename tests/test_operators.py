@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from agreeline.functions import textscore
 from agreeline.operators import catalog, decompose, frame, labels, measures, predict, readers, relations, resample, robust
 from agreeline.plans import bindings, resampling
-from agreeline.sources import tables
+from agreeline.sources import shared, tables
 from agreeline.streaming import windows
 
 
@@ -663,3 +663,22 @@ def test_streamed_labels_keep_state_over_batches(spark):
         assert rows(predict.streamed(df, "s", "p", "i", "t", step, batch=batch)) == sorted(want, key=str)
     with pytest.raises(Exception, match="missing or too many"):
         predict.streamed(df, "s", "p", "i", "t", lambda s, t: (s, t[1:])).collect()
+
+
+def test_tables_of_many_rows_are_cut_by_size(spark, monkeypatch):
+    # a task's rows are bounded by a size, not by the number of partitions of the session
+    monkeypatch.setitem(shared.SPREAD, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    cells = spark.range(800_000).groupBy((F.col("id") % 400_000).alias("c")).agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.lit("s"))
+    before = {k: spark.conf.get(k, None) for k in shared.SPREAD}
+    settings = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert shared.cut(cells).rdd.getNumPartitions() <= 4
+        assert shared.cut_spread(cells).rdd.getNumPartitions() > 8
+        own = resample.indexed(cells, "s", "c", 1)
+        assert own.agg(F.count_distinct("_i"), F.min("_i"), F.max("_i")).first()[:] == (400_000, 0, 399_999)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert {k: spark.conf.get(k, None) for k in shared.SPREAD} == before
