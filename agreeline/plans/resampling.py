@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from agreeline.operators import decompose, measures, resample
 from agreeline.operators import readers as rd
 from agreeline.sources import tables
-from agreeline.sources.shared import cut_spread
+from agreeline.sources.shared import cut, cut_spread
 
 from .bindings import CLASSES, READERS_SQL, UNITS_SQL, clusters, published_segments, readers, units
 from .robustness import CELLS_SQL, cells
@@ -192,7 +192,7 @@ def i12_reader_gap_bootstrap(spark, d):
     names = {"a": "m_a", "b": "m_b", "c": "m_c", "base": "m_base"}
     hits = [F.sum((F.col(x) == F.col("target")).cast("long")).alias(m) for x, m in names.items()]
     k = cut_spread(r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *hits).withColumn("stratum", F.lit("all")))
-    sums = resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, SCHEME, "n_clusters")
+    sums = cut(resample.resampled_sums(k, "stratum", "cluster", ["n", *names.values()], DRAWS, SEED, SCHEME, "n_clusters"))  # two intervals read it
     more = lambda x: F.col(f"m_{x}") - F.col("m_base")
     gaps = {x: {"gap": 1000 * _ratio(more(x), "n"), "rel": _ratio(more(x), "m_base")} for x in "abc"}
     point = _each(k.agg(*[F.sum(c).alias(c) for c in ("n", *names.values())]), "reader", gaps)

@@ -665,6 +665,13 @@ def test_streamed_labels_keep_state_over_batches(spark):
         predict.streamed(df, "s", "p", "i", "t", lambda s, t: (s, t[1:])).collect()
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_two_intervals_of_readers_draw_once(spark):
+    # the rounds' sums are written once: nothing that is left to run draws
+    out = resampling.i12_reader_gap_bootstrap(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in out._jdf.queryExecution().toString() and out.count() == 3
+
+
 def test_tables_of_many_rows_are_cut_by_size(spark, monkeypatch):
     # a task's rows are bounded by a size, not by the number of partitions of the session
     monkeypatch.setitem(shared.SPREAD, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
