@@ -88,21 +88,31 @@ class Vocabulary:
             ids[i : i + 2] = [new]
         return ids
 
-    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """``merge`` of many pieces; short ones of like length are merged together, a pair each a step."""
-        out: list[list[int]] = [[]] * len(pieces)
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many pieces: the number of ids of each, and the ids of all; short pieces of like length are
+        merged together, a pair each a step."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        places, lengths, ids = [], [], []
         for low, high in ((0, 8), (8, 12), (12, 16), (16, 24), (24, 40)):
             at = np.flatnonzero((size > low) & (size <= high))
             for part in np.array_split(at, -(-len(at) // 20_000)) if len(at) else ():
-                rows = self._merge_rows([pieces[i] for i in part], size[part], high)
-                for i, ids in zip(part.tolist(), rows, strict=True):
-                    out[i] = ids
+                left, found = self._merge_rows([pieces[i] for i in part.tolist()], size[part], high)
+                places.append(part)
+                lengths.append(left)
+                ids.append(found)
         for i in np.flatnonzero(size > 40).tolist():
-            out[i] = self.merge(pieces[i])
-        return out
-
-    def _merge_rows(self, pieces: list[bytes], size: np.ndarray, width: int) -> list[list[int]]:
+            ids.append(np.array(self.merge(pieces[i]), np.int64))
+            places.append([i])
+            lengths.append([len(ids[-1])])
+        if not ids:
+            return np.zeros(len(pieces), np.int64), np.zeros(0, np.int64)
+        order, n = np.concatenate(places), np.zeros(len(pieces), np.int64)
+        n[order] = found = np.concatenate(lengths)
+        start = np.zeros(len(pieces), np.int64)
+        start[order] = np.cumsum(found) - found
+        return n, np.concatenate(ids)[spans(start, n)]
+
+    def _merge_rows(self, pieces: list[bytes], size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, none = len(pieces), np.iinfo(np.int32).max
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
         ids = np.array(self.single, np.int64)[raw]
@@ -131,8 +141,8 @@ class Vocabulary:
             ranks[every, best] = np.where(after > best, look(row[every, best], row[every, after]), none)
             ranks[every, before] = np.where(best > 0, look(row[every, before], row[every, best]), ranks[every, before])
             ids[live], rank[live] = row, ranks
-        left = (ids >= 0).sum(1).tolist()
-        return [r[:k] for r, k in zip(ids.tolist(), left, strict=True)]
+        there = ids >= 0  # the first ones of a row
+        return there.sum(1), ids[there]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         merges, n = self.merges, len(ids)
@@ -297,10 +307,15 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
         vocab, seen = vocabulary(vocab_path), Counter()
 
         def flush():
-            pieces: Counter = Counter()
+            pieces: dict[str, int] = {}
+            get = pieces.get
             for word, n in seen.items():
-                for piece in vocab.pieces(word):
-                    pieces[piece] += n
+                if word.isalpha():  # as ``pieces`` has it; most words
+                    piece = " " + word
+                    pieces[piece] = get(piece, 0) + n
+                else:
+                    for piece in vocab.pieces(word):
+                        pieces[piece] = get(piece, 0) + n
             seen.clear()
             return {"word": [*pieces], "n": [*pieces.values()]}
 
@@ -342,6 +357,19 @@ def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: in
     return Lexicon.build({r.word.encode(): vocab.ids(r.word) for r in top})
 
 
+class Numbers(dict):
+    """Words by number; one that is looked up for the first time gets the next number and is noted as ``new``."""
+
+    def __init__(self, words=()):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Ids of texts by the lexicon and the merges; keeps a bounded number of words with their ids."""
 
@@ -353,8 +381,8 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.known_pieces: dict[str, list[int]] = {}
+        self.known = Numbers()
+        self.forget_pieces()
         self.start, self.length, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int64)
 
@@ -363,29 +391,49 @@ class Encoder:
         kept = np.zeros(len(self.uses), bool)
         kept[np.argsort(-self.uses, kind="stable")[: KEPT_WORDS // 3]] = True
         stays = kept.tolist()
-        self.known = {w: n for n, w in enumerate(w for w, i in self.known.items() if stays[i])}
+        self.known = Numbers([w for w, i in self.known.items() if stays[i]])
         self.pool = self.pool[spans(self.start[kept], self.length[kept])]
         self.length, self.uses = self.length[kept], self.uses[kept] // 2
         self.start = np.cumsum(self.length) - self.length
-        self.known_pieces = {}
+        self.forget_pieces()
+
+    def forget_pieces(self) -> None:
+        self.known_pieces = Numbers()
+        self.piece_start, self.piece_length, self.piece_pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        """Ids of new words: the lexicon has those of frequent pieces, the others are merged."""
-        parts, pieces = [self.vocab.pieces(w) for w in new], self.known_pieces
-        rare = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in pieces]
-        row, offset, table = self.lexicon.rows([p.encode() for p in rare]), self.lexicon.a["offset"], self.lexicon.a["ids"]
-        lacking = [p for p, r in zip(rare, row.tolist(), strict=True) if r < 0]
-        pieces.update((p, table[offset[r] : offset[r + 1]].tolist()) for p, r in zip(rare, row.tolist(), strict=True) if r >= 0)
-        pieces.update(zip(lacking, self.vocab.merge_all([p.encode() for p in lacking]), strict=True))
-        pieces.update((p, [self.vocab.special[p]]) for p in lacking if p in self.vocab.special)
-        found = [[t for p in ps for t in pieces[p]] if len(ps) > 1 else pieces[ps[0]] for ps in parts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        """Ids of new words, those of their pieces one after another."""
+        parts = [[" " + w] if w.isalpha() else self.vocab.pieces(w) for w in new]  # most are plain words
+        n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known_pieces.__getitem__, chain.from_iterable(parts)), np.int64, int(n_parts.sum()))
+        if self.known_pieces.new:
+            self.learn_pieces(self.known_pieces.new)
+            self.known_pieces.new = []
+        lengths = self.piece_length[at]
+        sizes = np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_parts)])])
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
         self.length = np.concatenate([self.length, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))])
+        self.pool = np.concatenate([self.pool, self.piece_pool[spans(self.piece_start[at], lengths)]])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        base = len(self.known)
-        self.known.update((w, base + i) for i, w in enumerate(new))
+
+    def learn_pieces(self, new: list[str]) -> None:
+        """Ids of new pieces: the lexicon has those of frequent ones, the others are merged."""
+        raw, special = [p.encode() for p in new], self.vocab.special
+        row, offset = self.lexicon.rows(raw), self.lexicon.a["offset"]
+        found, lacking = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        whole = [i for i in lacking.tolist() if new[i] in special]
+        if whole:
+            lacking = np.setdiff1d(lacking, whole)
+        n, merged = self.vocab.merge_all([raw[i] for i in lacking.tolist()])
+        size = np.ones(len(new), np.int64)
+        size[found], size[lacking] = offset[row[found] + 1] - offset[row[found]], n
+        parts = [self.lexicon.a["ids"][spans(offset[row[found]], size[found])], merged, np.array([special[new[i]] for i in whole], np.int64)]
+        order, base = np.concatenate([found, lacking, np.array(whole, np.int64)]), len(self.piece_pool)
+        start = np.empty(len(new), np.int64)
+        start[order] = base + np.cumsum(size[order]) - size[order]
+        self.piece_start = np.concatenate([self.piece_start, start])
+        self.piece_length = np.concatenate([self.piece_length, size])
+        self.piece_pool = np.concatenate([self.piece_pool, *parts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, ids of all texts)."""
@@ -393,10 +441,11 @@ class Encoder:
         if len(self.known) > KEPT_WORDS:
             self.forget()
         known = self.known
-        if new := [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in known]:
-            self.learn(new)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        if known.new:
+            self.learn(known.new)
+            known.new = []
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.length[at]
         before = np.concatenate([[0], np.cumsum(lengths)])

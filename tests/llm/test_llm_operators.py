@@ -807,3 +807,19 @@ def test_many_cards_in_one_run_take_linear_time(spark, sign, n):
     other = {x.pseudonym for r in out.values() for x in r.f}
     assert [len(out[i].f) for i in (1, 2, 3)] == [n, 1, 1000] and len(other) == 1
     assert out[1].text == sign.join([*other] * n) and out[2].text == "12 " * 4 * n + [*other][0]
+
+
+def test_words_are_numbered_at_their_first_lookup_and_equal_merges(monkeypatch):
+    # known words are looked up once; ids of new ones are put together as arrays, also after words were forgotten
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 30)
+    vocab = bpe.vocabulary(registry.vocabulary_path("byte_bpe_50k.json"))
+    encoder = bpe.Encoder(vocab, bpe.Lexicon.build({p.encode(): vocab.ids(p) for p in (" the", " river", ",")}))
+    special = next(iter(vocab.special))
+    texts = ["the river, the  river", "", f"a{special}b {special}", "x" * 90 + " " + "y" * 30, *[f"word{i}s and,ü{i} größe 12{i}." for i in range(60)], " the river,"]
+    for part in (texts[:3], texts[3:30], texts[30:], texts):
+        n, ids = encoder.encode(part)
+        want = [[t for w in bpe.words(text, vocab) for p in vocab.pieces(w) for t in vocab.ids(p)] for text in part]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [t for x in want for t in x]
+        assert not encoder.known.new and not encoder.known_pieces.new and len(encoder.length) == len(encoder.known)
+    n, ids = vocab.merge_all([b" straightforwardness", b"", b"q" * 70, b" the"])
+    assert np.split(ids, np.cumsum(n)[:-1])[3].tolist() == vocab.merge(b" the") and n[1] == 0 and ids.tolist() == [t for p in (b" straightforwardness", b"q" * 70, b" the") for t in vocab.merge(p)]
