@@ -5,10 +5,12 @@ t * |a| elements in common, so if all n-grams stand in one order, the least comm
 the first |a| - ceil(t * |a|) + 1 elements of a, and likewise of b. Any order is right; rare n-grams
 come first, so that passages which many documents share seldom tie them. How frequent an n-gram is
 comes from a table of counts of fixed width over all documents. Documents that share one of these
-first n-grams form blocks; for each block the product of the document by n-gram incidence matrix
-with its transpose is accumulated row by row, only over documents whose sizes can reach the
-threshold, and pairs below the overlap that their sizes ask for are discarded. What is left of a
-block is a spanning forest of its links, so a group of copies never becomes all of its pairs.
+first n-grams are candidates. In a large corpus that happens by chance, so a candidate pair stays only if
+its sketches, of a fixed size and no farther apart than the sets are, are as near as the threshold
+asks. What stays ties documents to blocks; for each block the product of the document by n-gram
+incidence matrix with its transpose is accumulated row by row, only over documents whose sizes can
+reach the threshold, and pairs below the overlap that their sizes ask for are discarded. What is left
+of a block is a spanning forest of its links, so a group of copies never becomes all of its pairs.
 
 Long sets have many first n-grams and would meet by chance. Their n-grams are dealt by hash into
 more parts than two sets over the threshold can differ in, so such sets are equal on some parts,
@@ -44,6 +46,10 @@ SLOTS, CHUNK, FAN_IN = 1 << 22, 1 << 16, 64
 #: Sets of this many n-grams and more meet by parts. Ways to deal n-grams into parts, tried in turn by
 #: sets to which a way leaves more empty parts than they may leave out.
 LONG, WAYS = 1024, 4
+#: Buckets of a sketch, and the largest count that one holds.
+BUCKETS, FULL = 128, 15
+#: Pairs that share a signature are made while they are at most the signatures divided by this.
+PAIRS = 2
 U = np.uint64
 
 
@@ -206,6 +212,39 @@ def signatures(grams: np.ndarray, frequency: np.ndarray, num: int, den: int) ->
     return np.concatenate([*([first_grams(spread, often, num, den)] if short else []), *(first_parts(spread, often, num, den) if len(grams) >= LONG else [])])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many elements of a set fall into each bucket, in half a byte each. What the counts of two sets
+    differ by, added up, is at most the number of elements that only one of them has."""
+    counts = np.bincount((mix(grams) % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    counts = np.minimum(counts, FULL).astype(np.uint8)
+    return (counts[::2] << 4 | counts[1::2]).tobytes()
+
+
+def differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """What the sketches of each pair differ by, added up."""
+    a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1).astype(np.int16) for s in (left, right))
+    return (np.abs((a >> 4) - (b >> 4)) + np.abs((a & FULL) - (b & FULL))).sum(1, dtype=np.int64)
+
+
+def near_pairs(together: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(k1, lead): pairs of classes that share a signature, without those that their sizes or sketches
+    show to be below the threshold."""
+    one, two = (together.select("sig", F.col("k1").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
+    pairs = one.join(two, "sig").filter((F.col("x") < F.col("y")) & (F.col("nx") * num <= F.col("ny") * den) & (F.col("ny") * num <= F.col("nx") * den))
+    pairs = pairs.select("x", "y", (F.col("nx") + F.col("ny")).alias("both")).distinct()
+    for c in "xy":
+        pairs = pairs.join(sketches.select(F.col("k1").alias(c), F.col("sketch").alias(f"s{c}")), c)
+
+    def check(batches):
+        for batch in batches:
+            if batch["x"]:
+                apart = differences(batch["sx"], batch["sy"])
+                near = np.flatnonzero(apart * (den + num) <= np.array(batch["both"], np.int64) * (den - num))
+                yield {"k1": np.array(batch["x"], np.int64)[near], "lead": np.array(batch["y"], np.int64)[near]}
+
+    return map_rows(pairs, ["x", "y", "both", "sx", "sy"], check, "k1 long, lead long", 20 * PIECE)
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the least node that each node reaches. By large and small stars in turn: every
     node is tied to the least of its neighbours until nothing changes. Each round is joins and
@@ -297,24 +336,42 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             count = np.zeros(len(sets), np.int64)
             count[np.array(new, np.int64)] = [*map(len, firsts)]
             sig = np.concatenate([np.zeros(0, U), *firsts])
+            sketched: list[bytes | None] = [None] * len(sets)
+            for i in new:
+                sketched[i] = sketch(sets[i])
             yield {
                 key: batch[key], "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), "k1": pa.array(k1), "k2": pa.array(k2),
                 "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sig.view(np.int64))),
+                "sketch": sketched,
             }
 
-    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>", PIECE))
-
-    # classes that share a signature are tied to the least class of the signature and of nearly their
+    known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>, sketch binary", PIECE))
+
+    # signatures are shuffled once; those of one class go. From the least shared ones on, while their pairs
+    # are few beside all signatures, the near ones of their pairs are tied
+    given = known.filter("n_shingles > 0")
+    by_sig = Window.partitionBy("sig")
+    parts = given.select(F.explode("sigs").alias("sig"), "k1", F.col("n_shingles").alias("n"))
+    parts = parts.withColumns({"lead": F.min("k1").over(by_sig), "most": F.max("k1").over(by_sig)}).filter("lead < most")
+    together = cut(parts.select("sig", "k1", "n").distinct().withColumn("members", F.count(F.lit(1)).over(by_sig)))
+    tally = together.groupBy(F.length(F.bin(F.col("members") - 1)).alias("bits")).agg((F.sum(F.col("members") - 1) / 2).alias("pairs"))
+    left, few = given.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] / PAIRS, 1
+    for row in tally.orderBy("bits").collect():  # one row for each number of bits
+        if (left := left - row.pairs) < 0:
+            break
+        few = 1 << row.bits
+    sketches = given.filter(F.col("sketch").isNotNull()).select("k1", "sketch").dropDuplicates(["k1"])
+    pairs = near_pairs(together.filter(F.col("members") <= few), sketches, num, den)
+
+    # classes of a signature that more share are tied to the least class of the signature and of nearly their
     # size, and these in the order of sizes to one another; a gap of sizes that no link spans parts them
-    parts = known.filter("n_shingles > 0").select(F.explode("sigs").alias("sig"), "k1", F.col("n_shingles").alias("n"))
-    shared = parts.groupBy("sig").agg(F.min("k1").alias("lead"), F.max("k1").alias("most")).filter("lead < most").select("sig")
-    together = cut(parts.join(shared, "sig").withColumn("level", F.floor(F.log("n") / math.log(1.05)).cast("int")))
-    leads = together.groupBy("sig", "level").agg(F.min("k1").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"))
-    same = together.join(leads, ["sig", "level"]).select("k1", "lead")
-    by_size = Window.partitionBy("sig").orderBy("level")  # a few hundred levels of a signature at most
+    many = together.filter(F.col("members") > few).withColumn("level", F.floor(F.log("n") / math.log(1.05)).cast("int"))
+    leads = many.groupBy("sig", "level").agg(F.min("k1").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"))
+    same = many.join(leads, ["sig", "level"]).select("k1", "lead")
+    by_size = by_sig.orderBy("level")  # a few hundred levels of a signature at most
     steps = leads.select(F.col("lead").alias("k1"), F.lag("lead").over(by_size).alias("lead"), "least", F.lag("most").over(by_size).alias("below"))
     steps = steps.filter(F.col("least") * num <= F.col("below") * den).select("k1", "lead")
-    ties = same.union(steps).filter("k1 <> lead").distinct()
+    ties = pairs.union(same).union(steps).filter("k1 <> lead").distinct()
     near = connected(ties, "k1", "lead")
     near = near.union(near.select(F.col("label").alias("node"), "label").distinct())
 
