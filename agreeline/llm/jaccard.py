@@ -48,7 +48,8 @@ SLOTS, CHUNK, FAN_IN = 1 << 22, 1 << 16, 64
 LONG, WAYS = 1024, 4
 #: Buckets of a sketch, and the largest count that one holds.
 BUCKETS, FULL = 128, 15
-#: Pairs that share a signature are made while they are at most the signatures divided by this.
+#: Pairs that share a signature, and are no near copies, are made while they are at most the signatures
+#: divided by this.
 PAIRS = 2
 U = np.uint64
 
@@ -226,12 +227,11 @@ def differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return (np.abs((a >> 4) - (b >> 4)) + np.abs((a & FULL) - (b & FULL))).sum(1, dtype=np.int64)
 
 
-def near_pairs(together: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """(k1, lead): pairs of classes that share a signature, without those that their sizes or sketches
-    show to be below the threshold."""
-    one, two = (together.select("sig", F.col("k1").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
-    pairs = one.join(two, "sig").filter((F.col("x") < F.col("y")) & (F.col("nx") * num <= F.col("ny") * den) & (F.col("ny") * num <= F.col("nx") * den))
-    pairs = pairs.select("x", "y", (F.col("nx") + F.col("ny")).alias("both")).distinct()
+def near_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(k1, lead): the pairs of classes x and y, of nx and ny n-grams, without those that their sizes or
+    sketches show to be below the threshold."""
+    pairs = pairs.filter((F.col("x") != F.col("y")) & (F.col("nx") * num <= F.col("ny") * den) & (F.col("ny") * num <= F.col("nx") * den))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("nx") + F.col("ny")).alias("both")).distinct()
     for c in "xy":
         pairs = pairs.join(sketches.select(F.col("k1").alias(c), F.col("sketch").alias(f"s{c}")), c)
 
@@ -347,31 +347,43 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     known = cut(map_rows(docs, [key, text], read, f"`{key}` {kind}, n_shingles long, k1 long, k2 long, sigs array<long>, sketch binary", PIECE))
 
-    # signatures are shuffled once; those of one class go. From the least shared ones on, while their pairs
-    # are few beside all signatures, the near ones of their pairs are tied
+    # signatures are shuffled once; those of one class go
     given = known.filter("n_shingles > 0")
+    sketches = given.filter(F.col("sketch").isNotNull()).select("k1", "sketch").dropDuplicates(["k1"])
     by_sig = Window.partitionBy("sig")
     parts = given.select(F.explode("sigs").alias("sig"), "k1", F.col("n_shingles").alias("n"))
     parts = parts.withColumns({"lead": F.min("k1").over(by_sig), "most": F.max("k1").over(by_sig)}).filter("lead < most")
-    together = cut(parts.select("sig", "k1", "n").distinct().withColumn("members", F.count(F.lit(1)).over(by_sig)))
-    tally = together.groupBy(F.length(F.bin(F.col("members") - 1)).alias("bits")).agg((F.sum(F.col("members") - 1) / 2).alias("pairs"))
+    level = F.floor(F.log("n") / math.log(1.05)).cast("int").alias("level")
+    together = cut(parts.select("sig", "k1", "n").distinct().select("*", level, F.count(F.lit(1)).over(by_sig).alias("members")))
+
+    # stars: classes of a signature with the least class of it and of nearly their size, and these, in the
+    # order of sizes, with one another; a gap of sizes that no link spans parts them
+    leads = together.groupBy("sig", "level").agg(F.min(F.struct("k1", "n")).alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("members").alias("m"))
+    by_size = by_sig.orderBy("level")  # a few hundred levels of a signature at most
+    steps = leads.select("lead", F.lag("lead").over(by_size).alias("to"), "least", F.lag("most").over(by_size).alias("below"), "m")
+    steps = steps.filter(F.col("least") * num <= F.col("below") * den).select("lead", "to", "m")
+    same = together.join(leads.select("sig", "level", F.col("lead").alias("to")), ["sig", "level"]).select(F.struct("k1", "n").alias("lead"), "to", "members")
+    stars = same.union(steps).select(F.col("lead.k1").alias("x"), F.col("lead.n").alias("nx"), F.col("to.k1").alias("y"), F.col("to.n").alias("ny"), "members")
+
+    # near copies are tied by near pairs of the stars alone. Pairs of a signature that these leave apart are
+    # made while they are few beside all signatures, from the least shared ones on, and the near ones tied;
+    # of signatures that more share, the stars are
+    copies = connected(near_pairs(stars, sketches, num, den), "k1", "lead")
+    apart = together.join(copies, F.col("k1") == F.col("node"), "left").select("sig", "k1", "n", "members", F.coalesce("label", "k1").alias("group"))
+    apart = apart.withColumn("others", F.col("members") - F.count(F.lit(1)).over(Window.partitionBy("sig", "group")))
+    apart = cut(apart.filter("others > 0"))
+    tally = apart.groupBy(F.length(F.bin(F.col("members") - 1)).alias("bits")).agg((F.sum("others") / 2).alias("pairs"))
     left, few = given.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] / PAIRS, 1
     for row in tally.orderBy("bits").collect():  # one row for each number of bits
         if (left := left - row.pairs) < 0:
             break
         few = 1 << row.bits
-    sketches = given.filter(F.col("sketch").isNotNull()).select("k1", "sketch").dropDuplicates(["k1"])
-    pairs = near_pairs(together.filter(F.col("members") <= few), sketches, num, den)
-
-    # classes of a signature that more share are tied to the least class of the signature and of nearly their
-    # size, and these in the order of sizes to one another; a gap of sizes that no link spans parts them
-    many = together.filter(F.col("members") > few).withColumn("level", F.floor(F.log("n") / math.log(1.05)).cast("int"))
-    leads = many.groupBy("sig", "level").agg(F.min("k1").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"))
-    same = many.join(leads, ["sig", "level"]).select("k1", "lead")
-    by_size = by_sig.orderBy("level")  # a few hundred levels of a signature at most
-    steps = leads.select(F.col("lead").alias("k1"), F.lag("lead").over(by_size).alias("lead"), "least", F.lag("most").over(by_size).alias("below"))
-    steps = steps.filter(F.col("least") * num <= F.col("below") * den).select("k1", "lead")
-    ties = pairs.union(same).union(steps).filter("k1 <> lead").distinct()
+    else:
+        few = 1 << 62
+    one, two = (apart.filter(F.col("members") <= few).select("sig", F.col("k1").alias(c), F.col("n").alias(f"n{c}"), F.col("group").alias(f"g{c}")) for c in "xy")
+    pairs = near_pairs(one.join(two, "sig").filter("x < y and gx <> gy"), sketches, num, den)
+    more = stars.filter(F.col("members") > few).select("x", "y")
+    ties = copies.union(pairs).union(more).toDF("k1", "lead").filter("k1 <> lead").distinct()
     near = connected(ties, "k1", "lead")
     near = near.union(near.select(F.col("label").alias("node"), "label").distinct())
 
